@@ -1,0 +1 @@
+"""Operators for building language-model training corpora at scale."""
