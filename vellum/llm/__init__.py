@@ -1 +1,10 @@
-"""Operators for building language-model training corpora at scale."""
+"""Operators for building language-model training corpora at scale.
+
+Task functions travel by value, so executors need no copy of this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
