@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vellum.llm.exact_dedup import exact_dedup
+from vellum.llm.simhash import simhash_components
 from vellum.llm.toxicity import toxicity
 from vellum.llm.url_filter import url_filter
 from vellum.llm.warc import warc_round_trip
@@ -31,11 +32,16 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(_read(spark, sf_dir, "pages"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_warc": op3_warc,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_url_filter": op6_url_filter,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLE_SQL = {
