@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vellum.llm.exact_dedup import exact_dedup
 from vellum.llm.simhash import simhash_components
+from vellum.llm.substring_dedup import substring_dedup
+from vellum.llm.suffix_dedup import suffix_dedup
 from vellum.llm.toxicity import toxicity
 from vellum.llm.url_filter import url_filter
 from vellum.llm.warc import warc_round_trip
@@ -32,6 +34,14 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(_read(spark, sf_dir, "pages"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_read(spark, sf_dir, "documents"), with_bytes=False).drop("kept")
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_read(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_read(spark, sf_dir, "documents"))
 
@@ -41,6 +51,8 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_url_filter": op6_url_filter,
+    "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_simhash": op9_simhash,
 }
 
