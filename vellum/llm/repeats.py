@@ -25,7 +25,7 @@ Keys are 128 bits in all: g and k for anchors, two halves for windows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -51,17 +51,41 @@ def combine(g: np.ndarray, k: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: n
     """Within one batch: cover the later rows of equal keys, leave the rest open.
 
     across: only rows of a larger doc are covered; else later rows of one doc are, too.
-    Covered rows get the document's own hash as g, so that they spread in the shuffle.
+    Covered spans of a document that overlap or touch leave as one row; its g is the
+    document, so that such rows spread in the shuffle.
     """
     order = np.lexsort((lo, doc, k, g))
-    g, k, doc, lo, hi = g[order], k[order], doc[order], lo[order], hi[order]
     new = np.ones(len(g), bool)
-    new[1:] = (g[1:] != g[:-1]) | (k[1:] != k[:-1])
+    new[1:] = (g[order][1:] != g[order][:-1]) | (k[order][1:] != k[order][:-1])
     first = np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))
-    later = doc > doc[first] if across else ~new
-    state = np.where(later, COVERED, OPEN).astype(np.int32)
-    spread = (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-    return {"g": np.where(later, spread, g), "k": k, "doc": doc, "lo": lo, "hi": hi, "state": state}
+    later = np.zeros(len(g), bool)
+    later[order] = doc[order] > doc[order][first] if across else ~new
+    spans = merged_spans(doc[later], lo[later], hi[later])
+    keep = ~later
+    zero = np.zeros(len(spans[0]), np.int64)
+    return {
+        "g": np.r_[g[keep], spans[0]],
+        "k": np.r_[k[keep], zero],
+        "doc": np.r_[doc[keep], spans[0]],
+        "lo": np.r_[lo[keep], spans[1]],
+        "hi": np.r_[hi[keep], spans[2]],
+        "state": np.repeat(np.array([OPEN, COVERED], np.int32), [keep.sum(), len(zero)]),
+    }
+
+
+def merged_spans(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans sorted by (doc, lo), those of a doc that overlap or touch as one."""
+    if not len(doc):
+        return doc, lo, hi
+    order = np.lexsort((lo, doc))
+    doc, lo, hi = doc[order], lo[order], hi[order]
+    # One axis for all docs, each beyond the reach of the one before.
+    number = np.cumsum(np.r_[0, doc[1:] != doc[:-1]]).astype(np.int64)
+    shift = number * (int(hi.max()) + 2)
+    reach = np.maximum.accumulate(hi + shift)
+    cut = np.flatnonzero(lo[1:] + shift[1:] > reach[:-1]) + 1
+    start, end = np.r_[0, cut], np.r_[cut - 1, len(doc) - 1]
+    return doc[start], lo[start], (reach[end] - shift[end]).astype(hi.dtype)
 
 
 def scan(across: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -225,10 +249,16 @@ def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def repeated_spans(rows: DataFrame, anchors: DataFrame, unit: Callable, length: int, across: bool) -> DataFrame:
-    """All covered spans (doc, lo, hi, of `length` units at least) of rows (doc, text), from their anchors."""
+def repeated_spans(rows: DataFrame, anchors: DataFrame, unit: Callable, length: int, across: bool, finer: Sequence[Callable] = ()) -> DataFrame:
+    """All covered spans (doc, lo, hi, of `length` units at least) of rows (doc, text), from their anchors.
+
+    finer: makers of anchors of (doc, text, spans) that edges go through before their windows
+    are taken one by one.
+    """
     judged = staged(first_occurrences(anchors, across), "judged_anchors")
-    edges = spans_per_doc(judged.where(F.col("state") == EDGE))
-    windows = rows.join(edges.hint("shuffle_hash"), "doc").mapInArrow(window_rows(unit, length, across), ANCHOR)
-    found = first_occurrences(windows, across).where(F.col("state") == COVERED)
-    return judged.where(F.col("state") == COVERED).unionAll(found).select("doc", "lo", "hi")
+    covered = judged.where(F.col("state") == COVERED)
+    for maker in (*finer, window_rows(unit, length, across)):
+        edges = spans_per_doc(judged.where(F.col("state") == EDGE))
+        judged = first_occurrences(rows.join(edges.hint("shuffle_hash"), "doc").mapInArrow(maker, ANCHOR), across)
+        covered = covered.unionAll(judged.where(F.col("state") == COVERED))
+    return covered.select("doc", "lo", "hi")

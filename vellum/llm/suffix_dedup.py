@@ -20,7 +20,8 @@ suffix equal to one that starts earlier in the corpus is covered.
 
 A total suffix order of the corpus isn't needed to tell equal neighbours, so none is
 built: the order is taken within triggers, which equal suffixes share, and rows meet
-there through Spark's shuffle and sort.
+there through Spark's shuffle and sort. Rims are parsed once more with long triggers,
+which make phrases of a few strings, before the strings that are left are taken singly.
 
 Edge cases: null and empty texts, and texts shorter than `length`, lose nothing; a
 null doc_id comes before all others; equal rows are one document and get equal
@@ -73,32 +74,59 @@ def triggers(data: np.ndarray, length: int, context: int) -> tuple[np.ndarray, n
     return (least & np.uint64(0xFFFFFFFF)).astype(np.int64), h
 
 
+def phrase_rows(whole: bytes, at: np.ndarray, doc: np.ndarray, base: np.ndarray, length: int, context: int) -> Iterator[pa.RecordBatch]:
+    """ANCHOR rows of the phrases of segments: at bounds them in whole, base is each one's place in its document."""
+    digest = xxhash.xxh3_64_intdigest
+    data = np.frombuffer(whole, np.uint8)
+    for p in range(0, len(data) - length + 1, STEP):
+        part = data[p : p + STEP + length - 1]
+        trigger, h = triggers(part, length, context)
+        # Strings that cross a segment's end are none.
+        ends = at[np.searchsorted(at, p, "right") : np.searchsorted(at, p + len(part), "left")] - p
+        cross = (ends[:, None] - np.arange(1, length)).ravel()
+        trigger[cross[(cross >= 0) & (cross < len(trigger))]] = -1
+        cut = np.flatnonzero(np.r_[True, trigger[1:] != trigger[:-1]])
+        first, last = cut, np.r_[cut[1:], len(trigger)]
+        real = trigger[first] >= 0
+        first, last = first[real], last[real]
+        if not len(first):
+            continue
+        g = h[trigger[first]].view(np.int64)
+        lo, hi = first + p, last + p + length - 1
+        k = np.array([digest(whole[i:j]) for i, j in zip(lo.tolist(), hi.tolist(), strict=True)], np.uint64).view(np.int64)
+        own = np.searchsorted(at, lo, "right") - 1
+        move = base[own] - at[own]
+        yield rows_batch(combine(g, k, doc[own], (lo + move).astype(np.int32), (hi + move).astype(np.int32), across=False))
+
+
 def _phrases(length: int, context: int):
+    """Phrases of whole texts: rows (doc, text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            doc = batch.column("doc").to_numpy(zero_copy_only=False)
             data, at = utf8(batch.column("text"))
-            whole = data.tobytes()
-            data = np.frombuffer(whole, np.uint8)
-            for p in range(0, len(data) - length + 1, STEP):
-                part = data[p : p + STEP + length - 1]
-                trigger, h = triggers(part, length, context)
-                # Strings that cross a document's end are none.
-                ends = at[np.searchsorted(at, p, "right") : np.searchsorted(at, p + len(part), "left")] - p
-                cross = (ends[:, None] - np.arange(1, length)).ravel()
-                trigger[cross[(cross >= 0) & (cross < len(trigger))]] = -1
-                cut = np.flatnonzero(np.r_[True, trigger[1:] != trigger[:-1]])
-                first, last = cut, np.r_[cut[1:], len(trigger)]
-                real = trigger[first] >= 0
-                first, last = first[real], last[real]
-                if not len(first):
+            yield from phrase_rows(data.tobytes(), at, batch.column("doc").to_numpy(zero_copy_only=False), np.zeros(len(at), np.int64), length, context)
+
+    return run
+
+
+def _finer_phrases(length: int, context: int):
+    """Phrases of spans of texts: rows (doc, text, spans)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts, base, docs = [], [], []
+            for d, text, spans in zip(batch.column("doc").to_pylist(), texts(batch), span_arrays(batch.column("spans")), strict=True):
+                if spans is None:
                     continue
-                g = h[trigger[first]].view(np.int64)
-                lo, hi = first + p, last + p + length - 1
-                k = np.array([digest(whole[i:j]) for i, j in zip(lo.tolist(), hi.tolist(), strict=True)], np.uint64).view(np.int64)
-                own = np.searchsorted(at, lo, "right") - 1
-                yield rows_batch(combine(g, k, doc[own], (lo - at[own]).astype(np.int32), (hi - at[own]).astype(np.int32), across=False))
+                # Strings of a span: those that start in it and end in it. Spans are merged by their strings.
+                lo, hi = merged(spans[0], spans[1] - length + 1)
+                parts += [text[a : b + length - 1] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+                base += lo.tolist()
+                docs += [d] * len(lo)
+            if parts:
+                at = np.r_[0, np.cumsum([len(x) for x in parts])]
+                yield from phrase_rows(b"".join(parts), at, np.array(docs, np.int64), np.array(base, np.int64), length, context)
 
     return run
 
@@ -137,6 +165,8 @@ def suffix_dedup(docs: DataFrame, length: int = 100, context: int = 32, with_byt
     if context % 8 or not 8 <= context <= length:
         raise ValueError("context must be a multiple of 8, and no longer than length")
     rows, for_each = unique_rows(docs)
-    spans = spans_per_doc(repeated_spans(rows, rows.mapInArrow(_phrases(length, context), ANCHOR), bytes_of, length, across=False))
+    finer = (length - 10) // 8 * 8
+    levels = [_finer_phrases(length, finer)] if finer > context else []
+    spans = spans_per_doc(repeated_spans(rows, rows.mapInArrow(_phrases(length, context), ANCHOR), bytes_of, length, across=False, finer=levels))
     out = for_each(rows.join(spans.hint("shuffle_hash"), "doc", "left").mapInArrow(_remove(with_bytes), _KEPT))
     return out.select(real_id("doc").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
