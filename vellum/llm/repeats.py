@@ -182,26 +182,29 @@ def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[np.r_[0, cut]], reach[np.r_[cut - 1, len(lo) - 1]]
 
 
-def unique_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+def unique_rows(docs: DataFrame, carry: Sequence[str] = (), text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """Rows (doc, text) with a doc of their own, in the order of doc_id (null first), and
-    what turns a result per doc into one per input row.
+    what joins spans per doc to every input row: (id, text, carried, spans).
 
     Where no doc_id repeats, doc is doc_id. Else equal rows become one, and rows are
-    numbered in the order of doc_id and a hash of the text.
+    numbered in the order of doc_id and a hash of the text. carried is a struct of the
+    columns to carry, or null.
     """
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("doc"), F.col(text).cast("string").alias("text"))
+    carried = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("int")
+    each = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("doc"), F.col(text).cast("string").alias("text"), carried.alias("carried"))
+    rows = each.select("doc", "text")
     if rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        return rows, lambda out: out
-    keyed = staged(rows.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))), "repeated_ids")
+        return rows, lambda spans: each.join(spans.hint("shuffle_hash"), "doc", "left").withColumnRenamed("doc", "id")
+    keyed = staged(each.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))), "repeated_ids")
     order = keyed.select("doc", "h").distinct().sort("doc", "h").rdd.zipWithIndex().map(lambda r: (r[0][0], r[0][1], r[1]))
     number = staged(docs.sparkSession.createDataFrame(order, "doc bigint, h bigint, number bigint"), "numbers")
     one = keyed.dropDuplicates(["doc", "h"]).join(number, ["doc", "h"]).select(F.col("number").alias("doc"), "text")
 
-    def for_each(out: DataFrame) -> DataFrame:
-        each = keyed.select("doc", "h").join(number, ["doc", "h"]).select(F.col("doc").alias("_id"), F.col("number").alias("doc"))
-        return each.join(out, "doc").select(F.col("_id").alias("doc"), *[c for c in out.columns if c != "doc"])
+    def with_spans(spans: DataFrame) -> DataFrame:
+        numbered = keyed.join(number, ["doc", "h"]).select(F.col("doc").alias("id"), "text", "carried", F.col("number").alias("doc"))
+        return numbered.join(spans.hint("shuffle_hash"), "doc", "left").drop("doc")
 
-    return one, for_each
+    return one, with_spans
 
 
 def real_id(col: str) -> Column:

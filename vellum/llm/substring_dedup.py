@@ -80,7 +80,7 @@ def _pack(g: list[int], k: list[int], doc: list, lo: list, hi: list) -> pa.Recor
     return rows_batch(combine(*keys, np.concatenate(doc), np.concatenate(lo), np.concatenate(hi), across=True))
 
 
-_KEPT = "doc bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string"
+_KEPT = "id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string"
 
 
 def _remove(with_text: bool):
@@ -101,7 +101,7 @@ def _remove(with_text: bool):
                 n_removed.append(n - len(words))
                 sha.append(sha256_hex(rest))
                 kept.append(rest.decode() if with_text else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], names=["doc", "n_words", "n_removed", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     return run
 
@@ -110,7 +110,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, with_text: bool = True) -
     """doc_id, n_words, n_removed, kept_sha256, kept (words joined by one space) per document."""
     if window <= PERIOD:
         raise ValueError(f"a window must be longer than the cover's period of {PERIOD} words")
-    rows, for_each = unique_rows(docs)
+    rows, with_spans = unique_rows(docs)
     spans = spans_per_doc(repeated_spans(rows, rows.mapInArrow(_anchors(window), ANCHOR), words_of, window, across=True))
-    out = for_each(rows.join(spans.hint("shuffle_hash"), "doc", "left").mapInArrow(_remove(with_text), _KEPT))
-    return out.select(real_id("doc").alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept")
+    out = with_spans(spans).mapInArrow(_remove(with_text), _KEPT)
+    return out.select(real_id("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept")

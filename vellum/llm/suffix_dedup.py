@@ -136,7 +136,7 @@ def bytes_of(text: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
     return text, at[:-1], at[1:]
 
 
-_KEPT = "doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
+_KEPT = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
 
 
 def _remove(with_bytes: bool):
@@ -155,7 +155,7 @@ def _remove(with_bytes: bool):
                 sha.append(sha256_hex(rest))
                 kept.append(rest if with_bytes else None)
             longs = [pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), *longs, pa.array(sha, pa.string()), pa.array(kept, pa.binary())], names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *longs, pa.array(sha, pa.string()), pa.array(kept, pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return run
 
@@ -164,9 +164,9 @@ def suffix_dedup(docs: DataFrame, length: int = 100, context: int = 32, with_byt
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) per document."""
     if context % 8 or not 8 <= context <= length:
         raise ValueError("context must be a multiple of 8, and no longer than length")
-    rows, for_each = unique_rows(docs)
+    rows, with_spans = unique_rows(docs)
     finer = (length - 10) // 8 * 8
     levels = [_finer_phrases(length, finer)] if finer > context else []
     spans = spans_per_doc(repeated_spans(rows, rows.mapInArrow(_phrases(length, context), ANCHOR), bytes_of, length, across=False, finer=levels))
-    out = for_each(rows.join(spans.hint("shuffle_hash"), "doc", "left").mapInArrow(_remove(with_bytes), _KEPT))
-    return out.select(real_id("doc").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    out = with_spans(spans).mapInArrow(_remove(with_bytes), _KEPT)
+    return out.select(real_id("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")

@@ -47,6 +47,23 @@ def terms_of(text: bytes) -> set[bytes]:
     return {b"%d %s" % (level, stem) for stem, n in stems.items() for level in LEVELS if n >= level}
 
 
+def shape_terms(text: bytes) -> set[bytes]:
+    """Terms for a lower-cased text's shape: its length, symbols, digits, repetition and line ends, in steps."""
+    words = text.split()
+    n, size = max(1, len(words)), max(1, len(text))
+    step = lambda x: min(20, int(20 * x))
+    symbols = size - len(text.translate(None, PUNCTUATION))
+    digits = size - len(text.translate(None, b"0123456789"))
+    return {
+        b"~length %d" % len(words).bit_length(),
+        b"~symbols %d" % step(symbols / size),
+        b"~digits %d" % step(digits / size),
+        b"~distinct %d" % step(len(set(words)) / n),
+        b"~shouts %d" % step(text.count(b"!") / n),
+        b"~mean %d" % min(20, size // n),
+    }
+
+
 def lower_texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[bytes]:
     """Each row's text in lower case (Unicode), null as empty."""
     return texts(pa.RecordBatch.from_arrays([pc.utf8_lower(batch.column(column))], names=["text"]))
@@ -55,9 +72,10 @@ def lower_texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[bytes]:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, keep: str = "true") -> DataFrame:
     """About `bound` rows (doc_id, text, label) at most, chosen by a hash of the id.
 
-    Rows of labels with the same doc_id count once; a majority decides (ties: 1).
+    label: SQL for the class. Rows of labels with the same doc_id count once, as the
+    largest class among them.
     """
-    said = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("label")).where(keep)
+    said = labels.withColumn("label", F.expr(label).cast("int")).where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label")).where(keep)
     n = said.count()
     if n > bound:
         said = said.where(F.pmod(F.xxhash64(F.lit(17), F.col("doc_id")), F.lit(1 << 30)) < int(bound / n * (1 << 30)))
@@ -65,27 +83,31 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
     return docs.select("doc_id", "text").join(F.broadcast(said), "doc_id").repartition("doc_id")
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        counts: dict[tuple[bytes, int], int] = {}
-        for text, label in zip(lower_texts(batch), batch.column("label").to_pylist(), strict=True):
-            for term in terms_of(text):
-                counts[term, label] = counts.get((term, label), 0) + 1
-        yield pa.RecordBatch.from_pydict(
-            {
-                "term": pa.array([t for t, _ in counts], pa.binary()),
-                "label": pa.array([c for _, c in counts], pa.int32()),
-                "df": pa.array(list(counts.values()), pa.int64()),
-            }
-        )
+def _frequencies(shape: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: dict[tuple[bytes, int], int] = {}
+            for text, label in zip(lower_texts(batch), batch.column("label").to_pylist(), strict=True):
+                for term in terms_of(text) | (shape_terms(text) if shape else set()):
+                    counts[term, label] = counts.get((term, label), 0) + 1
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "term": pa.array([t for t, _ in counts], pa.binary()),
+                    "label": pa.array([c for _, c in counts], pa.int32()),
+                    "df": pa.array(list(counts.values()), pa.int64()),
+                }
+            )
+
+    return run
 
 
-def document_frequencies(sample: DataFrame) -> DataFrame:
+def document_frequencies(sample: DataFrame, shape: bool = False) -> DataFrame:
     """term, label, df: rows of the sample with each term, by label."""
-    return sample.select("text", F.col("label").cast("int").alias("label")).mapInArrow(_frequencies, "term binary, label int, df bigint").groupBy("term", "label").agg(F.sum("df").alias("df"))
+    rows = sample.select("text", F.col("label").cast("int").alias("label"))
+    return rows.mapInArrow(_frequencies(shape), "term binary, label int, df bigint").groupBy("term", "label").agg(F.sum("df").alias("df"))
 
 
-def telling_terms(sample: DataFrame, classes: int, most: int, least_chi2: float = 30.0) -> tuple[list[tuple[bytes, list[int]]], list[int]]:
+def telling_terms(sample: DataFrame, classes: int, most: int, least_chi2: float = 30.0, shape: bool = False) -> tuple[list[tuple[bytes, list[int]]], list[int]]:
     """The `most` terms whose presence depends most on the class, with their document
     frequencies by class, and the rows by class. Chi-squared of the 2 x classes table.
     """
@@ -94,7 +116,7 @@ def telling_terms(sample: DataFrame, classes: int, most: int, least_chi2: float
     total = sum(rows)
     if not total:
         return [], rows
-    by = document_frequencies(sample).groupBy("term").agg(*[F.sum(F.when(F.col("label") == c, F.col("df")).otherwise(0)).alias(f"c{c}") for c in range(classes)])
+    by = document_frequencies(sample, shape).groupBy("term").agg(*[F.sum(F.when(F.col("label") == c, F.col("df")).otherwise(0)).alias(f"c{c}") for c in range(classes)])
     df = sum(F.col(f"c{c}") for c in range(classes))
     chi2 = F.lit(0.0)
     for c in range(classes):
@@ -105,3 +127,34 @@ def telling_terms(sample: DataFrame, classes: int, most: int, least_chi2: float
             chi2 = chi2 + off / expected + F.when(absent > 0, off / absent).otherwise(0.0)
     top = by.withColumn("chi2", chi2).where((F.col("chi2") >= least_chi2) & (df >= 3) & (F.length("term") > 0)).orderBy(F.desc("chi2"), "term").limit(most)
     return [(bytes(r["term"]), [r[f"c{c}"] for c in range(classes)]) for r in top.collect()], rows
+
+
+class Vocabulary:
+    """Chosen terms by number; which of them a text has."""
+
+    def __init__(self, chosen: list[bytes]) -> None:
+        self.shapes = {t: i for i, t in enumerate(chosen) if t.startswith(b"~")}
+        # Stem -> (level, term number) of its chosen terms.
+        self.stems: dict[bytes, list[tuple[int, int]]] = {}
+        for i, term in enumerate(chosen):
+            if i not in self.shapes.values():
+                level, stem = term.split(b" ", 1)
+                self.stems.setdefault(stem, []).append((int(level), i))
+        self.known: dict[bytes, tuple[bytes, ...]] = {}
+
+    def numbers(self, text: bytes) -> list[int]:
+        """Sorted numbers of the terms of a lower-cased text."""
+        counts: dict[bytes, int] = {}
+        known, stems = self.known, self.stems
+        for word, n in word_counts(text).items():
+            own = known.get(word)
+            if own is None:
+                own = tuple(s for s in stems_of(word) if s in stems)
+                if len(known) < 500_000:  # a cache, bounded
+                    known[word] = own
+            for stem in own:
+                counts[stem] = counts.get(stem, 0) + n
+        out = [i for stem, n in counts.items() for level, i in stems[stem] if n >= level]
+        if self.shapes:
+            out += [self.shapes[t] for t in shape_terms(text) if t in self.shapes]
+        return sorted(out)

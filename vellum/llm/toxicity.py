@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import staged
-from vellum.llm.terms import labelled_sample, lower_texts, stems_of, telling_terms, word_counts
+from vellum.llm.terms import Vocabulary, labelled_sample, lower_texts, telling_terms
 
 BLOCK = 128
 BINS = 20
@@ -102,28 +102,13 @@ class ToxicityModel:
     """Vocabulary, index and calibration; small enough to broadcast by its parameters."""
 
     def __init__(self, chosen: list[bytes], df: list[int], rows: int, k: int) -> None:
-        # Stem -> (level, term number) of its chosen terms.
-        self.stems: dict[bytes, list[tuple[int, int]]] = {}
-        for i, term in enumerate(chosen):
-            level, stem = term.split(b" ", 1)
-            self.stems.setdefault(stem, []).append((int(level), i))
-        self.known: dict[bytes, tuple[bytes, ...]] = {}
+        self.vocabulary = Vocabulary(chosen)
         self.idf = np.array([math.log((1 + rows) / (1 + n)) + 1 for n in df])
         self.k, self.index, self.bins, self.none = k, None, [0.0] * BINS, 0.0
 
     def vector(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Unit TF-IDF vector of a lower-cased text: sorted term numbers and weights."""
-        counts: dict[bytes, int] = {}
-        known, stems = self.known, self.stems
-        for word, n in word_counts(text).items():
-            own = known.get(word)
-            if own is None:
-                own = tuple(s for s in stems_of(word) if s in stems)
-                if len(known) < 500_000:  # a cache, bounded
-                    known[word] = own
-            for stem in own:
-                counts[stem] = counts.get(stem, 0) + n
-        terms = np.array(sorted(i for stem, n in counts.items() for level, i in stems[stem] if n >= level), np.int64)
+        terms = np.array(self.vocabulary.numbers(text), np.int64)
         w = self.idf[terms]
         return terms, w / math.sqrt(float(w @ w)) if len(terms) else w
 
