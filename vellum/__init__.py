@@ -1 +1,10 @@
-"""Spark-native analytics for digitised document archives."""
+"""Spark-native analytics for digitised document archives.
+
+Task functions travel by value, so executors need no copy of this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

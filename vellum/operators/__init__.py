@@ -1 +1 @@
-
+"""Operators that Spark lacks: folds, geometry kernels and signatures."""

@@ -26,7 +26,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.coalesce(F.expr("try_cast(get_json_object(props, '$.k') AS BIGINT)"), F.lit(0).cast("long"))
     return ev.select(
         F.col("event_id").alias("call_id"),
-        F.col("ts").alias("at"),
+        F.col("ts").alias("called_at"),
         F.col("event_type").alias("step"),
         F.col("user_id").alias("page_record"),
         F.concat(F.lit("m"), F.col("user_id") % 3).alias("model"),
@@ -38,7 +38,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LEDGER_SQL = """
-  SELECT event_id AS call_id, ts AS at, event_type AS step, user_id AS page_record,
+  SELECT event_id AS call_id, ts AS called_at, event_type AS step, user_id AS page_record,
          'm' || (user_id % 3) AS model, user_id % 20 AS issue_pointer,
          COALESCE(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS input_tokens,
          COALESCE(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), 0) * 2 AS output_tokens,
