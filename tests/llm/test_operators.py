@@ -489,12 +489,12 @@ def test_projected_gradient_agrees_with_a_plain_one():
     p = rng.dirichlet([0.5, 0.5, 0.5], 300)
     n = rng.integers(1, 100, 300)
     w, target, l2 = n / n.sum(), np.array([0.1, 0.2, 0.7]), 1e-2
-    q = w @ p
+    inverse = np.linalg.inv((p * w[:, None]).T @ p)
     steps = []
     for _ in range(300):
         point = mixing.fold_rates(p, steps, l2, ahead=True)
-        steps.append(((w * point) @ p - target) / q)
+        steps.append(inverse @ ((w * point) @ p - target))
     rates, plain = mixing.fold_rates(p, steps, l2), np.ones(300)
     for _ in range(20_000):
-        plain = np.maximum(0, plain - (p @ (((w * plain) @ p - target) / q) + l2 * (plain - 1)) / (1 + l2))
+        plain = np.maximum(0, plain - (p @ (inverse @ ((w * plain) @ p - target)) + l2 * (plain - 1)) / (1 + l2))
     assert np.allclose(rates, plain, atol=1e-3)

@@ -6,18 +6,19 @@ document a posterior over the domains.
 
 Document rates r >= 0 (expected copies) then minimise
 
-    1/2 sum_d (s_d - t_d)^2 / q_d  +  l2/2 sum_i w_i (r_i - 1)^2,
-    s_d = sum_i w_i r_i p_id,   w_i = tokens_i / tokens,   q_d = sum_i w_i p_id,
+    1/2 (s - t)' M^-1 (s - t)  +  l2/2 sum_i w_i (r_i - 1)^2,
+    s_d = sum_i w_i r_i p_id,   w_i = tokens_i / tokens,   M = sum_i w_i p_i p_i',
 
 where t are the target shares of the token budget: the expected domain totals of tokens
-meet the targets, and rates stay near 1 as far as that allows. The gradient in the
-weighted norm is sum_d p_id (s_d - t_d) / q_d + l2 (r_i - 1); its Lipschitz constant is
-1 + l2, as posteriors add up to 1. Steps have Nesterov's momentum. Each step is one Spark pass over the posteriors
-(tokens and a few doubles a document): tasks fold the steps so far into their rows'
-rates and add up the domains' totals; the driver gets one row of totals a step. No
-rates are kept, shuffled or sent anywhere while fitting.
+meet the targets, and rates stay near 1 as far as that allows. M weighs the residuals by
+how far rates can move them, so that domains that overlap or are rare don't slow
+the descent: the gradient in the weighted norm is p_i' M^-1 (s - t) + l2 (r_i - 1), and
+its Lipschitz constant is 1 + l2. Steps have Nesterov's momentum. Each step is one Spark
+pass over the posteriors (tokens and a few doubles a document): tasks fold the steps so
+far into their rows' rates and add up the domains' totals; the driver gets one row of
+totals a step. No rates are kept, shuffled or sent anywhere while fitting.
 
-A domain that no document belongs to can't be filled; its target is left out.
+A domain that no document belongs to can't be filled; it pulls nothing.
 
 Edge cases: null and empty texts have no tokens and rate as their posterior says; without
 labelled rows every domain is equally likely; label rows that repeat an id count once;
@@ -119,7 +120,7 @@ def with_posteriors(docs: DataFrame, model: DomainModel, keep: list[str]) -> Dat
 
 
 def fold_rates(p: np.ndarray, steps: list[np.ndarray], l2: float, ahead: bool = False) -> np.ndarray:
-    """Rates after these steps; a step is the vector (s - t) / q of residuals at the point ahead.
+    """Rates after these steps; a step is the vector M^-1 (s - t) at the point ahead.
 
     ahead: that next point, where momentum leads to, instead of the rates.
     """
@@ -138,32 +139,37 @@ def _matrix(batch: pa.RecordBatch, classes: int) -> np.ndarray:
 def fit_rates(rows: DataFrame, targets: list[float], l2: float = 1e-4, most_steps: int = 60, tolerance: float = 2e-4) -> list[np.ndarray]:
     """The steps of projected gradient descent over rows (tokens, p), to fold into rates."""
     classes = len(targets)
+    names = [f"s{i}" for i in range(classes * (classes + 1))]
+
+    def sums(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Token totals by domain at the point ahead, and the moments sum n p p'."""
 
-    def totals(steps: list[np.ndarray]) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(classes)
+            out = np.zeros(len(names))
             for batch in batches:
                 p, n = _matrix(batch, classes), batch.column("tokens").to_numpy(zero_copy_only=False)
-                out += (n * fold_rates(p, steps, l2, ahead=True)) @ p
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in out], names=[f"s{d}" for d in range(classes)])
+                out[:classes] += (n * fold_rates(p, steps, l2, ahead=True)) @ p
+                if not steps:
+                    out[classes:] += ((p * n[:, None]).T @ p).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in out], names=names)
 
-        sums = rows.select("tokens", "p").mapInArrow(run, ", ".join(f"s{d} double" for d in range(classes))).agg(*[F.sum(f"s{d}") for d in range(classes)]).first()
-        return np.array([x or 0.0 for x in sums])
+        got = rows.select("tokens", "p").mapInArrow(run, ", ".join(f"{c} double" for c in names)).agg(*[F.sum(c) for c in names]).first()
+        both = np.array([x or 0.0 for x in got])
+        return both[:classes], both[classes:].reshape(classes, classes)
 
     steps: list[np.ndarray] = []
-    start = totals(steps)
+    start, moments = sums(steps)
     n = start.sum()
     if n <= 0:
         return steps
-    share = start / n
-    q = np.where(share > 1e-9, share, np.inf)  # an empty domain pulls nothing
-    target = np.array(targets)
-    s = share
+    s, target = start / n, np.array(targets)
+    filled = s > 1e-9
+    inverse = np.linalg.pinv(moments / n, rcond=1e-6, hermitian=True)
     for _ in range(most_steps):
-        if np.abs((s - target)[np.isfinite(q)]).max() < tolerance:
+        if np.abs((s - target)[filled]).max() < tolerance:
             break
-        steps.append((s - target) / q)
-        s = totals(steps) / n
+        steps.append(inverse @ (s - target))
+        s = sums(steps)[0] / n
     return steps
 
 
