@@ -28,20 +28,16 @@ STARTS = (4, 5, 6, 7, 8)
 LEVELS = (1, 2, 3, 5)
 
 
-def word_counts(text: bytes) -> Counter:
-    """Words of a lower-cased text without punctuation at their ends, and their counts."""
-    return Counter([w.strip(PUNCTUATION) for w in text.split()])
-
-
-def stems_of(word: bytes) -> list[bytes]:
-    """The word, and its starts (marked as such by a trailing dash)."""
+def stems_of(raw: bytes) -> list[bytes]:
+    """The word without punctuation at its ends, and its starts (marked as such by a trailing dash)."""
+    word = raw.strip(PUNCTUATION)
     return [word, *[word[:n] + b"-" for n in STARTS if len(word) > n]] if word else []
 
 
 def terms_of(text: bytes) -> set[bytes]:
     """Terms of a lower-cased text: word or word start, and the count level reached."""
     stems: Counter = Counter()
-    for word, n in word_counts(text).items():
+    for word, n in Counter(text.split()).items():
         for stem in stems_of(word):
             stems[stem] += n
     return {b"%d %s" % (level, stem) for stem, n in stems.items() for level in LEVELS if n >= level}
@@ -146,7 +142,7 @@ class Vocabulary:
         """Sorted numbers of the terms of a lower-cased text."""
         counts: dict[bytes, int] = {}
         known, stems = self.known, self.stems
-        for word, n in word_counts(text).items():
+        for word, n in Counter(text.split()).items():
             own = known.get(word)
             if own is None:
                 own = tuple(s for s in stems_of(word) if s in stems)
