@@ -83,3 +83,30 @@ def banded(boxes: Column, gap: float = 0.02) -> Column:
         return F.struct(band.alias("band"), F.when(opens, b["x"]).otherwise(acc["left"]).alias("left"), F.array_append(acc["out"], row).alias("out"))
 
     return F.aggregate(by_x, start, step, lambda acc: F.transform(F.array_sort(acc["out"]), lambda r: r["id"]))
+
+
+def stored_rects(region: Column) -> Column:
+    """Rectangles of a stored region, a JSON text of either shape: one bare [x, y, w, h], or an object with rects."""
+    kept = F.from_json(region, "rects array<array<double>>, order array<int>")["rects"]
+    bare = F.array(F.slice(F.from_json(region, "array<double>"), 1, 4))
+    return F.when(F.startswith(F.trim(region), F.lit("{")), kept).when(F.startswith(F.trim(region), F.lit("[")), bare)
+
+
+def reading_rects(rects: Column, order: Column) -> Column:
+    """Rectangles by their stored order where it is a permutation, else in banded reading order."""
+    numbered = F.transform(rects, lambda r, i: F.struct(i.cast("long").alias("id"), F.get(r, F.lit(0)).alias("x"), F.get(r, F.lit(1)).alias("y")))
+    stored = F.transform(order, lambda i: F.get(rects, i))
+    valid = F.coalesce(is_permutation(order, F.size(rects)), F.lit(False))
+    return F.when(valid, stored).otherwise(F.transform(banded(numbered), lambda i: F.get(rects, i.cast("int"))))
+
+
+def edited_region(rects: Column) -> Column:
+    """A curator's rectangles as stored: inside the page, to four places, largest first; NULL if any is unfit."""
+    g = lambda r, i: F.get(r, F.lit(i))
+    fit = F.forall(rects, lambda r: (F.size(r) >= 4) & (g(r, 0) >= 0) & (g(r, 1) >= 0) & (g(r, 2) > 0) & (g(r, 3) > 0) & (g(r, 0) + g(r, 2) <= 1.001) & (g(r, 1) + g(r, 3) <= 1.001))
+    return F.when(fit & (F.size(rects) > 0), by_area(F.transform(rects, lambda r: F.transform(F.slice(r, 1, 4), lambda v: round_half_up(v, 4)))))
+
+
+def from_letterbox(v: Column, pad: float, gain: float, size: float) -> Column:
+    """A detector's pixel coordinate as a page coordinate in [0, 1], to four places."""
+    return round_half_up(F.least(F.greatest((v - pad) / gain / size, F.lit(0.0)), F.lit(1.0)), 4)

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.plans import browse, curation, edition, ordered, spend, texts
+from vellum.plans import browse, curation, details, edition, ordered, spend, texts
 from vellum.streaming import daily
 
-MODULES = (spend, browse, texts, ordered, curation, edition, daily)
+MODULES = (spend, browse, texts, ordered, curation, edition, details, daily)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
