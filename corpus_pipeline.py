@@ -30,7 +30,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit_toxicity(docs, _table(spark, sf_dir, "labels"), keep=NOT_HELD_OUT)
-    return score_toxicity(docs, model).where("predicted = 0").select(*docs.columns)
+    return score_toxicity(docs, model).where("predicted = 0").select("carried.*")
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,3 +40,21 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
 
 def test_every_operator_has_a_query():
     assert {int(q[2:].split("_")[0]) for q in queries.QUERIES} == set(range(1, 11))
+
+
+def test_stages_survive_clashing_columns_nulls_and_empty_tables(spark, tmp_path):
+    extra = ["doc", "spans", "id", "h", "carried", "label", "predicted", "tokens", "rate", "p", "group_id", "kept", "item_id"]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{c}` string" for c in extra)
+    rows = [(i, t, None, None, None, *["x"] * len(extra)) for i, t in [(1, "a b c"), (1, "a b c"), (1, "other"), (None, None), (None, "x"), (2, ""), (3, "w " * 3000)]]
+    for name, data in (("full", rows), ("empty", [])):
+        sf = f"{tmp_path}/{name}"
+        spark.createDataFrame(data, schema).write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (1, None, None), (None, 1, 1), (9, 0, 1)], "doc_id bigint, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+        spark.createDataFrame([(1, None), (None, "p q r s t u")], "item_id bigint, text string").write.parquet(f"{sf}/benchmark.parquet")
+        docs = spark.read.parquet(f"{sf}/documents.parquet")
+        columns = docs.columns
+        for n, (stage_name, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, sf).write.parquet(f"{sf}/{stage_name}")
+            docs = spark.read.parquet(f"{sf}/{stage_name}")
+            assert n == len(corpus_pipeline.STAGES) - 1 or docs.columns == columns
+        assert (docs.count() > 0) == bool(data)

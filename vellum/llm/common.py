@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -92,6 +92,12 @@ def id_values(batch: pa.RecordBatch, name: str = "doc_id") -> np.ndarray:
     return pc.fill_null(long_column(batch, name), -(2**63)).to_numpy(zero_copy_only=False)
 
 
-def table_bytes(df: DataFrame) -> int:
-    """The optimizer's upper estimate of a frame's size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+def carrying(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """(text, carried): the text, and the columns to keep in a struct, so that no name can clash."""
+    carried = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None).cast("int")
+    return docs.select(F.col("text").cast("string").alias("text"), carried.alias("carried"))
+
+
+def carried_columns(keep: list[str], made: Iterable[str]) -> list[Column]:
+    """The kept columns out of `carried`, but for those that the operator makes itself."""
+    return [F.col(f"carried.`{c}`").alias(c) for c in keep if c not in set(made)]

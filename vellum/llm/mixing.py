@@ -23,7 +23,7 @@ A domain that no document belongs to can't be filled; it pulls nothing.
 Edge cases: null and empty texts have no tokens and rate as their posterior says; without
 labelled rows every domain is equally likely; label rows that repeat an id count once;
 repeated rows get equal rates; a null doc_id is carried; an empty table gives an empty
-result; other columns are carried if asked for.
+result; other columns are carried if asked for, and give way to columns made here.
 """
 
 from __future__ import annotations
@@ -32,11 +32,12 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import staged
+from vellum.llm.common import carried_columns, carrying, staged
 from vellum.llm.terms import Vocabulary, labelled_sample, lower_texts, telling_terms
 
 DOMAINS = ("high", "low", "toxic")
@@ -108,22 +109,23 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: str = DOMAIN_SQL, cl
 
 
 def with_posteriors(docs: DataFrame, model: DomainModel, keep: list[str]) -> DataFrame:
-    """keep columns, tokens (words), p: the posterior over the domains."""
+    """carried (a struct of the columns to keep), tokens (words), p: the posterior over the domains, draw: a hash of the text."""
     shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
-    rows = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema.fields)
+    rows = carrying(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = cloudpickle.loads(shared.value)
         for batch in batches:
-            numbers, tokens = [], []
+            numbers, tokens, draw = [], [], []
             for text in lower_texts(batch):
                 numbers.append(own.vocabulary.numbers(text))
                 tokens.append(len(text.split()))
+                draw.append(xxhash.xxh3_64_intdigest(text) >> 44)
             p = own.posteriors(numbers).tolist()
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(tokens, pa.int64()), pa.array(p, pa.list_(pa.float64()))], names=[*keep, "tokens", "p"])
+            arrays = [batch.column("carried"), pa.array(tokens, pa.int64()), pa.array(p, pa.list_(pa.float64())), pa.array(draw, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["carried", "tokens", "p", "draw"])
 
-    return rows.mapInArrow(run, f"{schema}, tokens bigint, p array<double>")
+    return rows.mapInArrow(run, f"carried {rows.schema['carried'].dataType.simpleString()}, tokens bigint, p array<double>, draw bigint")
 
 
 def fold_rates(p: np.ndarray, steps: list[np.ndarray], l2: float, ahead: bool = False) -> np.ndarray:
@@ -186,19 +188,19 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGE
     targets: shares of the token budget, which is `budget` times the corpus's tokens.
     copies realises a rate by its whole part and a draw on the text's hash for the rest.
     """
-    keep = keep if keep is not None else docs.columns
+    keep = list(docs.columns) if keep is None else keep
     weights = [targets[d] * budget for d in DOMAINS]
     rows = staged(with_posteriors(docs, fit_domains(docs, labels), keep), "posteriors")
     steps = fit_rates(rows, weights, l2)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "p")
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = _matrix(batch, len(DOMAINS))
-            carried = [n for n in batch.schema.names if n != "p"]
-            arrays = [batch.column(n) for n in carried] + [pa.array(p[:, d].copy()) for d in range(len(DOMAINS))]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(fold_rates(p, steps, l2))], names=[*carried, *(f"p_{d}" for d in DOMAINS), "rate"])
-
-    out = rows.mapInArrow(rate, f"{schema}, " + ", ".join(f"p_{d} double" for d in DOMAINS) + ", rate double")
-    draw = F.pmod(F.xxhash64(F.lit(29), *[F.col(c) for c in keep if c in ("doc_id", "text")]), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    return out.withColumn("copies", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
+            arrays = [batch.column(c) for c in ("carried", "tokens", "draw")] + [pa.array(p[:, d].copy()) for d in range(len(DOMAINS))]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(fold_rates(p, steps, l2))], names=["carried", "tokens", "draw", *made[1:-1]])
+
+    made = ["tokens", *(f"p_{d}" for d in DOMAINS), "rate", "copies"]
+    out = rows.mapInArrow(rate, f"carried {rows.schema['carried'].dataType.simpleString()}, tokens bigint, draw bigint, " + ", ".join(f"{c} double" for c in made[1:-1]))
+    whole = F.floor("rate")
+    copies = (whole + (F.col("draw") / float(1 << 20) < F.col("rate") - whole).cast("int")).cast("int")
+    return out.withColumn("copies", copies).select(*carried_columns(keep, made), *made)

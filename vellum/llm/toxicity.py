@@ -35,7 +35,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import staged
+from vellum.llm.common import carrying, staged
 from vellum.llm.terms import Vocabulary, labelled_sample, lower_texts, telling_terms
 
 BLOCK = 128
@@ -165,11 +165,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", examp
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None) -> DataFrame:
-    """Add score, predicted and evidence (nearest example) to docs; keep: columns to carry."""
-    keep = keep if keep is not None else docs.columns
+    """carried (a struct of the columns to keep, all by default), score, predicted, evidence (nearest example)."""
+    rows = carrying(docs, docs.columns if keep is None else keep)
     shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
-    carried = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.select(*keep).schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = cloudpickle.loads(shared.value)
@@ -178,9 +176,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str] | None
             score = pa.array([s for s, _ in got], pa.float64())
             said = pa.array([int(s >= 0.5) for s, _ in got], pa.int32())
             near = pa.array([e for _, e in got], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), score, said, near], names=[*keep, "score", "predicted", "evidence"])
+            yield pa.RecordBatch.from_arrays([batch.column("carried"), score, said, near], names=["carried", "score", "predicted", "evidence"])
 
-    return carried.mapInArrow(run, f"{out}, score double, predicted int, evidence bigint")
+    return rows.mapInArrow(run, f"carried {rows.schema['carried'].dataType.simpleString()}, score double, predicted int, evidence bigint")
 
 
 #: Labels of these rows are learnt from; the others are held out.
@@ -191,4 +189,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence for every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = fit_toxicity(rows, labels, keep=NOT_HELD_OUT)
-    return score_toxicity(rows, model, keep=["doc_id"]).select("doc_id", F.expr(f"NOT ({NOT_HELD_OUT})").alias("held_out"), "score", "predicted", "evidence")
+    scored = score_toxicity(rows, model, keep=["doc_id"]).select("carried.doc_id", "score", "predicted", "evidence")
+    return scored.select("doc_id", F.expr(f"NOT ({NOT_HELD_OUT})").alias("held_out"), "score", "predicted", "evidence")
