@@ -218,7 +218,8 @@ def url_filter(pages: DataFrame, url: str = "url", page_id: str = "page_id", rul
     # Distinct URLs with their weights: copies are counted before the shuffle.
     urls = with_parts(rows.groupBy("url").agg(F.count(F.lit(1)).alias("n")))
     # URLs are short and their features are not cheap: spread them by count, not by bytes.
-    urls = urls.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "url")
+    # (By a hash: a second shuffle on the group's own key would be dropped as redundant.)
+    urls = urls.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("url"))
     urls = urls.withColumns({"rule": rule, "ruled": verdict})
     features = staged(with_features(urls), "url_features")
     prior, trees = train(features.where(F.col("ruled").isNotNull()).withColumn("label", (F.col("ruled") == "block").cast("double")))
