@@ -192,3 +192,20 @@ def test_sound_and_images():
     assert audio.samples_of(audio.wav(samples)) == samples and audio.samples_of(samples) == samples
     assert audio.jpeg_size(bytes.fromhex("ffd8ffe000040000ffc0000b080102030401") + bytes(8)) == (0x0304, 0x0102)
     assert audio.jpeg_size(b"\xff\xd8") is None
+
+
+def test_pages_collapse_their_own_fillers(spark, tmp_path):
+    """A page with 55, 42 and 34 blocks, of which 0, 6 and 5 are copies of one filler: 55, 37 and 30 rows."""
+    for n, fillers in ((55, 0), (42, 6), (34, 5)):
+        blocks = [{"object_class": "advertisement", "role": "ad", "text": f"Ad {i}"} for i in range(n - fillers)]
+        for i in range(fillers):
+            blocks.insert(3 * i + 1, {"object_class": "filler_slug", "role": "slug", "text": ["Buy BLUE RIVER Bread", "Buy Blue River Bread!"][i % 2]})
+        (tmp_path / f"page{n}.json").write_text(json.dumps(blocks))
+    b = readers.read_blocks(spark, f"{tmp_path}/page*.json")
+    rows = ordered.collapsed(b.select("file", "pos", F.col("text").alias("line"), (F.col("object_class") == "filler_slug").alias("filler")), "file").collect()
+    by_page = {}
+    for r in rows:
+        by_page.setdefault(r.file, []).append(r)
+    assert sorted(len(v) for v in by_page.values()) == [30, 37, 55]
+    assert sorted(r.occurrences for r in rows if r.filler) == [5, 6] and all(r.occurrences == 1 for r in rows if not r.filler)
+    assert all(sorted(r.seq for r in v) == list(range(len(v))) for v in by_page.values())

@@ -24,12 +24,19 @@ _LINES = """b AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, ge
   ln AS (SELECT *, pos % 3 = 0 AS filler FROM b)"""
 
 
-def filler_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fillers with one key collapse into the first, with occurrences; kept rows are numbered anew."""
+def collapsed(blocks: DataFrame, page: str) -> DataFrame:
+    """Blocks (page, pos, line, filler, ...): fillers with one key collapse into the first of their page.
+
+    Adds occurrences, and seq, which numbers the kept rows anew from 0. An empty key is a key.
+    """
     key = F.when(F.col("filler"), F.concat(F.lit("f"), T.filler_key(F.col("line")))).otherwise(F.concat(F.lit("p"), "pos"))
-    w = Window.partitionBy("doc_id", "key")
-    r = _lines(spark, sf_dir).withColumn("key", key).withColumn("rn", F.row_number().over(w.orderBy("pos"))).withColumn("occurrences", F.count(F.lit(1)).over(w))
-    return r.where("rn = 1").select("doc_id", "pos", "filler", "occurrences", (F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1).alias("seq"))
+    w = Window.partitionBy(page, "_key")
+    r = blocks.withColumn("_key", key).withColumn("_rn", F.row_number().over(w.orderBy("pos"))).withColumn("occurrences", F.count(F.lit(1)).over(w))
+    return r.where("_rn = 1").drop("_key", "_rn").withColumn("seq", F.row_number().over(Window.partitionBy(page).orderBy("pos")) - 1)
+
+
+def filler_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collapsed(_lines(spark, sf_dir), "doc_id").select("doc_id", "pos", "filler", "occurrences", "seq")
 
 
 def resequence(spark: SparkSession, sf_dir: str) -> DataFrame:
