@@ -7,6 +7,7 @@ import io
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -270,6 +271,29 @@ def test_spanning_links_of_a_large_group_keep_it_connected():
     assert len({find(i) for i in range(3000)}) == 1 and len(links) < 3000
 
 
+def test_forests_hold_leaders_only_of_a_group_without_end():
+    rng = np.random.default_rng(4)
+    center = rng.integers(0, 2**63, 2, dtype=np.uint64)
+    prints = (center ^ (np.uint64(1) << rng.integers(0, 64, (20_000, 2), dtype=np.uint64))).view(np.int64)
+    names = ["key", "doc", "f1", "f2"]
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(500, 7), np.arange(lo, lo + 500), prints[lo : lo + 500, 0].copy(), prints[lo : lo + 500, 1].copy())], names=names)
+        for lo in range(0, 20_000, 500)
+    ]
+    links = [(r["u"], r["v"]) for b in near_duplicates._forests(30)(iter(batches)) for r in b.to_pylist()]
+    seen, edges = {0}, collections.defaultdict(list)
+    for a, b in links:
+        edges[a].append(b)
+        edges[b].append(a)
+    todo = [0]
+    while todo:
+        for x in edges[todo.pop()]:
+            if x not in seen:
+                seen.add(x)
+                todo.append(x)
+    assert len(seen) == 20_000 and len(links) < 20_000
+
+
 def test_patience_aligns_moved_and_repeated_lines():
     assert line_dedup.patience(list("abcde"), list("abXde")) == [(0, 0), (1, 1), (3, 3), (4, 4)]
     rng = random.Random(4)

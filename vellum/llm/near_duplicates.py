@@ -18,7 +18,8 @@ fingerprints differ in 15 % of their bits, too many for whole blocks to agree. S
 5. connected components of verified links are the groups.
 
 A group of more than `GROUP` rows is first thinned out by leaders: rows within a quarter
-of the radius of a leader are linked to it and only the leader goes on.
+of the radius of a leader are linked to it and only the leader goes on. A task thins a
+very large group as its rows come in, so it never holds one whole.
 """
 
 from __future__ import annotations
@@ -83,18 +84,24 @@ def near_pairs(prints: np.ndarray, radius: int, block: int = 512) -> tuple[np.nd
     return np.concatenate(i_all), np.concatenate(j_all), np.concatenate(d_all)
 
 
+def thinned(prints: np.ndarray, radius: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links (leader, row) of rows within a quarter of the radius of a leader, and the leaders."""
+    links: list[tuple[int, int]] = []
+    leaders, rest = [], np.arange(len(prints))
+    while len(rest):
+        near = distances(prints[rest], prints[rest[0]]) <= radius // 4
+        leaders.append(int(rest[0]))
+        links += [(leaders[-1], int(x)) for x in rest[near] if x != rest[0]]
+        rest = rest[~near]
+    return links, np.array(leaders, np.int64)
+
+
 def spanning_links(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """A minimum spanning forest of the pairs within radius (large groups: of their leaders)."""
     links: list[tuple[int, int]] = []
     rows = np.arange(len(prints))
     if len(rows) > GROUP:
-        leaders, rest = [], rows
-        while len(rest):
-            near = distances(prints[rest], prints[rest[0]]) <= radius // 4
-            leaders.append(int(rest[0]))
-            links += [(leaders[-1], int(x)) for x in rest[near] if x != rest[0]]
-            rest = rest[~near]
-        rows = np.array(leaders)
+        links, rows = thinned(prints, radius)
     i, j, d = near_pairs(prints[rows], radius)
     parent = list(range(len(rows)))
 
@@ -182,6 +189,11 @@ def _forests(radius: int, small: int = 12):
             if last:
                 yield pack(cols[0][:last], cols[1][:last], np.stack([c[:last] for c in cols[2:]], axis=1).view(np.uint64))
             rest = [c[last:] for c in cols]
+            if len(rest[0]) > 4 * GROUP:  # a group without end in sight: only its leaders wait for more
+                links, kept = thinned(np.stack(rest[2:], axis=1).view(np.uint64), radius)
+                at = np.array(links, np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(rest[1][at[:, 0]]), pa.array(rest[1][at[:, 1]])], names=["u", "v"])
+                rest = [c[kept] for c in rest]
         if len(rest[0]):
             yield pack(rest[0], rest[1], np.stack(rest[2:], axis=1).view(np.uint64))
 
