@@ -370,7 +370,7 @@ def test_greedy_tiles_match_brute_force():
         assert len({p for n, i, _ in tiles for p in range(i, i + n)}) == sum(n for n, _, _ in tiles)
 
 
-@pytest.mark.parametrize("broadcast_tokens", [1_000_000, 0])
+@pytest.mark.parametrize("broadcast_tokens", [200_000, 0])
 def test_decontamination(spark, broadcast_tokens):
     item = "the quick brown fox jumps over the lazy dog while nine old clocks strike twelve at noon".split()
     other = "an unrelated question about rivers mountains lakes and seas of the world".split()

@@ -196,7 +196,7 @@ def _joined_tiles(docs: DataFrame, tests: DataFrame, least: int) -> DataFrame:
     return both.mapInArrow(run, _HIT)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshold: float = 0.8, broadcast_tokens: int = 1_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshold: float = 0.8, broadcast_tokens: int = 200_000) -> DataFrame:
     """Pairs (doc_id, item_id) of which at least `threshold` of the test is tiled, with coverage."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
