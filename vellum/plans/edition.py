@@ -38,7 +38,7 @@ def is_odd() -> Column:
     return F.col("is_advertorial") | _cls("legal_notice", "classified_section", "coupon") | T.about(F.col("text"), T.LOST)
 
 
-#: Interest -> (least material, predicate).
+#: Interest -> (least material, predicate). Fixed values of the card library.
 INTERESTS = {
     "ads": (3, lambda: _cls("advertisement", "coupon")),
     "people": (5, lambda: F.col("people") > 0),
@@ -47,7 +47,7 @@ INTERESTS = {
     "strange": (2, lambda: is_odd()),
 }
 
-#: Card -> (interests served, roles or none, odd, least material, predicate).
+#: Card -> (interests served, roles or none, odd, least material, predicate). Fixed values of the card library.
 CARDS = {
     "ads-best": (("ads",), (), False, 3, lambda: _cls("advertisement")),
     "ads-trick": (("ads", "strange"), ("kid", "curious", "local"), True, 1, lambda: F.col("is_advertorial")),
