@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from vellum.llm import decontamination, exact_dedup, line_dedup, mixing, near_duplicates, repeats, simhash, substring_dedup, suffix_dedup, toxicity, url_filter, warc
+from vellum.llm import decontamination, exact_dedup, line_dedup, mixing, near_duplicates, repeats, simhash, substring_dedup, suffix_dedup, terms, toxicity, url_filter, warc
 from vellum.llm.components import with_components
 
 DOCS = "doc_id bigint, text string, spans string, doc string"  # two columns with clashing names
@@ -473,6 +473,17 @@ def test_toxicity_without_labels(spark):
     assert len(got) == len(rows) and {r.score for r in got} == {0.0}
 
 
+def test_vocabulary_finds_the_chosen_terms():
+    rng = random.Random(1)
+    words = [bytes(rng.choice(b"ab.-") for _ in range(rng.randrange(1, 12))) for _ in range(3000)]
+    texts = [b" ".join(rng.choice(words) for _ in range(50)) for _ in range(200)]
+    every = sorted(set().union(*[terms.terms_of(t) | terms.shape_terms(t) for t in texts]))
+    number = {t: i for i, t in enumerate(rng.sample(every, 400))}
+    vocabulary = terms.Vocabulary(list(number))
+    for t in texts:
+        assert vocabulary.numbers(t) == sorted(number[x] for x in terms.terms_of(t) | terms.shape_terms(t) if x in number)
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(1)
     vectors = []

@@ -136,16 +136,19 @@ class Vocabulary:
             if i not in self.shapes.values():
                 level, stem = term.split(b" ", 1)
                 self.stems.setdefault(stem, []).append((int(level), i))
+        # No stem without one of these first bytes: most words need no further look.
+        self.heads = {stem[: STARTS[0]] for stem in self.stems}
         self.known: dict[bytes, tuple[bytes, ...]] = {}
 
     def numbers(self, text: bytes) -> list[int]:
         """Sorted numbers of the terms of a lower-cased text."""
         counts: dict[bytes, int] = {}
-        known, stems = self.known, self.stems
+        known, stems, heads = self.known, self.stems, self.heads
         for word, n in Counter(text.split()).items():
             own = known.get(word)
             if own is None:
-                own = tuple(s for s in stems_of(word) if s in stems)
+                head = word.strip(PUNCTUATION)[: STARTS[0]]
+                own = tuple(s for s in stems_of(word) if s in stems) if head in heads else ()
                 if len(known) < 500_000:  # a cache, bounded
                     known[word] = own
             for stem in own:
