@@ -24,6 +24,10 @@ from vellum.llm.near_duplicates import near_duplicate_groups
 from vellum.llm.toxicity import NOT_HELD_OUT, fit_toxicity, score_toxicity
 
 
+#: Shares of the token budget; toxic documents are gone by the last stage.
+TARGETS = {"high": 0.8, "low": 0.2, "toxic": 0.0}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -52,7 +56,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix(docs, _table(spark, sf_dir, "labels"))
+    return mix(docs, _table(spark, sf_dir, "labels"), TARGETS)
 
 
 STAGES = [

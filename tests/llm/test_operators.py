@@ -524,7 +524,7 @@ def test_projected_gradient_agrees_with_a_plain_one():
     p = rng.dirichlet([0.5, 0.5, 0.5], 300)
     n = rng.integers(1, 100, 300)
     w, target, l2 = n / n.sum(), np.array([0.1, 0.2, 0.7]), 1e-2
-    inverse = np.linalg.inv((p * w[:, None]).T @ p)
+    inverse = np.linalg.inv((p * w[:, None]).T @ p + 0.01 * np.eye(3))
     steps = []
     for _ in range(300):
         point = mixing.fold_rates(p, steps, l2, ahead=True)

@@ -6,19 +6,20 @@ document a posterior over the domains.
 
 Document rates r >= 0 (expected copies) then minimise
 
-    1/2 (s - t)' M^-1 (s - t)  +  l2/2 sum_i w_i (r_i - 1)^2,
-    s_d = sum_i w_i r_i p_id,   w_i = tokens_i / tokens,   M = sum_i w_i p_i p_i',
+    1/2 (s - t)' W (s - t)  +  l2/2 sum_i w_i (r_i - 1)^2,
+    s_d = sum_i w_i r_i p_id,   w_i = tokens_i / tokens,   W = (sum_i w_i p_i p_i' + 0.01 I)^-1,
 
 where t are the target shares of the token budget: the expected domain totals of tokens
-meet the targets, and rates stay near 1 as far as that allows. M weighs the residuals by
-how far rates can move them, so that domains that overlap or are rare don't slow
-the descent: the gradient in the weighted norm is p_i' M^-1 (s - t) + l2 (r_i - 1), and
-its Lipschitz constant is 1 + l2. Steps have Nesterov's momentum. Each step is one Spark
-pass over the posteriors (tokens and a few doubles a document): tasks fold the steps so
-far into their rows' rates and add up the domains' totals; the driver gets one row of
-totals a step. No rates are kept, shuffled or sent anywhere while fitting.
+meet the targets, and rates stay near 1 as far as that allows. W weighs the residuals by
+how far rates can move them, so that domains that overlap don't slow the descent: the
+gradient in the weighted norm is p_i' W (s - t) + l2 (r_i - 1), and its Lipschitz constant is
+at most 1 + l2. Steps have Nesterov's momentum, and end when the targets are met or, where
+they can't be met, when the totals no longer move. Each step is one Spark pass over the
+posteriors (tokens and a few doubles a document): tasks fold the steps so far into their
+rows' rates and add up the domains' totals; the driver gets one row of totals a step. No
+rates are kept, shuffled or sent anywhere while fitting.
 
-A domain that no document belongs to can't be filled; it pulls nothing.
+A domain that no document belongs to can't be filled; its target is missed.
 
 Edge cases: null and empty texts have no tokens and rate as their posterior says; without
 labelled rows every domain is equally likely; label rows that repeat an id count once;
@@ -129,7 +130,7 @@ def with_posteriors(docs: DataFrame, model: DomainModel, keep: list[str]) -> Dat
 
 
 def fold_rates(p: np.ndarray, steps: list[np.ndarray], l2: float, ahead: bool = False) -> np.ndarray:
-    """Rates after these steps; a step is the vector M^-1 (s - t) at the point ahead.
+    """Rates after these steps; a step is the vector W (s - t) at the point ahead.
 
     ahead: that next point, where momentum leads to, instead of the rates.
     """
@@ -145,9 +146,11 @@ def _matrix(batch: pa.RecordBatch, classes: int) -> np.ndarray:
     return batch.column("p").flatten().to_numpy(zero_copy_only=False).reshape(-1, classes)
 
 
-def fit_rates(rows: DataFrame, targets: list[float], l2: float = 1e-4, most_steps: int = 60, tolerance: float = 2e-4) -> list[np.ndarray]:
+def fit_rates(rows: DataFrame, targets: list[float], l2: float = 1e-4, most_steps: int = 60, tolerance: float = 5e-4) -> list[np.ndarray]:
     """The steps of projected gradient descent over rows (tokens, p), to fold into rates."""
     classes = len(targets)
+    # A table of its own: passes should read as few files as these columns need.
+    rows = staged(rows.select("tokens", "p"), "posteriors_alone")
     names = [f"s{i}" for i in range(classes * (classes + 1))]
 
     def sums(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +165,7 @@ def fit_rates(rows: DataFrame, targets: list[float], l2: float = 1e-4, most_step
                     out[classes:] += ((p * n[:, None]).T @ p).ravel()
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in out], names=names)
 
-        got = rows.select("tokens", "p").mapInArrow(run, ", ".join(f"{c} double" for c in names)).agg(*[F.sum(c) for c in names]).first()
+        got = rows.mapInArrow(run, ", ".join(f"{c} double" for c in names)).agg(*[F.sum(c) for c in names]).first()
         both = np.array([x or 0.0 for x in got])
         return both[:classes], both[classes:].reshape(classes, classes)
 
@@ -172,13 +175,11 @@ def fit_rates(rows: DataFrame, targets: list[float], l2: float = 1e-4, most_step
     if n <= 0:
         return steps
     s, target = start / n, np.array(targets)
-    filled = s > 1e-9
-    inverse = np.linalg.pinv(moments / n, rcond=1e-6, hermitian=True)
-    for _ in range(most_steps):
-        if np.abs((s - target)[filled]).max() < tolerance:
-            break
-        steps.append(inverse @ (s - target))
-        s = sums(steps)[0] / n
+    weights, still = np.linalg.inv(moments / n + 0.01 * np.eye(classes)), 0
+    while len(steps) < most_steps and still < 3 and np.abs(s - target).max() >= tolerance:
+        steps.append(weights @ (s - target))
+        before, s = s, sums(steps)[0] / n
+        still = still + 1 if np.abs(s - before).max() < tolerance / 4 else 0
     return steps
 
 
