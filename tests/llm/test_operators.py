@@ -149,11 +149,20 @@ def test_repeated_ids_are_one_document_if_equal(spark):
 
 def test_scan_over_batch_borders():
     rng = random.Random(5)
-    rows = sorted((rng.randrange(6), rng.randrange(3), rng.randrange(20), rng.randrange(50)) for _ in range(400))
-    rows = sorted(set(rows))
-    for across in (False, True):
-        whole = _scan(rows, 10**6, across)
-        assert all(_scan(rows, size, across) == whole for size in (1, 2, 7, 50))
+    for groups, keys in ((6, 3), (60, 2), (200, 2)):
+        rows = sorted({(rng.randrange(groups), rng.randrange(keys), rng.randrange(20), rng.randrange(50)) for _ in range(400)})
+        for across in (False, True):
+            first: dict = {}
+            for g, k, doc, _ in rows:
+                first.setdefault((g, k), doc)
+            several = collections.Counter(g for g, _ in first)
+            want, seen = [], set()
+            for g, k, doc, lo in rows:
+                covered = doc > first[g, k] if across else (g, k) in seen
+                seen.add((g, k))
+                if covered or several[g] > 1:
+                    want.append((doc, lo, lo + 1, repeats.COVERED if covered else repeats.EDGE))
+            assert all(_scan(rows, size, across) == sorted(want) for size in (1, 2, 7, 50, 10**6))
 
 
 def _scan(rows, size, across):

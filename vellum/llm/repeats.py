@@ -128,7 +128,7 @@ def scan(across: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             if wait:
                 if goes_on and many[0]:
                     yield _edges(wait)
-                if not goes_on or many[0]:
+                if not goes_on or many[0] or number[-1] > 0:
                     wait = []
             out_state = np.where(later, COVERED, EDGE).astype(np.int32)
             emit = later | many[number]
