@@ -205,6 +205,13 @@ def test_simhash(docs, empty):
     assert simhash.simhash_components(empty).count() == 0
 
 
+def test_simhash_null_and_repeated_ids(spark):
+    text = "one two three four five"
+    d = spark.createDataFrame([(None, text), (5, text.upper()), (5, text), (7, None), (2, ""), (2, " \n"), (9, "alone in here")], "doc_id bigint, text string")
+    got = sorted(((r.doc_id, r.component_id) for r in simhash.simhash_components(d).collect()), key=str)
+    assert got == sorted([(None, None), (5, None), (5, None), (7, 2), (2, 2), (2, 2), (9, 9)], key=str)
+
+
 @pytest.mark.parametrize("group_rows", [20_000, 3])
 def test_fingerprint_links_find_every_pair(spark, group_rows):
     rng = random.Random(9)
@@ -415,6 +422,15 @@ def test_warc_round_trip(spark):
     assert warc.warc_round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_repeated_rows(spark):
+    big = "x" * 1000
+    rows = [(4, "u", big), (4, "u", big), (2, "u", big), (2, "u", big), (None, "u", big), (1, "u", "x" * 999), (0, "u", "x" * 999)]
+    got = warc.warc_round_trip(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert sorted(((r.page_id, r.record_type, r.refers_to) for r in got), key=str) == sorted(
+        [(4, "response", None)] * 2 + [(2, "revisit", 4)] * 2 + [(None, "revisit", 4), (1, "response", None), (0, "response", None)], key=str
+    )
+
+
 def test_warc_reader_rejects_false_magic():
     record = warc._record(1, "u", b"x", 1, hashlib.sha1(b"x").hexdigest(), None)
     archive = b"\x1f\x8b\x08 junk" + warc._gzip(b"not a record") + warc._gzip(record) + b"\x1f\x8b\x08" + warc._gzip(record)
@@ -476,6 +492,17 @@ def test_toxicity_on_held_out_labels(spark):
     assert np.mean([truth[r.doc_id] == r.predicted for r in got if r.held_out and r.doc_id in truth]) > 0.97
 
 
+def test_toxicity_of_repeated_rows_and_labels(spark):
+    rows, labels = toxic_rows(200)
+    d = spark.createDataFrame(rows + rows[2:4] + [(None, rows[5][1])], "doc_id bigint, text string")
+    got = toxicity.toxicity(d, spark.createDataFrame(labels * 2 + [(None, 1, 1), (77_777, None, None)], "doc_id bigint, quality int, toxic int")).collect()
+    assert len(got) == len(rows) + 3
+    scores = collections.defaultdict(set)
+    for r in got:
+        scores[r.doc_id].add(r.score)
+    assert all(len(x) == 1 for x in scores.values()) and scores[None] == scores[rows[5][0]]
+
+
 def test_toxicity_without_labels(spark):
     rows, _ = toxic_rows(20)
     got = toxicity.toxicity(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([], "doc_id bigint, quality int, toxic int")).collect()
