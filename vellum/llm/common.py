@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -74,13 +74,23 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data | 32, data)
 
 
+#: Rows whose texts are copied out of a batch at once: a task holds little besides the batch.
+SLICE = 256
+
+
 def texts(batch: pa.RecordBatch, column: str = "text", lower: bool = False) -> Iterator[bytes]:
-    """Each row's text as bytes, null as empty."""
-    data, at = utf8(batch.column(column))
-    whole = (lowered(data) if lower else data).tobytes()
-    ends = at.tolist()
-    for i in range(len(ends) - 1):
-        yield whole[ends[i] : ends[i + 1]]
+    """Each row's text as bytes, null as empty; lower: A-Z only."""
+    yield from array_texts(batch.column(column), (lambda a: a), lower)
+
+
+def array_texts(array: pa.Array, change: Callable[[pa.Array], pa.Array], lower: bool = False) -> Iterator[bytes]:
+    """Each value as bytes, null as empty, slice by slice, after a change to the slice."""
+    for lo in range(0, len(array), SLICE):
+        data, at = utf8(change(array.slice(lo, SLICE)))
+        whole = (lowered(data) if lower else data).tobytes()
+        ends = at.tolist()
+        for i in range(len(ends) - 1):
+            yield whole[ends[i] : ends[i + 1]]
 
 
 def long_column(batch: pa.RecordBatch, name: str) -> pa.Array:

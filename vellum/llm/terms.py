@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import texts
+from vellum.llm.common import array_texts
 
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -62,7 +62,7 @@ def shape_terms(text: bytes) -> set[bytes]:
 
 def lower_texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[bytes]:
     """Each row's text in lower case (Unicode), null as empty."""
-    return texts(pa.RecordBatch.from_arrays([pc.utf8_lower(batch.column(column))], names=["text"]))
+    return array_texts(batch.column(column), pc.utf8_lower)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, keep: str = "true") -> DataFrame:
@@ -80,19 +80,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
 
 
 def _frequencies(shape: bool):
+    def pack(counts: dict[tuple[bytes, int], int]) -> pa.RecordBatch:
+        arrays = [pa.array([t for t, _ in counts], pa.binary()), pa.array([c for _, c in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())]
+        return pa.RecordBatch.from_arrays(arrays, names=["term", "label", "df"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[bytes, int], int] = {}
         for batch in batches:
-            counts: dict[tuple[bytes, int], int] = {}
             for text, label in zip(lower_texts(batch), batch.column("label").to_pylist(), strict=True):
                 for term in terms_of(text) | (shape_terms(text) if shape else set()):
                     counts[term, label] = counts.get((term, label), 0) + 1
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "term": pa.array([t for t, _ in counts], pa.binary()),
-                    "label": pa.array([c for _, c in counts], pa.int32()),
-                    "df": pa.array(list(counts.values()), pa.int64()),
-                }
-            )
+                if len(counts) > 100_000:  # Spark adds them up
+                    yield pack(counts)
+                    counts = {}
+        yield pack(counts)
 
     return run
 
@@ -149,7 +150,7 @@ class Vocabulary:
             if own is None:
                 head = word.strip(PUNCTUATION)[: STARTS[0]]
                 own = tuple(s for s in stems_of(word) if s in stems) if head in heads else ()
-                if len(known) < 500_000:  # a cache, bounded
+                if len(known) < 100_000:  # a cache, bounded
                     known[word] = own
             for stem in own:
                 counts[stem] = counts.get(stem, 0) + n
