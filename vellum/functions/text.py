@@ -6,7 +6,7 @@ both ends, line breaks included.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.vocabulary import ABBREVIATIONS
@@ -70,10 +70,21 @@ def headline_shaped(c: Column) -> Column:
     )
 
 
-def resolved_title(text: Column, stored: Column, model: Column) -> Column:
-    """struct(title, title_source, title_model): a stored title, else a headline-shaped first line."""
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once, however often later expressions use them.
+
+    Spark puts a projected expression into every place that uses it; a generator of one row
+    stands in the way, at no shuffle.
+    """
+    for name, c in columns.items():
+        df = df.select("*", F.explode(F.array(c)).alias(name))
+    return df
+
+
+def resolved_title(head: Column, stored: Column, model: Column) -> Column:
+    """struct(title, title_source, title_model): a stored title, else the text's first line if it is headline-shaped."""
     own, drafter = strip(F.coalesce(stored, F.lit(""))), F.nullif(strip(F.coalesce(model, F.lit(""))), F.lit(""))
-    head, none = first_line(text), F.lit(None).cast("string")
+    none = F.lit(None).cast("string")
     make = lambda t, s, m: F.struct(t.alias("title"), s.alias("title_source"), m.alias("title_model"))
     return (
         F.when(own != "", make(own, F.when(drafter.isNotNull(), "machine").otherwise("human"), drafter))

@@ -54,7 +54,8 @@ def _headline(x: str) -> str:
 
 
 def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return objects(spark, sf_dir).withColumn("r", T.resolved_title(F.col("text"), F.col("display_title"), F.col("display_title_model")))
+    o = T.once(objects(spark, sf_dir), head=T.first_line(F.col("text")))
+    return T.once(o, r=T.resolved_title(F.col("head"), F.col("display_title"), F.col("display_title_model")))
 
 
 _TITLED = f"""{_O}, h AS (SELECT *, {_first_line('text')} AS head FROM o),
@@ -218,13 +219,15 @@ def ranked(items: DataFrame, query: str) -> DataFrame:
     terms = query_terms(query)
     if not terms or len(query.strip()) < 2:
         return items.limit(0).select("*", F.lit(0).alias("score"), F.lit("").alias("fields"))
-    at = lambda f, t: F.instr(F.lower(F.coalesce(F.col(f), F.lit(""))), t)
-    best = [F.greatest(*[F.when(at(f, t) == 1, w + 3).when(at(f, t) > 0, w).otherwise(0) for f, w in WEIGHTS.items()]) for t in terms]
-    hit = [F.when(F.greatest(*[at(f, t) for t in terms], F.lit(0)) > 0, f) for f in WEIGHTS]
-    found = items
-    for b in best:
-        found = found.where(b > 0)
-    return found.select("*", sum(best[1:], best[0]).alias("score"), F.concat_ws(",", *hit).alias("fields"))
+    low = F.struct(*[F.lower(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in WEIGHTS])
+    places = lambda t: F.struct(*[F.instr(F.col(f"_low.{f}"), t).alias(f) for f in WEIGHTS])
+    found = T.once(items, _low=low)
+    found = T.once(found, _at=F.array(*[places(t) for t in terms])).drop("_low")
+    best = F.transform("_at", lambda p: F.greatest(*[F.when(p[f] == 1, w + 3).when(p[f] > 0, w).otherwise(0) for f, w in WEIGHTS.items()]))
+    found = T.once(found, _best=best).where(F.forall("_best", lambda b: b > 0))
+    inside = lambda f: F.exists("_at", lambda p: p[f] > 0)
+    fields = F.concat_ws(",", *[F.when(inside(f), f) for f in WEIGHTS])
+    return found.select(*items.columns, F.aggregate("_best", F.lit(0), lambda a, b: a + b).alias("score"), fields.alias("fields"))
 
 
 def keyword_in_context(text: Column, term: str, pad: int = 90) -> Column:
@@ -252,7 +255,8 @@ def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kwic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword in context for a term, over published objects that have it."""
-    return objects(spark, sf_dir).where("is_published").select("id", keyword_in_context(F.col("text"), "ing").alias("excerpt")).where("excerpt IS NOT NULL")
+    o = objects(spark, sf_dir).where("is_published").where(F.lower("text").contains("ing")).select("id", "text")
+    return T.once(o, excerpt=keyword_in_context(F.col("text"), "ing")).select("id", "excerpt")
 
 
 # ── model answers made safe ───────────────────────────────────────────────────────────────
