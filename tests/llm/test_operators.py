@@ -269,6 +269,53 @@ def test_near_duplicates_against_brute_force(spark):
     assert all(want[got[i]] == want[i] for i in sets)  # nothing unlike is joined
 
 
+def near_groups(sets):
+    """Groups of near duplicates by looking at every pair of sets."""
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for b in range(len(sets)):
+        for a in range(b):
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) - 1e-9:
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    return [find(i) for i in range(len(sets))]
+
+
+def test_near_duplicates_in_a_dense_group_of_edited_copies(spark):
+    rng = random.Random(21)
+    base = [f"b{k}" for k in range(204)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for k in rng.sample(range(204), rng.randrange(3, 7)):
+            w[k] = f"e{i}x{k}"
+        rows.append(" ".join(w))
+    want = near_groups([frozenset(simhash.shingle_hashes(t.encode(), 5)) for t in rows])
+    assert 1 < len(set(want)) < len(rows)
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    got = {r.doc_id: r.group_id for r in near_duplicates.near_duplicate_groups(d).collect()}
+    assert [got[i] for i in range(len(rows))] == want
+
+
+def test_shingle_runs_stay_whole_or_are_cut_by_size():
+    token = np.array([1, 1, 2, 3, 3, 3, 3, 3, 3, 3, 4, 5, 5])
+    root = np.array([7, 7, 8, 1, 1, 2, 2, 3, 4, 5, 9, 1, 2])
+    for step in range(1, 14):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c[lo : lo + step]) for c in (token, root)], names=["token", "root"]) for lo in range(0, 13, step)]
+        for most in (0, 3):
+            seen = [(t, part) for (t, _), part in near_duplicates._runs(iter(batches), ["token", "root"], most)]
+            assert np.concatenate([t for t, _ in seen]).tolist() == token.tolist()
+            whole = [set(t.tolist()) for t, part in seen if not part]
+            assert sum(map(len, whole)) == len(set().union(*whole))
+            assert all(set(t.tolist()) == {3} for t, part in seen if part)
+
+
 def test_spanning_links_of_a_large_group_keep_it_connected():
     rng = np.random.default_rng(2)
     center = rng.integers(0, 2**63, 2, dtype=np.uint64)

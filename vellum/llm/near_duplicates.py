@@ -1,4 +1,4 @@
-"""Groups of near duplicates by SimHash candidates, pivot tables and an exact check.
+"""Groups of near duplicates: SimHash links first, then every pair that they left apart.
 
 Two texts are near duplicates if the sets of their shingles of five words (A-Z
 lower-cased) have a Jaccard similarity of 0.8 or more. At that similarity two SimHash
@@ -12,14 +12,24 @@ fingerprints differ in 15 % of their bits, too many for whole blocks to agree. S
    unrelated classes seldom do, at every size;
 3. in a group, pairs whose distances to any pivot differ by more than the radius are
    discarded by the pivot table, survivors are compared, and only a minimum spanning
-   forest of the near ones goes on: it connects whatever near pairs connect, at every
-   threshold, with less links than rows;
-4. the links' texts are fetched and their Jaccard similarity computed in full;
-5. connected components of verified links are the groups.
-
-A group of more than `GROUP` rows is first thinned out by leaders: rows within a quarter
-of the radius of a leader are linked to it and only the leader goes on. A task thins a
-very large group as its rows come in, so it never holds one whole.
+   forest of the near ones goes on, with less links than rows;
+4. the links' texts are fetched and their Jaccard similarity computed in full; connected
+   components of verified links are the first groups;
+5. steps 2 to 4 miss pairs (no table, a radius, a forest whose links fail), so all pairs of
+   classes in different first groups are searched exactly, on whole shingle sets:
+   a. a class of n shingles of which over 0.2 n are in no other text is out. A slice of
+      all shingles, chosen by their hashes, settles that for most;
+   b. in the others, shingles are put in order: those of one first group only, then by the
+      number of first groups that have them. Two sets of similarity 0.8 share one of
+      the first n - ceil(0.8 n) + 1 of each, so pairs meet at these; those of one first group
+      join nothing new and go no further;
+   c. pairs of different first groups whose sizes and places still allow 0.8 are verified;
+6. connected components of all verified links are the groups. No link is lost.
+
+Steps 2 to 4 are there for large groups of copies, whose pairs step 5 would have to
+try one by one. There, a group of more than `GROUP` rows is first thinned out by leaders: rows
+within a quarter of the radius of a leader are linked to it and only the leader goes on. A
+task thins a very large group as its rows come in, so it never holds one whole.
 """
 
 from __future__ import annotations
@@ -39,6 +49,8 @@ from vellum.llm.simhash import PIVOTS, shingle_hashes
 
 #: Rows of a group that are compared directly.
 GROUP = 1024
+#: Rows of a shingle that wait for its count; one in more texts comes last in the order.
+COMMON = 1 << 16
 _BITS = 128
 
 
@@ -122,12 +134,14 @@ def spanning_links(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
 def _prints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c, f = [], []
+            c, f, n = [], [], []
             for text in texts(batch, lower=True):
                 c.append(np.frombuffer(xxhash.xxh3_128_digest(b" ".join(text.split())), np.int64))
-                f.append(set_fingerprint(list(set(shingle_hashes(text, words)))))
+                shingles = list(set(shingle_hashes(text, words)))
+                f.append(set_fingerprint(shingles))
+                n.append(len(shingles))
             c, f = np.array(c).reshape(-1, 2), np.array(f, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(id_values(batch)), *(pa.array(x[:, w].copy()) for x in (c, f) for w in (0, 1))], names=["doc_id", "c1", "c2", "f1", "f2"])
+            yield pa.RecordBatch.from_arrays([pa.array(id_values(batch)), *(pa.array(x[:, w].copy()) for x in (c, f) for w in (0, 1)), pa.array(n, pa.int64())], names=["doc_id", "c1", "c2", "f1", "f2", "n"])
 
     return run
 
@@ -213,6 +227,168 @@ def _verify(words: int, similarity: float):
     return run
 
 
+def _slice(words: int):
+    """Each text's distinct shingles with one of 5 of 16 hash ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = (np.unique(np.array(shingle_hashes(t, words), np.uint64)) for t in texts(batch, lower=True))
+            yield from _exploded(((doc, x[(x & np.uint64(15)) < 5]) for doc, x in zip(id_values(batch).tolist(), found, strict=True)), 1)
+
+    return run
+
+
+def _all_shingles(words: int):
+    """Each text's distinct shingles with its first group and their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = (np.unique(np.array(shingle_hashes(t, words), np.uint64)) for t in texts(batch, lower=True))
+            yield from _exploded(((*ids, len(x), x) for *ids, x in zip(id_values(batch, "doc").tolist(), id_values(batch, "root").tolist(), found, strict=True)), 3)
+
+    return run
+
+
+def _exploded(rows: Iterator[tuple], n: int, most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Rows of n numbers and an array of shingles -> (token, numbers), a row per shingle."""
+    names = ["token", *("doc", "root", "n")[:n]]
+
+    def pack() -> pa.RecordBatch:
+        lengths = [len(x) for *_, x in held]
+        numbers = [np.repeat(np.array(c, np.int64), lengths) for c in list(zip(*held, strict=True))[:n]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (np.concatenate([x for *_, x in held]).view(np.int64), *numbers)], names=names)
+
+    held: list[tuple] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
+        if size >= most:
+            yield pack()
+            held, size = [], 0
+    if held:
+        yield pack()
+
+
+def _runs(batches: Iterator[pa.RecordBatch], names: list[str], most: int = 0) -> Iterator[tuple[list[np.ndarray], bool]]:
+    """Rows sorted by the first column -> columns that hold whole runs of it, and whether they are
+    a part of a run of over `most` rows, which is handed on in parts (most = 0: whole)."""
+    rest = [[np.zeros(0, np.int64)] * len(names)]
+    waiting, cut = 0, None
+    for batch in batches:
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        if not len(cols[0]):
+            continue
+        if cut is not None:  # the rest of a run that was cut
+            k = int(np.searchsorted(cols[0], cut, side="right"))
+            if k:
+                yield [c[:k] for c in cols], True
+            cols = [c[k:] for c in cols]
+            if not len(cols[0]):
+                continue
+            cut = None
+        last = int(np.searchsorted(cols[0], cols[0][-1], side="left"))
+        key = next((r[0][0] for r in rest if len(r[0])), cols[0][0])
+        if last or key != cols[0][-1]:
+            yield [np.concatenate(c) for c in zip(*rest, [c[:last] for c in cols], strict=True)], False
+            rest, waiting = [], 0
+        rest.append([c[last:] for c in cols])
+        waiting += len(cols[0]) - last
+        if most and waiting > most:
+            cut = cols[0][-1]
+            yield [np.concatenate(c) for c in zip(*rest, strict=True)], True
+            rest, waiting = [[np.zeros(0, np.int64)] * len(names)], 0
+    if waiting:
+        yield [np.concatenate(c) for c in zip(*rest, strict=True)], False
+
+
+def _alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, doc) sorted by token -> the doc of every token that has just one row."""
+    for (token, doc), part in _runs(batches, ["token", "doc"], COMMON):
+        edges = np.flatnonzero(np.r_[True, token[1:] != token[:-1], True])
+        alone = edges[:-1][np.diff(edges) == 1]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[alone[:0] if part else alone])], names=["doc"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, root, doc, n) sorted by token and root -> rows of tokens that several roots have, with
+    the number of these roots."""
+    for (token, root, doc, n), part in _runs(batches, ["token", "root", "doc", "n"], COMMON):
+        if part:
+            roots = np.full(len(token), 1 << 40)
+        else:
+            new = np.r_[True, token[1:] != token[:-1]]
+            of = np.cumsum(new) - 1
+            roots = np.bincount(of, np.r_[True, (token[1:] != token[:-1]) | (root[1:] != root[:-1])])[of].astype(np.int64)
+        keep = roots > 1
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (doc, roots, token, root, n)], names=["doc", "roots", "token", "root", "n"])
+
+
+def _prefixes(similarity: float):
+    """Rows of a doc, its shared tokens in order -> those in its prefix, with their places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (doc, token, root, n), _ in _runs(batches, ["doc", "token", "root", "n"]):
+            edges = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True])
+            sizes = np.diff(edges)
+            # Tokens of one root only stand before all shared ones.
+            place = np.arange(len(doc)) - np.repeat(edges[:-1], sizes) + n - np.repeat(sizes, sizes)
+            keep = place <= n - np.ceil(similarity * n - 1e-9)
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (token, n, doc, root, place)], names=["token", "n", "doc", "root", "place"])
+
+    return run
+
+
+def _meetings(similarity: float, block: int = 2048):
+    """Prefix rows sorted by token and n -> pairs (u, v) of different roots that may reach the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (token, n, doc, root, place), _ in _runs(batches, ["token", "n", "doc", "root", "place"]):
+            # Partners stand in the same token's run.
+            ends = np.searchsorted(token, token, side="right")
+            lo = 0
+            while lo < len(token):
+                hi = min(lo + block, len(token))
+                counts = ends[lo:hi] - np.arange(lo, hi) - 1
+                hi = lo + max(1, int(np.searchsorted(np.cumsum(counts), 1 << 21, side="right")))
+                counts = counts[: hi - lo]
+                i = np.repeat(np.arange(lo, hi), counts)
+                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts)
+                # At the first token that both have, all others follow.
+                most = np.minimum(n[i] - place[i], n[j] - place[j])
+                may = (root[i] != root[j]) & (most >= similarity * (n[i] + n[j] - most) - 1e-9)
+                a, b = doc[i[may]], doc[j[may]]
+                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["u", "v"])
+                lo = hi
+
+    return run
+
+
+def remaining_pairs(rows: DataFrame, sizes: DataFrame, roots: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Pairs (u, v) of different roots that may reach the similarity: all that do are among them.
+
+    rows: doc_id, text; sizes: doc, n (distinct shingles); roots: node, root, a row a class.
+    """
+    alone = rows.mapInArrow(_slice(words), "token bigint, doc bigint").repartition("token").sortWithinPartitions("token").mapInArrow(_alone, "doc bigint")
+    alone = alone.groupBy("doc").agg(F.count(F.lit(1)).alias("alone"))
+    left = roots.select(F.col("node").alias("doc"), "root").join(sizes, "doc").join(alone, "doc", "left").where(F.coalesce("alone", F.lit(0)) <= (1 - similarity) * F.col("n") + 1e-6).select("doc", "root")
+    left = staged(left.distinct(), "texts_left")
+    whole = rows.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), "text").join(left, "doc").dropDuplicates(["doc"])
+    tokens = whole.mapInArrow(_all_shingles(words), "token bigint, doc bigint, root bigint, n bigint")
+    shared = tokens.repartition("token").sortWithinPartitions("token", "root").mapInArrow(_shared, "doc bigint, roots bigint, token bigint, root bigint, n bigint")
+    prefixes = shared.repartition("doc").sortWithinPartitions("doc", "roots", "token").mapInArrow(_prefixes(similarity), "token bigint, n bigint, doc bigint, root bigint, place bigint")
+    return prefixes.repartition("token").sortWithinPartitions("token", "n").mapInArrow(_meetings(similarity), "u bigint, v bigint").distinct()
+
+
+def verified_links(rows: DataFrame, links: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The links (u, v) whose texts have the similarity. Only the texts that links need are fetched."""
+    ends = links.select(F.col("u").alias("doc")).unionAll(links.select(F.col("v").alias("doc"))).distinct()
+    needed = staged(rows.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), "text").join(ends, "doc", "left_semi").dropDuplicates(["doc"]), "linked_texts")
+    pairs = links.join(needed.select(F.col("doc").alias("u"), F.col("text").alias("a")), "u").join(needed.select(F.col("doc").alias("v"), F.col("text").alias("b")), "v")
+    return staged(pairs.select("u", "v", "a", "b").mapInArrow(_verify(words, similarity), "u bigint, v bigint"), "verified_links")
+
+
 def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
     """doc_id, group_id (the smallest doc_id of the group) for every document.
 
@@ -220,18 +396,19 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
     all others; rows that repeat a doc_id must have the same text.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = staged(rows.mapInArrow(_prints(words), "doc_id bigint, c1 bigint, c2 bigint, f1 bigint, f2 bigint"), "set_fingerprints")
+    prints = staged(rows.mapInArrow(_prints(words), "doc_id bigint, c1 bigint, c2 bigint, f1 bigint, f2 bigint, n bigint"), "set_fingerprints")
     classes = staged(prints.groupBy("c1", "c2").agg(F.min("doc_id").alias("doc"), F.first("f1").alias("f1"), F.first("f2").alias("f2")), "text_classes")
     cosine = 2 * similarity / (1 + similarity)
     apart = math.acos(cosine) / math.pi
     radius = math.floor(_BITS * apart + 3 * math.sqrt(_BITS * apart * (1 - apart)))
     dealt = classes.select("doc", "f1", "f2").mapInArrow(_deal(*table_plan(classes.count(), similarity, recall)), "key bigint, doc bigint, f1 bigint, f2 bigint")
     links = staged(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_forests(radius), "u bigint, v bigint").distinct(), "candidate_links")
-    # Only the texts that links need are fetched.
-    ends = links.select(F.col("u").alias("doc")).unionAll(links.select(F.col("v").alias("doc"))).distinct()
-    needed = staged(rows.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), "text").join(ends, "doc", "left_semi").dropDuplicates(["doc"]), "linked_texts")
-    pairs = links.join(needed.select(F.col("doc").alias("u"), F.col("text").alias("a")), "u").join(needed.select(F.col("doc").alias("v"), F.col("text").alias("b")), "v")
-    verified = pairs.select("u", "v", "a", "b").mapInArrow(_verify(words, similarity), "u bigint, v bigint")
+    verified = verified_links(rows, links, words, similarity)
+    nodes = classes.select(F.col("doc").alias("node"))
+    first = staged(with_components(nodes, verified), "first_groups")
+    sizes = prints.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), "n").distinct()
+    more = staged(remaining_pairs(rows, sizes, first, words, similarity), "candidate_links")
+    verified = first.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(verified_links(rows, more, words, similarity))
     roots = with_components(classes.select(F.col("doc").alias("node"), "c1", "c2"), verified)
     out = prints.select("doc_id", "c1", "c2").join(roots, ["c1", "c2"])
     real = lambda c: F.when(F.col(c) != -(2**63), F.col(c))
