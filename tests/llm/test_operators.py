@@ -303,6 +303,19 @@ def test_near_duplicates_in_a_dense_group_of_edited_copies(spark):
     assert [got[i] for i in range(len(rows))] == want
 
 
+def test_near_duplicates_loses_no_pair_of_short_texts(spark):
+    rng = random.Random(22)
+    rows = []
+    for i in range(2000):  # 4 of 5 shingles: exactly 0.8
+        w = [f"s{i}x{k}" for k in range(9)]
+        rows += [" ".join(w), " ".join(w[:8])]
+    rows += [" ".join(f"s{rng.randrange(2000)}x{k}" for k in range(9)) for _ in range(500)]
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    got = {r.doc_id: r.group_id for r in near_duplicates.near_duplicate_groups(d).collect()}
+    assert [got[i] for i in range(4000)] == [i // 2 * 2 for i in range(4000)]
+    assert all(got[i] == i for i in range(4000, 4500))
+
+
 def test_shingle_runs_stay_whole_or_are_cut_by_size():
     token = np.array([1, 1, 2, 3, 3, 3, 3, 3, 3, 3, 4, 5, 5])
     root = np.array([7, 7, 8, 1, 1, 2, 2, 3, 4, 5, 9, 1, 2])

@@ -7,9 +7,8 @@ fingerprints differ in 15 % of their bits, too many for whole blocks to agree. S
 1. equal word sequences become one class, named by its smallest doc_id;
 2. every class gets a fingerprint of 128 bits over its distinct shingles, and is dealt out
    to `tables` groups, each by a fixed choice of its bits. Key length follows the
-   number of classes, and the number of tables the key length, so that a pair of
-   similarity 0.8 meets with probability `recall` (more similar ones more often), and
-   unrelated classes seldom do, at every size;
+   number of classes, and the number of tables the key length, so that most pairs of
+   similarity 0.8 meet, and unrelated classes seldom do, at every size;
 3. in a group, pairs whose distances to any pivot differ by more than the radius are
    discarded by the pivot table, survivors are compared, and only a minimum spanning
    forest of the near ones goes on, with less links than rows;
@@ -147,7 +146,8 @@ def _prints(words: int):
 
 
 def table_plan(classes: int, similarity: float, recall: float) -> tuple[int, int]:
-    """Key bits and tables: groups of about eight unrelated rows, pairs met with `recall`."""
+    """Key bits and tables: groups of about eight unrelated rows; pairs would be met with `recall`
+    if tables were independent and angles exact. They are not, so pairs are missed here more often."""
     bits = min(40, max(8, math.ceil(math.log2(max(2, classes))) - 3))
     cosine = 2 * similarity / (1 + similarity)
     agree = (1 - math.acos(cosine) / math.pi) ** bits
