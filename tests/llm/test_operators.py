@@ -415,6 +415,27 @@ def test_line_dedup(docs, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+def test_line_dedup_seeds_on_repeated_and_on_short_lines(spark):
+    block = ["a b", "c d", "e f"]
+    rows = [
+        "first of all lines here\nmiddle one here\nfirst of all lines here",  # repeats its long line
+        "something else to begin\nfirst of all lines here",  # the line once
+        "x y z x y\nx y z x y\np q r s t\np q r s t",  # every line twice
+        "x y z x y\nx y z x y\np q r s t\np q r s t",
+        "a b\nlone words",  # short lines alone, in other documents than the block
+        "c d\nlone others",
+        "e f\nlone more",
+        "\n".join(["head of seven", *block, "tail of seven"]),
+        "\n".join(["head of eight", *block, "tail of eight"]),
+    ]
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    got = {r.doc_id: r.n_removed for r in line_dedup.line_dedup(d).collect()}
+    # Patience diff against every earlier document, without any seeds.
+    whole = [[(p, x, len(x.split())) for p, x in enumerate(line_dedup.filled_lines(t.encode()))] for t in rows]
+    want = {y: len({p for x in range(y) for lo, hi in line_dedup.common_blocks(whole[x], whole[y], 5) for p in range(lo, hi)}) for y in range(len(rows))}
+    assert got == want and want[1] == 1 and want[3] == 4 and want[8] == 3
+
+
 def brute_tiles(test, doc, least):
     """Greedy string tiling by looking at every pair of positions, longest run first."""
     free_t, free_d, tiles = [True] * len(test), [t >= 0 for t in doc], []
