@@ -370,72 +370,6 @@ def test_forests_hold_leaders_only_of_a_group_without_end():
     assert len(seen) == 20_000 and len(links) < 20_000
 
 
-def test_patience_aligns_moved_and_repeated_lines():
-    assert line_dedup.patience(list("abcde"), list("abXde")) == [(0, 0), (1, 1), (3, 3), (4, 4)]
-    rng = random.Random(4)
-    for _ in range(200):
-        a, b = ([rng.choice("abcdefgh") for _ in range(rng.randrange(12))] for _ in range(2))
-        got = line_dedup.patience(a, b)
-        assert all(a[i] == b[j] for i, j in got)
-        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:], strict=False))
-    values = [rng.randrange(50) for _ in range(200)]
-    best = [1] * len(values)
-    for i in range(len(values)):
-        best[i] += max((best[j] for j in range(i) if values[j] < values[i]), default=0)
-    assert len(line_dedup.longest_rising(values)) == max(best)
-
-
-def brute_lines(rows, least_words):
-    """All pairs of a document and the earliest holder of one of its lines, aligned one by one."""
-    lines = {i: line_dedup.filled_lines(t) for i, t in rows}
-    holders = collections.defaultdict(set)
-    for i, own in lines.items():
-        for x in own:
-            holders[x].add(i)
-    shared = {i: [(p, x, len(x.split())) for p, x in enumerate(own) if len(holders[x]) > 1] for i, own in lines.items()}
-    once = {i: {x for x, n in collections.Counter(own).items() if n == 1} for i, own in lines.items()}
-    gone = {}
-    for y, t in rows:
-        partners = {min(holders[x]) for x in once[y] if len(holders[x]) > 1 and min(holders[x]) < y and x in once[min(holders[x])]}
-        cut = {p for x in partners for lo, hi in line_dedup.common_blocks(shared[x], shared[y], least_words) for p in range(lo, hi)}
-        gone[y] = len(cut)
-    return gone
-
-
-def test_line_dedup(docs, empty):
-    rows = sorted((r.doc_id, (r.text or "").encode()) for r in docs.collect())
-    got = {r.doc_id: r for r in line_dedup.line_dedup(docs).collect()}
-    assert {i: r.n_removed for i, r in got.items()} == brute_lines(rows, 5)
-    assert sum(r.n_removed for r in got.values()) > 0
-    texts = dict(rows)
-    for i, r in got.items():
-        assert r.n_lines == len(line_dedup.filled_lines(texts[i]))
-        assert len(line_dedup.filled_lines(r.kept.encode())) == r.n_lines - r.n_removed
-        assert r.n_removed or r.kept.encode() == texts[i]
-    assert line_dedup.line_dedup(empty).count() == 0
-
-
-def test_line_dedup_seeds_on_repeated_and_on_short_lines(spark):
-    block = ["a b", "c d", "e f"]
-    rows = [
-        "first of all lines here\nmiddle one here\nfirst of all lines here",  # repeats its long line
-        "something else to begin\nfirst of all lines here",  # the line once
-        "x y z x y\nx y z x y\np q r s t\np q r s t",  # every line twice
-        "x y z x y\nx y z x y\np q r s t\np q r s t",
-        "a b\nlone words",  # short lines alone, in other documents than the block
-        "c d\nlone others",
-        "e f\nlone more",
-        "\n".join(["head of seven", *block, "tail of seven"]),
-        "\n".join(["head of eight", *block, "tail of eight"]),
-    ]
-    d = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
-    got = {r.doc_id: r.n_removed for r in line_dedup.line_dedup(d).collect()}
-    # Patience diff against every earlier document, without any seeds.
-    whole = [[(p, x, len(x.split())) for p, x in enumerate(line_dedup.filled_lines(t.encode()))] for t in rows]
-    want = {y: len({p for x in range(y) for lo, hi in line_dedup.common_blocks(whole[x], whole[y], 5) for p in range(lo, hi)}) for y in range(len(rows))}
-    assert got == want and want[1] == 1 and want[3] == 4 and want[8] == 3
-
-
 def brute_tiles(test, doc, least):
     """Greedy string tiling by looking at every pair of positions, longest run first."""
     free_t, free_d, tiles = [True] * len(test), [t >= 0 for t in doc], []

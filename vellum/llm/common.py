@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -24,9 +25,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set only where unset."""
+    """The folder that driver and executors share. Where it is unset, a local session gets one of its
+    own; on a cluster that is an error, since executors would write to their own disks."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="vellum-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -102,6 +106,12 @@ def id_values(batch: pa.RecordBatch, name: str = "doc_id") -> np.ndarray:
     return pc.fill_null(long_column(batch, name), -(2**63)).to_numpy(zero_copy_only=False)
 
 
+def schema_with(carried: StructField, before: str, after: str) -> StructType:
+    """Columns by DDL around a carried struct, whose own columns may have any names."""
+    fields = lambda ddl: StructType.fromDDL(ddl).fields if ddl else []
+    return StructType([*fields(before), carried, *fields(after)])
+
+
 def carrying(docs: DataFrame, keep: list[str]) -> DataFrame:
     """(text, carried): the text, and the columns to keep in a struct, so that no name can clash."""
     carried = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None).cast("int")

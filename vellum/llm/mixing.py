@@ -38,7 +38,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import carried_columns, carrying, staged
+from vellum.llm.common import carried_columns, carrying, schema_with, staged
 from vellum.llm.terms import Vocabulary, labelled_sample, lower_texts, telling_terms
 
 DOMAINS = ("high", "low", "toxic")
@@ -126,7 +126,7 @@ def with_posteriors(docs: DataFrame, model: DomainModel, keep: list[str]) -> Dat
             arrays = [batch.column("carried"), pa.array(tokens, pa.int64()), pa.array(p, pa.list_(pa.float64())), pa.array(draw, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=["carried", "tokens", "p", "draw"])
 
-    return rows.mapInArrow(run, f"carried {rows.schema['carried'].dataType.simpleString()}, tokens bigint, p array<double>, draw bigint")
+    return rows.mapInArrow(run, schema_with(rows.schema["carried"], "", "tokens bigint, p array<double>, draw bigint"))
 
 
 def fold_rates(p: np.ndarray, steps: list[np.ndarray], l2: float, ahead: bool = False) -> np.ndarray:
@@ -201,7 +201,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGE
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(fold_rates(p, steps, l2))], names=["carried", "tokens", "draw", *made[1:-1]])
 
     made = ["tokens", *(f"p_{d}" for d in DOMAINS), "rate", "copies"]
-    out = rows.mapInArrow(rate, f"carried {rows.schema['carried'].dataType.simpleString()}, tokens bigint, draw bigint, " + ", ".join(f"{c} double" for c in made[1:-1]))
+    out = rows.mapInArrow(rate, schema_with(rows.schema["carried"], "", "tokens bigint, draw bigint, " + ", ".join(f"{c} double" for c in made[1:-1])))
     whole = F.floor("rate")
     copies = (whole + (F.col("draw") / float(1 << 20) < F.col("rate") - whole).cast("int")).cast("int")
     return out.withColumn("copies", copies).select(*carried_columns(keep, made), *made)

@@ -30,7 +30,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.llm.common import staged, texts
@@ -182,6 +182,17 @@ def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[np.r_[0, cut]], reach[np.r_[cut - 1, len(lo) - 1]]
 
 
+def numbered(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Distinct rows with their number in the order of these columns: a sort over ranges, then each
+    range's start from the counts of those before it (a row per range)."""
+    place = F.monotonically_increasing_id()  # 33 bits within the partition, the partition above them
+    ranges = staged(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("place", place), "ranges")
+    ranges = ranges.select(*by, F.shiftright("place", 33).alias("range"), F.col("place").bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
+    before = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return staged(ranges.join(starts, "range").select(*by, (F.col("start") + F.col("place")).alias("number")), "numbers")
+
+
 def unique_rows(docs: DataFrame, carry: Sequence[str] = (), text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """Rows (doc, text) with a doc of their own, in the order of doc_id (null first), and
     what joins spans per doc to every input row: (id, text, carried, spans).
@@ -190,14 +201,13 @@ def unique_rows(docs: DataFrame, carry: Sequence[str] = (), text: str = "text",
     numbered in the order of doc_id and a hash of the text. carried is a struct of the
     columns to carry, or null.
     """
-    carried = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("int")
+    carried = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("int")
     each = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("doc"), F.col(text).cast("string").alias("text"), carried.alias("carried"))
     rows = each.select("doc", "text")
     if rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         return rows, lambda spans: each.join(spans.hint("shuffle_hash"), "doc", "left").withColumnRenamed("doc", "id")
     keyed = staged(each.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))), "repeated_ids")
-    order = keyed.select("doc", "h").distinct().sort("doc", "h").rdd.zipWithIndex().map(lambda r: (r[0][0], r[0][1], r[1]))
-    number = staged(docs.sparkSession.createDataFrame(order, "doc bigint, h bigint, number bigint"), "numbers")
+    number = numbered(keyed.select("doc", "h").distinct(), ["doc", "h"])
     one = keyed.dropDuplicates(["doc", "h"]).join(number, ["doc", "h"]).select(F.col("number").alias("doc"), "text")
 
     def with_spans(spans: DataFrame) -> DataFrame:

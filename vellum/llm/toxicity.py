@@ -35,7 +35,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import carrying, staged
+from vellum.llm.common import carrying, schema_with, staged
 from vellum.llm.terms import Vocabulary, labelled_sample, lower_texts, telling_terms
 
 BLOCK = 128
@@ -178,7 +178,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str] | None
             near = pa.array([e for _, e in got], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("carried"), score, said, near], names=["carried", "score", "predicted", "evidence"])
 
-    return rows.mapInArrow(run, f"carried {rows.schema['carried'].dataType.simpleString()}, score double, predicted int, evidence bigint")
+    return rows.mapInArrow(run, schema_with(rows.schema["carried"], "", "score double, predicted int, evidence bigint"))
 
 
 #: Labels of these rows are learnt from; the others are held out.
