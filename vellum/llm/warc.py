@@ -233,12 +233,18 @@ def _reader(folder: str, with_payload: bool):
     return run
 
 
-def read_warc(spark: SparkSession, manifest: DataFrame, folder: str, split_bytes: int = 4 << 20, with_payload: bool = False) -> DataFrame:
-    """Read the archives of a manifest by byte ranges of split_bytes."""
+def read_warc(spark: SparkSession, manifest: DataFrame, folder: str, split_bytes: int = 4 << 20, with_payload: bool = False, most_tasks: int = 10_000) -> DataFrame:
+    """Read the archives of a manifest by byte ranges of split_bytes, a task a range (most_tasks at most).
+
+    The number of tasks is explicit: rows of ranges are a few bytes, and Spark would put them all into one.
+    """
     ranges = manifest.select("archive", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start")).select(
         "archive", "start", F.least(F.col("start") + split_bytes, F.col("bytes")).alias("end")
     )
-    return ranges.repartition("archive", "start").mapInArrow(_reader(_uri(folder), with_payload), _RECORD)
+    count = manifest.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 0
+    tasks = int(min(max(count, 1), most_tasks))
+    # Rows take turns: a hash would give some tasks several ranges and leave others idle.
+    return ranges.repartition(tasks).mapInArrow(_reader(_uri(folder), with_payload), _RECORD)
 
 
 def warc_round_trip(pages: DataFrame, split_bytes: int = 4 << 20) -> DataFrame:
