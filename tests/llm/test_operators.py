@@ -437,6 +437,18 @@ def test_warc_round_trip(spark):
     assert warc.warc_round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_ranges_go_to_a_task_each(spark, tmp_path):
+    rows = [(i, f"https://example.org/{i}", hashlib.sha256(str(i).encode()).hexdigest() * 60) for i in range(300)]
+    folder = f"{tmp_path}/warc"
+    manifest = warc.write_warc(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3), folder)
+    ranges = sum(-(-r.bytes // 4096) for r in manifest.collect())
+    got = warc.read_warc(spark, manifest, folder, split_bytes=4096)
+    tasks = got.withColumn("task", F.spark_partition_id()).groupBy("task").count().count()
+    assert ranges > 5 and got.rdd.getNumPartitions() == ranges and tasks > ranges / 2
+    assert sorted(r.page_id for r in got.collect()) == list(range(300))
+    assert warc.read_warc(spark, manifest, folder, split_bytes=4096, most_tasks=2).rdd.getNumPartitions() == 2
+
+
 def test_warc_repeated_rows(spark):
     big = "x" * 1000
     rows = [(4, "u", big), (4, "u", big), (2, "u", big), (2, "u", big), (None, "u", big), (1, "u", "x" * 999), (0, "u", "x" * 999)]
@@ -537,21 +549,72 @@ def test_vocabulary_finds_the_chosen_terms():
 
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(1)
-    vectors = []
-    for _ in range(700):
-        terms = np.sort(rng.choice(60, rng.integers(1, 12), replace=False))
-        w = rng.random(len(terms))
-        vectors.append((terms, w / np.linalg.norm(w)))
-    index = toxicity.BlockMaxIndex(vectors, [0] * 700, list(range(700)), 60)
     dense = np.zeros((700, 60))
-    for i, (t, w) in enumerate(vectors):
-        dense[i, t] = w
+    for i in range(700):
+        terms = rng.choice(60, rng.integers(1, 12), replace=False)
+        dense[i, terms] = rng.random(len(terms)) ** 4
+        dense[i] /= np.linalg.norm(dense[i])
+    example, term = np.nonzero(dense)
+    mixed = rng.permutation(len(example))
+    index = toxicity.BlockMaxIndex(example[mixed], term[mixed], dense[example, term][mixed], 700, 60, block=32)
+    read = []
+    scores = index.block_scores
+    index.block_scores = lambda *x: read.append(1) or scores(*x)
     for i in range(0, 700, 7):
-        terms, w = vectors[i]
-        at, sims = index.nearest(terms, w, 10)
+        terms = np.flatnonzero(dense[i])
         exact = dense @ dense[i]
-        kth = np.sort(exact)[-10]
-        assert set(at) == set(np.flatnonzero(exact >= kth - 1e-9)) and np.allclose(sims, exact[at])
+        for but in (-1, i):
+            rest = exact if but < 0 else np.where(np.arange(700) == i, 0.0, exact)
+            at, sims = index.nearest(terms, dense[i, terms], 10, but)
+            kth = np.sort(rest)[-10]
+            assert set(at) == set(np.flatnonzero((rest >= kth - 1e-9) & (rest > 0))) and np.allclose(sims, exact[at])
+    assert len(read) < 0.9 * 200 * index.blocks  # blocks are left out
+
+
+def test_toxicity_model_is_tf_idf_over_all_words(spark):
+    rows, labels = toxic_rows(300, seed=5)
+    rows.append((20_000, "Word1 word1, word1! (word2) unheard-of"))
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = toxicity.fit_toxicity(d, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    truth = {i: t for i, _, t in labels}
+    bags = {i: collections.Counter(w.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for w in t.lower().split()) for i, t in rows if t}
+    n, ones = len(truth), sum(truth.values())
+    df = collections.Counter(w for i in truth for w in bags[i])
+    df1 = collections.Counter(w for i in truth if truth[i] for w in bags[i])
+    assert set(model.known) == {w.encode() for w in df}
+
+    def vector(bag):
+        v = {}
+        for w, tf in bag.items():
+            if w in df:
+                a, b, c = df1[w], df[w] - df1[w], ones - df1[w]
+                e = n - a - b - c
+                spread = (a + b) * (c + e) * (a + c) * (b + e)
+                phi = abs(a * e - b * c) / spread**0.5 if spread else 0.0
+                v[w] = (1 + np.log(tf)) * (np.log((1 + n) / (1 + df[w])) + 1) * (phi + 0.001)
+        size = sum(x * x for x in v.values()) ** 0.5
+        return {w: x / size for w, x in v.items()}
+
+    vectors = {i: vector(bags[i]) for i in truth}
+    for i in [*range(0, 300, 30), 20_000]:
+        own = vector(bags[i])
+        cosines = sorted(((sum(x * vectors[j].get(w, 0.0) for w, x in own.items()), j) for j in truth), reverse=True)
+        terms, w = model.vector(dict(rows)[i].lower().encode())
+        at, sims = model.index.nearest(terms, w, 15)
+        assert np.allclose(np.sort(sims)[::-1][:15], [c for c, _ in cosines[:15]])
+        assert {int(model.ids[x]) for x in at} >= {j for c, j in cosines[:15] if c > cosines[14][0] + 1e-9}
+
+
+def test_the_labelled_sample_is_bounded_by_rows_and_bytes(spark):
+    many = spark.range(50_000).selectExpr("7L AS doc_id", "concat('text ', id) AS text")
+    same = spark.range(50_000).selectExpr("8L AS doc_id", "'one text' AS text")
+    labels = spark.createDataFrame([(7, 1, 1), (8, 1, 0), (8, 0, 1), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
+    sample = terms.labelled_sample(many.unionAll(same), labels, "toxic", 2000)
+    assert 1500 < sample.count() < 2500 and sample.where("doc_id = 8").count() <= 1
+    assert terms.labelled_sample(same, labels, "toxic", 2000).collect()[0].label == 1
+    small = terms.labelled_sample(many, labels, "toxic", 2000, bound_bytes=5000).agg(F.sum(F.length("text"))).first()[0]
+    assert 1500 < small < 10_000
+    assert terms.labelled_sample(many, labels, "toxic", 2000, longest=6).count() == 10
 
 
 def test_mixing_meets_its_targets(spark):

@@ -93,19 +93,19 @@ class DomainModel:
         self.weights = w.astype(float)
 
 
-def fit_domains(docs: DataFrame, labels: DataFrame, domain: str = DOMAIN_SQL, classes: int = len(DOMAINS), examples: int = 6000, features: int = 600) -> DomainModel:
-    """Fit on about `examples` labelled rows at most; domain: SQL over labels for the class number."""
-    sample = staged(labelled_sample(docs, labels, domain, examples), "domain_sample")
+def fit_domains(docs: DataFrame, labels: DataFrame, domain: str = DOMAIN_SQL, classes: int = len(DOMAINS), examples: int = 6000, sample_bytes: int = 32 << 20, features: int = 600) -> DomainModel:
+    """Fit on about `examples` labelled rows and `sample_bytes` of text at most; domain: SQL over labels for the class number."""
+    sample = labelled_sample(docs, labels, domain, examples, sample_bytes)
     chosen, _ = telling_terms(sample, classes, features, shape=True)
     model = DomainModel([t for t, _ in chosen], classes)
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [model.vocabulary.numbers(t) for t in lower_texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, pa.list_(pa.int64())), batch.column("label")], names=["doc_id", "numbers", "label"])
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(got, pa.list_(pa.int64())), batch.column("label")], names=["h", "numbers", "label"])
 
-    got = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label").mapInArrow(numbers, "doc_id bigint, numbers array<bigint>, label int").collect()
-    model.fit([(r["numbers"], r["label"]) for r in sorted(got, key=lambda r: r["doc_id"])])
+    got = sample.select("h", "text", "label").mapInArrow(numbers, "h bigint, numbers array<bigint>, label int").collect()
+    model.fit([(r["numbers"], r["label"]) for r in sorted(got, key=lambda r: r["h"])])
     return model
 
 

@@ -3,7 +3,7 @@
 Terms are lower-cased words without ASCII punctuation at their ends, and the starts
 of words (insults of one family share them), each at several counts: that a start
 turns up five times says more than that it turns up once. Document frequencies are counted per class with Spark over a sample of
-labelled rows whose expected size is bounded by a parameter; the table of chosen
+labelled rows whose expected number and bytes are bounded by parameters; the table of chosen
 terms is bounded by another.
 """
 
@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import array_texts
+from vellum.llm.common import array_texts, staged
 
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -65,18 +65,25 @@ def lower_texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[bytes]:
     return array_texts(batch.column(column), pc.utf8_lower)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, keep: str = "true") -> DataFrame:
-    """About `bound` rows (doc_id, text, label) at most, chosen by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, bound_bytes: int = 32 << 20, keep: str = "true", longest: int = 1 << 20) -> DataFrame:
+    """About `bound` rows (doc_id, text, label, h) and `bound_bytes` of text at most, as a table.
 
-    label: SQL for the class. Rows of labels with the same doc_id count once, as the
-    largest class among them.
+    Ids are chosen by a hash of the id, rows by a hash of id and text (h), after counting each:
+    an id may have many rows. Equal rows of an id count once; texts of over `longest`
+    characters are no examples. label: SQL for the class. Rows of labels with the same doc_id
+    count once, as the largest class among them.
     """
-    said = labels.withColumn("label", F.expr(label).cast("int")).where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label")).where(keep)
+    said = labels.withColumn("label", F.expr(label).cast("int")).where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("label").alias("label")).where(keep)
     n = said.count()
+    below = lambda h, share: F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30))
     if n > bound:
-        said = said.where(F.pmod(F.xxhash64(F.lit(17), F.col("doc_id")), F.lit(1 << 30)) < int(bound / n * (1 << 30)))
+        said = said.where(below(F.xxhash64(F.lit(17), F.col("doc_id")), bound / n))
     # `bound` rows of an id and a label: small enough to broadcast at any size of input.
-    return docs.select("doc_id", "text").join(F.broadcast(said), "doc_id").repartition("doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.length("text") <= longest).join(F.broadcast(said), "doc_id")
+    rows = staged(rows.withColumn("h", F.xxhash64("doc_id", "text")).dropDuplicates(["doc_id", "h"]), "labelled_rows")
+    n, size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    share = min(1.0, 1.05 * bound / max(1, n), bound_bytes / max(1, size or 0))
+    return rows if share >= 1 else staged(rows.where(below(F.xxhash64(F.lit(18), F.col("h")), share)), "labelled_sample")
 
 
 def _frequencies(shape: bool):

@@ -1,19 +1,22 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Examples are a bounded sample of the labelled rows (`examples`, a parameter of
-the fit). Their terms are the most telling ones of the sample (`features`).
-Each example is a unit TF-IDF vector; the inverted index keeps, for each term, its
-postings by blocks of examples and the largest weight in each block. A query adds
-up block maxima into an upper bound of its cosine with any example of a block,
-visits blocks by falling bound, and stops at the first block whose bound is below
-the k-th best cosine. No example above that cosine can be missed: the search is
-exact, and tests hold it against brute force.
+Examples are a bounded sample of the labelled rows (`examples` and `sample_bytes`, parameters of
+the fit). Their terms are all their words: lower-cased, without ASCII punctuation at the
+ends. A term's weight in a text is (1 + ln tf) x idf x (phi + 0.001), where phi, from 0 to 1,
+is the correlation of the term with the label over the sample: words that tell the
+classes apart weigh most, and no word is dropped. Each example is a unit vector.
+
+Search. The inverted index keeps, for each term, its postings by blocks of examples and the
+largest weight in each block. A query adds up block maxima into an upper bound of its
+cosine with any example of a block, visits blocks by falling bound, and stops at the first
+block whose bound is below the k-th best cosine. No example above that cosine can be
+missed: the search is exact, and tests hold it against brute force.
 
 Score: the votes of the k nearest, weighted by 1 / (distance + 0.1); examples
 tied with the k-th share the places left, so the order of examples decides
-nothing. The vote is calibrated by the sample's own outcome: examples are scored
+nothing. The vote is calibrated by the sample's own outcome: each example is scored
 against all others, votes are put into bins, and a bin's score is its labelled rate
-(made monotone by pooling). A text without any telling term has no direction; its
+(made monotone by pooling). A text without any known word has no direction; its
 score is the labelled rate of such examples. Evidence: nearest example's doc_id.
 
 All documents are scored in one pass without a shuffle; the index is of bounded
@@ -21,12 +24,14 @@ size and travels as a Spark broadcast.
 
 Edge cases: null and empty texts have no terms; repeated rows get equal scores; a
 null doc_id hashes as 0, so it is held out; without labelled rows all scores are
-0; label rows that repeat an id count once; other columns are ignored.
+0; label rows that repeat an id count once, and so do equal rows of an id; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,45 +41,75 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import carrying, schema_with, staged
-from vellum.llm.terms import Vocabulary, labelled_sample, lower_texts, telling_terms
+from vellum.llm.terms import PUNCTUATION, labelled_sample, lower_texts
 
-BLOCK = 128
+BLOCK = 512
 BINS = 20
+#: Weight of a term that doesn't depend on the label, where 1 is a term that decides it.
+FLOOR = 1e-3
+
+
+def words_of(text: bytes) -> dict[bytes, int]:
+    """Counts of the words of a lower-cased text, without punctuation at their ends."""
+    counts: dict[bytes, int] = {}
+    for raw, n in Counter(text.split()).items():
+        word = raw.strip(PUNCTUATION)
+        if word:
+            counts[word] = counts.get(word, 0) + n
+    return counts
 
 
 class BlockMaxIndex:
     """Inverted index over unit vectors with the largest weight of each term in each block."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[int], ids: list[int], features: int) -> None:
-        self.labels, self.ids = np.array(labels, float), np.array(ids, np.int64)
+    def __init__(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, examples: int, terms: int, block: int = BLOCK) -> None:
+        """Entries (example, term, weight), each pair once."""
+        self.examples, self.block = examples, block
+        self.blocks = max(1, -(-examples // block))
         # Similar examples share a block, so that block maxima are tight: order by strongest term.
-        self.blocks = max(1, -(-len(vectors) // BLOCK))
-        self.maxima = np.zeros((features, self.blocks))
-        post: dict[tuple[int, int], tuple[list[int], list[float]]] = {}
-        for i, (terms, w) in enumerate(vectors):
-            b = i // BLOCK
-            for t, x in zip(terms.tolist(), w.tolist(), strict=True):
-                at = post.setdefault((b, t), ([], []))
-                at[0].append(i % BLOCK)
-                at[1].append(x)
-                self.maxima[t, b] = max(self.maxima[t, b], x)
-        self.postings = {k: (np.array(i), np.array(x)) for k, (i, x) in post.items()}
+        by = np.lexsort((term, -weight, example))
+        lead = by[np.r_[True, example[by][1:] != example[by][:-1]]] if len(by) else by
+        first = np.full(examples, terms, np.int64)
+        first[example[lead]] = term[lead]
+        self.order = np.argsort(first, kind="stable")  # place -> example
+        place = np.empty(examples, np.int64)
+        place[self.order] = np.arange(examples)
+        at = place[example]
+        by = np.lexsort((at, term))
+        key = term[by] * self.blocks + at[by] // block
+        self.at, self.weight = (at[by] % block).astype(np.int32), weight[by].astype(np.float64)
+        self.starts = np.zeros(terms * self.blocks + 1, np.int32)
+        np.cumsum(np.bincount(key, minlength=terms * self.blocks), out=self.starts[1:])
+        self.maxima = np.zeros((terms, self.blocks), np.float32)
+        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else key
+        if len(key):
+            # Rounded up: a bound must not fall below the weight.
+            self.maxima.ravel()[key[new]] = np.maximum.reduceat(self.weight, new) * (1 + 1e-6)
+
+    def block_scores(self, terms: np.ndarray, w: np.ndarray, b: int) -> np.ndarray:
+        """Cosines with all examples of a block."""
+        cell = terms * self.blocks + b
+        start = self.starts[cell]
+        n = self.starts[cell + 1] - start
+        ends = np.cumsum(n)
+        entry = np.arange(ends[-1]) + np.repeat(start - (ends - n), n)
+        return np.bincount(self.at[entry], np.repeat(w, n) * self.weight[entry], min(self.block, self.examples - b * self.block))
 
     def nearest(self, terms: np.ndarray, w: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """All examples whose cosine is at least the k-th best, and their cosines (`but` left out)."""
+        """All examples whose cosine is at least the k-th best, and their cosines (the example `but` left out)."""
         bound = w @ self.maxima[terms]
         found, sims, kth = [], [], 0.0
         for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or bound[b] < kth - 1e-9:
+            if bound[b] <= 0 or bound[b] < kth - 1e-6:
                 break
-            scores = np.zeros(min(BLOCK, len(self.labels) - b * BLOCK))
-            for t, x in zip(terms.tolist(), w.tolist(), strict=True):
-                if (p := self.postings.get((b, t))) is not None:
-                    scores[p[0]] += x * p[1]
-            if 0 <= but - b * BLOCK < len(scores):
-                scores[but - b * BLOCK] = 0.0
-            hit = np.flatnonzero(scores > 0)
-            found.append(hit + b * BLOCK)
+            scores = self.block_scores(terms, w, b)
+            hit = np.flatnonzero((scores > 0) & (scores >= kth - 1e-9))
+            own = self.order[hit + b * self.block]
+            if but >= 0:
+                hit, own = hit[own != but], own[own != but]
+            if not len(hit):
+                continue
+            found.append(own)
             sims.append(scores[hit])
             have = np.concatenate(sims)
             if len(have) >= k:
@@ -85,82 +120,112 @@ class BlockMaxIndex:
         near = have >= kth - 1e-9
         return found[near], have[near]
 
-    def vote(self, terms: np.ndarray, w: np.ndarray, k: int, but: int = -1) -> tuple[float, int | None]:
-        """Distance-weighted share of label 1 among the k nearest; ties share the last places."""
-        at, sims = self.nearest(terms, w, k, but)
+
+class ToxicityModel:
+    """Vocabulary, weights, index and calibration; small enough to broadcast by its parameters."""
+
+    def __init__(self, terms: list[list[bytes]] | pa.ChunkedArray, counts: pa.ChunkedArray | list[list[int]], labels: list[int], ids: list[int], k: int) -> None:
+        terms, counts = (pa.array(x, pa.list_(t)) if isinstance(x, list) else x.combine_chunks() for x, t in ((terms, pa.binary()), (counts, pa.int32())))
+        self.labels, self.ids, self.k = np.array(labels, float), np.array(ids, np.int64), k
+        coded = terms.flatten().dictionary_encode()
+        term = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.known = {t: i for i, t in enumerate(coded.dictionary.to_pylist())}
+        self.raw: dict[bytes, int] = {}
+        n, rows = len(self.known), len(labels)
+        sizes = np.diff(terms.offsets.to_numpy())
+        example = np.repeat(np.arange(rows), sizes)
+        df, df1 = np.bincount(term, minlength=n), np.bincount(term, self.labels[example], n)
+        ones = self.labels.sum()
+        # Phi of the 2 x 2 table of term and label.
+        spread = df * (rows - df) * ones * (rows - ones)
+        phi = np.abs(rows * df1 - df * ones) / np.sqrt(np.where(spread > 0, spread, np.inf))
+        self.weights = (np.log((1 + rows) / (1 + df)) + 1) * (phi + FLOOR)
+        w = self.weights[term] * (1 + np.log(counts.flatten().to_numpy(zero_copy_only=False).astype(float)))
+        norm = np.sqrt(np.bincount(example, w * w, rows))
+        self.index = BlockMaxIndex(example, term, w / norm[example], rows, n)
+        empty = sizes == 0
+        self.none = float((self.labels[empty].sum() + 0.5 * (ones / rows)) / (empty.sum() + 0.5)) if rows else 0.0
+        self.bins = [0.0] * BINS
+
+    def vector(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Unit vector of a lower-cased text over the known words: term numbers and weights."""
+        counts: dict[int, int] = {}
+        raw, known = self.raw, self.known
+        for word, n in Counter(text.split()).items():
+            at = raw.get(word)
+            if at is None:
+                at = known.get(word.strip(PUNCTUATION), -1)
+                if len(raw) < 100_000:  # a cache, bounded
+                    raw[word] = at
+            if at >= 0:
+                counts[at] = counts.get(at, 0) + n
+        terms = np.fromiter(counts, np.int64, len(counts))
+        w = self.weights[terms] * (1 + np.log(np.fromiter(counts.values(), float, len(counts))))
+        return terms, w / math.sqrt(float(w @ w)) if len(terms) else w
+
+    def vote(self, text: bytes, but: int = -1) -> tuple[float, int | None]:
+        """Distance-weighted share of label 1 among the k nearest examples, and the nearest one's id; nan without any.
+
+        Examples that tie with the k-th share the places left.
+        """
+        terms, w = self.vector(text)
+        at, sims = self.index.nearest(terms, w, self.k, but) if len(terms) else ((), ())
         if not len(at):
             return math.nan, None
         kth = float(np.min(sims))
         sure = sims > kth + 1e-9
-        share = np.where(sure, 1.0, min(1.0, max(0.0, k - sure.sum()) / max(1, (~sure).sum())))
+        share = np.where(sure, 1.0, min(1.0, max(0.0, self.k - sure.sum()) / max(1, (~sure).sum())))
         weight = share / (1.0 - np.minimum(sims, 1.0) + 0.1)
         best = at[sims >= sims.max() - 1e-9]
         return float((weight @ self.labels[at]) / weight.sum()), int(self.ids[best].min())
 
-
-class ToxicityModel:
-    """Vocabulary, index and calibration; small enough to broadcast by its parameters."""
-
-    def __init__(self, chosen: list[bytes], df: list[int], rows: int, k: int) -> None:
-        self.vocabulary = Vocabulary(chosen)
-        self.idf = np.array([math.log((1 + rows) / (1 + n)) + 1 for n in df])
-        self.k, self.index, self.bins, self.none = k, None, [0.0] * BINS, 0.0
-
-    def vector(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Unit TF-IDF vector of a lower-cased text: sorted term numbers and weights."""
-        terms = np.array(self.vocabulary.numbers(text), np.int64)
-        w = self.idf[terms]
-        return terms, w / math.sqrt(float(w @ w)) if len(terms) else w
-
-    def fit(self, examples: list[tuple[int, list[int], list[float], int]]) -> None:
-        """examples: doc_id, term numbers, weights, label."""
-        empty = [e[3] for e in examples if not e[1]]
-        full = sorted((e for e in examples if e[1]), key=lambda e: (e[1][int(np.argmax(e[2]))], e[1], e[2], e[3], e[0]))
-        every = [e[3] for e in examples]
-        self.none = (sum(empty) + 0.5 * (sum(every) / max(1, len(every)))) / (len(empty) + 0.5) if every else 0.0
-        vectors = [(np.array(e[1], np.int64), np.array(e[2])) for e in full]
-        self.index = BlockMaxIndex(vectors, [e[3] for e in full], [e[0] for e in full], len(self.idf))
-        # Calibration: every so many-th example against all others; equal votes have equal scores.
-        votes = [(self.index.vote(t, w, self.k, but=i)[0], self.index.labels[i]) for i, (t, w) in list(enumerate(vectors))[:: max(1, len(vectors) // 3000)]]
+    def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
+        """Bins of equal width; their labelled rates, pooled until they rise."""
         pools: list[list[float]] = []
+        of = np.minimum(BINS - 1, (votes * BINS).astype(int))
         for b in range(BINS):
-            own = [y for v, y in votes if not math.isnan(v) and min(BINS - 1, int(v * BINS)) == b]
-            pools.append([sum(own) + (b + 0.5) / BINS, len(own) + 1.0, 1.0])
+            own = labels[of == b]
+            pools.append([float(own.sum()) + (b + 0.5) / BINS, len(own) + 1.0, 1.0])
             while len(pools) > 1 and pools[-2][0] / pools[-2][1] > pools[-1][0] / pools[-1][1]:
                 last = pools.pop()
                 pools[-1] = [x + y for x, y in zip(pools[-1], last, strict=True)]
         self.bins = [s / n for s, n, width in pools for _ in range(int(width))]
 
     def score(self, text: bytes) -> tuple[float, int | None]:
-        terms, w = self.vector(text)
-        if not len(terms) or self.index is None:
-            return self.none, None
-        vote, nearest = self.index.vote(terms, w, self.k)
+        vote, nearest = self.vote(text)
         if nearest is None:
             return self.none, None
         return self.bins[min(BINS - 1, int(vote * BINS))], nearest
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = 6000, features: int = 400, k: int = 15, keep: str = "true") -> ToxicityModel:
-    """Fit on about `examples` labelled rows at most (keep: SQL filter of their doc_id)."""
-    sample = staged(labelled_sample(docs, labels, label, examples, keep), "labelled_sample")
-    chosen, rows = telling_terms(sample, 2, features)
-    model = ToxicityModel([t for t, _ in chosen], [sum(df) for _, df in chosen], sum(rows), k)
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        got = [words_of(t) for t in lower_texts(batch)]
+        arrays = [batch.column("doc_id"), batch.column("h"), batch.column("label"), pa.array([list(c) for c in got], pa.list_(pa.binary())), pa.array([list(c.values()) for c in got], pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "h", "label", "terms", "counts"])
+
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = 6000, sample_bytes: int = 32 << 20, k: int = 15, keep: str = "true") -> ToxicityModel:
+    """Fit on about `examples` labelled rows and `sample_bytes` of text at most (keep: SQL filter of their doc_id)."""
+    sample = labelled_sample(docs, labels, label, examples, sample_bytes, keep)
+    got = sample.mapInArrow(_counted, "doc_id bigint, h bigint, label int, terms array<binary>, counts array<int>").toArrow().sort_by([("doc_id", "ascending"), ("h", "ascending")])
+    model = ToxicityModel(got["terms"], got["counts"], got["label"].to_pylist(), got["doc_id"].to_pylist(), k)
+    if not len(got):
+        return model
+    # Each example against all others, in tasks.
+    number = {key: i for i, key in enumerate(zip(got["doc_id"].to_pylist(), got["h"].to_pylist(), strict=True))}
+    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps((model, number)))
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, places = cloudpickle.loads(shared.value)
         for batch in batches:
-            got = [model.vector(t) for t in lower_texts(batch)]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column("doc_id"),
-                    "terms": pa.array([t.tolist() for t, _ in got], pa.list_(pa.int64())),
-                    "weights": pa.array([w.tolist() for _, w in got], pa.list_(pa.float64())),
-                    "label": batch.column("label"),
-                }
-            )
-
-    rows = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label").mapInArrow(vectors, "doc_id bigint, terms array<bigint>, weights array<double>, label int").collect()
-    model.fit([(r["doc_id"], r["terms"], r["weights"], r["label"]) for r in sorted(rows, key=lambda r: r["doc_id"])])
+            keys = zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), strict=True)
+            said = [own.vote(t, but=places[key])[0] for key, t in zip(keys, lower_texts(batch), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(said, pa.float64()), batch.column("label")], names=["vote", "label"])
+
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    said = sample.repartition(min(tasks, 64)).mapInArrow(votes, "vote double, label int").where(~F.isnan("vote")).toArrow()
+    model.calibrate(said["vote"].to_numpy(), said["label"].to_numpy())
     return model
 
 
