@@ -1,18 +1,17 @@
 """Order-dependent geometry as grouped Arrow-backed pandas functions, one page a group.
 
-A page holds some thousands of words at most, so a group is small by nature.
+A page holds a bounded number of boxes and words, so a group is small. Vectors go in blocks.
 """
 
 from __future__ import annotations
 
-import hashlib
-import hmac
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql import functions as F
 
 
 def keep_best(page: pd.DataFrame, limit: float = 0.1) -> pd.DataFrame:
@@ -87,12 +86,50 @@ def per_page(boxes: DataFrame, kernel, schema: str) -> DataFrame:
     return boxes.groupBy("page").applyInPandas(lambda page: kernel(page), schema)
 
 
-def signature(message: Column, secret: str) -> Column:
-    """Hex HMAC-SHA256 of a text; Spark has the hash but not the keyed form."""
+def hmac_pads(secret: str) -> tuple[bytes, bytes]:
+    """The inner and outer padded keys of HMAC-SHA256 for a secret of 64 bytes at most."""
+    key = secret.encode().ljust(64, b"\0")
+    return bytes(b ^ 0x36 for b in key), bytes(b ^ 0x5C for b in key)
 
-    @pandas_udf("string")
-    def sign(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda m: None if m is None else hmac.new(secret.encode(), m.encode(), hashlib.sha256).hexdigest())
 
-    return sign(message)
+def signature(message: Column, secret: str) -> Column:
+    """Hex HMAC-SHA256 of a text: two nested SHA-256 over padded keys, within the JVM."""
+    inner, outer = (F.unhex(F.lit(pad.hex())) for pad in hmac_pads(secret))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(message, "UTF-8")), 256))), 256)
+
+
+def vector_blocks(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (vec_id, embedding) -> blocks (ids, units): up to `most` vectors at unit length, as one binary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), most):
+                part = batch.slice(lo, most)
+                flat = part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                v = flat.reshape(len(part), -1)
+                units = v / np.sqrt((v * v).sum(1, keepdims=True))
+                yield pa.RecordBatch.from_pydict({"ids": pa.array([part.column("vec_id").to_pylist()], pa.list_(pa.int64())), "units": pa.array([units.tobytes()], pa.binary())})
+
+    return run
+
+
+def nearest_in_blocks(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs of blocks (query_ids, query_units, ids, units) -> each query's k nearest of the block by one matrix product."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q_ids, q, ids, e in zip(*(batch.column(c) for c in ("query_ids", "query_units", "ids", "units")), strict=True):
+                q_ids, ids = np.array(q_ids.as_py(), np.int64), np.array(ids.as_py(), np.int64)
+                left, right = (np.frombuffer(m.as_py(), np.float64).reshape(len(i), -1) for m, i in ((q, q_ids), (e, ids)))
+                near = np.round(left @ right.T, 6)
+                near[q_ids[:, None] == ids[None, :]] = -np.inf
+                # All that tie with the k-th best stay; the rank over blocks settles them.
+                least = -np.partition(-near, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+                i, j = np.nonzero((near >= least[:, None]) & np.isfinite(near))
+                order = np.lexsort((ids[j], -near[i, j], i))
+                i, j = i[order], j[order]
+                place = np.arange(len(i)) - np.searchsorted(i, i)
+                i, j = i[place < k], j[place < k]
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(ids[j]), pa.array(near[i, j])], names=["query_id", "vec_id", "cosine"])
+
+    return run

@@ -9,6 +9,7 @@ from vellum.functions.text import serial_of, year_of
 from vellum.functions.vocabulary import EVENT_GROUPS, NON_PUBLICATION, TYPE_ORDER, VISUAL_ORDER
 from vellum.sources.tables import table
 from vellum.sources.views import (
+    bare_objects,
     ISSUES_SQL,
     OBJECT_ENTITIES_SQL,
     OBJECT_EVENTS_SQL,
@@ -163,7 +164,7 @@ def semi_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def anti_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requested ids that don't exist."""
     asked = table(spark, sf_dir, "labels").select((F.col("doc_id") * 2).alias("id")).distinct()
-    return asked.join(objects(spark, sf_dir).select("id"), "id", "left_anti")
+    return asked.join(bare_objects(spark, sf_dir).select("id"), "id", "left_anti")
 
 
 def set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,7 +186,7 @@ def done_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def class_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return objects(spark, sf_dir).groupBy("issue_id", "object_class").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("occurrences"))
+    return bare_objects(spark, sf_dir).groupBy("issue_id", "object_class").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("occurrences"))
 
 
 def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +232,7 @@ def audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Provenance of a run: its first row in reading order, per issue."""
     row = F.min_by(F.struct("id", "role"), F.struct("seq", "id"))
-    return objects(spark, sf_dir).groupBy("issue_id").agg(row.alias("r")).select("issue_id", "r.id", "r.role")
+    return bare_objects(spark, sf_dir).groupBy("issue_id").agg(row.alias("r")).select("issue_id", "r.id", "r.role")
 
 
 def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:

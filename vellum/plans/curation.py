@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.operators import transitions as X
 from vellum.sources.tables import table
-from vellum.sources.views import OBJECT_ENTITIES_SQL, OBJECT_EVENTS_SQL, OBJECT_TOPICS_SQL, OBJECTS_SQL, PAGES_SQL, object_entities, object_events, object_topics, objects, pages
+from vellum.sources.views import OBJECT_ENTITIES_SQL, OBJECT_EVENTS_SQL, OBJECT_TOPICS_SQL, OBJECTS_SQL, PAGES_SQL, bare_objects, object_entities, object_events, object_topics, objects, pages
 
 _O, _P = f"o AS ({OBJECTS_SQL})", f"p AS ({PAGES_SQL})"
 
@@ -20,8 +20,8 @@ def publish_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def publish_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of a batch that don't exist."""
-    asked = table(spark, sf_dir, "orders").where("o_orderkey < 2000").select(F.col("o_orderkey").alias("id"))
-    return asked.join(objects(spark, sf_dir).select("id"), "id", "left_anti")
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    return asked.join(bare_objects(spark, sf_dir).select("id"), "id", "left_anti")
 
 
 def clear_page(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def clear_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cascade_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the deletion of each object would take with it."""
     count = lambda df, k, n: df.groupBy(F.col(k).alias("id")).agg(F.count(F.lit(1)).alias(n))
-    o = objects(spark, sf_dir).select("id")
+    o = bare_objects(spark, sf_dir).select("id")
     for df, k, n in ((object_topics(spark, sf_dir), "object_id", "topics"), (object_entities(spark, sf_dir), "object_id", "entities"), (object_events(spark, sf_dir), "source_object_id", "events")):
         o = o.join(count(df, k, n), "id", "left").withColumn(n, F.coalesce(n, F.lit(0).cast("long")))
     return o
@@ -43,7 +43,7 @@ def cascade_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cascade_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each child table that survive the deletion of every advertorial."""
-    gone = objects(spark, sf_dir).where("is_advertorial").select("id")
+    gone = bare_objects(spark, sf_dir).where("is_advertorial").select("id")
     kept = X.cascade_delete({"topics": (object_topics(spark, sf_dir), "object_id"), "entities": (object_entities(spark, sf_dir), "object_id"), "events": (object_events(spark, sf_dir), "source_object_id")}, gone)
     out = None
     for name, df in kept.items():
@@ -66,7 +66,7 @@ def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
 def review_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
     patch = table(spark, sf_dir, "labels").select(i.alias("id"), F.when(i % 4 == 0, "approved").alias("curation_status"), (i % 2 == 0).alias("has_curation_status"), F.concat(F.lit("T"), i).alias("display_title"), (i % 3 == 0).alias("has_display_title"))
-    return X.patched(objects(spark, sf_dir).select("id", "curation_status", "display_title"), patch, "id", ["curation_status", "display_title"])
+    return X.patched(bare_objects(spark, sf_dir).select("id", "curation_status", "display_title"), patch, "id", ["curation_status", "display_title"])
 
 
 def page_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,31 +87,31 @@ def propose_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def proposal_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of a proposal that a detector made and nobody touched, that moved, that were drawn."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label"), (F.col("vec_id") % 10).alias("state"), (F.col("vec_id") % 40).alias("page"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label"), (F.col("vec_id") % 10).alias("state"), F.floor(F.col("vec_id") / 20).alias("page"))
     return e.groupBy("page").agg(F.count_if(F.col("state") < 6).alias("kept"), F.count_if(F.col("state").between(6, 7)).alias("moved"), F.count_if(F.col("state") > 7).alias("drawn"), F.countDistinct("label").alias("groups"))
 
 
 def status_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values outside the vocabulary become its default, as a check on write would demand."""
-    return objects(spark, sf_dir).select("id", X.normalised(F.col("curation_status"), ("reviewed", "approved"), "unreviewed").alias("curation_status"))
+    return bare_objects(spark, sf_dir).select("id", X.normalised(F.col("curation_status"), ("reviewed", "approved"), "unreviewed").alias("curation_status"))
 
 
 def id_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Children of copied objects under their new surrogate ids."""
-    ids = objects(spark, sf_dir).select(F.col("id").alias("old_id"), (F.col("id") + 100_000).alias("new_id"))
+    ids = bare_objects(spark, sf_dir).select(F.col("id").alias("old_id"), (F.col("id") + 100_000).alias("new_id"))
     return X.remapped(object_topics(spark, sf_dir).select("object_id", "topic_id"), ids, "object_id")
 
 
 def cache_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cached sections that may be served: every reference still is published."""
-    refs = table(spark, sf_dir, "lineitem").where("l_orderkey < 1000").select((F.col("l_suppkey")).alias("section"), F.col("l_orderkey").alias("id")).distinct()
+    refs = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey")).alias("section"), F.col("l_orderkey").alias("id")).distinct()
     live = objects(spark, sf_dir).where("is_published").select("id", F.lit(1).alias("live"))
     return refs.join(live, "id", "left").groupBy("section").agg(F.count(F.lit(1)).alias("refs"), F.count("live").alias("live"), (F.count("live") == F.count(F.lit(1))).alias("valid"))
 
 
 def quota_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readers within their quotas: four sections, six calls, two regenerations."""
-    c = table(spark, sf_dir, "events").where("event_id < 1500").groupBy("user_id").agg(F.count_if(F.col("event_type") == "view").alias("sections"), F.count(F.lit(1)).alias("calls"), F.count_if(F.col("event_type") == "click").alias("regenerated"))
+    """Readers within a day's quotas: four sections, six calls, two regenerations."""
+    c = table(spark, sf_dir, "events").groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count_if(F.col("event_type") == "view").alias("sections"), F.count(F.lit(1)).alias("calls"), F.count_if(F.col("event_type") == "click").alias("regenerated"))
     return c.withColumn("allowed", (F.col("sections") < 4) & (F.col("calls") < 6) & (F.col("regenerated") < 2))
 
 
@@ -126,7 +126,7 @@ QUERIES = {
 ORACLE_SQL = {
     "publish_batch": f"""WITH {_O}, b AS (SELECT DISTINCT doc_id AS id, doc_id % 2 = 0 AS publish FROM labels)
       SELECT o.id, publish <> is_published AS changed, publish AS is_published, CASE WHEN publish = is_published THEN CASE WHEN is_published THEN '1999-01-01' END WHEN publish THEN '2024-02-01' END AS published_at FROM o JOIN b USING (id)""",
-    "publish_missing": "SELECT o_orderkey AS id FROM orders WHERE o_orderkey < 2000 AND o_orderkey NOT IN (SELECT doc_id FROM documents)",
+    "publish_missing": "SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT doc_id FROM documents)",
     "clear_page": f"""WITH {_O}, {_P}, l AS (SELECT page_record, count(*) AS left_n FROM o WHERE is_published GROUP BY 1)
       SELECT p.page_record, CASE WHEN status = 'running' THEN 'refused' WHEN coalesce(left_n, 0) > 0 THEN 'done' WHEN p.page_record % 3 = 0 THEN 'review' ELSE 'pending' END AS status,
         CAST(greatest(0, object_count - coalesce(left_n, 0)) AS INTEGER) AS object_count FROM p LEFT JOIN l ON l.page_record = p.page_record""",
@@ -146,12 +146,12 @@ ORACLE_SQL = {
       SELECT page_record, count(*) AS objects, min(maker)::BIGINT AS first_maker FROM a GROUP BY 1""",
     "propose_reset": f"""WITH {_P} SELECT page_record, CASE WHEN page_record % 3 = 0 THEN 'used' ELSE 'superseded' END AS draft, CASE WHEN status = 'done' THEN 'done' ELSE 'review' END AS status,
       CAST((page_record % 4 + 2) // 2 AS INTEGER) AS kept_discards, CAST(page_record % 4 + 2 AS INTEGER) AS boxes FROM p WHERE status <> 'running'""",
-    "proposal_summary": """SELECT vec_id % 40 AS page, count(*) FILTER (WHERE vec_id % 10 < 6) AS kept, count(*) FILTER (WHERE vec_id % 10 BETWEEN 6 AND 7) AS moved, count(*) FILTER (WHERE vec_id % 10 > 7) AS drawn,
+    "proposal_summary": """SELECT vec_id // 20 AS page, count(*) FILTER (WHERE vec_id % 10 < 6) AS kept, count(*) FILTER (WHERE vec_id % 10 BETWEEN 6 AND 7) AS moved, count(*) FILTER (WHERE vec_id % 10 > 7) AS drawn,
       count(DISTINCT label) AS groups FROM embeddings GROUP BY 1""",
     "status_backfill": f"WITH {_O} SELECT id, CASE WHEN curation_status = 'reviewed' THEN 'reviewed' ELSE 'unreviewed' END AS curation_status FROM o",
     "id_remap": f"WITH ot AS ({OBJECT_TOPICS_SQL}) SELECT object_id + 100000 AS object_id, topic_id FROM ot WHERE object_id IN (SELECT doc_id FROM documents)",
-    "cache_valid": f"""WITH {_O}, r AS (SELECT DISTINCT l_suppkey AS section, l_orderkey AS id FROM lineitem WHERE l_orderkey < 1000)
+    "cache_valid": f"""WITH {_O}, r AS (SELECT DISTINCT l_suppkey AS section, l_orderkey AS id FROM lineitem)
       SELECT section, count(*) AS refs, count(o.id) AS live, count(o.id) = count(*) AS valid FROM r LEFT JOIN o ON o.id = r.id AND o.is_published GROUP BY 1""",
-    "quota_check": """WITH c AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS sections, count(*) AS calls, count(*) FILTER (WHERE event_type = 'click') AS regenerated FROM events WHERE event_id < 1500 GROUP BY 1)
+    "quota_check": """WITH c AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (WHERE event_type = 'view') AS sections, count(*) AS calls, count(*) FILTER (WHERE event_type = 'click') AS regenerated FROM events GROUP BY 1, 2)
       SELECT *, sections < 4 AND calls < 6 AND regenerated < 2 AS allowed FROM c""",
 }

@@ -12,7 +12,7 @@ from vellum.plans.browse import RIGHTS_SQL, rights_status, type_facet
 from vellum.plans.edition import _DEAL, _DEALT, _F, _dealing, _features, dealt
 from vellum.plans.ordered import _BOXES, _boxes, pack
 from vellum.sources.tables import table
-from vellum.sources.views import ISSUES_SQL, OBJECT_EVENTS_SQL, OBJECTS_SQL, PAGES_SQL, issues, object_events, objects, pages, published
+from vellum.sources.views import ISSUES_SQL, OBJECT_EVENTS_SQL, OBJECTS_SQL, PAGES_SQL, bare_objects, issues, object_events, pages, published
 
 _O, _P, _I, _V = f"o AS ({OBJECTS_SQL})", f"p AS ({PAGES_SQL})", f"i AS ({ISSUES_SQL})", f"v AS ({OBJECT_EVENTS_SQL})"
 
@@ -61,7 +61,7 @@ def issue_corpus(spark: SparkSession, sf_dir: str, cap: int = 60_000) -> DataFra
 
 def enriched_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues with a page in the store: children to parents, each once."""
-    have = objects(spark, sf_dir).select("page_record").distinct()
+    have = bare_objects(spark, sf_dir).select("page_record").distinct()
     return pages(spark, sf_dir).where("issue_pointer IS NOT NULL").join(have, "page_record", "left_semi").select("issue_pointer").distinct()
 
 

@@ -9,7 +9,7 @@ from vellum.functions import geometry as G
 from vellum.functions import text as T
 from vellum.operators import kernels
 from vellum.sources.tables import table
-from vellum.sources.views import OBJECT_TOPICS_SQL, object_topics
+from vellum.sources.views import OBJECT_TOPICS_SQL, bare_objects, object_topics
 
 # ── sequences ─────────────────────────────────────────────────────────────────────────────
 
@@ -65,15 +65,15 @@ def line_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 def segment_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts of segments on a track: a lead, and a gap between them, in samples at 24 kHz."""
     s = table(spark, sf_dir, "conversations").groupBy("conv_id").agg((F.sum(F.length("text")) * 400).alias("samples"))
-    s = s.withColumn("track", F.col("conv_id") % 10)
+    s = s.withColumn("track", F.floor(F.col("conv_id") / 50))
     before = F.coalesce(F.sum(F.col("samples") + 13200).over(Window.partitionBy("track").orderBy("conv_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return s.select("track", "conv_id", (before + 6000).alias("offset"), (before + 6000 + F.col("samples")).alias("until"))
 
 
 def footnotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The number of each section's first footnote: one more than those of sections before it."""
-    refs = object_topics(spark, sf_dir).where("object_id < 400").groupBy("object_id").agg(F.count(F.lit(1)).alias("refs"))
-    s = refs.withColumn("edition", F.col("object_id") % 20)
+    refs = object_topics(spark, sf_dir).groupBy("object_id").agg(F.count(F.lit(1)).alias("refs"))
+    s = refs.withColumn("edition", F.floor(F.col("object_id") / 200))
     w = Window.partitionBy("edition").orderBy("object_id").rowsBetween(Window.unboundedPreceding, -1)
     return s.select("edition", "object_id", "refs", (F.coalesce(F.sum("refs").over(w), F.lit(0)) + 1).alias("first_note"))
 
@@ -81,7 +81,7 @@ def footnotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The line that plays at a listener's time: an equi join on the segment, then a range."""
     t = line_times(spark, sf_dir)
-    asks = table(spark, sf_dir, "events").where("event_id < 2000").select("event_id", (F.col("user_id") % 100).alias("conv_id"), F.round(F.lit(10.0) + F.col("event_id") % 30 + 0.5, 3).alias("t"))
+    asks = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 100).alias("conv_id"), F.round(F.lit(10.0) + F.col("event_id") % 30 + 0.5, 3).alias("t"))
     return asks.join(t, (asks["conv_id"] == t["conv_id"]) & (F.col("t") >= F.col("t0")) & (F.col("t") < F.col("t1"))).select("event_id", asks["conv_id"], "turn")
 
 
@@ -105,11 +105,11 @@ def pack(blocks: Column, cap: int) -> Column:
 def corpus_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each issue's documents packed into a budget of characters; a document that is too long is skipped.
 
-    An issue has some hundreds of objects at most; only ids and lengths are gathered.
+    An issue has ISSUE_SIZE objects at most; only ids and lengths are gathered.
     """
-    d = table(spark, sf_dir, "documents").select("source", F.struct(F.col("doc_id").alias("pos"), F.col("doc_id").alias("id"), (F.length("text") + 1).cast("long").alias("n")).alias("b"))
-    p = d.groupBy("source").agg(F.collect_list("b").alias("blocks")).select("source", pack(F.col("blocks"), 40_000).alias("p"))
-    return p.select("source", "p.used", F.size("p.kept").alias("kept"), "p.skipped", F.array_join("p.kept", ",").alias("ids"))
+    d = bare_objects(spark, sf_dir).select("issue_id", "text", F.col("id").alias("doc_id")).select("issue_id", F.struct(F.col("doc_id").alias("pos"), F.col("doc_id").alias("id"), (F.length("text") + 1).cast("long").alias("n")).alias("b"))
+    p = d.groupBy("issue_id").agg(F.collect_list("b").alias("blocks")).select("issue_id", pack(F.col("blocks"), 40_000).alias("p"))
+    return p.select("issue_id", "p.used", F.size("p.kept").alias("kept"), "p.skipped", F.array_join("p.kept", ",").alias("ids"))
 
 
 def chunks(spark: SparkSession, sf_dir: str, most: int = 3000) -> DataFrame:
@@ -138,14 +138,18 @@ def slices(spark: SparkSession, sf_dir: str, height: int = 900, overlap: int = 9
 # ── geometry over rectangles made of embeddings ───────────────────────────────────────────
 
 
+#: Boxes on a page.
+PAGE_BOXES = 20
+
+
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = lambda i: G.round_half_up(F.abs(F.get("embedding", F.lit(i))).cast("double") % 1.0, 4)
-    b = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 25).alias("page"), F.col("label"), e(0).alias("x"), e(1).alias("y"), e(2).alias("w"), e(3).alias("h"), e(4).alias("score"))
+    b = table(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.col("vec_id") / PAGE_BOXES).alias("page"), F.col("label"), e(0).alias("x"), e(1).alias("y"), e(2).alias("w"), e(3).alias("h"), e(4).alias("score"))
     return b.withColumn("rect", F.array("x", "y", "w", "h"))
 
 
 _R = lambda i: f"floor((abs(embedding[{i + 1}])::DOUBLE % 1.0) * 1e4 + 0.5) / 1e4"
-_BOXES = f"bx AS (SELECT vec_id, vec_id % 25 AS page, label, {_R(0)} AS x, {_R(1)} AS y, {_R(2)} AS w, {_R(3)} AS h, {_R(4)} AS score FROM embeddings)"
+_BOXES = f"bx AS (SELECT vec_id, vec_id // {PAGE_BOXES} AS page, label, {_R(0)} AS x, {_R(1)} AS y, {_R(2)} AS w, {_R(3)} AS h, {_R(4)} AS score FROM embeddings)"
 
 
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,8 +177,8 @@ def iou_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def uncovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word centres that no grouped box of their page holds, within 0.002."""
-    words = table(spark, sf_dir, "events").where("event_id < 4000").select("event_id", (F.col("user_id") % 25).alias("page"), ((F.col("event_id") * 37) % 1000 / 1000.0).alias("cx"), ((F.col("event_id") * 91) % 1000 / 1000.0).alias("cy"))
-    b = _boxes(spark, sf_dir).where("vec_id % 5 = 0").select("page", "x", "y", "w", "h")
+    words = table(spark, sf_dir, "events").select("event_id", F.floor(F.col("event_id") / 100).alias("page"), ((F.col("event_id") * 37) % 1000 / 1000.0).alias("cx"), ((F.col("event_id") * 91) % 1000 / 1000.0).alias("cy"))
+    b = _boxes(spark, sf_dir).select("page", "x", "y", "w", "h")
     e = 0.002
     inside = (words["page"] == b["page"]) & (F.col("cx") >= F.col("x") - e) & (F.col("cx") <= F.col("x") + F.col("w") + e) & (F.col("cy") >= F.col("y") - e) & (F.col("cy") <= F.col("y") + F.col("h") + e)
     return words.join(b, inside, "left_anti").select("event_id", "page")
@@ -219,8 +223,8 @@ def rect_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def group_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A box goes to the first group that names it; empty groups vanish; leftovers make groups of their own."""
     known = _boxes(spark, sf_dir).select("page", F.col("vec_id").alias("box"))
-    named = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").select((F.col("l_partkey") % 25).alias("page"), (F.col("l_suppkey") % 40).alias("grp"), (F.col("l_orderkey") % 600).alias("box")).distinct()
-    first = named.join(known, ["page", "box"], "left_semi").groupBy("page", "box").agg(F.min("grp").alias("grp"))
+    named = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("box"), (F.col("l_suppkey") % 40).alias("grp"))
+    first = named.groupBy("box").agg(F.min("grp").alias("grp")).join(known, "box").select("page", "box", "grp")
     left = known.join(first, ["page", "box"], "left_anti").select("page", "box", (F.col("box") + 1000).alias("grp"))
     both = first.withColumn("unplaced", F.lit(False)).unionByName(left.withColumn("unplaced", F.lit(True)))
     return both.select("page", "box", "unplaced", F.dense_rank().over(Window.partitionBy("page").orderBy("grp")).alias("grp"))
@@ -228,7 +232,7 @@ def group_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first valid box of each id, clamped to the page, to four places."""
-    b = _boxes(spark, sf_dir).withColumn("id", F.col("vec_id") % 300).where("w > 0.01 AND h > 0.01")
+    b = _boxes(spark, sf_dir).withColumn("id", F.floor(F.col("vec_id") / 3)).where("w > 0.01 AND h > 0.01")
     r = b.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy("vec_id"))).where("rn = 1")
     c = G.clamped(F.col("rect"))
     return r.select("id", "vec_id", *[G.round_half_up(F.get(c, F.lit(i)), 4).alias(n) for i, n in enumerate(("x", "y", "w", "h"))])
@@ -260,7 +264,7 @@ def gap_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def column_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("page"), (F.floor(F.col("event_id") % 5 * 20 + F.col("user_id") % 2) / 100.0).alias("x"), F.lit(0.17).alias("w"))
+    lines = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 400).alias("page"), (F.floor(F.col("event_id") % 5 * 20 + F.col("user_id") % 2) / 100.0).alias("x"), F.lit(0.17).alias("w"))
     return kernels.per_page(lines, kernels.column_grid, "page bigint, place bigint, left_edge double, right_edge double, lines bigint")
 
 
@@ -286,14 +290,14 @@ def line_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cosine_topk(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     """The k nearest vectors, by cosine, of every fiftieth one: a stated query set against all rows.
 
-    Queries are a block of the table; each is kept apart by its id, and Spark keeps k rows
-    per query and task before the shuffle (a rank over partial results).
+    Queries and rows go in blocks of bounded size; a pair of blocks is one matrix product in
+    one task, which hands on k rows a query. Nothing is broadcast.
     """
-    unit = lambda c: F.transform(c, lambda v: v.cast("double") / F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))
-    e = table(spark, sf_dir, "embeddings").select("vec_id", unit(F.col("embedding")).alias("v"))
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    sim = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    s = e.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(sim, 6).alias("cosine"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL")
+    blocks = e.mapInArrow(kernels.vector_blocks(4096), "ids array<bigint>, units binary")
+    queries = e.where("vec_id % 50 = 0").mapInArrow(kernels.vector_blocks(512), "ids array<bigint>, units binary").toDF("query_ids", "query_units")
+    pairs = queries.hint("shuffle_replicate_nl").crossJoin(blocks)
+    s = pairs.mapInArrow(kernels.nearest_in_blocks(k), "query_id bigint, vec_id bigint, cosine double")
     w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
     return s.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
@@ -317,6 +321,8 @@ QUERIES = {
     )
 }
 
+_PADS = kernels.hmac_pads("example-secret")
+
 _TIMES = """tm0 AS (SELECT conv_id, turn, length(text) + 14 AS weight FROM conversations),
   tm AS (SELECT conv_id, turn, round(10.0::DOUBLE + 30.0::DOUBLE * (sum(weight) OVER w - weight) / sum(weight) OVER p, 6) AS t0, round(10.0::DOUBLE + 30.0::DOUBLE * (sum(weight) OVER w) / sum(weight) OVER p, 6) AS t1
          FROM tm0 WINDOW w AS (PARTITION BY conv_id ORDER BY turn), p AS (PARTITION BY conv_id))"""
@@ -331,19 +337,19 @@ ORACLE_SQL = {
     "ranked_tags": """WITH r AS (SELECT l_orderkey AS object_id, CAST(l_partkey % 12 AS INTEGER) AS topic_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rank FROM lineitem)
       SELECT object_id, topic_id, CAST(min(rank) AS INTEGER) AS rank FROM r WHERE rank <= 3 GROUP BY 1, 2""",
     "line_times": f"WITH {_TIMES} SELECT conv_id, turn, t0, t1 FROM tm",
-    "segment_offsets": """WITH s AS (SELECT conv_id, conv_id % 10 AS track, CAST(sum(length(text)) * 400 AS BIGINT) AS samples FROM conversations GROUP BY 1),
+    "segment_offsets": """WITH s AS (SELECT conv_id, conv_id // 50 AS track, CAST(sum(length(text)) * 400 AS BIGINT) AS samples FROM conversations GROUP BY 1),
         b AS (SELECT *, CAST(coalesce(sum(samples + 13200) OVER (PARTITION BY track ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) + 6000 AS off FROM s)
       SELECT track, conv_id, off AS "offset", off + samples AS until FROM b""",
-    "footnotes": f"""WITH ot AS ({OBJECT_TOPICS_SQL}), r AS (SELECT object_id % 20 AS edition, object_id, count(*) AS refs FROM ot WHERE object_id < 400 GROUP BY object_id)
+    "footnotes": f"""WITH ot AS ({OBJECT_TOPICS_SQL}), r AS (SELECT object_id // 200 AS edition, object_id, count(*) AS refs FROM ot GROUP BY object_id)
       SELECT edition, object_id, refs, CAST(coalesce(sum(refs) OVER (PARTITION BY edition ORDER BY object_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) + 1 AS first_note FROM r""",
-    "line_at": f"""WITH {_TIMES}, q AS (SELECT event_id, user_id % 100 AS conv_id, round(10.0::DOUBLE + event_id % 30 + 0.5, 3) AS t FROM events WHERE event_id < 2000)
+    "line_at": f"""WITH {_TIMES}, q AS (SELECT event_id, user_id % 100 AS conv_id, round(10.0::DOUBLE + event_id % 30 + 0.5, 3) AS t FROM events)
       SELECT q.event_id, q.conv_id, tm.turn FROM q JOIN tm ON tm.conv_id = q.conv_id AND q.t >= tm.t0 AND q.t < tm.t1""",
-    "corpus_pack": """WITH g AS (SELECT source, list({'id': doc_id, 'n': length(text) + 1} ORDER BY doc_id) AS bs FROM documents GROUP BY 1),
-        p AS (SELECT source, list_reduce(list_prepend({'used': 0::BIGINT, 'ids': []::BIGINT[], 'skipped': 0, 'id': 0::BIGINT, 'n': 0::BIGINT},
+    "corpus_pack": """WITH g AS (SELECT source || '-' || doc_id // 500 AS issue_id, list({'id': doc_id, 'n': length(text) + 1} ORDER BY doc_id) AS bs FROM documents GROUP BY 1),
+        p AS (SELECT issue_id, list_reduce(list_prepend({'used': 0::BIGINT, 'ids': []::BIGINT[], 'skipped': 0, 'id': 0::BIGINT, 'n': 0::BIGINT},
               list_transform(bs, lambda b: {'used': 0::BIGINT, 'ids': []::BIGINT[], 'skipped': 0, 'id': b.id, 'n': b.n::BIGINT})),
             lambda a, b: {'used': CASE WHEN a.used + b.n <= 40000 THEN a.used + b.n ELSE a.used END, 'ids': CASE WHEN a.used + b.n <= 40000 THEN list_append(a.ids, b.id) ELSE a.ids END,
               'skipped': CASE WHEN a.used + b.n <= 40000 THEN a.skipped ELSE a.skipped + 1 END, 'id': 0::BIGINT, 'n': 0::BIGINT}) AS r FROM g)
-      SELECT source, r.used AS used, CAST(len(r.ids) AS INTEGER) AS kept, r.skipped AS skipped, array_to_string(r.ids, ',') AS ids FROM p""",
+      SELECT issue_id, r.used AS used, CAST(len(r.ids) AS INTEGER) AS kept, r.skipped AS skipped, array_to_string(r.ids, ',') AS ids FROM p""",
     "chunks": """WITH RECURSIVE c AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations),
         f AS (SELECT conv_id, turn, rn, n AS used, 0 AS chunk FROM c WHERE rn = 1
           UNION ALL SELECT c.conv_id, c.turn, c.rn, CASE WHEN f.used > 0 AND f.used + c.n > 3000 THEN c.n ELSE f.used + c.n END, CASE WHEN f.used > 0 AND f.used + c.n > 3000 THEN f.chunk + 1 ELSE f.chunk END
@@ -361,8 +367,8 @@ ORACLE_SQL = {
     "iou_best": f"""WITH {_BOXES}, p AS (SELECT a.vec_id, b.vec_id AS old_id, round({_IOU} / (a.w * a.h + b.w * b.h - {_IOU}), 9) AS iou FROM bx a JOIN bx b ON a.page = b.page AND a.vec_id % 2 = 1 AND b.vec_id % 2 = 0 WHERE {_IOU} > 0),
         r AS (SELECT * FROM p WHERE iou > 0 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY iou DESC, old_id) = 1)
       SELECT bx.vec_id, r.old_id, round(coalesce(r.iou, 0.0), 6) AS iou FROM bx LEFT JOIN r USING (vec_id) WHERE bx.vec_id % 2 = 1""",
-    "uncovered": f"""WITH {_BOXES}, q AS (SELECT event_id, user_id % 25 AS page, (event_id * 37) % 1000 / 1000.0::DOUBLE AS cx, (event_id * 91) % 1000 / 1000.0::DOUBLE AS cy FROM events WHERE event_id < 4000)
-      SELECT event_id, page FROM q WHERE NOT EXISTS (SELECT 1 FROM bx WHERE bx.vec_id % 5 = 0 AND bx.page = q.page AND cx >= x - 0.002::DOUBLE AND cx <= x + w + 0.002::DOUBLE AND cy >= y - 0.002::DOUBLE AND cy <= y + h + 0.002::DOUBLE)""",
+    "uncovered": f"""WITH {_BOXES}, q AS (SELECT event_id, event_id // 100 AS page, (event_id * 37) % 1000 / 1000.0::DOUBLE AS cx, (event_id * 91) % 1000 / 1000.0::DOUBLE AS cy FROM events)
+      SELECT event_id, page FROM q WHERE NOT EXISTS (SELECT 1 FROM bx WHERE bx.page = q.page AND cx >= x - 0.002::DOUBLE AND cx <= x + w + 0.002::DOUBLE AND cy >= y - 0.002::DOUBLE AND cy <= y + h + 0.002::DOUBLE)""",
     "snap": f"""WITH {_BOXES}, d AS (SELECT vec_id, x, i / 8.0::DOUBLE AS v, i, round(abs(i / 8.0::DOUBLE - x), 9) AS dist FROM bx, range(9) r(i)),
         m AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist, i) = 1)
       SELECT vec_id, CASE WHEN dist < 0.015 THEN v ELSE x END AS x FROM m""",
@@ -374,11 +380,11 @@ ORACLE_SQL = {
     "rect_order": f"""WITH {_BOXES}, k AS (SELECT *, floor(x * 10 + 0.5) / 10 AS kx, floor(y * 10 + 0.5) / 10 AS ky, row_number() OVER (PARTITION BY page ORDER BY round(w * h, 9) DESC, vec_id) - 1 AS place FROM bx),
         a AS (SELECT page, kx, ky, place, row_number() OVER (PARTITION BY page, kx, ky ORDER BY place) AS u FROM k), r AS (SELECT page, kx, ky, vec_id, row_number() OVER (PARTITION BY page, kx, ky ORDER BY vec_id) AS u FROM k)
       SELECT r.page, r.vec_id, CAST(a.place AS INTEGER) AS place FROM r JOIN a USING (page, kx, ky, u)""",
-    "group_claims": """WITH k AS (SELECT vec_id % 25 AS page, vec_id AS box FROM embeddings), n AS (SELECT DISTINCT l_partkey % 25 AS page, l_suppkey % 40 AS grp, l_orderkey % 600 AS box FROM lineitem WHERE l_linenumber <= 3),
+    "group_claims": f"""WITH k AS (SELECT vec_id // {PAGE_BOXES} AS page, vec_id AS box FROM embeddings), n AS (SELECT l_orderkey // {PAGE_BOXES} AS page, l_suppkey % 40 AS grp, l_orderkey AS box FROM lineitem),
         f AS (SELECT page, box, min(grp) AS grp FROM n JOIN k USING (page, box) GROUP BY 1, 2),
         b AS (SELECT page, box, grp, false AS unplaced FROM f UNION ALL SELECT page, box, box + 1000, true FROM k WHERE (page, box) NOT IN (SELECT (page, box) FROM f))
       SELECT page, box, unplaced, CAST(dense_rank() OVER (PARTITION BY page ORDER BY grp) AS INTEGER) AS grp FROM b""",
-    "clean_boxes": f"""WITH {_BOXES}, v AS (SELECT *, vec_id % 300 AS id FROM bx WHERE w > 0.01 AND h > 0.01 QUALIFY row_number() OVER (PARTITION BY vec_id % 300 ORDER BY vec_id) = 1)
+    "clean_boxes": f"""WITH {_BOXES}, v AS (SELECT *, vec_id // 3 AS id FROM bx WHERE w > 0.01 AND h > 0.01 QUALIFY row_number() OVER (PARTITION BY vec_id // 3 ORDER BY vec_id) = 1)
       SELECT id, vec_id, floor(x * 1e4 + 0.5) / 1e4 AS x, floor(y * 1e4 + 0.5) / 1e4 AS y, floor(least(w, 1 - x) * 1e4 + 0.5) / 1e4 AS w, floor(least(h, 1 - y) * 1e4 + 0.5) / 1e4 AS h FROM v""",
     "class_precedence": """WITH e AS (SELECT event_id, ([NULL, 'article', NULL, NULL, 'coupon', NULL, NULL])[event_id % 7 + 1] AS c, (['article', NULL, 'coupon', 'listing'])[event_id % 4 + 1] AS t, (['article', 'listing', 'coupon'])[event_id % 3 + 1] AS g FROM events)
       SELECT event_id, coalesce(c, t, g) AS object_class, CASE WHEN c IS NOT NULL THEN 'curator' WHEN t IS NOT NULL THEN 'transcriber' ELSE 'grouper' END AS decided_by, t IS NOT DISTINCT FROM g AS agreed FROM e""",
@@ -391,4 +397,31 @@ ORACLE_SQL = {
     "cosine_topk": """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS cosine FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id)
       SELECT query_id, vec_id, cosine, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS INTEGER) AS place FROM s QUALIFY place <= 5""",
     "content_hash": "SELECT doc_id, sha256(concat_ws('|', lang, source, text)) AS content_hash FROM documents",
+    "nms": f"""WITH {_BOXES}, g AS (SELECT page, list({{'id': vec_id, 'x': x, 'y': y, 'w': w, 'h': h, 'score': score}} ORDER BY score DESC, vec_id) AS bs FROM bx GROUP BY 1),
+        r AS (SELECT page, list_reduce(list_prepend(bs[1:0], list_transform(bs, lambda b: [b])), lambda a, o: CASE WHEN len(list_filter(a, lambda b:
+            greatest(least(b.x + b.w, o[1].x + o[1].w) - greatest(b.x, o[1].x), 0.0) * greatest(least(b.y + b.h, o[1].y + o[1].h) - greatest(b.y, o[1].y), 0.0)
+            / greatest(b.w * b.h + o[1].w * o[1].h - greatest(least(b.x + b.w, o[1].x + o[1].w) - greatest(b.x, o[1].x), 0.0) * greatest(least(b.y + b.h, o[1].y + o[1].h) - greatest(b.y, o[1].y), 0.0), 1e-12) > 0.1)) = 0
+            THEN list_concat(a, o) ELSE a END) AS kept FROM g),
+        u AS (SELECT page, unnest(kept) AS b FROM r)
+      SELECT page, b.id AS id, b.score AS score FROM u""",
+    "gap_merge": f"""WITH {_BOXES}, ln AS (SELECT page, vec_id AS id, x, y, w, h / 20 AS h, vec_id % 9 AS words FROM bx WHERE vec_id % 9 >= 3),
+        g AS (SELECT page, 2 * (list(h ORDER BY h))[count(*) // 2 + 1] AS reach, list({{'x0': x, 'x1': x + w, 'y0': y, 'y1': y + h, 'words': words}} ORDER BY y, x, id) AS ls FROM ln GROUP BY 1),
+        r AS (SELECT page, list_reduce(list_prepend(ls[1:0], list_transform(ls, lambda l: [l])), lambda a, o: CASE
+            WHEN len(list_filter(a, lambda b: least(o[1].x1, b.x1) - greatest(o[1].x0, b.x0) > 0.5 * least(o[1].x1 - o[1].x0, b.x1 - b.x0) AND o[1].y0 - b.y1 < reach)) = 0 THEN list_concat(a, o)
+            ELSE list_transform(a, lambda b, i: CASE WHEN i = list_position(list_transform(a, lambda c: least(o[1].x1, c.x1) - greatest(o[1].x0, c.x0) > 0.5 * least(o[1].x1 - o[1].x0, c.x1 - c.x0) AND o[1].y0 - c.y1 < reach), true)
+              THEN {{'x0': least(b.x0, o[1].x0), 'x1': greatest(b.x1, o[1].x1), 'y0': b.y0, 'y1': greatest(b.y1, o[1].y1), 'words': b.words + o[1].words}} ELSE b END) END) AS gaps FROM g),
+        u AS (SELECT page, unnest(gaps) AS b FROM r)
+      SELECT page, row_number() OVER (PARTITION BY page ORDER BY b.words DESC, b.y0, b.x0) - 1 AS place, b.x0 AS x0, b.x1 AS x1, b.y0 AS y0, b.y1 AS y1, b.words AS words FROM u WHERE b.words >= 5""",
+    "column_grid": """WITH ln AS (SELECT event_id // 400 AS page, floor(event_id % 5 * 20 + user_id % 2) / 100.0::DOUBLE AS x FROM events),
+        n AS (SELECT page, greatest(6.0, count(*) / 120.0::DOUBLE) AS least_n FROM ln GROUP BY 1),
+        h AS (SELECT page, bin, coalesce(k.n, 0) AS n FROM (SELECT page, unnest(range(200)) AS bin FROM n) b LEFT JOIN (SELECT page, least(199, greatest(0, CAST(floor(x * 200) AS BIGINT))) AS bin, count(*) AS n FROM ln GROUP BY 1, 2) k USING (page, bin)),
+        q AS (SELECT *, lag(n, 1, -1) OVER w AS before, lead(n, 1, -1) OVER w AS after FROM h WINDOW w AS (PARTITION BY page ORDER BY bin)),
+        p AS (SELECT page, list(bin / 200.0::DOUBLE ORDER BY bin) AS ps FROM q JOIN n USING (page) WHERE q.n >= least_n AND q.n >= before AND q.n > after GROUP BY 1),
+        s AS (SELECT page, list_reduce(list_transform(ps, lambda v: [v]), lambda a, o: CASE WHEN o[1] - a[len(a)] >= 0.04::DOUBLE THEN list_concat(a, o) ELSE a END) AS st FROM p),
+        d AS (SELECT page, st, list_sort(list_transform(range(1, len(st)), lambda i: st[i + 1] - st[i])) AS pitch FROM s),
+        f AS (SELECT page, CASE WHEN len(pitch) = 0 THEN st ELSE list_transform(list_filter(range(1, len(st) + 1), lambda i: i = len(st) OR st[i + 1] - st[i] >= pitch[len(pitch) // 2 + 1] / 2), lambda i: st[i]) END AS st FROM d),
+        e AS (SELECT page, i - 1 AS place, st[i] AS left_edge, coalesce(st[i + 1], 9.0) AS next FROM (SELECT page, st, unnest(range(1, len(st) + 1)) AS i FROM f)),
+        o AS (SELECT e.page, place, left_edge, list(x + 0.17::DOUBLE ORDER BY x) FILTER (WHERE x IS NOT NULL) AS own FROM e LEFT JOIN ln ON ln.page = e.page AND x >= left_edge - 0.5 / 200::DOUBLE AND x < next - 0.5 / 200::DOUBLE GROUP BY 1, 2, 3)
+      SELECT page, place, left_edge, CASE WHEN len(own) > 0 THEN own[CAST(floor(0.95::DOUBLE * len(own)) AS BIGINT) + 1] ELSE left_edge END AS right_edge, CAST(coalesce(len(own), 0) AS BIGINT) AS lines FROM o""",
+    "signature": f"""SELECT item_id, sha256(unhex('{_PADS[1].hex()}') || unhex(sha256(unhex('{_PADS[0].hex()}') || encode('item:' || item_id)))) AS signature, true AS valid FROM benchmark""",
 }

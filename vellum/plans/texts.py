@@ -12,7 +12,7 @@ from vellum.functions import text as T
 from vellum.functions.vocabulary import ABBREVIATIONS, CAPTURE_ONLY, LABEL_CLASSES, TOPICS
 from vellum.plans.browse import FACET_TYPE_SQL, facet_type
 from vellum.sources.tables import table
-from vellum.sources.views import ISSUES_SQL, OBJECTS_SQL, issues, objects, pick, sql_list
+from vellum.sources.views import ISSUES_SQL, OBJECTS_SQL, bare_objects, issues, objects, published, pick, sql_list
 
 _O, _I = f"o AS ({OBJECTS_SQL})", f"i AS ({ISSUES_SQL})"
 
@@ -53,8 +53,8 @@ def _headline(x: str) -> str:
       ELSE len(list_filter({long}, lambda w: regexp_matches(w, '^[^A-Za-z]*[A-Z]'))) / len({long}) >= 0.6 END"""
 
 
-def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = T.once(objects(spark, sf_dir), head=T.first_line(F.col("text")))
+def _titled(rows: DataFrame) -> DataFrame:
+    o = T.once(rows, head=T.first_line(F.col("text")))
     return T.once(o, r=T.resolved_title(F.col("head"), F.col("display_title"), F.col("display_title_model")))
 
 
@@ -64,26 +64,26 @@ _TITLED = f"""{_O}, h AS (SELECT *, {_first_line('text')} AS head FROM o),
 
 
 def resolved_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _titled(spark, sf_dir).select("id", "r.title", "r.title_source", "r.title_model")
+    return _titled(bare_objects(spark, sf_dir)).select("id", "r.title", "r.title_source", "r.title_model")
 
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _titled(spark, sf_dir).select("id", T.snippet(F.col("text"), F.col("r.title")).alias("snippet"))
+    return _titled(bare_objects(spark, sf_dir)).select("id", T.snippet(F.col("text"), F.col("r.title")).alias("snippet"))
 
 
 def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return objects(spark, sf_dir).select("id", T.excerpt(F.col("text")).alias("excerpt"))
+    return bare_objects(spark, sf_dir).select("id", T.excerpt(F.col("text")).alias("excerpt"))
 
 
 def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The body under a title: its length and hash."""
     body = T.body_after_title(F.col("text"), F.col("r.title"))
-    return _titled(spark, sf_dir).select("id", F.length(body).cast("long").alias("n"), F.sha2(body, 256).alias("sha"))
+    return _titled(bare_objects(spark, sf_dir)).select("id", F.length(body).cast("long").alias("n"), F.sha2(body, 256).alias("sha"))
 
 
 def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Curators' text and title edits as they are stored: NULL where they say nothing new."""
-    o = objects(spark, sf_dir)
+    o = bare_objects(spark, sf_dir)
     text = T.edited_text(F.when(F.col("id") % 3 == 0, F.concat("text", F.lit(" \t\n"))).when(F.col("id") % 3 == 1, F.lit(" ")).otherwise(F.concat(F.lit("x"), "text")), T.strip(F.regexp_replace("text", r"(?m)[ \t]+$", "")), 500)
     return o.select("id", F.sha2(F.coalesce(text, F.lit("none")), 256).alias("text_sha"), T.edited_title(F.concat(F.lit("  a  "), F.col("role"), F.lit("\n b "))).alias("title"))
 
@@ -94,13 +94,13 @@ def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     amp = F.concat(raw, F.lit(" & A&B"))
     return table(spark, sf_dir, "pages").select(
         "page_id", T.slug(amp).alias("slug"), T.slug(amp, spaced_and=False).alias("tight_slug"), T.filler_key(raw).alias("filler_key"), T.token_norm(raw).alias("token"),
-        T.clean_name(raw).alias("name"), T.html_escape(F.substring("html", 1, 80)).alias("escaped"),
+        T.clean_name(raw).alias("name"), T.html_escape(F.col("html")).alias("escaped"),
     )
 
 
 def prefixed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids with their prefix, and back; the provider from a run's id."""
-    o = objects(spark, sf_dir).select("id", F.concat(F.lit("co-"), "id").alias("public_id"), F.concat(F.lit("run_"), pick(F.col("id") % 3, ("a", "b", "z")), F.lit("_7")).alias("run_id"))
+    o = bare_objects(spark, sf_dir).select("id", F.concat(F.lit("co-"), "id").alias("public_id"), F.concat(F.lit("run_"), pick(F.col("id") % 3, ("a", "b", "z")), F.lit("_7")).alias("run_id"))
     provider = F.coalesce(F.nullif(F.regexp_extract("run_id", "_(a|b|c)_", 1), F.lit("")), F.lit("unknown"))
     return o.select("public_id", F.regexp_replace("public_id", "^(co|t|n|ev)-", "").cast("long").alias("id"), provider.alias("provider"))
 
@@ -180,7 +180,7 @@ def tier_router(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(c.isin(*CAPTURE_ONLY), "capture_only").when(c == "article", "heavy").when((c == "advertisement") & F.col("bearing"), "heavy")
         .when(c.isin("advertisement", "coupon"), "light").when(c.isin("classified_section", "legal_notice"), "structured").otherwise("capture_only")
     )
-    return objects(spark, sf_dir).select("id", "object_class").join(bearing, "id", "left").select("id", "object_class", tier.alias("tier"))
+    return bare_objects(spark, sf_dir).select("id", "object_class").join(bearing, "id", "left").select("id", "object_class", tier.alias("tier"))
 
 
 def enrichment_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,7 +246,7 @@ def keyword_in_context(text: Column, term: str, pad: int = 90) -> Column:
 
 def _search_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = facet_type(F.col("object_class"), F.col("role"))
-    return _titled(spark, sf_dir).where("is_published").select("id", F.col("r.title").alias("title"), F.lit(None).cast("string").alias("summary"), F.col("issue_id").alias("subject"), kind.alias("type"), F.col("role").alias("date"), F.col("text").alias("body"))
+    return _titled(published(spark, sf_dir)).select("id", F.col("r.title").alias("title"), F.lit(None).cast("string").alias("summary"), F.col("issue_id").alias("subject"), kind.alias("type"), F.col("role").alias("date"), F.col("text").alias("body"))
 
 
 def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,7 +281,7 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     inline = F.regexp_extract_all("body", F.lit(r"(?<![A-Za-z0-9_])co-(\d+)(?![A-Za-z0-9_])"), 1)
     given = F.transform(F.coalesce("references", F.array().cast("array<string>")), lambda r: F.regexp_extract(r, r"^\[*(?:co-)?(\d+)\]*$", 1))
     refs = a.select("item_id", F.posexplode(F.concat(given, inline)).alias("pos", "ref")).where("ref <> ''").groupBy("item_id", F.col("ref").cast("long").alias("id")).agg(F.min("pos").alias("pos"))
-    real = refs.join(objects(spark, sf_dir).where("id < 60").select("id"), "id", "left_semi")
+    real = refs.join(bare_objects(spark, sf_dir).select("id"), "id", "left_semi")
     kept = real.groupBy("item_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("pos", "id"))), 1, 8).alias("r"))
     prose = F.col("body")
     for pattern, by in ((r"\s*\[\[co-\d+\]\]", ""), (r"\s*\((?:\s*co-\d+\s*[,;]?)+\)", ""), (r"\s*(?<![A-Za-z0-9_])co-\d+(?![A-Za-z0-9_])", ""), (r"\s+([.,;:!?])", "$1")):
@@ -323,7 +323,7 @@ def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stamp, credit and note of an object, and a suggestion without its quotes."""
-    o = objects(spark, sf_dir)
+    o = bare_objects(spark, sf_dir)
     return o.select(
         "id",
         F.concat_ws(" · ", F.upper("issue_id"), F.lit("UNDATED"), F.concat(F.lit("P."), (F.col("id") % 8 + 1).cast("string"))).alias("stamp"),
@@ -375,7 +375,7 @@ ORACLE_SQL = {
         regexp_replace(regexp_replace(replace(lower(amp), '&', 'and'), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS tight_slug,
         trim(regexp_replace(regexp_replace(lower(raw), '[^a-z0-9 ]+', '', 'g'), '\s+', ' ', 'g')) AS filler_key, regexp_replace(lower(raw), '[^a-z0-9]', '', 'g') AS token,
         trim(left(trim(regexp_replace(raw, '[^\p{L}\p{N} .''-]', '', 'g')), 24)) AS name,
-        replace(replace(replace(left(html, 80), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM r""",
+        replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM r""",
     "prefixed_ids": "SELECT 'co-' || doc_id AS public_id, doc_id AS id, (['a', 'b', 'unknown'])[doc_id % 3 + 1] AS provider FROM documents",
     "title_cases": r"""WITH t AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) || ' O''BRIEN' ELSE p_name END AS t FROM part),
         w AS (SELECT p_partkey, t, regexp_extract_all(lower(t), '[a-z0-9_]+|[^a-z0-9_]+') AS ws FROM t)
@@ -408,7 +408,7 @@ ORACLE_SQL = {
           CASE WHEN e < n AND instr(reverse(a0), ' ') > 0 AND length(a0) - instr(reverse(a0), ' ') > 0 THEN left(a0, length(a0) - instr(reverse(a0), ' ')) ELSE a0 END AS a1 FROM c)
       SELECT id, CASE WHEN s > 0 THEN '… ' ELSE '' END || regexp_replace(b1, '\s+', ' ', 'g') || '[' || substring(text, i + 1, 3) || ']' || regexp_replace(a1, '\s+', ' ', 'g') || CASE WHEN e < n THEN ' …' ELSE '' END AS excerpt FROM d""",
     "citations": """WITH r AS (SELECT item_id, unnest([item_id + 1, item_id, item_id, item_id + 3, item_id * 50, item_id % 7]) AS id, unnest([0, 1, 2, 3, 4, 5]) AS pos FROM benchmark),
-        f AS (SELECT item_id, id, min(pos) AS pos FROM r WHERE id < 60 AND id IN (SELECT doc_id FROM documents) GROUP BY 1, 2),
+        f AS (SELECT item_id, id, min(pos) AS pos FROM r WHERE id IN (SELECT doc_id FROM documents) GROUP BY 1, 2),
         g AS (SELECT item_id, string_agg('co-' || id, ',' ORDER BY pos) AS refs FROM f GROUP BY 1)
       SELECT b.item_id, 'Head' AS headline, 'See and or, now.' AS body, coalesce(g.refs, '') AS refs FROM benchmark b LEFT JOIN g USING (item_id)""",
     "script_shape": rf"""WITH c AS (SELECT conv_id, CASE WHEN turn = 0 THEN 'intro' WHEN turn < 4 THEN 'section' ELSE 'outro' END AS part,

@@ -9,7 +9,7 @@
 | object entities | lineitem + supplier  |
 | object events   | events               |
 
-Every view selects its columns first, so that scans read no more than a query needs.
+An object's issue is its source and a run of 500 ids. Every view selects its columns first, so that scans read no more than a query needs.
 """
 
 from __future__ import annotations
@@ -30,14 +30,16 @@ def sql_list(values: list[str] | tuple[str, ...]) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
-def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Content objects with machine text, human overlay and publication gate; unlabelled ones are unpublished."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    gate = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+#: Objects an issue holds at most: issues are of bounded size, and their number grows with the table.
+ISSUE_SIZE = 500
+
+
+def bare_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content objects with machine text and human overlay, without the publication gate: no join."""
     i = F.col("doc_id")
-    return docs.join(gate, "doc_id", "left").select(
+    return table(spark, sf_dir, "documents").select(
         i.alias("id"),
-        F.col("source").alias("issue_id"),
+        F.concat_ws("-", F.col("source"), F.floor(i / ISSUE_SIZE).cast("string")).alias("issue_id"),
         i.alias("page_record"),
         (i % 40).alias("seq"),
         pick(i % len(OBJECT_CLASSES), OBJECT_CLASSES).alias("object_class"),
@@ -46,15 +48,20 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 17 == 0, F.concat(F.lit("Read again: "), "text")).alias("text_human"),
         F.when(i % 13 == 0, F.concat(F.lit("Title "), i)).alias("display_title"),
         F.when(i % 26 == 0, "drafter-1").alias("display_title_model"),
-        F.coalesce(F.col("quality") == 1, F.lit(False)).alias("is_published"),
         F.when(i % 7 != 0, (F.col("n_chars") % 100) / 100.0).alias("confidence"),
         F.when(i % 3 == 0, "reviewed").when(i % 3 == 1, "flagged").alias("curation_status"),
         (i % 29 == 0).alias("is_advertorial"),
     )
 
 
+def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content objects with their publication gate; unlabelled ones are unpublished."""
+    gate = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality"))
+    return bare_objects(spark, sf_dir).join(gate, "id", "left").withColumn("is_published", F.coalesce(F.col("quality") == 1, F.lit(False))).drop("quality")
+
+
 OBJECTS_SQL = f"""
-  SELECT d.doc_id AS id, d.source AS issue_id, d.doc_id AS page_record, d.doc_id % 40 AS seq,
+  SELECT d.doc_id AS id, d.source || '-' || d.doc_id // {ISSUE_SIZE} AS issue_id, d.doc_id AS page_record, d.doc_id % 40 AS seq,
     ({sql_list(OBJECT_CLASSES)})[d.doc_id % {len(OBJECT_CLASSES)} + 1] AS object_class,
     CASE WHEN d.doc_id % 5 = 0 THEN 'cartoon panel' WHEN d.doc_id % 5 = 1 THEN 'street map' ELSE d.lang END AS role,
     d.text, CASE WHEN d.doc_id % 17 = 0 THEN 'Read again: ' || d.text END AS text_human,
