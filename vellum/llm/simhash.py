@@ -17,8 +17,10 @@ the distance tables work inside a key's group: every row carries its distances t
 `PIVOTS`; rows are sorted by the distance to the first, which gives each row a
 window of at most d to look into; a pair whose distances to any pivot differ by
 more than d can't be within d of each other, and is discarded; survivors are
-verified. A group that holds more than `group_rows` rows is dealt out once more by
-its first pivot distance in overlapping bands, which keeps every link.
+verified, and a spanning forest of each group goes on, so links number less than
+keyed rows. A group that holds more than `group_rows` rows is dealt out once more, by its
+key and by choices of blocks of the bits that the key leaves open: a link agrees in one of
+these, too. That leaves 16 bits open, so that no group holds over 65,536 fingerprints.
 
 Groups of linked fingerprints are connected components; a component is named by
 its smallest doc_id.
@@ -90,37 +92,47 @@ def with_fingerprints(docs: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(_fingerprints(words), "doc_id bigint, fp bigint")
 
 
-def _block_masks(blocks: int) -> list[int]:
-    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    return [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(edges, edges[1:], strict=False)]
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def block_choices(distance: int, blocks: int, within: int = (1 << 64) - 1) -> list[int]:
+    """Masks of the bits `within`, cut into blocks: one for each choice of as many blocks as a link agrees in."""
+    bits = [b for b in range(64) if within >> b & 1]
+    edges = [round(len(bits) * i / blocks) for i in range(blocks + 1)]
+    masks = [sum(1 << b for b in bits[lo:hi]) for lo, hi in zip(edges, edges[1:], strict=False)]
+    return [sum(c) for c in combinations(masks, blocks - distance)]
+
+
 def block_keys(distance: int, blocks: int) -> Column:
     """One (choice, bits) key for each choice of blocks that a link must agree in."""
-    masks = _block_masks(blocks)
-    chosen = [sum(c) for c in combinations(masks, blocks - distance)]
+    chosen = block_choices(distance, blocks)
     return F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for i, m in enumerate(chosen)])
 
 
+def finer_keys(distance: int, blocks: int) -> Column:
+    """The keys of a row of a hot key: its choice's bits, and a choice among blocks of the other bits, which
+    a link with that key must agree in as well."""
+    all_bits = (1 << 64) - 1
+    finer = [[_signed(m | x) for x in block_choices(distance, blocks, all_bits & ~m)] for m in block_choices(distance, blocks)]
+    masks = F.element_at(F.array(*[F.array(*[F.lit(x) for x in own]) for own in finer]), F.col("choice") + 1)
+    return F.transform(masks, lambda m, i: F.xxhash64(F.lit(1), F.col("choice"), i, F.col("fp").bitwiseAND(m)))
+
+
 def pivot_table(fps: np.ndarray, pivots: int = len(PIVOTS)) -> np.ndarray:
     """Hamming distances of fingerprints (uint64) to the pivots: rows x pivots."""
     return np.stack([np.bitwise_count(fps ^ np.uint64(p)) for p in PIVOTS[:pivots]], axis=1).astype(np.int8)
 
 
-def linked_pairs(fps: np.ndarray, distance: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """All index pairs of distinct fingerprints within distance, by the pivot table."""
+def linked_blocks(fps: np.ndarray, distance: int, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All index pairs of distinct fingerprints within distance, by the pivot table, block by block."""
     if len(fps) < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return
     table = pivot_table(fps, 4 if len(fps) < 64 else len(PIVOTS))
     order = np.argsort(table[:, 0], kind="stable")
     table, own = table[order], fps[order]
     # Only rows up to `distance` further along the first pivot can be linked.
     until = np.searchsorted(table[:, 0], table[:, 0].astype(np.int16) + distance, side="right")
-    left, right = [], []
     for lo in range(0, len(own), block):
         hi = min(len(own), lo + block)
         for at in range(lo, int(until[hi - 1]), block):
@@ -131,13 +143,39 @@ def linked_pairs(fps: np.ndarray, distance: int, block: int = 512) -> tuple[np.n
             i, j = np.nonzero(near)
             i, j = i + lo, j + at
             sure = (i < j) & (np.bitwise_count(own[i] ^ own[j]) <= distance)
-            left.append(order[i[sure]])
-            right.append(order[j[sure]])
-    return np.concatenate(left), np.concatenate(right)
+            yield order[i[sure]], order[j[sure]]
+
+
+def spanning_links(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs within distance: links that connect what the pairs connect, fewer than rows."""
+    label = np.arange(len(fps))
+    u, v = [], []
+    for i, j in linked_blocks(fps, distance):
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+        # One pair for each two trees that meet in this block.
+        _, one = np.unique(np.minimum(label[i], label[j]) * len(fps) + np.maximum(label[i], label[j]), return_index=True)
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                x = up
+            return x
+
+        for at in one.tolist():
+            a, b = root(int(label[i[at]])), root(int(label[j[at]]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                u.append(int(i[at]))
+                v.append(int(j[at]))
+        if parent:
+            ends = np.array([root(x) for x in range(len(fps))])
+            label = ends[label]
+    return np.array(u, np.int64), np.array(v, np.int64)
 
 
 def _links(distance: int):
-    """Rows sorted by key -> verified links; a group never spans more than its own rows."""
+    """Rows sorted by key -> verified links, of larger groups a spanning forest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest_key, rest_fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -154,7 +192,7 @@ def _links(distance: int):
                 v.append(b[near])
             for at, n in zip(edges[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
                 own = np.unique(fps[at : at + n])
-                i, j = linked_pairs(own.view(np.uint64), distance)
+                i, j = spanning_links(own.view(np.uint64), distance)
                 u.append(own[i])
                 v.append(own[j])
             if not u:
@@ -178,19 +216,16 @@ def _links(distance: int):
 
 
 def fingerprint_links(prints: DataFrame, distance: int = 3, blocks: int = 6, group_rows: int = 20_000) -> DataFrame:
-    """Links (u, v) between distinct fingerprints (fp) at most `distance` bits apart."""
-    keyed = prints.select("fp", F.explode(block_keys(distance, blocks)).alias("k")).select("fp", F.xxhash64("k.choice", "k.bits").alias("key"))
+    """Links (u, v) between distinct fingerprints (fp) at most `distance` bits apart, which connect
+    all that such links connect."""
+    keyed = prints.select("fp", F.explode(block_keys(distance, blocks)).alias("k")).select("fp", "k.choice", F.xxhash64("k.choice", "k.bits").alias("key"))
     # Keys that more rows share than a task should hold are few: they are counted, and
-    # their groups are dealt out again in bands of the first pivot distance.
+    # their groups are dealt out again by further bits.
     hot = staged(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_rows).select("key"), "hot_keys")
+    keyed, dealt = keyed.select("fp", "key"), keyed
     if not hot.isEmpty():
-        first = F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(PIVOTS[0]))))
-        width = distance + 1
-        band = (first / width).cast("int")
-        # A link's ends lie in the same band or in neighbouring ones: each row goes to its
-        # own band and the next, so that both ends meet in one of them.
-        banded = keyed.join(hot, "key").select("fp", F.explode(F.array(band, band + 1)).alias("band"), "key").select("fp", F.xxhash64("key", "band").alias("key"))
-        keyed = keyed.join(hot, "key", "left_anti").select("fp", "key").unionAll(banded)
+        finer = dealt.join(hot, "key").select("fp", F.explode(finer_keys(distance, blocks)).alias("key"))
+        keyed = keyed.join(hot, "key", "left_anti").select("fp", "key").unionAll(finer)
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_links(distance), "u bigint, v bigint").distinct()
 
 
