@@ -147,6 +147,26 @@ def test_repeated_ids_are_one_document_if_equal(spark):
     assert got == [(0, 0), (1, 0), (1, 0), (2, 0), (2, 400)]
 
 
+def test_a_short_passage_amid_different_words_is_no_hot_group(spark):
+    rng = random.Random(41)
+    say = lambda k: " ".join(f"w{rng.randrange(10**6)}" for _ in range(k))
+    short, long = say(45), say(70)
+    texts = [f"{say(40)} {short} {say(40)}" for _ in range(3000)] + [f"{say(30)} {long} {say(30)}" for _ in range(30)]
+    rng.shuffle(texts)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(6)
+    rows = d.select(F.col("doc_id").alias("doc"), "text")
+    for maker, wide in ((substring_dedup._anchors(50), 6), (suffix_dedup._phrases(100, 32), 40)):
+        anchors = rows.mapInArrow(maker, repeats.ANCHOR).where("state <> 1")
+        batches = 6 * 12  # phrases leave in steps of some hundred kilobytes
+        assert anchors.groupBy("g").count().agg(F.max("count")).first()[0] < (repeats.SPREAD + 1) * (6 if wide == 6 else batches)
+    got = {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(d, 50).collect()}
+    holders = [i for i, t in enumerate(texts) if long in t]
+    assert {i for i, n in got.items() if n} == set(holders[1:]) and {got[i] for i in holders[1:]} == {70}
+    small = d.where("doc_id < 400")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(small).collect()}
+    assert got == brute_bytes([(i, t.encode()) for i, t in enumerate(texts[:400])], 100)
+
+
 def test_scan_over_batch_borders():
     rng = random.Random(5)
     for groups, keys in ((6, 3), (60, 2), (200, 2)):

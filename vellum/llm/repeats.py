@@ -17,7 +17,10 @@ First-occurrence scan, over rows sorted by (g, k, doc, lo):
 No row is compared with another pair by pair, so a passage in a third of all
 documents costs as much as its rows. Before the shuffle each task covers what it
 can by itself: of rows with equal keys in a batch only the first goes on, so a hot
-key reaches the shuffle once a batch. The scan keeps one group's first rows.
+key reaches the shuffle once a batch. A hot g with ever other k (a short passage amid
+different ones) is known for one in a batch: its rows are dealt out by (g, k), and a
+note goes to g in their place. Rows with an equal key that miss each other so are edges, and
+meet window by window. The scan keeps one group's first rows.
 
 Keys are 128 bits in all: g and k for anchors, two halves for windows.
 """
@@ -38,8 +41,11 @@ from vellum.llm.common import staged, texts
 ANCHOR = "g bigint, k bigint, doc bigint, lo int, hi int, state int"
 SPAN = "doc bigint, lo int, hi int, state int"
 
-#: States of a row: still to be judged; covered; an edge whose windows need a look.
-OPEN, COVERED, EDGE = 0, 1, 2
+#: States of a row: still to be judged; covered; an edge whose windows need a look; to be judged,
+#: and an edge unless covered; no row, but a note that its g has several k.
+OPEN, COVERED, EDGE, SURE, NOTE = 0, 1, 2, 3, 4
+#: So many k of one g in a batch are dealt out by (g, k) from there.
+SPREAD = 8
 _TYPES = {"g": np.int64, "k": np.int64, "doc": np.int64, "lo": np.int32, "hi": np.int32, "state": np.int32}
 
 
@@ -52,7 +58,8 @@ def combine(g: np.ndarray, k: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: n
 
     across: only rows of a larger doc are covered; else later rows of one doc are, too.
     Covered spans of a document that overlap or touch leave as one row; its g is the
-    document, so that such rows spread in the shuffle.
+    document, so that such rows spread in the shuffle. Rows of a g with many k are
+    edges unless covered: they spread by (g, k), and one note tells the rows of that g elsewhere.
     """
     order = np.lexsort((lo, doc, k, g))
     new = np.ones(len(g), bool)
@@ -61,15 +68,24 @@ def combine(g: np.ndarray, k: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: n
     later = np.zeros(len(g), bool)
     later[order] = doc[order] > doc[order][first] if across else ~new
     spans = merged_spans(doc[later], lo[later], hi[later])
+    new_g = np.ones(len(g), bool)
+    new_g[1:] = g[order][1:] != g[order][:-1]
+    number = np.cumsum(new_g) - 1
+    kinds = np.bincount(number, new)
+    sure = np.zeros(len(g), bool)
+    sure[order] = kinds[number] >= SPREAD if len(g) else False
+    notes = g[order][new_g][kinds >= SPREAD]
+    spread = np.where(sure, (g * np.int64(0x2545F4914F6CDD1D)) ^ (k * np.int64(0x369DEA0F31A53F85)), g)
     keep = ~later
     zero = np.zeros(len(spans[0]), np.int64)
+    none = np.zeros(len(notes), np.int32)
     return {
-        "g": np.r_[g[keep], spans[0]],
-        "k": np.r_[k[keep], zero],
-        "doc": np.r_[doc[keep], spans[0]],
-        "lo": np.r_[lo[keep], spans[1]],
-        "hi": np.r_[hi[keep], spans[2]],
-        "state": np.repeat(np.array([OPEN, COVERED], np.int32), [keep.sum(), len(zero)]),
+        "g": np.r_[spread[keep], spans[0], notes],
+        "k": np.r_[k[keep], zero, none],
+        "doc": np.r_[doc[keep], spans[0], np.full(len(notes), 2**63 - 1)],
+        "lo": np.r_[lo[keep], spans[1], none],
+        "hi": np.r_[hi[keep], spans[2], none],
+        "state": np.r_[np.where(sure[keep], SURE, OPEN), np.full(len(zero), COVERED), np.full(len(notes), NOTE)].astype(np.int32),
     }
 
 
@@ -103,7 +119,7 @@ def scan(across: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             if done.any():
                 yield rows_batch({c: col[c][done] for c in ("doc", "lo", "hi", "state")})
                 col = {c: v[~done] for c, v in col.items()}
-            g, k, doc = col["g"], col["k"], col["doc"]
+            g, k, doc, state = col["g"], col["k"], col["doc"], col["state"]
             n = len(g)
             if not n:
                 continue
@@ -122,7 +138,8 @@ def scan(across: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             kinds = np.bincount(number, weights=new_k, minlength=number[-1] + 1)
             if goes_on:
                 kinds[0] += 1
-            many = kinds >= 2
+            note = state == NOTE
+            many = (kinds >= 2) | (np.bincount(number, note, number[-1] + 1) > 0)
             if goes_on and several:
                 many[0] = True
             if wait:
@@ -131,9 +148,9 @@ def scan(across: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                 if not goes_on or many[0] or number[-1] > 0:
                     wait = []
             out_state = np.where(later, COVERED, EDGE).astype(np.int32)
-            emit = later | many[number]
+            emit = (later | many[number] | (state == SURE)) & ~note
             last = number == number[-1]
-            held = last & ~emit
+            held = last & ~emit & ~note
             if held.any():
                 wait.append(np.stack([doc[held], col["lo"][held], col["hi"][held]]))
             if emit.any():

@@ -40,7 +40,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import carrying, schema_with, staged
+from vellum.llm.common import carrying, schema_with
 from vellum.llm.terms import PUNCTUATION, labelled_sample, lower_texts
 
 BLOCK = 512
