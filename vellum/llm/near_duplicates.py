@@ -6,9 +6,8 @@ fingerprints differ in 15 % of their bits, too many for whole blocks to agree. S
 
 1. equal word sequences become one class, named by its smallest doc_id;
 2. every class gets a fingerprint of 128 bits over its distinct shingles, and is dealt out
-   to `tables` groups, each by a fixed choice of its bits. Key length follows the
-   number of classes, and the number of tables the key length, so that most pairs of
-   similarity 0.8 meet, and unrelated classes seldom do, at every size;
+   to a group in each of `TABLES` tables, by the table's fixed choice of its bits. Key length
+   follows the number of classes, so that unrelated classes seldom meet, at every size;
 3. in a group, pairs whose distances to any pivot differ by more than the radius are
    discarded by the pivot table, survivors are compared, and only a minimum spanning
    forest of the near ones goes on, with less links than rows;
@@ -26,9 +25,15 @@ fingerprints differ in 15 % of their bits, too many for whole blocks to agree. S
 6. connected components of all verified links are the groups. No link is lost.
 
 Steps 2 to 4 are there for large groups of copies, whose pairs step 5 would have to
-try one by one. There, a group of more than `GROUP` rows is first thinned out by leaders: rows
-within a quarter of the radius of a leader are linked to it and only the leader goes on. A
-task thins a very large group as its rows come in, so it never holds one whole.
+try one by one; what they leave apart, step 5 finds. There, a group of more than `GROUP` rows is
+first thinned out by leaders: rows within a quarter of the radius of a leader are linked to it
+and only the leader goes on. A task thins a very large group as its rows come in, so it never
+holds one whole.
+
+Edge cases: null texts count as empty, and texts without words are equal; a null doc_id comes
+before all others; equal rows of an id are one document, of which one row is kept; rows that
+repeat an id with other texts count as documents in the order of a hash of their texts; an
+empty table gives an empty result; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -44,8 +49,11 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import id_values, staged, texts
 from vellum.llm.components import with_components
+from vellum.llm.repeats import real_id, unique_rows
 from vellum.llm.simhash import PIVOTS, shingle_hashes
 
+#: Tables that classes are dealt out to, at any size.
+TABLES = 16
 #: Rows of a group that are compared directly.
 GROUP = 1024
 #: Rows of a shingle that wait for its count; one in more texts comes last in the order.
@@ -140,18 +148,14 @@ def _prints(words: int):
                 f.append(set_fingerprint(shingles))
                 n.append(len(shingles))
             c, f = np.array(c).reshape(-1, 2), np.array(f, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(id_values(batch)), *(pa.array(x[:, w].copy()) for x in (c, f) for w in (0, 1)), pa.array(n, pa.int64())], names=["doc_id", "c1", "c2", "f1", "f2", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), *(pa.array(x[:, w].copy()) for x in (c, f) for w in (0, 1)), pa.array(n, pa.int64())], names=["doc", "c1", "c2", "f1", "f2", "n"])
 
     return run
 
 
-def table_plan(classes: int, similarity: float, recall: float) -> tuple[int, int]:
-    """Key bits and tables: groups of about eight unrelated rows; pairs would be met with `recall`
-    if tables were independent and angles exact. They are not, so pairs are missed here more often."""
-    bits = min(40, max(8, math.ceil(math.log2(max(2, classes))) - 3))
-    cosine = 2 * similarity / (1 + similarity)
-    agree = (1 - math.acos(cosine) / math.pi) ** bits
-    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
+def key_bits(classes: int) -> int:
+    """Bits of a key: groups of about eight unrelated rows."""
+    return min(40, max(8, math.ceil(math.log2(max(2, classes))) - 3))
 
 
 def _deal(bits: int, tables: int):
@@ -233,7 +237,7 @@ def _slice(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = (np.unique(np.array(shingle_hashes(t, words), np.uint64)) for t in texts(batch, lower=True))
-            yield from _exploded(((doc, x[(x & np.uint64(15)) < 5]) for doc, x in zip(id_values(batch).tolist(), found, strict=True)), 1)
+            yield from _exploded(((doc, x[(x & np.uint64(15)) < 5]) for doc, x in zip(id_values(batch, "doc").tolist(), found, strict=True)), 1)
 
     return run
 
@@ -368,13 +372,13 @@ def _meetings(similarity: float, block: int = 2048):
 def remaining_pairs(rows: DataFrame, sizes: DataFrame, roots: DataFrame, words: int, similarity: float) -> DataFrame:
     """Pairs (u, v) of different roots that may reach the similarity: all that do are among them.
 
-    rows: doc_id, text; sizes: doc, n (distinct shingles); roots: node, root, a row a class.
+    rows: doc, text; sizes: doc, n (distinct shingles); roots: node, root, a row a class.
     """
     alone = rows.mapInArrow(_slice(words), "token bigint, doc bigint").repartition("token").sortWithinPartitions("token").mapInArrow(_alone, "doc bigint")
     alone = alone.groupBy("doc").agg(F.count(F.lit(1)).alias("alone"))
     left = roots.select(F.col("node").alias("doc"), "root").join(sizes, "doc").join(alone, "doc", "left").where(F.coalesce("alone", F.lit(0)) <= (1 - similarity) * F.col("n") + 1e-6).select("doc", "root")
     left = staged(left.distinct(), "texts_left")
-    whole = rows.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), "text").join(left, "doc").dropDuplicates(["doc"])
+    whole = rows.join(left, "doc")
     tokens = whole.mapInArrow(_all_shingles(words), "token bigint, doc bigint, root bigint, n bigint")
     shared = tokens.repartition("token").sortWithinPartitions("token", "root").mapInArrow(_shared, "doc bigint, roots bigint, token bigint, root bigint, n bigint")
     prefixes = shared.repartition("doc").sortWithinPartitions("doc", "roots", "token").mapInArrow(_prefixes(similarity), "token bigint, n bigint, doc bigint, root bigint, place bigint")
@@ -384,32 +388,49 @@ def remaining_pairs(rows: DataFrame, sizes: DataFrame, roots: DataFrame, words:
 def verified_links(rows: DataFrame, links: DataFrame, words: int, similarity: float) -> DataFrame:
     """The links (u, v) whose texts have the similarity. Only the texts that links need are fetched."""
     ends = links.select(F.col("u").alias("doc")).unionAll(links.select(F.col("v").alias("doc"))).distinct()
-    needed = staged(rows.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), "text").join(ends, "doc", "left_semi").dropDuplicates(["doc"]), "linked_texts")
+    needed = staged(rows.join(ends, "doc", "left_semi"), "linked_texts")
     pairs = links.join(needed.select(F.col("doc").alias("u"), F.col("text").alias("a")), "u").join(needed.select(F.col("doc").alias("v"), F.col("text").alias("b")), "v")
     return staged(pairs.select("u", "v", "a", "b").mapInArrow(_verify(words, similarity), "u bigint, v bigint"), "verified_links")
 
 
-def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
-    """doc_id, group_id (the smallest doc_id of the group) for every document.
-
-    Null texts count as empty, texts without words are equal, a null doc_id comes before
-    all others; rows that repeat a doc_id must have the same text.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = staged(rows.mapInArrow(_prints(words), "doc_id bigint, c1 bigint, c2 bigint, f1 bigint, f2 bigint, n bigint"), "set_fingerprints")
-    classes = staged(prints.groupBy("c1", "c2").agg(F.min("doc_id").alias("doc"), F.first("f1").alias("f1"), F.first("f2").alias("f2")), "text_classes")
+def _roots(rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """rows (doc, text), each doc once -> (doc, root): the smallest doc of its group."""
+    prints = staged(rows.mapInArrow(_prints(words), "doc bigint, c1 bigint, c2 bigint, f1 bigint, f2 bigint, n bigint"), "set_fingerprints")
+    classes = staged(prints.groupBy("c1", "c2").agg(F.min("doc").alias("doc"), F.first("f1").alias("f1"), F.first("f2").alias("f2")), "text_classes")
     cosine = 2 * similarity / (1 + similarity)
     apart = math.acos(cosine) / math.pi
     radius = math.floor(_BITS * apart + 3 * math.sqrt(_BITS * apart * (1 - apart)))
-    dealt = classes.select("doc", "f1", "f2").mapInArrow(_deal(*table_plan(classes.count(), similarity, recall)), "key bigint, doc bigint, f1 bigint, f2 bigint")
+    dealt = classes.select("doc", "f1", "f2").mapInArrow(_deal(key_bits(classes.count()), TABLES), "key bigint, doc bigint, f1 bigint, f2 bigint")
     links = staged(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_forests(radius), "u bigint, v bigint").distinct(), "candidate_links")
     verified = verified_links(rows, links, words, similarity)
-    nodes = classes.select(F.col("doc").alias("node"))
-    first = staged(with_components(nodes, verified), "first_groups")
-    sizes = prints.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), "n").distinct()
-    more = staged(remaining_pairs(rows, sizes, first, words, similarity), "candidate_links")
+    first = staged(with_components(classes.select(F.col("doc").alias("node")), verified), "first_groups")
+    more = staged(remaining_pairs(rows, prints.select("doc", "n"), first, words, similarity), "candidate_links")
     verified = first.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(verified_links(rows, more, words, similarity))
     roots = with_components(classes.select(F.col("doc").alias("node"), "c1", "c2"), verified)
-    out = prints.select("doc_id", "c1", "c2").join(roots, ["c1", "c2"])
-    real = lambda c: F.when(F.col(c) != -(2**63), F.col(c))
-    return out.select(real("doc_id").alias("doc_id"), real("root").alias("group_id"))
+    return prints.select("doc", "c1", "c2").join(roots, ["c1", "c2"]).select("doc", "root")
+
+
+def _grouped(docs: DataFrame, carry: list[str], words: int, similarity: float) -> tuple[DataFrame, DataFrame, bool]:
+    """(id, carried, row, root, leads) of every row, (doc, root) of every document, and whether ids repeat."""
+    rows, with_roots, repeated = unique_rows(docs, carry)
+    roots = staged(_roots(rows, words, similarity), "near_groups")
+    return with_roots(roots.withColumn("leads", F.expr("doc = root"))), roots, repeated
+
+
+def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, group_id (the smallest doc_id of the group) for every row."""
+    each, _, repeated = _grouped(docs, [], words, similarity)
+    if repeated:  # roots are numbers of documents; the first of a group has its smallest id
+        each = each.join(each.where("leads").groupBy("root").agg(F.min("id").alias("group")), "root")
+    return each.select(real_id("id").alias("doc_id"), real_id("group" if repeated else "root").alias("group_id"))
+
+
+def one_of_each_group(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs without near duplicates: of each group one row of its smallest doc_id."""
+    each, roots, repeated = _grouped(docs, docs.columns, words, similarity)
+    if not repeated:
+        gone = roots.where("doc <> root").select("doc")
+        return docs.join(gone, F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))) == gone["doc"], "left_anti")
+    rows = each.where("leads").select("root", "row", "carried")
+    first = rows.groupBy("root").agg(F.min("row").alias("first"))
+    return rows.join(first, "root").where("row = first").select("carried.*")

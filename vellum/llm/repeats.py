@@ -210,28 +210,28 @@ def numbered(rows: DataFrame, by: list[str]) -> DataFrame:
     return staged(ranges.join(starts, "range").select(*by, (F.col("start") + F.col("place")).alias("number")), "numbers")
 
 
-def unique_rows(docs: DataFrame, carry: Sequence[str] = (), text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """Rows (doc, text) with a doc of their own, in the order of doc_id (null first), and
-    what joins spans per doc to every input row: (id, text, carried, spans).
+def unique_rows(docs: DataFrame, carry: Sequence[str] = (), text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, Callable[[DataFrame], DataFrame], bool]:
+    """Rows (doc, text) with a doc of their own, in the order of doc_id (null first), what joins
+    columns per doc to every input row: (id, text, carried, row, columns), and whether ids repeat.
 
-    Where no doc_id repeats, doc is doc_id. Else equal rows become one, and rows are
-    numbered in the order of doc_id and a hash of the text. carried is a struct of the
-    columns to carry, or null.
+    Where no doc_id repeats, doc is doc_id, and row is null. Else equal rows become one, and rows are
+    numbered in the order of doc_id and a hash of the text; row is a number of the input row.
+    carried is a struct of the columns to carry, or null.
     """
     carried = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("int")
     each = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("doc"), F.col(text).cast("string").alias("text"), carried.alias("carried"))
     rows = each.select("doc", "text")
     if rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        return rows, lambda spans: each.join(spans.hint("shuffle_hash"), "doc", "left").withColumnRenamed("doc", "id")
-    keyed = staged(each.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))), "repeated_ids")
+        return rows, lambda spans: each.withColumn("row", F.lit(None).cast("bigint")).join(spans.hint("shuffle_hash"), "doc", "left").withColumnRenamed("doc", "id"), False
+    keyed = staged(each.withColumns({"h": F.xxhash64(F.coalesce("text", F.lit(""))), "row": F.monotonically_increasing_id()}), "repeated_ids")
     number = numbered(keyed.select("doc", "h").distinct(), ["doc", "h"])
     one = keyed.dropDuplicates(["doc", "h"]).join(number, ["doc", "h"]).select(F.col("number").alias("doc"), "text")
 
     def with_spans(spans: DataFrame) -> DataFrame:
-        numbered = keyed.join(number, ["doc", "h"]).select(F.col("doc").alias("id"), "text", "carried", F.col("number").alias("doc"))
-        return numbered.join(spans.hint("shuffle_hash"), "doc", "left").drop("doc")
+        joined = keyed.join(number, ["doc", "h"]).select(F.col("doc").alias("id"), "text", "carried", "row", F.col("number").alias("doc"))
+        return joined.join(spans.hint("shuffle_hash"), "doc", "left").drop("doc")
 
-    return one, with_spans
+    return one, with_spans, True
 
 
 def real_id(col: str) -> Column:

@@ -110,7 +110,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, with_text: bool = True) -
     """doc_id, n_words, n_removed, kept_sha256, kept (words joined by one space) per document."""
     if window <= PERIOD:
         raise ValueError(f"a window must be longer than the cover's period of {PERIOD} words")
-    rows, with_spans = unique_rows(docs)
+    rows, with_spans, _ = unique_rows(docs)
     spans = spans_per_doc(repeated_spans(rows, rows.mapInArrow(_anchors(window), ANCHOR), words_of, window, across=True))
     out = with_spans(spans).mapInArrow(_remove(with_text), _KEPT)
     return out.select(real_id("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept")

@@ -164,7 +164,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, context: int = 32, with_byt
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) per document."""
     if context % 8 or not 8 <= context <= length:
         raise ValueError("context must be a multiple of 8, and no longer than length")
-    rows, with_spans = unique_rows(docs)
+    rows, with_spans, _ = unique_rows(docs)
     finer = (length - 10) // 8 * 8
     levels = [_finer_phrases(length, finer)] if finer > context else []
     spans = spans_per_doc(repeated_spans(rows, rows.mapInArrow(_phrases(length, context), ANCHOR), bytes_of, length, across=False, finer=levels))
