@@ -6,7 +6,8 @@ columns of documents:
 * toxicity drops documents that the nearest labelled examples call toxic;
 * line_dedup deletes aligned blocks of lines from the later of two documents (n_chars, where
   there is such a column, follows the text);
-* simhash keeps one document, that with the smallest doc_id, of each group of near duplicates;
+* simhash keeps one document, that with the smallest doc_id, of each group of near duplicates, and
+  one row of a document that is given several times;
 * decontamination drops documents that hold a benchmark item;
 * mixing adds domain posteriors, and the rate and copies that meet the target weights.
 """
@@ -20,7 +21,7 @@ from vellum.llm.common import staged
 from vellum.llm.decontamination import decontaminate
 from vellum.llm.line_dedup import line_dedup
 from vellum.llm.mixing import mix
-from vellum.llm.near_duplicates import near_duplicate_groups
+from vellum.llm.near_duplicates import one_of_each_group
 from vellum.llm.toxicity import NOT_HELD_OUT, fit_toxicity, score_toxicity
 
 
@@ -45,9 +46,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = near_duplicate_groups(docs)
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("group_id"))).select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    return one_of_each_group(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
