@@ -167,10 +167,51 @@ def test_a_short_passage_amid_different_words_is_no_hot_group(spark):
     assert got == brute_bytes([(i, t.encode()) for i, t in enumerate(texts[:400])], 100)
 
 
+def test_suffix_ranks_are_the_order_of_the_suffixes():
+    rng = np.random.default_rng(8)
+    for length in (8, 9, 16, 40, 100, 101):
+        data = rng.integers(97, 99, 600, np.uint8)
+        data[300:450] = data[40:190]
+        rank = suffix_dedup.suffix_ranks(data, length)
+        whole = data.tobytes()
+        strings = [whole[i : i + length] for i in range(600 - length + 1)]
+        rank = rank[: len(strings)]
+        order = np.argsort(rank, kind="stable")
+        assert [strings[i] for i in order] == sorted(strings)
+        assert len(set(rank.tolist())) == len(set(strings))
+
+
+def test_entries_stay_in_whole_groups_over_batch_borders(monkeypatch):
+    rng = random.Random(17)
+    phrases = ["".join(rng.choice("ab") for _ in range(60)).encode() for _ in range(30)]
+    rows = sorted((rng.randrange(40), rng.choice(phrases)[: rng.randrange(50, 61)], i, rng.randrange(1000)) for i in range(400))
+    first, want = {}, set()
+    for g, x, doc, lo in sorted(rows, key=lambda r: r[2:]):
+        for p in range(len(x) - 39):
+            if first.setdefault((g, x[p : p + 40]), (doc, lo + p)) != (doc, lo + p):
+                want |= {(doc, lo + p + i) for i in range(40)}
+    # A string that lies in two groups isn't a case that triggers make: give each group its own bytes.
+    rows = [(g, x.translate(bytes((c + g) % 256 for c in range(256))), doc, lo) for g, x, doc, lo in rows]
+    for size in (1, 7, 64, 400):
+        for ordered in (50, 700, 10**6):
+            monkeypatch.setattr(suffix_dedup, "ORDERED", ordered)
+            batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + size], strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.int32()), strict=True)], names=["g", "phrase", "doc", "lo"]) for i in range(0, 400, size)]
+            got = {(r["doc"], p) for b in suffix_dedup._ordered(40)(iter(batches)) for r in b.to_pylist() for p in range(r["lo"], r["hi"])}
+            assert got == want
+
+
+@pytest.mark.parametrize("most", [1, 3])
+def test_big_groups_go_by_longer_triggers_and_by_strings(docs, monkeypatch, most):
+    monkeypatch.setattr(repeats.scan, "__defaults__", (most,))
+    want = brute_bytes(sorted((r.doc_id, (r.text or "").encode()) for r in docs.collect()), 100)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(docs).collect()}
+    assert got == want
+
+
 def test_scan_over_batch_borders():
     rng = random.Random(5)
     for groups, keys in ((6, 3), (60, 2), (200, 2)):
-        rows = sorted({(rng.randrange(groups), rng.randrange(keys), rng.randrange(20), rng.randrange(50)) for _ in range(400)})
+        rows = sorted({(rng.randrange(groups), rng.randrange(keys), i // 20, rng.randrange(50) * 8 + i % 8) for i in range(400)})
         for across in (False, True):
             first: dict = {}
             for g, k, doc, _ in rows:
@@ -183,15 +224,20 @@ def test_scan_over_batch_borders():
                 if covered or several[g] > 1:
                     want.append((doc, lo, lo + 1, repeats.COVERED if covered else repeats.EDGE))
             assert all(_scan(rows, size, across) == sorted(want) for size in (1, 2, 7, 50, 10**6))
+            # Groups of over two keys are big.
+            big = {(doc, lo) for g, k, doc, lo in rows if several[g] > 2}
+            told = sorted((d, a, b, repeats.BIG if s == repeats.EDGE and (d, a) in big else s) for d, a, b, s in want)
+            if len({r[2:] for r in rows}) == len(rows):
+                assert all(_scan(rows, size, across, 2) == told for size in (1, 2, 7, 50, 10**6))
 
 
-def _scan(rows, size, across):
+def _scan(rows, size, across, most=repeats.GROUP):
     def batches():
         for lo in range(0, len(rows), size):
             g, k, doc, lo_ = (np.array(x) for x in zip(*rows[lo : lo + size], strict=True))
             yield repeats.rows_batch({"g": g, "k": k, "doc": doc, "lo": lo_.astype(np.int32), "hi": (lo_ + 1).astype(np.int32), "state": np.zeros(len(g), np.int32)})
 
-    return sorted(tuple(r.values()) for b in repeats.scan(across)(batches()) for r in b.to_pylist())
+    return sorted(tuple(r.values()) for b in repeats.scan(across, most)(batches()) for r in b.to_pylist())
 
 
 def fingerprint(text):

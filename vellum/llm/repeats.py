@@ -11,7 +11,8 @@ First-occurrence scan, over rows sorted by (g, k, doc, lo):
   later ones also lies in the first. They are *covered* whole.
 * First rows whose g turns up with a second k share an anchor but not the
   surroundings: some of their windows may be equal. These *edges* of repeated
-  passages are few; their windows are hashed one by one, and scanned in turn.
+  passages are few; what lies in them is compared by itself. Edges of a g with over
+  `GROUP` k are told apart as *big*, since a task shouldn't hold them all.
 * A g with one k has nothing else to compare.
 
 No row is compared with another pair by pair, so a passage in a third of all
@@ -41,9 +42,11 @@ from vellum.llm.common import staged, texts
 ANCHOR = "g bigint, k bigint, doc bigint, lo int, hi int, state int"
 SPAN = "doc bigint, lo int, hi int, state int"
 
-#: States of a row: still to be judged; covered; an edge whose windows need a look; to be judged,
-#: and an edge unless covered; no row, but a note that its g has several k.
-OPEN, COVERED, EDGE, SURE, NOTE = 0, 1, 2, 3, 4
+#: States of a row: still to be judged; covered; an edge that needs a look; to be judged, and a big
+#: edge unless covered; no row, but a note that its g has very many k; an edge of a g with many k.
+OPEN, COVERED, EDGE, SURE, NOTE, BIG = 0, 1, 2, 3, 4, 5
+#: A g with more k than this has big edges.
+GROUP = 4096
 #: So many k of one g in a batch are dealt out by (g, k) from there.
 SPREAD = 8
 _TYPES = {"g": np.int64, "k": np.int64, "doc": np.int64, "lo": np.int32, "hi": np.int32, "state": np.int32}
@@ -104,14 +107,14 @@ def merged_spans(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.nd
     return doc[start], lo[start], (reach[end] - shift[end]).astype(hi.dtype)
 
 
-def scan(across: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def scan(across: bool, most: int = GROUP) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The first-occurrence scan over rows sorted by (g, k, doc, lo)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Of the last group so far: its key, its current k and that k's first doc, whether a
-        # second k has turned up, and the first rows that wait for one.
+        # Of the last group so far: its key, its current k and that k's first doc, the number of
+        # its k, whether it is big, and its first rows, which wait for that number.
         g0 = k0 = d0 = None
-        several = False
+        kinds0, big0 = 0, False
         wait: list[np.ndarray] = []
         for batch in batches:
             col = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in _TYPES}
@@ -123,6 +126,7 @@ def scan(across: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             n = len(g)
             if not n:
                 continue
+            note = state == NOTE
             new_g = np.ones(n, bool)
             new_g[1:] = g[1:] != g[:-1]
             new_k = new_g.copy()
@@ -132,37 +136,42 @@ def scan(across: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             new_g[0], new_k[0] = not goes_on, not same_k
             at = np.maximum.accumulate(np.where(new_k, np.arange(n), -1))
             lead = np.where(at >= 0, doc[np.maximum(at, 0)], d0 if same_k else 0)
-            later = doc > lead if across else ~new_k
+            later = (doc > lead if across else ~new_k) & ~note
             # Number the groups of this batch; 0 is the one carried over, if it goes on.
             number = np.cumsum(new_g) - (0 if goes_on else 1)
-            kinds = np.bincount(number, weights=new_k, minlength=number[-1] + 1)
+            kinds = np.bincount(number, new_k & ~note, number[-1] + 1)
+            big = np.bincount(number, note, number[-1] + 1) > 0
             if goes_on:
-                kinds[0] += 1
-            note = state == NOTE
-            many = (kinds >= 2) | (np.bincount(number, note, number[-1] + 1) > 0)
-            if goes_on and several:
-                many[0] = True
-            if wait:
-                if goes_on and many[0]:
-                    yield _edges(wait)
-                if not goes_on or many[0] or number[-1] > 0:
-                    wait = []
-            out_state = np.where(later, COVERED, EDGE).astype(np.int32)
-            emit = (later | many[number] | (state == SURE)) & ~note
+                kinds[0] += kinds0
+                big[0] |= big0
+            big |= kinds > most
+            if wait and not goes_on:
+                yield from _edges(wait, kinds0, EDGE)
+                wait = []
+            elif wait and (big[0] or number[-1] > 0):
+                yield from _edges(wait, kinds[0], BIG if big[0] else EDGE)
+                wait = []
             last = number == number[-1]
+            in_big = big[number] | (state == SURE)
+            emit = (later | in_big | (~last & (kinds[number] >= 2))) & ~note
             held = last & ~emit & ~note
             if held.any():
                 wait.append(np.stack([doc[held], col["lo"][held], col["hi"][held]]))
             if emit.any():
-                yield rows_batch({"doc": doc[emit], "lo": col["lo"][emit], "hi": col["hi"][emit], "state": out_state[emit]})
-            g0, k0, d0, several = g[-1], k[-1], lead[-1], bool(many[number[-1]])
+                out = np.where(later, COVERED, np.where(in_big, BIG, EDGE)).astype(np.int32)
+                yield rows_batch({"doc": doc[emit], "lo": col["lo"][emit], "hi": col["hi"][emit], "state": out[emit]})
+            g0, k0, d0, kinds0, big0 = g[-1], k[-1], lead[-1], kinds[-1], bool(big[-1])
+        if wait:
+            yield from _edges(wait, kinds0, EDGE)
 
     return run
 
 
-def _edges(wait: list[np.ndarray]) -> pa.RecordBatch:
-    doc, lo, hi = np.concatenate(wait, axis=1)
-    return rows_batch({"doc": doc, "lo": lo.astype(np.int32), "hi": hi.astype(np.int32), "state": np.full(len(doc), EDGE, np.int32)})
+def _edges(wait: list[np.ndarray], kinds: int, state: int) -> Iterator[pa.RecordBatch]:
+    """The waiting rows of a group, if it has several k."""
+    if kinds >= 2:
+        doc, lo, hi = np.concatenate(wait, axis=1)
+        yield rows_batch({"doc": doc, "lo": lo.astype(np.int32), "hi": hi.astype(np.int32), "state": np.full(len(doc), state, np.int32)})
 
 
 def first_occurrences(rows: DataFrame, across: bool) -> DataFrame:
@@ -241,9 +250,8 @@ def real_id(col: str) -> Column:
 def window_rows(unit: Callable[[bytes], tuple[bytes, np.ndarray, np.ndarray]], length: int, across: bool) -> Callable:
     """Rows (doc, text, spans) -> ANCHOR rows, one for each window of `length` units in a span.
 
-    unit gives a text's bytes and the first and last byte of each of its units. The
-    windows of a batch are put in the order of their content, as a suffix array of
-    the spans' texts cut off at the window's length; equal neighbours are one window.
+    unit gives a text's bytes and the first and last byte of each of its units. A window
+    is known by a hash of 128 bits, whose halves are g and k.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,16 +287,9 @@ def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def repeated_spans(rows: DataFrame, anchors: DataFrame, unit: Callable, length: int, across: bool, finer: Sequence[Callable] = ()) -> DataFrame:
-    """All covered spans (doc, lo, hi, of `length` units at least) of rows (doc, text), from their anchors.
-
-    finer: makers of anchors of (doc, text, spans) that edges go through before their windows
-    are taken one by one.
-    """
+def repeated_spans(rows: DataFrame, anchors: DataFrame, unit: Callable, length: int, across: bool) -> DataFrame:
+    """All covered spans (doc, lo, hi, of `length` units at least) of rows (doc, text), from their anchors."""
     judged = staged(first_occurrences(anchors, across), "judged_anchors")
-    covered = judged.where(F.col("state") == COVERED)
-    for maker in (*finer, window_rows(unit, length, across)):
-        edges = spans_per_doc(judged.where(F.col("state") == EDGE))
-        judged = first_occurrences(rows.join(edges.hint("shuffle_hash"), "doc").mapInArrow(maker, ANCHOR), across)
-        covered = covered.unionAll(judged.where(F.col("state") == COVERED))
-    return covered.select("doc", "lo", "hi")
+    edges = spans_per_doc(judged.where(F.col("state") != COVERED))
+    windows = first_occurrences(rows.join(edges.hint("shuffle_hash"), "doc").mapInArrow(window_rows(unit, length, across), ANCHOR), across)
+    return judged.unionAll(windows).where(F.col("state") == COVERED).select("doc", "lo", "hi")
