@@ -31,12 +31,13 @@ ignored.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +46,10 @@ from vellum.llm.terms import PUNCTUATION, labelled_sample, lower_texts
 
 BLOCK = 512
 BINS = 20
+#: A term that this share of the examples has keeps a weight for every example instead of a list.
+DENSE = 1 / 12
+#: Cosines this close tie: weights are kept in single precision.
+TIE = 1e-6
 #: Weight of a term that doesn't depend on the label, where 1 is a term that decides it.
 FLOOR = 1e-3
 
@@ -76,34 +81,47 @@ class BlockMaxIndex:
         place[self.order] = np.arange(examples)
         at = place[example]
         by = np.lexsort((at, term))
-        key = term[by] * self.blocks + at[by] // block
-        self.at, self.weight = (at[by] % block).astype(np.int32), weight[by].astype(np.float64)
-        self.starts = np.zeros(terms * self.blocks + 1, np.int32)
-        np.cumsum(np.bincount(key, minlength=terms * self.blocks), out=self.starts[1:])
-        self.maxima = np.zeros((terms, self.blocks), np.float32)
-        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else key
-        if len(key):
-            # Rounded up: a bound must not fall below the weight.
-            self.maxima.ravel()[key[new]] = np.maximum.reduceat(self.weight, new) * (1 + 1e-6)
-
-    def block_scores(self, terms: np.ndarray, w: np.ndarray, b: int) -> np.ndarray:
-        """Cosines with all examples of a block."""
-        cell = terms * self.blocks + b
-        start = self.starts[cell]
-        n = self.starts[cell + 1] - start
+        at, term, weight = at[by], term[by], weight[by].astype(np.float32)
+        # Postings of frequent terms are rows of weights, block by block, with each block's largest; of the others, lists.
+        often = np.flatnonzero(np.bincount(term, minlength=terms) > max(8, DENSE * examples))
+        self.row = np.full(terms, -1, np.int32)
+        self.row[often] = np.arange(len(often))
+        dense = self.row[term] >= 0
+        rows = np.zeros((len(often), self.blocks * block), np.float32)
+        rows[self.row[term[dense]], at[dense]] = weight[dense]
+        self.maxima = rows.reshape(len(often), self.blocks, block).max(2)
+        self.rows = [np.ascontiguousarray(rows[:, b * block : (b + 1) * block]) for b in range(self.blocks)]
+        self.at, self.weight = at[~dense].astype(np.int32), weight[~dense]
+        self.starts = np.zeros(terms + 1, np.int32)
+        np.cumsum(np.bincount(term[~dense], minlength=terms), out=self.starts[1:])
+
+    def from_lists(self, terms: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """What these terms' lists add to the cosine with each example, by block."""
+        start = self.starts[terms]
+        n = self.starts[terms + 1] - start
         ends = np.cumsum(n)
+        if not len(ends) or not ends[-1]:
+            return np.zeros((self.blocks, self.block))
         entry = np.arange(ends[-1]) + np.repeat(start - (ends - n), n)
-        return np.bincount(self.at[entry], np.repeat(w, n) * self.weight[entry], min(self.block, self.examples - b * self.block))
+        return np.bincount(self.at[entry], np.repeat(w, n) * self.weight[entry], self.blocks * self.block).reshape(self.blocks, self.block)
+
+    def from_rows(self, rows: np.ndarray, w: np.ndarray, b: int) -> np.ndarray:
+        """What the rows of frequent terms add for the examples of a block."""
+        return w @ self.rows[b][rows]
 
     def nearest(self, terms: np.ndarray, w: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """All examples whose cosine is at least the k-th best, and their cosines (the example `but` left out)."""
-        bound = w @ self.maxima[terms]
+        rows = self.row[terms]
+        often = rows >= 0
+        lists = self.from_lists(terms[~often], w[~often])
+        rows, w = rows[often], w[often].astype(np.float32)
+        bound = lists.max(1) + (w @ self.maxima[rows]) * (1 + 1e-5)
         found, sims, kth = [], [], 0.0
         for b in np.argsort(-bound, kind="stable").tolist():
             if bound[b] <= 0 or bound[b] < kth - 1e-6:
                 break
-            scores = self.block_scores(terms, w, b)
-            hit = np.flatnonzero((scores > 0) & (scores >= kth - 1e-9))
+            scores = lists[b] + self.from_rows(rows, w, b)
+            hit = np.flatnonzero((scores > 0) & (scores >= kth - TIE))
             own = self.order[hit + b * self.block]
             if but >= 0:
                 hit, own = hit[own != but], own[own != but]
@@ -117,7 +135,7 @@ class BlockMaxIndex:
         if not found:
             return np.zeros(0, np.int64), np.zeros(0)
         found, have = np.concatenate(found), np.concatenate(sims)
-        near = have >= kth - 1e-9
+        near = have >= kth - TIE
         return found[near], have[near]
 
 
@@ -146,6 +164,10 @@ class ToxicityModel:
         empty = sizes == 0
         self.none = float((self.labels[empty].sum() + 0.5 * (ones / rows)) / (empty.sum() + 0.5)) if rows else 0.0
         self.bins = [0.0] * BINS
+        self.shared: Broadcast | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"shared": None, "raw": {}}
 
     def vector(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Unit vector of a lower-cased text over the known words: term numbers and weights."""
@@ -173,12 +195,15 @@ class ToxicityModel:
         if not len(at):
             return math.nan, None
         kth = float(np.min(sims))
-        sure = sims > kth + 1e-9
+        sure = sims > kth + TIE
         share = np.where(sure, 1.0, min(1.0, max(0.0, self.k - sure.sum()) / max(1, (~sure).sum())))
         weight = share / (1.0 - np.minimum(sims, 1.0) + 0.1)
-        best = at[sims >= sims.max() - 1e-9]
+        best = at[sims >= sims.max() - TIE]
         return float((weight @ self.labels[at]) / weight.sum()), int(self.ids[best].min())
 
+    def calibrated(self, vote: float) -> float:
+        return self.none if math.isnan(vote) else self.bins[min(BINS - 1, int(vote * BINS))]
+
     def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
         """Bins of equal width; their labelled rates, pooled until they rise."""
         pools: list[list[float]] = []
@@ -191,11 +216,14 @@ class ToxicityModel:
                 pools[-1] = [x + y for x, y in zip(pools[-1], last, strict=True)]
         self.bins = [s / n for s, n, width in pools for _ in range(int(width))]
 
-    def score(self, text: bytes) -> tuple[float, int | None]:
-        vote, nearest = self.vote(text)
-        if nearest is None:
-            return self.none, None
-        return self.bins[min(BINS - 1, int(vote * BINS))], nearest
+
+def packed(model: ToxicityModel) -> bytes:
+    """Compressed: a broadcast lies on every executor's disk."""
+    return zlib.compress(cloudpickle.dumps(model), 1)
+
+
+def unpacked(data: bytes) -> ToxicityModel:
+    return cloudpickle.loads(zlib.decompress(data))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,15 +240,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", examp
     model = ToxicityModel(got["terms"], got["counts"], got["label"].to_pylist(), got["doc_id"].to_pylist(), k)
     if not len(got):
         return model
-    # Each example against all others, in tasks.
+    # Each example against all others, in tasks. The index is sent once, for this and for all scores.
     number = {key: i for i, key in enumerate(zip(got["doc_id"].to_pylist(), got["h"].to_pylist(), strict=True))}
-    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps((model, number)))
+    shared = model.shared = docs.sparkSession.sparkContext.broadcast(packed(model))
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, places = cloudpickle.loads(shared.value)
+        own = unpacked(shared.value)
         for batch in batches:
             keys = zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), strict=True)
-            said = [own.vote(t, but=places[key])[0] for key, t in zip(keys, lower_texts(batch), strict=True)]
+            said = [own.vote(t, but=number[key])[0] for key, t in zip(keys, lower_texts(batch), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(said, pa.float64()), batch.column("label")], names=["vote", "label"])
 
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -232,12 +260,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", examp
 def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None) -> DataFrame:
     """carried (a struct of the columns to keep, all by default), score, predicted, evidence (nearest example)."""
     rows = carrying(docs, docs.columns if keep is None else keep)
-    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
+    shared = model.shared or docs.sparkSession.sparkContext.broadcast(packed(model))
+    none, bins = model.none, model.bins
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = cloudpickle.loads(shared.value)
+        scorer = unpacked(shared.value)
+        scorer.none, scorer.bins = none, bins
         for batch in batches:
-            got = [scorer.score(t) for t in lower_texts(batch)]
+            got = [(scorer.calibrated(v), e) for v, e in (scorer.vote(t) for t in lower_texts(batch))]
             score = pa.array([s for s, _ in got], pa.float64())
             said = pa.array([int(s >= 0.5) for s, _ in got], pa.int32())
             near = pa.array([e for _, e in got], pa.int64())
