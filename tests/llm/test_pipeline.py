@@ -43,7 +43,7 @@ def test_every_operator_has_a_query():
 
 
 def test_stages_survive_clashing_columns_nulls_and_empty_tables(spark, tmp_path):
-    extra = ["doc", "spans", "id", "h", "carried", "label", "predicted", "tokens", "rate", "p", "group_id", "kept", "item_id"]
+    extra = ["doc", "spans", "id", "h", "carried", "label", "predicted", "tokens", "rate", "p", "group_id", "kept", "item_id", "a.b", "row", "root"]
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{c}` string" for c in extra)
     rows = [(i, t, None, None, None, *["x"] * len(extra)) for i, t in [(1, "a b c"), (1, "a b c"), (1, "other"), (None, None), (None, "x"), (2, ""), (3, "w " * 3000)]]
     for name, data in (("full", rows), ("empty", [])):

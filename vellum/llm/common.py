@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +41,31 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/vellum/{uuid.uuid4().hex}/{name}"
 
 
-def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write df as a table in the shared folder and read it back."""
+#: Paths of the tables staged within `scratch`, innermost last.
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables staged within, but for those to keep; results that need them must be written by then."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
+
+
+def staged(df: DataFrame, name: str, partition_by: list[str] | None = None, keep: bool = False) -> DataFrame:
+    """Write df as a table in the shared folder and read it back. keep: also beyond `scratch`."""
     path = new_dir(df.sparkSession, name)
+    if _SCRATCH and not keep:
+        _SCRATCH[-1].append(path)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -50,8 +73,7 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
 
 def release(spark: SparkSession) -> None:
     """Delete every staged table of this library in the shared folder."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/vellum")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/vellum")
 
 
 def ascii_lower(col: Column) -> Column:
