@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import staged
+from vellum.llm.common import scratch, staged
 from vellum.llm.decontamination import decontaminate
 from vellum.llm.line_dedup import line_dedup
 from vellum.llm.mixing import mix
@@ -74,5 +74,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents, each reading what the one before wrote."""
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline_{name}")
+        with scratch(spark):
+            docs = staged(stage(spark, docs, sf_dir), f"pipeline_{name}", keep=True)
     return docs
