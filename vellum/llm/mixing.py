@@ -14,12 +14,13 @@ meet the targets, and rates stay near 1 as far as that allows. W weighs the resi
 how far rates can move them, so that domains that overlap don't slow the descent: the
 gradient in the weighted norm is p_i' W (s - t) + l2 (r_i - 1), and its Lipschitz constant is
 at most 1 + l2. Steps have Nesterov's momentum, and end when the targets are met or, where
-they can't be met, when the totals no longer move. Each step is one Spark pass over the
+they can't be met, when the projected gradient vanishes: the rates stand at their best. Each step is one Spark pass over the
 posteriors (tokens and a few doubles a document): tasks fold the steps so far into their
 rows' rates and add up the domains' totals; the driver gets one row of totals a step. No
 rates are kept, shuffled or sent anywhere while fitting.
 
-A domain that no document belongs to can't be filled; its target is missed.
+A domain that no document belongs to can't be filled; its target is missed. `missed` says by
+how much the share that is missed most differs from its target.
 
 Edge cases: null and empty texts have no tokens and rate as their posterior says; without
 labelled rows every domain is equally likely; label rows that repeat an id count once;
@@ -29,6 +30,7 @@ result; other columns are carried if asked for, and give way to columns made her
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -93,9 +95,10 @@ class DomainModel:
         self.weights = w.astype(float)
 
 
-def fit_domains(docs: DataFrame, labels: DataFrame, domain: str = DOMAIN_SQL, classes: int = len(DOMAINS), examples: int = 6000, sample_bytes: int = 32 << 20, features: int = 600) -> DomainModel:
-    """Fit on about `examples` labelled rows and `sample_bytes` of text at most; domain: SQL over labels for the class number."""
-    sample = labelled_sample(docs, labels, domain, examples, sample_bytes)
+def fit_domains(docs: DataFrame, labels: DataFrame, domain: str = DOMAIN_SQL, classes: int = len(DOMAINS), examples: int = 6000, sample_bytes: int = 32 << 20, features: int = 600, keep: str = "true") -> DomainModel:
+    """Fit on about `examples` labelled rows and `sample_bytes` of text at most; domain: SQL over labels for the
+    class number; keep: SQL filter of their doc_id."""
+    sample = labelled_sample(docs, labels, domain, examples, sample_bytes, keep)
     chosen, _ = telling_terms(sample, classes, features, shape=True)
     model = DomainModel([t for t, _ in chosen], classes)
 
@@ -129,62 +132,72 @@ def with_posteriors(docs: DataFrame, model: DomainModel, keep: list[str]) -> Dat
     return rows.mapInArrow(run, schema_with(rows.schema["carried"], "", "tokens bigint, p array<double>, draw bigint"))
 
 
-def fold_rates(p: np.ndarray, steps: list[np.ndarray], l2: float, ahead: bool = False) -> np.ndarray:
-    """Rates after these steps; a step is the vector W (s - t) at the point ahead.
+def fold_rates(p: np.ndarray, steps: list[np.ndarray], l2: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rates after these steps, the point ahead, where momentum leads to, and the last projected gradient.
 
-    ahead: that next point, where momentum leads to, instead of the rates.
+    A step is the vector W (s - t) at the point ahead.
     """
     rates = point = np.ones(len(p))
+    gradient = np.full(len(p), np.inf)
     for k, residual in enumerate(steps):
         new = np.maximum(0.0, point - (p @ residual + l2 * (point - 1.0)) / (1.0 + l2))
+        gradient = point - new
         point = new + k / (k + 3) * (new - rates)
         rates = new
-    return point if ahead else rates
+    return rates, point, gradient
 
 
 def _matrix(batch: pa.RecordBatch, classes: int) -> np.ndarray:
     return batch.column("p").flatten().to_numpy(zero_copy_only=False).reshape(-1, classes)
 
 
-def fit_rates(rows: DataFrame, targets: list[float], l2: float = 1e-4, most_steps: int = 60, tolerance: float = 5e-4) -> list[np.ndarray]:
-    """The steps of projected gradient descent over rows (tokens, p), to fold into rates."""
+def fit_rates(rows: DataFrame, targets: list[float], l2: float = 1e-4, most_steps: int = 60, tolerance: float = 2e-4, flat: float = 2e-4) -> tuple[list[np.ndarray], np.ndarray]:
+    """The steps of projected gradient descent over rows (tokens, p), to fold into rates, and the shares reached.
+
+    They end when no share misses its target by `tolerance`, or when the projected gradient, as
+    the root of its mean square over tokens, is below `flat`.
+    """
     classes = len(targets)
     # A table of its own: passes should read as few files as these columns need.
     rows = staged(rows.select("tokens", "p"), "posteriors_alone")
-    names = [f"s{i}" for i in range(classes * (classes + 1))]
+    names = [f"s{i}" for i in range(classes * (classes + 2) + 1)]
 
-    def sums(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Token totals by domain at the point ahead, and the moments sum n p p'."""
+    def sums(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+        """Token totals by domain at the point ahead and at the rates, the squared gradient, and the moments sum n p p'."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros(len(names))
             for batch in batches:
                 p, n = _matrix(batch, classes), batch.column("tokens").to_numpy(zero_copy_only=False)
-                out[:classes] += (n * fold_rates(p, steps, l2, ahead=True)) @ p
-                if not steps:
-                    out[classes:] += ((p * n[:, None]).T @ p).ravel()
+                rates, point, gradient = fold_rates(p, steps, l2)
+                out[:classes] += (n * point) @ p
+                out[classes : 2 * classes] += (n * rates) @ p
+                if steps:
+                    out[2 * classes] += n @ (gradient * gradient)
+                else:
+                    out[2 * classes + 1 :] += ((p * n[:, None]).T @ p).ravel()
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in out], names=names)
 
         got = rows.mapInArrow(run, ", ".join(f"{c} double" for c in names)).agg(*[F.sum(c) for c in names]).first()
-        both = np.array([x or 0.0 for x in got])
-        return both[:classes], both[classes:].reshape(classes, classes)
+        out = np.array([x or 0.0 for x in got])
+        return out[:classes], out[classes : 2 * classes], out[2 * classes], out[2 * classes + 1 :].reshape(classes, classes)
 
     steps: list[np.ndarray] = []
-    start, moments = sums(steps)
-    n = start.sum()
+    ahead, at_rates, _, moments = sums(steps)
+    n = ahead.sum()
     if n <= 0:
-        return steps
-    s, target = start / n, np.array(targets)
-    weights, still = np.linalg.inv(moments / n + 0.01 * np.eye(classes)), 0
-    while len(steps) < most_steps and still < 3 and np.abs(s - target).max() >= tolerance:
-        steps.append(weights @ (s - target))
-        before, s = s, sums(steps)[0] / n
-        still = still + 1 if np.abs(s - before).max() < tolerance / 4 else 0
-    return steps
+        return steps, np.zeros(classes)
+    target, gradient = np.array(targets), math.inf
+    weights = np.linalg.inv(moments / n + 0.01 * np.eye(classes))
+    while len(steps) < most_steps and gradient >= flat and np.abs(at_rates / n - target).max() >= tolerance:
+        steps.append(weights @ (ahead / n - target))
+        ahead, at_rates, squares, _ = sums(steps)
+        gradient = math.sqrt(squares / n)
+    return steps, at_rates / n
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, budget: float = 1.0, keep: list[str] | None = None, l2: float = 1e-4) -> DataFrame:
-    """keep columns, tokens, p_<domain>, rate, copies for every document.
+    """keep columns, tokens, p_<domain>, rate, copies, missed for every document.
 
     targets: shares of the token budget, which is `budget` times the corpus's tokens.
     copies realises a rate by its whole part and a draw on the text's hash for the rest.
@@ -192,16 +205,18 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGE
     keep = list(docs.columns) if keep is None else keep
     weights = [targets[d] * budget for d in DOMAINS]
     rows = staged(with_posteriors(docs, fit_domains(docs, labels), keep), "posteriors")
-    steps = fit_rates(rows, weights, l2)
+    steps, reached = fit_rates(rows, weights, l2)
+    missed = float(np.abs(reached - np.array(weights)).max())
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = _matrix(batch, len(DOMAINS))
             arrays = [batch.column(c) for c in ("carried", "tokens", "draw")] + [pa.array(p[:, d].copy()) for d in range(len(DOMAINS))]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(fold_rates(p, steps, l2))], names=["carried", "tokens", "draw", *made[1:-1]])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(fold_rates(p, steps, l2)[0])], names=["carried", "tokens", "draw", *made[1:-1]])
 
     made = ["tokens", *(f"p_{d}" for d in DOMAINS), "rate", "copies"]
     out = rows.mapInArrow(rate, schema_with(rows.schema["carried"], "", "tokens bigint, draw bigint, " + ", ".join(f"{c} double" for c in made[1:-1])))
     whole = F.floor("rate")
     copies = (whole + (F.col("draw") / float(1 << 20) < F.col("rate") - whole).cast("int")).cast("int")
-    return out.withColumn("copies", copies).select(*carried_columns(keep, made), *made)
+    out = out.withColumn("copies", copies).withColumn("missed", F.lit(missed))
+    return out.select(*carried_columns(keep, [*made, "missed"]), *made, "missed")
