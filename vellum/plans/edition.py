@@ -11,12 +11,26 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 from vellum.plans.browse import issue_features
-from vellum.sources.views import OBJECT_ENTITIES_SQL, OBJECT_EVENTS_SQL, OBJECT_TOPICS_SQL, OBJECTS_SQL, TOPICS_SQL, object_topics, published, topics
+from vellum.sources.views import OBJECT_ENTITIES_SQL, OBJECT_EVENTS_SQL, OBJECT_TOPICS_SQL, OBJECTS_SQL, TOPICS_SQL, bare_objects, object_topics, published, published_ids, topics
+
+
+#: What a text may speak of.
+SAYS = {
+    "price": lambda text: text.rlike(r"\$\s?\d"),
+    "lost": lambda text: T.about(text, T.LOST),
+    "milestone": lambda text: T.about(text, T.MILESTONE),
+    "civic": lambda text: T.about(text, T.CIVIC),
+    "shows": lambda text: T.about(text, T.SHOWS),
+    "property": lambda text: T.about(text, T.PROPERTY),
+    "kids": lambda text: T.about(text, T.KIDS),
+}
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = published(spark, sf_dir).select("id", "issue_id", "is_advertorial", "text", (F.col("id") % 8).alias("page"))
-    f = o.join(issue_features(spark, sf_dir), "id")
+    # What texts say becomes flags at the scan: no text goes through a join.
+    said = [F.coalesce(p(F.col("text")), F.lit(False)).alias(f"says_{n}") for n, p in SAYS.items()]
+    o = bare_objects(spark, sf_dir).select("id", "issue_id", "is_advertorial", *said, (F.col("id") % 8).alias("page"))
+    f = o.join(published_ids(spark, sf_dir), "id", "left_semi").join(issue_features(spark, sf_dir), "id")
     named = object_topics(spark, sf_dir).join(F.broadcast(topics(spark)), "topic_id").groupBy(F.col("object_id").alias("id")).agg(F.collect_set("name").alias("topics"))  # twelve rows
     return f.join(named, "id", "left").withColumn("topics", F.coalesce("topics", F.array().cast("array<string>")))
 
@@ -31,11 +45,11 @@ def _topic(name: str) -> Column:
 
 def is_price() -> Column:
     """Documents print no prices in dollars, so an event's price stands for them all."""
-    return F.col("event_price") | F.col("text").rlike(r"\$\s?\d")
+    return F.col("event_price") | F.col("says_price")
 
 
 def is_odd() -> Column:
-    return F.col("is_advertorial") | _cls("legal_notice", "classified_section", "coupon") | T.about(F.col("text"), T.LOST)
+    return F.col("is_advertorial") | _cls("legal_notice", "classified_section", "coupon") | F.col("says_lost")
 
 
 #: Interest -> (least material, predicate). Fixed values of the card library.
@@ -54,22 +68,22 @@ CARDS = {
     "ads-numbers": (("ads",), ("researcher",), False, 5, lambda: _cls("advertisement", "article")),
     "ads-shops": (("ads", "people"), ("family", "local", "researcher"), False, 3, lambda: _cls("advertisement", "article") & (F.col("orgs") > 0)),
     "people-surnames": (("people",), ("family",), False, 5, lambda: F.col("people") > 0),
-    "people-milestones": (("people",), ("family", "local", "curious"), True, 1, lambda: T.about(F.col("text"), T.MILESTONE)),
+    "people-milestones": (("people",), ("family", "local", "curious"), True, 1, lambda: F.col("says_milestone")),
     "people-busy": (("people",), (), False, 3, lambda: F.col("people") >= 2),
     "people-orgs": (("people", "week"), ("researcher", "local"), False, 4, lambda: F.col("orgs") > 0),
     "week-news": (("week",), (), False, 3, lambda: _cls("article")),
     "week-calendar": (("week",), ("local", "curious", "kid", "family"), False, 3, lambda: F.col("events") > 0),
-    "week-civic": (("week",), ("researcher", "local"), False, 2, lambda: _topic("Local Government & Civic") | T.about(F.col("text"), T.CIVIC)),
+    "week-civic": (("week",), ("researcher", "local"), False, 2, lambda: _topic("Local Government & Civic") | F.col("says_civic")),
     "week-sports": (("week",), (), False, 2, lambda: _topic("Sports & Recreation")),
     "week-front": (("week",), (), False, 3, lambda: (F.col("page") == 1) & _cls("article")),
     "money-dollar": (("money",), (), True, 2, lambda: is_price()),
-    "money-show": (("money",), ("kid", "curious", "local"), True, 1, lambda: T.about(F.col("text"), T.SHOWS) & (is_price() | (F.col("events") > 0))),
-    "money-realestate": (("money",), ("local", "family", "researcher"), False, 2, lambda: _topic("Real Estate & Building") | T.about(F.col("text"), T.PROPERTY)),
-    "strange-lost": (("strange",), (), True, 1, lambda: T.about(F.col("text"), T.LOST) | _cls("classified_section")),
+    "money-show": (("money",), ("kid", "curious", "local"), True, 1, lambda: F.col("says_shows") & (is_price() | (F.col("events") > 0))),
+    "money-realestate": (("money",), ("local", "family", "researcher"), False, 2, lambda: _topic("Real Estate & Building") | F.col("says_property")),
+    "strange-lost": (("strange",), (), True, 1, lambda: F.col("says_lost") | _cls("classified_section")),
     "strange-fineprint": (("strange",), ("researcher", "curious", "family"), True, 1, lambda: _cls("legal_notice")),
     "strange-oddest": (("strange",), (), True, 2, lambda: is_odd()),
     "strange-now": (("strange",), (), False, 3, lambda: F.lit(True)),
-    "kids-then": ((), ("kid", "family", "curious", "local"), True, 1, lambda: T.about(F.col("text"), T.KIDS) | _topic("Schools & Education")),
+    "kids-then": ((), ("kid", "family", "curious", "local"), True, 1, lambda: F.col("says_kids") | _topic("Schools & Education")),
     "best-sentence": ((), (), False, 3, lambda: _cls("article")),
     "unchanged": ((), (), False, 3, lambda: F.lit(True)),
     "faith": ((), ("local", "family", "researcher"), False, 3, lambda: _topic("Churches & Religion")),

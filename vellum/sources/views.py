@@ -75,9 +75,15 @@ OBJECTS_SQL = f"""
 """
 
 
+def published_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids behind the publication gate."""
+    gate = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality"))
+    return gate.where("quality = 1").select("id")
+
+
 def published(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Objects behind the publication gate."""
-    return objects(spark, sf_dir).where("is_published")
+    """Objects behind the publication gate: a semi join."""
+    return bare_objects(spark, sf_dir).join(published_ids(spark, sf_dir), "id", "left_semi").withColumn("is_published", F.lit(True))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
