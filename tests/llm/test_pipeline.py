@@ -3,6 +3,11 @@
 import random
 
 import corpus_pipeline
+import pytest
+from test_decontamination import every_pair
+from test_line_dedup import brute, filled
+from test_operators import near_groups
+
 from vellum.llm import queries
 
 
@@ -58,3 +63,44 @@ def test_stages_survive_clashing_columns_nulls_and_empty_tables(spark, tmp_path)
             docs = spark.read.parquet(f"{sf}/{stage_name}")
             assert n == len(corpus_pipeline.STAGES) - 1 or docs.columns == columns
         assert (docs.count() > 0) == bool(data)
+
+
+def test_the_chain_of_stages_equals_brute_force_on_a_whole_table(spark, tmp_path):
+    """Each stage on what the one before wrote: sf0.01, whole texts, written apart from the operators."""
+    sf = "/root/testdata/sf0.01"
+    source = spark.read.parquet(f"{sf}/documents.parquet")
+    docs, got = source, {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, sf).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        got[name] = {r.doc_id: r for r in docs.collect()}
+        assert docs.count() == len(got[name])
+    before = {r.doc_id: r for r in source.collect()}
+    predicted = {r.doc_id: r.predicted for r in queries.op2_toxicity(spark, sf).collect()}
+    assert set(got["toxicity"]) == {i for i, p in predicted.items() if not p} and set(predicted) == set(before)
+    assert all(r == before[i] for i, r in got["toxicity"].items())
+
+    rows = [(i, (r.text or "").encode()) for i, r in got["toxicity"].items()]
+    cut = brute(rows, 5)
+    for i, t in rows:
+        r = got["line_dedup"][i]
+        assert filled((r.text or "").encode()) == [x for p, x in enumerate(filled(t)) if p not in cut[i]]
+        assert r.n_chars == len(r.text) and (r.lang, r.source) == (before[i].lang, before[i].source)
+    assert len(got["line_dedup"]) == len(rows) and sum(map(len, cut.values())) > 100
+
+    ids = sorted(got["line_dedup"])
+    words = [[w for w in got["line_dedup"][i].text.translate({c: c + 32 for c in range(65, 91)}).translate({c: 32 for c in (9, 10, 11, 12, 13)}).split(" ") if w] for i in ids]
+    sets = [{" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+    least = near_groups(sets)
+    assert set(got["simhash"]) == {ids[k] for k, x in enumerate(least) if x == k} and len(got["simhash"]) < len(ids)
+
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    leaks = {d for d, _ in every_pair([(i, r.text) for i, r in got["simhash"].items()], items, 5, 0.8)}
+    assert set(got["decontamination"]) == set(got["simhash"]) - leaks and leaks
+
+    mixed = got["mixing"]
+    assert set(mixed) == set(got["decontamination"])
+    total = sum(r.tokens for r in mixed.values())
+    shares = {d: sum(r.tokens * r.rate * r[f"p_{d}"] for r in mixed.values()) / total for d in corpus_pipeline.TARGETS}
+    worst = max(abs(shares[d] - t) for d, t in corpus_pipeline.TARGETS.items())
+    assert worst == pytest.approx(next(iter(mixed.values())).missed, abs=1e-6) and worst < 0.03
