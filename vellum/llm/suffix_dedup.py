@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import staged, texts, utf8
+from vellum.llm.common import SLICE, staged, texts, utf8
 from vellum.llm.repeats import (
     ANCHOR, BIG, COVERED, EDGE, combine, first_occurrences, merged, merged_spans, real_id, rows_batch, sha256_hex, span_arrays, spans_per_doc, unique_rows, window_rows,
 )
@@ -126,8 +126,9 @@ def _phrases(length: int, context: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = utf8(batch.column("text"))
-            yield from phrase_rows(data.tobytes(), at, batch.column("doc").to_numpy(zero_copy_only=False), np.zeros(len(at), np.int64), length, context)
+            for part in (batch.slice(lo, SLICE) for lo in range(0, len(batch), SLICE)):
+                data, at = utf8(part.column("text"))
+                yield from phrase_rows(data.tobytes(), at, part.column("doc").to_numpy(zero_copy_only=False), np.zeros(len(at), np.int64), length, context)
 
     return run
 
