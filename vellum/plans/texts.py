@@ -142,17 +142,24 @@ _ADS = """ads AS (SELECT p_partkey, p_name || ' — ' || p_brand || '. Call Linc
   || '.50, by 25c a week' || CASE p_partkey % 3 WHEN 0 THEN ' reward for a lost dog' WHEN 1 THEN ' at the theatre, children free' ELSE ' council bond for sale' END AS text FROM part)"""
 
 
+#: Patterns of an advertisement's fields. Fixed values.
+ADVERTISER_END = " — |[.:]| - "
+CENTS = r"(?<![A-Za-z0-9_])\d{1,3}c(?![A-Za-z0-9_])"
+PHONE = r"(?i)(?<![A-Za-z0-9_])(?:Lincoln|LINC\.?)\s*\d[\d-]*[A-Z]?"
+ADDRESS = r"(?<![A-Za-z0-9_])\d{3,5}\s+[A-Z][A-Za-z.]+(?:\s+[A-Z][A-Za-z.]+){0,3}\s+(?:Rd|Road|Ave|Avenue|St|Street|Blvd)(?![A-Za-z0-9_])"
+
+
 def ad_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Advertiser, phone, address and up to eight distinct prices of an advertisement."""
     c = F.col("text")
     some = lambda x: F.nullif(x, F.lit(""))
-    name = F.substring(T.strip(F.get(F.split(T.first_line(c), " — |[.:]| - "), F.lit(0))), 1, 80)
-    prices = F.slice(F.array_distinct(F.regexp_extract_all(c, F.lit(T.PRICE + r"|(?<![A-Za-z0-9_])\d{1,3}c(?![A-Za-z0-9_])"), 0)), 1, 8)
+    name = F.substring(T.strip(F.get(F.split(T.first_line(c), ADVERTISER_END), F.lit(0))), 1, 80)
+    prices = F.slice(F.array_distinct(F.regexp_extract_all(c, F.lit(f"{T.PRICE}|{CENTS}"), 0)), 1, 8)
     return _ads(spark, sf_dir).select(
         "p_partkey",
         some(name).alias("advertiser"),
-        some(F.regexp_extract(c, r"(?i)(?<![A-Za-z0-9_])(?:Lincoln|LINC\.?)\s*\d[\d-]*[A-Z]?", 0)).alias("phone"),
-        some(F.regexp_extract(c, r"(?<![A-Za-z0-9_])\d{3,5}\s+[A-Z][A-Za-z.]+(?:\s+[A-Z][A-Za-z.]+){0,3}\s+(?:Rd|Road|Ave|Avenue|St|Street|Blvd)(?![A-Za-z0-9_])", 0)).alias("address"),
+        some(F.regexp_extract(c, PHONE, 0)).alias("phone"),
+        some(F.regexp_extract(c, ADDRESS, 0)).alias("address"),
         F.array_join(F.array_sort(prices), "|").alias("prices"),
     )
 
