@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from vellum.functions import geometry as G
 from vellum.functions import text as T
-from vellum.functions.dates import date_label
 from vellum.plans.browse import RIGHTS_SQL, rights_status, type_facet
 from vellum.plans.edition import _DEAL, _DEALT, _F, _dealing, _features, dealt
 from vellum.plans.ordered import _BOXES, _boxes, pack
-from vellum.sources.tables import table
 from vellum.sources.views import ISSUES_SQL, OBJECT_EVENTS_SQL, OBJECTS_SQL, PAGES_SQL, bare_objects, issues, object_events, pages, published
 
 _O, _P, _I, _V = f"o AS ({OBJECTS_SQL})", f"p AS ({PAGES_SQL})", f"i AS ({ISSUES_SQL})", f"v AS ({OBJECT_EVENTS_SQL})"
