@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vellum.llm.decontamination import decontaminate
 from vellum.llm.exact_dedup import exact_dedup
+from vellum.llm.filter_audit import filter_audit
 from vellum.llm.line_dedup import line_dedup
 from vellum.llm.mixing import mix
 from vellum.llm.simhash import simhash_components
@@ -61,6 +62,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_read(spark, sf_dir, "documents")).drop("n_moved", "kept")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_toxicity": op2_toxicity,
@@ -72,6 +77,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_simhash": op9_simhash,
     "op10_line_dedup": op10_line_dedup,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 ORACLE_SQL = {
@@ -110,4 +116,32 @@ ORACLE_SQL = {
       SELECT doc_id, count(*) FILTER (WHERE bare <> '') AS n_lines, count(*) FILTER (WHERE gone AND bare <> '') AS n_removed,
         sha256(coalesce(string_agg(line, chr(10) ORDER BY raw) FILTER (WHERE NOT gone), '')) AS kept_sha256
       FROM k GROUP BY 1""",
+    "op12_filter_audit": r"""
+      WITH l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+      t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+      w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM t),
+      f AS (
+        SELECT part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic, [
+            len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words), 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text),
+            regexp_matches(text, '[#$%&*|]'), first < w.doc_id] AS fail
+        FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+      c AS (SELECT part, fail, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY 1, 2),
+      k AS (SELECT i, substr('ABCDE', i, 1) AS x FROM range(1, 6) r(i)),
+      o AS (
+        SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.i, b.i, c.i, d.i, e.i] AS places FROM k a, k b, k c, k d, k e
+        WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+      s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, places[step] AS f, places[1:step - 1] AS before FROM o, range(1, 6) r(step)),
+      m AS (
+        SELECT part, filter_order, step, f, n, good, toxic, fail[f] AS here, list_bool_or([false] || [fail[x] FOR x IN before]) AS earlier,
+          fail[f] AND len([1 FOR x IN fail IF x]) = 1 AS alone
+        FROM c, s),
+      g AS (
+        SELECT part, filter_order, step, f, sum(n) FILTER (WHERE NOT here AND NOT earlier) AS kept, sum(n) FILTER (WHERE here AND NOT earlier) AS removed,
+          sum(n) FILTER (WHERE here AND earlier) AS redundant, sum(n) FILTER (WHERE alone) AS unique_fails,
+          sum(good) FILTER (WHERE here AND NOT earlier) AS good_lost, sum(toxic) FILTER (WHERE here AND NOT earlier) AS toxic_lost
+        FROM m GROUP BY ALL)
+      SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+        coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+        coalesce(sum(removed) OVER (PARTITION BY part, f), 0)::BIGINT AS shapley
+      FROM g""",
 }
