@@ -10,6 +10,7 @@ from vellum.llm.filter_audit import filter_audit
 from vellum.llm.line_dedup import line_dedup
 from vellum.llm.mixing import mix
 from vellum.llm.simhash import simhash_components
+from vellum.llm.spelling_variants import spelling_variants
 from vellum.llm.substring_dedup import substring_dedup
 from vellum.llm.suffix_dedup import suffix_dedup
 from vellum.llm.toxicity import toxicity
@@ -62,6 +63,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_read(spark, sf_dir, "documents")).drop("n_moved", "kept")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_read(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -77,6 +82,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_simhash": op9_simhash,
     "op10_line_dedup": op10_line_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_filter_audit": op12_filter_audit,
 }
 
@@ -144,4 +150,32 @@ ORACLE_SQL = {
         coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
         coalesce(sum(removed) OVER (PARTITION BY part, f), 0)::BIGINT AS shapley
       FROM g""",
+    # The table of the checksum follows from its polynomial; one deletion on either side gives the pairs.
+    "op11_spelling_variants": r"""
+      WITH RECURSIVE tab AS (
+        SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+      runs AS (
+        SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run
+        FROM documents),
+      counted AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY 1, 2),
+      hexed AS (SELECT *, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM counted),
+      hashed AS (
+        SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(x), 2), lambda i: ('0x' || x[i:i + 1])::BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS h
+        FROM hexed, tab),
+      typed AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+      w AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM typed WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+      d AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS short FROM w, range(1, length(word) + 1) r(i)),
+      p AS (
+        SELECT a.word, b.word AS other, b.n AS other_n FROM d a JOIN d b ON a.short = b.short AND a.i = b.i AND a.word <> b.word
+        UNION SELECT d.word, w.word, w.n FROM d JOIN w ON w.word = d.short
+        UNION SELECT w.word, d.word, d.n FROM d JOIN w ON w.word = d.short),
+      b AS (SELECT word, count(*) AS n_near, max(other_n) AS top, arg_min(other, (-other_n, other)) AS other FROM p GROUP BY 1),
+      f AS MATERIALIZED (
+        SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * n THEN other END AS form, CASE WHEN top >= 10 * n THEN top END AS form_n
+        FROM w LEFT JOIN b ON b.word = w.word),
+      steps AS (
+        SELECT word, word AS root FROM f
+        UNION ALL SELECT steps.word, f.form FROM steps JOIN f ON f.word = steps.root WHERE f.form IS NOT NULL)
+      SELECT f.word, f.form, steps.root, f.n, f.n_near, f.form_n
+      FROM f JOIN steps ON steps.word = f.word JOIN f l ON l.word = steps.root AND l.form IS NULL""",
 }
