@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from vellum.llm.decontamination import decontaminate
 from vellum.llm.exact_dedup import exact_dedup
 from vellum.llm.filter_audit import filter_audit
+from vellum.llm.license_scan import ORACLE_SQL as LICENSE_SQL
+from vellum.llm.license_scan import license_scan
 from vellum.llm.line_dedup import line_dedup
 from vellum.llm.mixing import mix
 from vellum.llm.simhash import simhash_components
@@ -71,6 +73,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_toxicity": op2_toxicity,
@@ -84,6 +90,7 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_filter_audit": op12_filter_audit,
+    "op13_license_scan": op13_license_scan,
 }
 
 ORACLE_SQL = {
@@ -178,4 +185,5 @@ ORACLE_SQL = {
         UNION ALL SELECT steps.word, f.form FROM steps JOIN f ON f.word = steps.root WHERE f.form IS NOT NULL)
       SELECT f.word, f.form, steps.root, f.n, f.n_near, f.form_n
       FROM f JOIN steps ON steps.word = f.word JOIN f l ON l.word = steps.root AND l.form IS NULL""",
+    "op13_license_scan": LICENSE_SQL,
 }
