@@ -186,7 +186,7 @@ def _longer(rows: DataFrame) -> DataFrame:
     return out.withColumn("key", _known_by(F.col("size"), F.col("opens"), F.col("closes")))
 
 
-def near_words(words: DataFrame, owners: int = 500, shard_patterns: int = 20_000) -> DataFrame:
+def near_words(words: DataFrame, owners: int = 32, shard_patterns: int = 20_000) -> DataFrame:
     """words (word, n), distinct -> (word, n_near, top, form): for words with a near one, the number of
     near words, and the count and word of the most frequent.
 
@@ -234,7 +234,7 @@ def roots(forms: DataFrame) -> DataFrame:
             return links
 
 
-def spelling_variants(docs: DataFrame, least_length: int = 7, least_count: int = 2, noise: int = 31, times: int = 10, owners: int = 500, shard_patterns: int = 20_000) -> DataFrame:
+def spelling_variants(docs: DataFrame, least_length: int = 7, least_count: int = 2, noise: int = 31, times: int = 10, owners: int = 32, shard_patterns: int = 20_000) -> DataFrame:
     """word, form, root, n, n_near, form_n for every word. times: how much more frequent a form is."""
     words = staged(word_counts(docs, least_length, least_count, noise), "words")
     found = near_words(words, owners, shard_patterns).withColumnsRenamed({"form": "candidate"})
