@@ -178,7 +178,12 @@ def set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def distinct_cardinalities(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = published(spark, sf_dir)
-    return o.agg(F.countDistinct("page_record").alias("pages"), F.countDistinct("issue_id").alias("issues"), F.array_join(F.array_sort(F.collect_set("issue_id")), ",").alias("issue_list"))
+    return o.agg(F.countDistinct("page_record").alias("pages"), F.countDistinct("issue_id").alias("issues"))
+
+
+def issue_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The issues that have a published object, a row each."""
+    return published(spark, sf_dir).select("issue_id").distinct().orderBy("issue_id")
 
 
 def done_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -364,7 +369,7 @@ _OPEN_I = f"{RIGHTS_SQL.format('i.rights_uri')} = 'open'"
 QUERIES = {
     f.__name__: f
     for f in (
-        object_index, nested_tags, issue_features, topic_facet, name_facet, type_facet, facet_match, type_first_seen, semi_refs, anti_missing, set_ops, distinct_cardinalities, done_pages,
+        object_index, nested_tags, issue_features, topic_facet, name_facet, type_facet, facet_match, type_first_seen, semi_refs, anti_missing, set_ops, distinct_cardinalities, issue_list, done_pages,
         class_distribution, page_counts, run_stats, audit_counts, first_run, latest_per_key, job_rollup, shelf_issues, shelf_pages, serial_groups, derived_shelf, reader_start, catalog_status,
         catalog_rollup, catalog_summary, calendar_sections, deck_kind,
     )
@@ -396,7 +401,8 @@ ORACLE_SQL = {
     "set_ops": f"""WITH {_O}, g AS (SELECT issue_id, list(DISTINCT id % 8) AS rd, coalesce(list(DISTINCT id % 8) FILTER (WHERE is_published), []) AS sh FROM o GROUP BY 1)
       SELECT issue_id, array_to_string(list_sort(list_filter(rd, lambda x: NOT list_contains(sh, x))), ',') AS withheld,
         array_to_string(list_sort(list_intersect(sh, [0, 1, 2, 99])), ',') AS low_shown, array_to_string(list_sort(list_distinct(list_concat(sh, [0, 1, 2, 99]))), ',') AS with_low FROM g""",
-    "distinct_cardinalities": f"WITH {_O} SELECT count(DISTINCT page_record) AS pages, count(DISTINCT issue_id) AS issues, array_to_string(list_sort(list(DISTINCT issue_id)), ',') AS issue_list FROM o WHERE is_published",
+    "distinct_cardinalities": f"WITH {_O} SELECT count(DISTINCT page_record) AS pages, count(DISTINCT issue_id) AS issues FROM o WHERE is_published",
+    "issue_list": f"WITH {_O} SELECT DISTINCT issue_id FROM o WHERE is_published",
     "done_pages": f"WITH {_P} SELECT issue_pointer, count(*) FILTER (WHERE status = 'done') AS done FROM p WHERE issue_pointer IS NOT NULL GROUP BY 1",
     "class_distribution": f"WITH {_O} SELECT issue_id, object_class, count(*) AS n, CAST(sum(seq) AS BIGINT) AS occurrences FROM o GROUP BY 1, 2",
     "page_counts": f"""WITH {_O} SELECT seq, count(*) FILTER (WHERE object_class = 'article') AS articles, count(*) FILTER (WHERE object_class = 'advertisement') AS ads,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import geometry as G
 from vellum.functions import text as T
-from vellum.operators import kernels
+from vellum.operators import folds, kernels
 from vellum.sources.tables import table
 from vellum.sources.views import OBJECT_TOPICS_SQL, bare_objects, object_topics
 
@@ -105,24 +105,20 @@ def pack(blocks: Column, cap: int) -> Column:
 def corpus_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each issue's documents packed into a budget of characters; a document that is too long is skipped.
 
-    An issue has ISSUE_SIZE objects at most; only ids and lengths are gathered.
+    Only ids and lengths travel; the ids kept are at most as many as the budget has characters.
     """
-    d = bare_objects(spark, sf_dir).select("issue_id", "text", F.col("id").alias("doc_id")).select("issue_id", F.struct(F.col("doc_id").alias("pos"), F.col("doc_id").alias("id"), (F.length("text") + 1).cast("long").alias("n")).alias("b"))
-    p = d.groupBy("issue_id").agg(F.collect_list("b").alias("blocks")).select("issue_id", pack(F.col("blocks"), 40_000).alias("p"))
-    return p.select("issue_id", "p.used", F.size("p.kept").alias("kept"), "p.skipped", F.array_join("p.kept", ",").alias("ids"))
+    d = bare_objects(spark, sf_dir).select("issue_id", "id", (F.length("text") + 1).alias("n"))
+    p = folds.packed(d, "issue_id", "id", "n", 40_000)
+    fits = F.col("result") == 1
+    ids = F.array_join(F.array_sort(F.collect_list(F.when(fits, F.col("id")))).cast("array<string>"), ",")
+    return p.groupBy("issue_id").agg(F.sum(F.when(fits, F.col("n")).otherwise(0)).alias("used"), F.count_if(fits).cast("int").alias("kept"), F.count_if(~fits).cast("int").alias("skipped"), ids.alias("ids"))
 
 
 def chunks(spark: SparkSession, sf_dir: str, most: int = 3000) -> DataFrame:
     """Consecutive turns cut into chunks of at most so many characters; a longer turn is a chunk alone."""
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n")))).alias("turns"))
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("n"), F.array().cast("array<struct<turn:bigint,chunk:int>>").alias("out"))
-
-    def step(a: Column, t: Column) -> Column:
-        opens = (a["n"] > 0) & (a["n"] + t["n"] > most)
-        chunk = F.when(opens, a["chunk"] + 1).otherwise(a["chunk"])
-        return F.struct(chunk.alias("chunk"), F.when(opens, t["n"]).otherwise(a["n"] + t["n"]).alias("n"), F.array_append(a["out"], F.struct(t["turn"].alias("turn"), chunk.alias("chunk"))).alias("out"))
-
-    return c.select("conv_id", F.explode(F.aggregate("turns", start, step, lambda a: a["out"])).alias("r")).groupBy("conv_id", F.col("r.chunk").alias("chunk")).agg(F.min("r.turn").alias("first_turn"), F.count(F.lit(1)).alias("turns"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("n"))
+    cut = folds.chunked(c, "conv_id", "turn", "n", most)
+    return cut.groupBy("conv_id", F.col("result").cast("int").alias("chunk")).agg(F.min("turn").alias("first_turn"), F.count(F.lit(1)).alias("turns"))
 
 
 def slices(spark: SparkSession, sf_dir: str, height: int = 900, overlap: int = 90) -> DataFrame:

@@ -2,21 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.sources.folders import new_folder
 from vellum.sources.tables import table
 
 
-def shared_folder(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return found.rstrip("/")
-
-
 def daily(stream: DataFrame, late: str = "2 days") -> DataFrame:
     """Calls and value by step and day; works on a stream and on a table alike."""
     return stream.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), F.col("event_type").alias("step")).agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("value"), 4).alias("value"))
@@ -26,7 +18,7 @@ def stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Read events as a stream to its end; each micro-batch replaces the rollup's table."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     source = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
-    folder = f"{shared_folder(spark)}/vellum-stream/{uuid.uuid4().hex}"
+    folder = new_folder(spark, "stream")
 
     def replace(batch: DataFrame, number: int) -> None:
         batch.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "step", "calls", "value").write.mode("overwrite").parquet(f"{folder}/table")
