@@ -147,6 +147,41 @@ def test_repeated_ids_are_one_document_if_equal(spark):
     assert got == [(0, 0), (1, 0), (1, 0), (2, 0), (2, 400)]
 
 
+@pytest.mark.parametrize("batch", [10_000, 20])
+def test_substring_dedup_of_repeated_ids_with_other_texts(spark, batch):
+    """Only a smaller doc_id makes a window go: rows of one id, null ids among them, never one another's."""
+    rng = random.Random(batch)
+    say = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    passages = [say(rng.randrange(50, 90)) for _ in range(6)]
+    rows = []
+    for _ in range(150):
+        words = say(rng.randrange(30))
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(20)
+            words += rng.choice(passages)[at:] + say(rng.randrange(12))
+        rows.append((rng.choice([None, 0, 1, 1, 2, 3, 5, 8, 13, 2**40]), " ".join(words)))
+    rows += rows[:20]
+    order = lambda i: -1 if i is None else i
+    first = {}
+    for i, text in rows:
+        words = text.split()
+        for a in range(len(words) - 49):
+            w = tuple(words[a : a + 50])
+            first[w] = min(first.get(w, 2**60), order(i))
+    want = []
+    for i, text in rows:
+        words = text.split()
+        gone = {p for a in range(len(words) - 49) if first[tuple(words[a : a + 50])] < order(i) for p in range(a, a + 50)}
+        want.append((order(i), len(words), len(gone), hashlib.sha256(" ".join(w for p, w in enumerate(words) if p not in gone).encode()).hexdigest()))
+    assert sum(w[2] > 0 for w in want) > 20
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((order(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted(want)
+
+
 def test_a_short_passage_amid_different_words_is_no_hot_group(spark):
     rng = random.Random(41)
     say = lambda k: " ".join(f"w{rng.randrange(10**6)}" for _ in range(k))

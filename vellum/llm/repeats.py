@@ -52,14 +52,24 @@ SPREAD = 8
 _TYPES = {"g": np.int64, "k": np.int64, "doc": np.int64, "lo": np.int32, "hi": np.int32, "state": np.int32}
 
 
+#: Where ids repeat, a row's number has the rank of its id above so many bits; null ids are negative.
+SHARED = 27
+
+
+def ranks(doc: np.ndarray, shared: bool) -> np.ndarray:
+    """What orders documents: the id, or, where ids repeat, its rank, which all rows of one id have."""
+    return np.where(doc < 0, -1, doc >> SHARED) if shared else doc
+
+
 def rows_batch(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v) for v in columns.values()], names=list(columns))
 
 
-def combine(g: np.ndarray, k: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, across: bool) -> dict[str, np.ndarray]:
+def combine(g: np.ndarray, k: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, across: bool, shared: bool = False) -> dict[str, np.ndarray]:
     """Within one batch: cover the later rows of equal keys, leave the rest open.
 
-    across: only rows of a larger doc are covered; else later rows of one doc are, too.
+    across: only rows of a larger doc are covered; else later rows of one doc are, too. shared: docs are
+    numbers of rows whose ids repeat, and rows of one id cover none of one another.
     Covered spans of a document that overlap or touch leave as one row; its g is the
     document, so that such rows spread in the shuffle. Rows of a g with many k are
     edges unless covered: they spread by (g, k), and one note tells the rows of that g elsewhere.
@@ -69,7 +79,8 @@ def combine(g: np.ndarray, k: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: n
     new[1:] = (g[order][1:] != g[order][:-1]) | (k[order][1:] != k[order][:-1])
     first = np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))
     later = np.zeros(len(g), bool)
-    later[order] = doc[order] > doc[order][first] if across else ~new
+    rank = ranks(doc[order], shared)
+    later[order] = rank > rank[first] if across else ~new
     spans = merged_spans(doc[later], lo[later], hi[later])
     new_g = np.ones(len(g), bool)
     new_g[1:] = g[order][1:] != g[order][:-1]
@@ -107,7 +118,7 @@ def merged_spans(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.nd
     return doc[start], lo[start], (reach[end] - shift[end]).astype(hi.dtype)
 
 
-def scan(across: bool, most: int = GROUP) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def scan(across: bool, shared: bool = False, most: int = GROUP) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The first-occurrence scan over rows sorted by (g, k, doc, lo)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +147,7 @@ def scan(across: bool, most: int = GROUP) -> Callable[[Iterator[pa.RecordBatch]]
             new_g[0], new_k[0] = not goes_on, not same_k
             at = np.maximum.accumulate(np.where(new_k, np.arange(n), -1))
             lead = np.where(at >= 0, doc[np.maximum(at, 0)], d0 if same_k else 0)
-            later = (doc > lead if across else ~new_k) & ~note
+            later = (ranks(doc, shared) > ranks(lead, shared) if across else ~new_k) & ~note
             # Number the groups of this batch; 0 is the one carried over, if it goes on.
             number = np.cumsum(new_g) - (0 if goes_on else 1)
             kinds = np.bincount(number, new_k & ~note, number[-1] + 1)
@@ -174,9 +185,9 @@ def _edges(wait: list[np.ndarray], kinds: int, state: int) -> Iterator[pa.Record
         yield rows_batch({"doc": doc, "lo": lo.astype(np.int32), "hi": hi.astype(np.int32), "state": np.full(len(doc), state, np.int32)})
 
 
-def first_occurrences(rows: DataFrame, across: bool) -> DataFrame:
+def first_occurrences(rows: DataFrame, across: bool, shared: bool = False) -> DataFrame:
     """ANCHOR rows -> SPAN rows that are covered or edges."""
-    return rows.repartition("g").sortWithinPartitions("g", "k", "doc", "lo").mapInArrow(scan(across), SPAN)
+    return rows.repartition("g").sortWithinPartitions("g", "k", "doc", "lo").mapInArrow(scan(across, shared), SPAN)
 
 
 def spans_per_doc(spans: DataFrame) -> DataFrame:
@@ -219,12 +230,23 @@ def numbered(rows: DataFrame, by: list[str]) -> DataFrame:
     return staged(ranges.join(starts, "range").select(*by, (F.col("start") + F.col("place")).alias("number")), "numbers")
 
 
+def shared_numbers(rows: DataFrame) -> DataFrame:
+    """Distinct rows (doc, h) with a number in their order, from which `ranks` tells the id's rank."""
+    unknown = F.col("doc") == -(2**63)
+    without = numbered(rows.where(unknown), ["doc", "h"]).select("doc", "h", (F.col("number") - (1 << 62)).alias("number"))
+    known = rows.where(~unknown)
+    rank = numbered(known.select("doc").distinct(), ["doc"]).withColumnRenamed("number", "rank")
+    place = (F.row_number().over(Window.partitionBy("doc").orderBy("h")) - 1).cast("long")
+    fits = F.when(F.col("place") < (1 << SHARED), F.shiftleft("rank", SHARED) + F.col("place")).otherwise(F.raise_error(F.lit("too many texts of one id")).cast("bigint"))
+    return known.withColumn("place", place).join(rank, "doc").select("doc", "h", fits.alias("number")).unionAll(without)
+
+
 def unique_rows(docs: DataFrame, carry: Sequence[str] = (), text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, Callable[[DataFrame], DataFrame], bool]:
     """Rows (doc, text) with a doc of their own, in the order of doc_id (null first), what joins
     columns per doc to every input row: (id, text, carried, row, columns), and whether ids repeat.
 
     Where no doc_id repeats, doc is doc_id, and row is null. Else equal rows become one, and rows are
-    numbered in the order of doc_id and a hash of the text; row is a number of the input row.
+    numbered in the order of doc_id and a hash of the text (`shared_numbers`); row is a number of the input row.
     carried is a struct of the columns to carry, or null.
     """
     carried = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("int")
@@ -233,7 +255,7 @@ def unique_rows(docs: DataFrame, carry: Sequence[str] = (), text: str = "text",
     if rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         return rows, lambda spans: each.withColumn("row", F.lit(None).cast("bigint")).join(spans.hint("shuffle_hash"), "doc", "left").withColumnRenamed("doc", "id"), False
     keyed = staged(each.withColumns({"h": F.xxhash64(F.coalesce("text", F.lit(""))), "row": F.monotonically_increasing_id()}), "repeated_ids")
-    number = numbered(keyed.select("doc", "h").distinct(), ["doc", "h"])
+    number = shared_numbers(keyed.select("doc", "h").distinct())
     one = keyed.dropDuplicates(["doc", "h"]).join(number, ["doc", "h"]).select(F.col("number").alias("doc"), "text")
 
     def with_spans(spans: DataFrame) -> DataFrame:
@@ -247,7 +269,7 @@ def real_id(col: str) -> Column:
     return F.when(F.col(col) != -(2**63), F.col(col))
 
 
-def window_rows(unit: Callable[[bytes], tuple[bytes, np.ndarray, np.ndarray]], length: int, across: bool) -> Callable:
+def window_rows(unit: Callable[[bytes], tuple[bytes, np.ndarray, np.ndarray]], length: int, across: bool, shared: bool = False) -> Callable:
     """Rows (doc, text, spans) -> ANCHOR rows, one for each window of `length` units in a span.
 
     unit gives a text's bytes and the first and last byte of each of its units. A window
@@ -269,27 +291,27 @@ def window_rows(unit: Callable[[bytes], tuple[bytes, np.ndarray, np.ndarray]], l
                     start.append(np.arange(a, b, dtype=np.int32))
                     doc.append(np.full(b - a, d, np.int64))
                 if len(halves) > 400_000:
-                    yield _windows(halves, doc, start, length, across)
+                    yield _windows(halves, doc, start, length, across, shared)
                     halves, doc, start = [], [], []
             if halves:
-                yield _windows(halves, doc, start, length, across)
+                yield _windows(halves, doc, start, length, across, shared)
 
     return run
 
 
-def _windows(halves: list[bytes], doc: list, start: list, length: int, across: bool) -> pa.RecordBatch:
+def _windows(halves: list[bytes], doc: list, start: list, length: int, across: bool, shared: bool) -> pa.RecordBatch:
     both = np.frombuffer(b"".join(halves), np.int64).reshape(-1, 2)
     lo = np.concatenate(start)
-    return rows_batch(combine(both[:, 0].copy(), both[:, 1].copy(), np.concatenate(doc), lo, (lo + length).astype(np.int32), across))
+    return rows_batch(combine(both[:, 0].copy(), both[:, 1].copy(), np.concatenate(doc), lo, (lo + length).astype(np.int32), across, shared))
 
 
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def repeated_spans(rows: DataFrame, anchors: DataFrame, unit: Callable, length: int, across: bool) -> DataFrame:
+def repeated_spans(rows: DataFrame, anchors: DataFrame, unit: Callable, length: int, across: bool, shared: bool = False) -> DataFrame:
     """All covered spans (doc, lo, hi, of `length` units at least) of rows (doc, text), from their anchors."""
-    judged = staged(first_occurrences(anchors, across), "judged_anchors")
+    judged = staged(first_occurrences(anchors, across, shared), "judged_anchors")
     edges = spans_per_doc(judged.where(F.col("state") != COVERED))
-    windows = first_occurrences(rows.join(edges.hint("shuffle_hash"), "doc").mapInArrow(window_rows(unit, length, across), ANCHOR), across)
+    windows = first_occurrences(rows.join(edges.hint("shuffle_hash"), "doc").mapInArrow(window_rows(unit, length, across, shared), ANCHOR), across, shared)
     return judged.unionAll(windows).where(F.col("state") == COVERED).select("doc", "lo", "hi")

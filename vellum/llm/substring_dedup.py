@@ -14,9 +14,9 @@ settled whole; windows at the rims of repeated passages are compared one by one
 
 Edge cases: null, empty and blank texts have no words; a text shorter than a window
 loses nothing; a null doc_id is earlier than any other; equal rows are one document and
-get equal answers; rows that repeat a doc_id with other texts count as documents in the
-order of a hash of their texts; an empty table gives an empty result; other columns are
-ignored.
+get equal answers; rows that repeat a doc_id with other texts are each judged against smaller
+doc_ids only, never against one another; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ def words_of(text: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
     return data, np.r_[0, gaps + 1], np.r_[gaps, len(data)]
 
 
-def _anchors(window: int):
+def _anchors(window: int, shared: bool = False):
     size = window - PERIOD + 1
     in_cover = np.isin(np.arange(PERIOD), COVER)
 
@@ -67,17 +67,17 @@ def _anchors(window: int):
                 lo.append(a.astype(np.int32))
                 hi.append(b.astype(np.int32))
                 if len(g) > 500_000:
-                    yield _pack(g, k, doc, lo, hi)
+                    yield _pack(g, k, doc, lo, hi, shared)
                     g, k, doc, lo, hi = [], [], [], [], []
             if g:
-                yield _pack(g, k, doc, lo, hi)
+                yield _pack(g, k, doc, lo, hi, shared)
 
     return run
 
 
-def _pack(g: list[int], k: list[int], doc: list, lo: list, hi: list) -> pa.RecordBatch:
+def _pack(g: list[int], k: list[int], doc: list, lo: list, hi: list, shared: bool) -> pa.RecordBatch:
     keys = (np.array(x, np.uint64).view(np.int64) for x in (g, k))
-    return rows_batch(combine(*keys, np.concatenate(doc), np.concatenate(lo), np.concatenate(hi), across=True))
+    return rows_batch(combine(*keys, np.concatenate(doc), np.concatenate(lo), np.concatenate(hi), True, shared))
 
 
 _KEPT = "id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string"
@@ -110,7 +110,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, with_text: bool = True) -
     """doc_id, n_words, n_removed, kept_sha256, kept (words joined by one space) per document."""
     if window <= PERIOD:
         raise ValueError(f"a window must be longer than the cover's period of {PERIOD} words")
-    rows, with_spans, _ = unique_rows(docs)
-    spans = spans_per_doc(repeated_spans(rows, rows.mapInArrow(_anchors(window), ANCHOR), words_of, window, across=True))
+    rows, with_spans, shared = unique_rows(docs)
+    spans = spans_per_doc(repeated_spans(rows, rows.mapInArrow(_anchors(window, shared), ANCHOR), words_of, window, True, shared))
     out = with_spans(spans).mapInArrow(_remove(with_text), _KEPT)
     return out.select(real_id("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept")
