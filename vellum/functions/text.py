@@ -185,3 +185,8 @@ PRICE = r"\$[\d,]+(?:\.\d\d)?"
 
 def about(c: Column, alternatives: str) -> Column:
     return c.rlike(word_regex(alternatives))
+
+
+#: Fixed pattern of a printed price; boundaries are those of ASCII words.
+SAYS_PRICE = r"(?i)(\$\s?\d|(?<![0-9A-Za-z_])\d+\s?(¢|cents?(?![0-9A-Za-z_]))|(?<![0-9A-Za-z_])\d+c(?![0-9A-Za-z_]))"
+SAYS_PRICE_RE2 = r"(?i)(\$\s?\d|\b\d+\s?(¢|cents?\b)|\b\d+c\b)"

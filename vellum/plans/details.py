@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import geometry as G
 from vellum.functions import text as T
+from vellum.plans.browse import ORACLE_SQL as BROWSE_SQL
 from vellum.plans.browse import RIGHTS_SQL, rights_status, type_facet
 from vellum.plans.edition import _DEAL, _DEALT, _F, _dealing, _features, dealt
 from vellum.plans.ordered import _BOXES, _boxes, pack
@@ -162,7 +163,8 @@ ORACLE_SQL = {
     "enriched_issues": f"WITH {_P} SELECT DISTINCT issue_pointer FROM p WHERE issue_pointer IS NOT NULL AND page_record IN (SELECT doc_id FROM documents)",
     "book_totals": f"""WITH {_P} SELECT issue_pointer, CAST(count(*) AS INTEGER) AS pages, CAST(count(*) FILTER (WHERE status = 'done') AS INTEGER) AS "read",
       CAST(coalesce(sum(object_count) FILTER (WHERE status = 'done'), 0) AS INTEGER) AS objects FROM p WHERE issue_pointer IS NOT NULL GROUP BY 1""",
-    "selection_labels": "SELECT 'Y-AD, Y-MAP, V-ALL' AS labels, true AS visual, 3::BIGINT AS n",
+    "selection_labels": f"""WITH f AS ({BROWSE_SQL["type_facet"]})
+      SELECT string_agg(upper(value), ', ' ORDER BY position) AS labels, bool_or(starts_with(value, 'v-')) AS visual, count(*) AS n FROM f WHERE value IN ('v-all', 'y-map', 'y-ad', 'y-unknown')""",
     "region_shapes": f"""WITH {_BOXES}, c AS (SELECT vec_id, w > 0 AND h > 0 AS ok, least(w, 1 - x) * least(h, 1 - y) AS a FROM bx)
       SELECT vec_id, CAST(ok::INTEGER + CASE WHEN vec_id % 2 = 1 THEN 1 ELSE 0 END AS INTEGER) AS n, round(CASE WHEN ok THEN a ELSE 0 END + CASE WHEN vec_id % 2 = 1 THEN 0.2::DOUBLE * 0.2::DOUBLE ELSE 0 END, 6) AS area, vec_id % 4 = 1 AS edited FROM c""",
     "reading_rects": f"""WITH RECURSIVE {_BOXES}, q AS (SELECT page, x, y, row_number() OVER (PARTITION BY page ORDER BY x, y, w, h) AS rn FROM bx),

@@ -16,7 +16,7 @@ from vellum.sources.views import OBJECT_ENTITIES_SQL, OBJECT_EVENTS_SQL, OBJECT_
 
 #: What a text may speak of.
 SAYS = {
-    "price": lambda text: text.rlike(r"\$\s?\d"),
+    "price": lambda text: text.rlike(T.SAYS_PRICE),
     "lost": lambda text: T.about(text, T.LOST),
     "milestone": lambda text: T.about(text, T.MILESTONE),
     "civic": lambda text: T.about(text, T.CIVIC),
@@ -183,7 +183,7 @@ QUERIES = {f.__name__: f for f in (interests, topic_interests, card_material, de
 _about = lambda a: f"regexp_matches(text, '(?i)\\b({a})\\b')"
 _in = lambda *c: "object_class IN (" + ", ".join(f"'{x}'" for x in c) + ")"
 _has = lambda t: f"list_contains(topics, '{t}')"
-_PRICE = r"(event_price OR regexp_matches(text, '\$\s?\d'))"
+_PRICE = f"(event_price OR regexp_matches(text, '{T.SAYS_PRICE_RE2}'))"
 _ODD = f"(is_advertorial OR {_in('legal_notice', 'classified_section', 'coupon')} OR {_about(T.LOST)})"
 _INTEREST_SQL = {"ads": _in("advertisement", "coupon"), "people": "people > 0", "week": f"{_in('article')} OR events > 0", "money": _PRICE, "strange": _ODD}
 _CARD_SQL = {

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.plans import browse, curation, details, edition, ordered, scale, spend, texts
+from vellum.plans import browse, curation, desk, details, edition, ordered, scale, spend, texts
 from vellum.streaming import daily, frames, ledger
 
-MODULES = (spend, browse, texts, ordered, curation, edition, details, scale, daily, frames, ledger)
+MODULES = (spend, browse, texts, ordered, curation, edition, details, desk, scale, daily, frames, ledger)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
