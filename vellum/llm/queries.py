@@ -110,25 +110,6 @@ ORACLE_SQL = {
       g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
       SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, sha256(t.norm) AS text_sha256
       FROM t JOIN g ON t.norm = g.norm""",
-    # A line goes if a run of up to five lines (each has a word) with five words holds it that an earlier document has.
-    "op10_line_dedup": r"""
-      WITH l AS (
-        SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS raw
-        FROM documents),
-      s AS (SELECT *, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS bare FROM l),
-      f AS (SELECT *, count(*) FILTER (WHERE bare <> '') OVER (PARTITION BY doc_id ORDER BY raw) AS pos FROM s),
-      g AS (SELECT doc_id, pos, bare, len(regexp_extract_all(bare, '[^\x20\x09-\x0D]+')) AS words FROM f WHERE bare <> ''),
-      r AS (
-        SELECT a.doc_id, a.pos, k.n, string_agg(b.bare, chr(10) ORDER BY b.pos) AS run
-        FROM g a, range(1, 6) k(n), g b
-        WHERE b.doc_id = a.doc_id AND b.pos BETWEEN a.pos AND a.pos + k.n - 1
-        GROUP BY 1, 2, 3 HAVING count(*) = k.n AND sum(b.words) >= 5),
-      h AS (SELECT run, min(doc_id) AS holder FROM r GROUP BY 1),
-      x AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + n)) AS pos FROM r JOIN h USING (run) WHERE holder < doc_id),
-      k AS (SELECT f.*, x.pos IS NOT NULL AS gone FROM f LEFT JOIN x ON x.doc_id = f.doc_id AND x.pos = f.pos)
-      SELECT doc_id, count(*) FILTER (WHERE bare <> '') AS n_lines, count(*) FILTER (WHERE gone AND bare <> '') AS n_removed,
-        sha256(coalesce(string_agg(line, chr(10) ORDER BY raw) FILTER (WHERE NOT gone), '')) AS kept_sha256
-      FROM k GROUP BY 1""",
     "op12_filter_audit": r"""
       WITH l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
       t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
