@@ -232,12 +232,12 @@ def _verify(words: int, similarity: float):
 
 
 def _slice(words: int):
-    """Each text's distinct shingles with one of 5 of 16 hash ends."""
+    """Each text's distinct shingles with one of 5 of 16 hash ends, and its group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = (np.unique(np.array(shingle_hashes(t, words), np.uint64)) for t in texts(batch, lower=True))
-            yield from _exploded(((doc, x[(x & np.uint64(15)) < 5]) for doc, x in zip(id_values(batch, "doc").tolist(), found, strict=True)), 1)
+            yield from _exploded(((*ids, x[(x & np.uint64(15)) < 5]) for *ids, x in zip(id_values(batch, "doc").tolist(), id_values(batch, "root").tolist(), found, strict=True)), 2)
 
     return run
 
@@ -307,16 +307,17 @@ def _runs(batches: Iterator[pa.RecordBatch], names: list[str], most: int = 0) ->
 
 
 def _alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, doc) sorted by token -> the doc of every token that has just one row."""
-    for (token, doc), part in _runs(batches, ["token", "doc"], COMMON):
+    """(token, root, doc) sorted by token and root -> the docs of every token that just one root has."""
+    for (token, root, doc), part in _runs(batches, ["token", "root", "doc"], COMMON):
         edges = np.flatnonzero(np.r_[True, token[1:] != token[:-1], True])
-        alone = edges[:-1][np.diff(edges) == 1]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[alone[:0] if part else alone])], names=["doc"])
+        single = root[edges[:-1]] == root[edges[1:] - 1]
+        alone = np.repeat(single, np.diff(edges)) & (not part)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[alone])], names=["doc"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, root, doc, n) sorted by token and root -> rows of tokens that several roots have, with
-    the number of these roots."""
+    """(token, root's complement, doc, n) sorted by token and root -> rows of tokens that several roots have, with
+    the number of these roots and how far the root is from the doc."""
     for (token, root, doc, n), part in _runs(batches, ["token", "root", "doc", "n"], COMMON):
         if part:
             roots = np.full(len(token), 1 << 40)
@@ -325,20 +326,20 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of = np.cumsum(new) - 1
             roots = np.bincount(of, np.r_[True, (token[1:] != token[:-1]) | (root[1:] != root[:-1])])[of].astype(np.int64)
         keep = roots > 1
-        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (doc, roots, token, root, n)], names=["doc", "roots", "token", "root", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (doc, roots, token, ~root - doc, n)], names=["doc", "roots", "token", "apart", "n"])
 
 
 def _prefixes(similarity: float):
     """Rows of a doc, its shared tokens in order -> those in its prefix, with their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (doc, token, root, n), _ in _runs(batches, ["doc", "token", "root", "n"]):
+        for (doc, token, apart, n), _ in _runs(batches, ["doc", "token", "apart", "n"]):
             edges = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True])
             sizes = np.diff(edges)
             # Tokens of one root only stand before all shared ones.
             place = np.arange(len(doc)) - np.repeat(edges[:-1], sizes) + n - np.repeat(sizes, sizes)
             keep = place <= n - np.ceil(similarity * n - 1e-9)
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (token, n, doc, root, place)], names=["token", "n", "doc", "root", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (token, n, doc, doc + apart, place)], names=["token", "n", "doc", "root", "place"])
 
     return run
 
@@ -369,18 +370,24 @@ def _meetings(similarity: float, block: int = 2048):
     return run
 
 
-def remaining_pairs(rows: DataFrame, sizes: DataFrame, roots: DataFrame, words: int, similarity: float) -> DataFrame:
+def remaining_pairs(rows: DataFrame, sizes: DataFrame, roots: DataFrame, moved: DataFrame, words: int, similarity: float) -> DataFrame:
     """Pairs (u, v) of different roots that may reach the similarity: all that do are among them.
 
-    rows: doc, text; sizes: doc, n (distinct shingles); roots: node, root, a row a class.
+    rows: doc, text; sizes: doc, n (distinct shingles); roots: node, root, a row a class; moved: doc, root of
+    every doc that isn't its group's root. Shingles that just one group has can't be shared with another: a
+    text with more than 1 - similarity of them is left out before its other shingles are looked at.
     """
-    alone = rows.mapInArrow(_slice(words), "token bigint, doc bigint").repartition("token").sortWithinPartitions("token").mapInArrow(_alone, "doc bigint")
+    # Most roots equal their doc. Side by side, equal numbers keep a row from being compressed against the row before it,
+    # so roots travel as their complement, and as the difference from doc where rows are in no order of docs.
+    grouped = rows.join(moved, "doc", "left").withColumn("root", F.bitwise_not(F.coalesce("root", "doc")))
+    sliced = grouped.select("doc", "root", "text").mapInArrow(_slice(words), "token bigint, doc bigint, root bigint")
+    alone = sliced.repartition("token").sortWithinPartitions("token", "root").mapInArrow(_alone, "doc bigint")
     alone = alone.groupBy("doc").agg(F.count(F.lit(1)).alias("alone"))
     left = roots.select(F.col("node").alias("doc"), "root").join(sizes, "doc").join(alone, "doc", "left").where(F.coalesce("alone", F.lit(0)) <= (1 - similarity) * F.col("n") + 1e-6).select("doc", "root")
     left = staged(left.distinct(), "texts_left")
-    whole = rows.join(left, "doc")
+    whole = rows.join(left, "doc").withColumn("root", F.bitwise_not("root"))
     tokens = whole.mapInArrow(_all_shingles(words), "token bigint, doc bigint, root bigint, n bigint")
-    shared = tokens.repartition("token").sortWithinPartitions("token", "root").mapInArrow(_shared, "doc bigint, roots bigint, token bigint, root bigint, n bigint")
+    shared = tokens.repartition("token").sortWithinPartitions("token", "root").mapInArrow(_shared, "doc bigint, roots bigint, token bigint, apart bigint, n bigint")
     prefixes = shared.repartition("doc").sortWithinPartitions("doc", "roots", "token").mapInArrow(_prefixes(similarity), "token bigint, n bigint, doc bigint, root bigint, place bigint")
     return prefixes.repartition("token").sortWithinPartitions("token", "n").mapInArrow(_meetings(similarity), "u bigint, v bigint").distinct()
 
@@ -403,8 +410,9 @@ def _roots(rows: DataFrame, words: int, similarity: float) -> DataFrame:
     dealt = classes.select("doc", "f1", "f2").mapInArrow(_deal(key_bits(classes.count()), TABLES), "key bigint, doc bigint, f1 bigint, f2 bigint")
     links = staged(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_forests(radius), "u bigint, v bigint").distinct(), "candidate_links")
     verified = verified_links(rows, links, words, similarity)
-    first = staged(with_components(classes.select(F.col("doc").alias("node")), verified), "first_groups")
-    more = staged(remaining_pairs(rows, prints.select("doc", "n"), first, words, similarity), "candidate_links")
+    first = staged(with_components(classes.select(F.col("doc").alias("node"), "c1", "c2"), verified), "first_groups")
+    moved = staged(prints.select("doc", "c1", "c2").join(first.select("c1", "c2", "root"), ["c1", "c2"]).where("doc <> root").select("doc", "root"), "moved")
+    more = staged(remaining_pairs(rows, prints.select("doc", "n"), first.select("node", "root"), moved, words, similarity), "candidate_links")
     verified = first.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(verified_links(rows, more, words, similarity))
     roots = with_components(classes.select(F.col("doc").alias("node"), "c1", "c2"), verified)
     return prints.select("doc", "c1", "c2").join(roots, ["c1", "c2"]).select("doc", "root")
