@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.plans import browse, curation, desk, details, edition, functions_sql, harvests, ordered, rounds, scale, spend, texts
+from vellum.plans import browse, curation, desk, details, edition, functions_sql, harvests, ordered, rounds, scale, spend, stored, texts
 from vellum.streaming import daily, frames, ledger
 
-MODULES = (spend, browse, texts, ordered, curation, edition, details, desk, scale, harvests, rounds, functions_sql, daily, frames, ledger)
+MODULES = (spend, browse, texts, ordered, curation, edition, details, desk, scale, harvests, rounds, stored, functions_sql, daily, frames, ledger)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
