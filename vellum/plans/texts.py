@@ -12,7 +12,7 @@ from vellum.functions import text as T
 from vellum.functions.vocabulary import ABBREVIATIONS, CAPTURE_ONLY, LABEL_CLASSES, TOPICS
 from vellum.plans.browse import FACET_TYPE_SQL, facet_type
 from vellum.sources.tables import table
-from vellum.sources.views import ISSUES_SQL, OBJECTS_SQL, bare_objects, issues, objects, published, pick, sql_list
+from vellum.sources.views import EVENTS_OF_ONE, ISSUES_SQL, OBJECTS_SQL, bare_objects, issues, objects, published, pick, sql_list
 
 _O, _I = f"o AS ({OBJECTS_SQL})", f"i AS ({ISSUES_SQL})"
 
@@ -181,7 +181,7 @@ def classified_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tier_router(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which enrichment an object gets; an advertisement gets the heavy one only if it bears an event."""
-    bearing = table(spark, sf_dir, "events").where("event_type = 'purchase'").select((F.col("event_id") % 1000).alias("id")).distinct().withColumn("bearing", F.lit(True))
+    bearing = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.floor(F.col("event_id") / EVENTS_OF_ONE).alias("id")).distinct().withColumn("bearing", F.lit(True))
     c = F.col("object_class")
     tier = (
         F.when(c.isin(*CAPTURE_ONLY), "capture_only").when(c == "article", "heavy").when((c == "advertisement") & F.col("bearing"), "heavy")
@@ -399,7 +399,7 @@ ORACLE_SQL = {
     "legal_types": f"""WITH {_ADS} SELECT p_partkey, CASE WHEN contains(lower(text), 'bond') THEN 'bond_schedule' WHEN contains(lower(text), 'financial statement') OR contains(lower(text), 'assets') THEN 'financial_statement' ELSE 'resolution' END AS kind,
         {_ABOUT(T.LOST)} AS lost, {_ABOUT(T.SHOWS)} AS shows, {_ABOUT(T.KIDS)} AS kids, {_ABOUT(T.CIVIC)} AS civic, {_ABOUT(T.PROPERTY)} AS property FROM ads""",
     "classified_payload": "SELECT p_partkey, 'WANTS ' || p_brand AS banner, p_type || '|' || p_brand || '|' || p_size AS categories, 3 AS n FROM part",
-    "tier_router": f"""WITH {_O}, b AS (SELECT DISTINCT event_id % 1000 AS id FROM events WHERE event_type = 'purchase')
+    "tier_router": f"""WITH {_O}, b AS (SELECT DISTINCT event_id // {EVENTS_OF_ONE} AS id FROM events WHERE event_type = 'purchase')
       SELECT id, object_class, CASE WHEN object_class = 'article' THEN 'heavy' WHEN object_class = 'advertisement' AND id IN (SELECT id FROM b) THEN 'heavy'
         WHEN object_class IN ('advertisement', 'coupon') THEN 'light' WHEN object_class IN ('classified_section', 'legal_notice') THEN 'structured' ELSE 'capture_only' END AS tier FROM o""",
     "enrichment_check": f"""WITH v AS (SELECT {sql_list((*TOPICS, 'Unheard Of'))} AS v), e AS (SELECT doc_id, [v[doc_id % 13 + 1], v[(doc_id + 5) % 12 + 1], v[doc_id % 12 + 1]] AS t FROM documents, v)

@@ -172,16 +172,19 @@ OBJECT_ENTITIES_SQL = f"""
   FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
 """
 
+#: Events an object has at most: objects with events grow in number with the table.
+EVENTS_OF_ONE = 10
+
 EVENT_KINDS = ("concert", "film", "race", "civic", "club_engagement", "exhibition", "unheard_of")
 
 
 def object_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calendar rows extracted from objects; dates stay printed text."""
+    """Calendar rows extracted from objects, ten an object at most; dates stay printed text."""
     ev = table(spark, sf_dir, "events")
     k = F.col("event_id")
     return ev.select(
         k.alias("event_id"),
-        (k % 1000).alias("source_object_id"),
+        F.floor(k / EVENTS_OF_ONE).alias("source_object_id"),
         pick(F.col("user_id") % 7, EVENT_KINDS).alias("event_type"),
         F.date_format("ts", "yyyy-MM-dd").alias("start_text"),
         F.when(k % 4 == 0, F.concat(F.lit("$"), (k % 90 + 1))).alias("price_text"),
@@ -189,7 +192,7 @@ def object_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OBJECT_EVENTS_SQL = f"""
-  SELECT event_id, event_id % 1000 AS source_object_id, ({sql_list(EVENT_KINDS)})[user_id % 7 + 1] AS event_type,
+  SELECT event_id, event_id // {EVENTS_OF_ONE} AS source_object_id, ({sql_list(EVENT_KINDS)})[user_id % 7 + 1] AS event_type,
     strftime(ts, '%Y-%m-%d') AS start_text, CASE WHEN event_id % 4 = 0 THEN '$' || (event_id % 90 + 1) END AS price_text
   FROM events
 """
