@@ -125,27 +125,35 @@ def clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", dates.clock(F.col("value") * 10 - 20).alias("clock"))
 
 
-# ── notices and advertisements: part names with prices stand in for their text ────────────
+# ── notices and advertisements: whole documents, each with a phrase at its start, inside or at its end ──
 
+#: What notices say here, with words and prices that only look like what is searched.
+PHRASES = (
+    "bonds of $1,000 at 25c a week", "a vagabond and his dog", "FINANCIAL STATEMENT of the 5th ward", "financial  statement", "Assets and acres — the mayor", "rewarded; a foundling",
+    "LOST, strayed or stolen", "At the theatre, children free: $.50 or $2.50, $2.50", "Call LINC. 555-J, 1234 West Broadview Rd.", "lincoln 37-12K now, 12 Main St", "", "25 cents, 10c, 10c, 1234c, x5c, $1,250.75 and 5c.",
+    "councilman. Lots for sale", "Lincoln 555-Jx or linc 4J", "Schools - movies and films", "1c 2c 3c 4c 5c 6c 7c 8c 9c", "LINCOLN 9, 99999 Ann St. Clair Mc. Dee Street", "misassets",
+)
 
-def _ads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
-    text = F.concat(
-        F.col("p_name"), F.lit(" — "), F.col("p_brand"), F.lit(". Call Lincoln "), (F.col("p_size") * 37).cast("string"), F.lit("-J\nAt "), (F.col("p_partkey") % 9000 + 1000).cast("string"),
-        F.lit(" Broadview Rd, only $"), F.col("p_size").cast("string"), F.lit(".50 or $"), F.col("p_size").cast("string"), F.lit(".50, by 25c a week"),
-        F.when(F.col("p_partkey") % 3 == 0, " reward for a lost dog").when(F.col("p_partkey") % 3 == 1, " at the theatre, children free").otherwise(" council bond for sale"),
-    )
-    return p.select("p_partkey", text.alias("text"))
+
+def _notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text; a null text counts as empty."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("body"), pick(F.col("doc_id") % len(PHRASES), PHRASES).alias("phrase"))
+    at = F.instr("body", "\n")
+    inside = F.concat(F.expr("left(body, instr(body, '\\n'))"), "phrase", F.expr("substring(body, instr(body, '\\n') + 1)"))
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat("phrase", F.lit(" "), "body")).when((F.col("doc_id") % 3 == 1) | (at == 0), F.concat("body", F.lit("\n "), "phrase")).otherwise(inside)
+    return d.select("doc_id", text.alias("text"))
 
 
-_ADS = """ads AS (SELECT p_partkey, p_name || ' — ' || p_brand || '. Call Lincoln ' || (p_size * 37) || '-J' || chr(10) || 'At ' || (p_partkey % 9000 + 1000) || ' Broadview Rd, only $' || p_size || '.50 or $' || p_size
-  || '.50, by 25c a week' || CASE p_partkey % 3 WHEN 0 THEN ' reward for a lost dog' WHEN 1 THEN ' at the theatre, children free' ELSE ' council bond for sale' END AS text FROM part)"""
+_NOTICES = f"""d AS (SELECT doc_id, coalesce(text, '') AS body, ({sql_list(PHRASES)})[doc_id % {len(PHRASES)} + 1] AS phrase FROM documents),
+  notices AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN phrase || ' ' || body WHEN doc_id % 3 = 1 OR NOT contains(body, chr(10)) THEN body || chr(10) || ' ' || phrase
+    ELSE string_split(body, chr(10))[1] || chr(10) || phrase || array_to_string(string_split(body, chr(10))[2:], chr(10)) END AS text FROM d)"""
 
 
 #: Patterns of an advertisement's fields. Fixed values.
 ADVERTISER_END = " — |[.:]| - "
 CENTS = r"(?<![A-Za-z0-9_])\d{1,3}c(?![A-Za-z0-9_])"
-PHONE = r"(?i)(?<![A-Za-z0-9_])(?:Lincoln|LINC\.?)\s*\d[\d-]*[A-Z]?"
+_EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+PHONE = r"(?i)(?<![A-Za-z0-9_])(?:Lincoln|LINC\.?)\s*\d[\d-]*[A-Z]?" + _EDGE
 ADDRESS = r"(?<![A-Za-z0-9_])\d{3,5}\s+[A-Z][A-Za-z.]+(?:\s+[A-Z][A-Za-z.]+){0,3}\s+(?:Rd|Road|Ave|Avenue|St|Street|Blvd)(?![A-Za-z0-9_])"
 
 
@@ -155,8 +163,8 @@ def ad_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     some = lambda x: F.nullif(x, F.lit(""))
     name = F.substring(T.strip(F.get(F.split(T.first_line(c), ADVERTISER_END), F.lit(0))), 1, 80)
     prices = F.slice(F.array_distinct(F.regexp_extract_all(c, F.lit(f"{T.PRICE}|{CENTS}"), 0)), 1, 8)
-    return _ads(spark, sf_dir).select(
-        "p_partkey",
+    return _notices(spark, sf_dir).select(
+        "doc_id",
         some(name).alias("advertiser"),
         some(F.regexp_extract(c, PHONE, 0)).alias("phone"),
         some(F.regexp_extract(c, ADDRESS, 0)).alias("address"),
@@ -168,15 +176,20 @@ def legal_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kind of a legal notice by keyword precedence, and the subjects that its words show."""
     c, low = F.col("text"), F.lower("text")
     kind = F.when(low.contains("bond"), "bond_schedule").when(low.contains("financial statement") | low.contains("assets"), "financial_statement").otherwise("resolution")
-    return _ads(spark, sf_dir).select("p_partkey", kind.alias("kind"), T.about(c, T.LOST).alias("lost"), T.about(c, T.SHOWS).alias("shows"), T.about(c, T.KIDS).alias("kids"), T.about(c, T.CIVIC).alias("civic"), T.about(c, T.PROPERTY).alias("property"))
+    return _notices(spark, sf_dir).select("doc_id", kind.alias("kind"), T.about(c, T.LOST).alias("lost"), T.about(c, T.SHOWS).alias("shows"), T.about(c, T.KIDS).alias("kids"), T.about(c, T.CIVIC).alias("civic"), T.about(c, T.PROPERTY).alias("property"))
 
 
 def classified_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Banner and categories of a classified section: its first paragraph, split at semicolons."""
-    text = F.concat(F.lit("WANTS "), "p_brand", F.lit("\n"), F.col("p_type"), F.lit("; "), F.col("p_brand"), F.lit(" ;; "), F.col("p_size").cast("string"), F.lit("\n \nrest"))
+    """Banner and categories of a classified section: what stands between its first line and the next blank one, split at semicolons.
+
+    The sections are whole documents with semicolons for commas, some of them doubled, and blank lines before some of their lines.
+    """
+    text = F.coalesce("text", F.lit(""))
+    for old, new in ((", a", ";; a"), (", ", ";"), (".\nA", ".\n \t\nA"), (".\nE", ".\n\n\nE"), (".\nT", ".\n\nT")):
+        text = F.replace(text, F.lit(old), F.lit(new))
     block = F.regexp_extract("text", r"\n([\s\S]*?)\n\s*\n", 1)
     cats = F.filter(F.transform(F.split(block, ";"), T.strip), lambda x: x != "")
-    return table(spark, sf_dir, "part").select("p_partkey", text.alias("text")).select("p_partkey", T.strip(F.substring_index("text", "\n", 1)).alias("banner"), F.array_join(cats, "|").alias("categories"), F.size(cats).alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text")).select("doc_id", T.strip(F.substring_index("text", "\n", 1)).alias("banner"), F.array_join(cats, "|").alias("categories"), F.size(cats).alias("n"))
 
 
 def tier_router(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,9 +283,15 @@ def kwic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("item_id")
-    body = F.concat(F.lit("See [[co-"), k, F.lit("]] and (co-"), k + 3, F.lit(", co-"), k * 50, F.lit(") or co-"), k % 7, F.lit(" , now ."))
-    return table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit('```json\n{"headline": " Head ", "body": "'), body, F.lit('", "references": ["co-'), k + 1, F.lit('", "[[co-'), k, F.lit(']]", "x"]}\n```')).alias("raw"))
+    """Fenced JSON answers whose prose is the whole text of a turn; its commonest words give way to references, some of them to no object."""
+    k, t = F.col("conv_id"), F.col("turn")
+    body = F.coalesce("text", F.lit(""))
+    co = lambda n: F.concat(F.lit("co-"), n.cast("string"))
+    for word, by in ((" la ", F.concat(F.lit(" [[co-"), k, F.lit("]] "))), (" the ", F.concat(F.lit(" ("), co(k * 3 + t), F.lit(", "), co(t), F.lit(") "))), (" of ", F.concat(F.lit(" "), co(k * 50), F.lit(" ."))), (" le ", F.lit(" xco-5 [[co-6 co-7a "))):
+        body = F.replace(body, F.lit(word), by)
+    references = F.array(co(k + 1), F.concat(F.lit("[["), co(k), F.lit("]]")), F.lit("x"), F.lit("co-"))
+    answer = F.to_json(F.struct(F.concat(F.lit(' "'), F.substring_index(F.coalesce("text", F.lit("")), "\n", 1), F.lit('" \\ ')).alias("headline"), body.alias("body"), references.alias("references")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("```json\n"), answer, F.lit("\n```")).alias("raw"))
 
 
 def loose_json(raw: Column) -> Column:
@@ -283,18 +302,19 @@ def loose_json(raw: Column) -> Column:
 
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References of a model's answer that exist, eight at most, first seen first; ids leave the prose."""
+    key = ["conv_id", "turn"]
     parsed = F.from_json(loose_json(F.col("raw")), "headline string, body string, `references` array<string>")
-    a = _answers(spark, sf_dir).select("item_id", parsed.alias("a")).select("item_id", "a.*")
+    a = _answers(spark, sf_dir).select(*key, parsed.alias("a")).select(*key, "a.*")
     inline = F.regexp_extract_all("body", F.lit(r"(?<![A-Za-z0-9_])co-(\d+)(?![A-Za-z0-9_])"), 1)
     given = F.transform(F.coalesce("references", F.array().cast("array<string>")), lambda r: F.regexp_extract(r, r"^\[*(?:co-)?(\d+)\]*$", 1))
-    refs = a.select("item_id", F.posexplode(F.concat(given, inline)).alias("pos", "ref")).where("ref <> ''").groupBy("item_id", F.col("ref").cast("long").alias("id")).agg(F.min("pos").alias("pos"))
+    refs = a.select(*key, F.posexplode(F.concat(given, inline)).alias("pos", "ref")).where("ref <> ''").groupBy(*key, F.col("ref").cast("long").alias("id")).agg(F.min("pos").alias("pos"))
     real = refs.join(bare_objects(spark, sf_dir).select("id"), "id", "left_semi")
-    kept = real.groupBy("item_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("pos", "id"))), 1, 8).alias("r"))
+    kept = real.groupBy(*key).agg(F.slice(F.sort_array(F.collect_list(F.struct("pos", "id"))), 1, 8).alias("r"))
     prose = F.col("body")
     for pattern, by in ((r"\s*\[\[co-\d+\]\]", ""), (r"\s*\((?:\s*co-\d+\s*[,;]?)+\)", ""), (r"\s*(?<![A-Za-z0-9_])co-\d+(?![A-Za-z0-9_])", ""), (r"\s+([.,;:!?])", "$1")):
         prose = F.regexp_replace(prose, pattern, by)
     ids = F.array_join(F.transform("r", lambda x: F.concat(F.lit("co-"), x["id"])), ",")
-    return a.join(kept, "item_id", "left").select("item_id", T.strip(F.col("headline")).alias("headline"), T.squash(prose).alias("body"), F.coalesce(ids, F.lit("")).alias("refs"))
+    return a.join(kept, key, "left").select(*key, T.strip(F.col("headline")).alias("headline"), T.squash(prose).alias("body"), F.coalesce(ids, F.lit("")).alias("refs"))
 
 
 def script_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -392,13 +412,17 @@ ORACLE_SQL = {
     "folio": f"""WITH {_I} SELECT pointer, concat_ws(' · ', upper(serial), upper(strftime(CAST(sort_date AS DATE), '%A, %B %-d, %Y'))) AS folio, upper(left(title, 1)) AS initials, CAST(left(sort_date, 4) AS INTEGER) AS year
       FROM i WHERE sort_date IS NOT NULL""",
     "clock": "WITH c AS (SELECT event_id, CAST(greatest(floor(value * 10 - 20), 0) AS BIGINT) AS s FROM events) SELECT event_id, printf('%d:%02d', s // 60, s % 60) AS clock FROM c",
-    "ad_fields": rf"""WITH {_ADS} SELECT p_partkey, left(regexp_split_to_array(string_split(text, chr(10))[1], ' — |[.:]| - ')[1], 80) AS advertiser,
-        nullif(regexp_extract(text, '(?i)\b(?:Lincoln|LINC\.?)\s*\d[\d-]*[A-Z]?'), '') AS phone,
+    "ad_fields": rf"""WITH {_NOTICES} SELECT doc_id, nullif(left(regexp_replace(regexp_split_to_array({_first_line('text')}, ' — |[.:]| - ')[1], '^\s+|\s+$', '', 'g'), 80), '') AS advertiser,
+        nullif(regexp_extract(text, '(?i)\b(?:Lincoln|LINC\.?)\s*\d[\d-]*[A-Z]?\b'), '') AS phone,
         nullif(regexp_extract(text, '\b\d{{3,5}}\s+[A-Z][A-Za-z.]+(?:\s+[A-Z][A-Za-z.]+){{0,3}}\s+(?:Rd|Road|Ave|Avenue|St|Street|Blvd)\b'), '') AS address,
-        array_to_string(list_slice(list_distinct(regexp_extract_all(text, '\$[\d,]+(?:\.\d\d)?|\b\d{{1,3}}c\b')), 1, 8).list_sort(), '|') AS prices FROM ads""",
-    "legal_types": f"""WITH {_ADS} SELECT p_partkey, CASE WHEN contains(lower(text), 'bond') THEN 'bond_schedule' WHEN contains(lower(text), 'financial statement') OR contains(lower(text), 'assets') THEN 'financial_statement' ELSE 'resolution' END AS kind,
-        {_ABOUT(T.LOST)} AS lost, {_ABOUT(T.SHOWS)} AS shows, {_ABOUT(T.KIDS)} AS kids, {_ABOUT(T.CIVIC)} AS civic, {_ABOUT(T.PROPERTY)} AS property FROM ads""",
-    "classified_payload": "SELECT p_partkey, 'WANTS ' || p_brand AS banner, p_type || '|' || p_brand || '|' || p_size AS categories, 3 AS n FROM part",
+        (SELECT coalesce(string_agg(price, '|' ORDER BY price), '') FROM (SELECT price FROM (SELECT unnest(p) AS price, generate_subscripts(p, 1) AS i FROM (SELECT regexp_extract_all(text, '\$[\d,]+(?:\.\d\d)?|\b\d{{1,3}}c\b') AS p)) GROUP BY price ORDER BY min(i) LIMIT 8)) AS prices FROM notices""",
+    "legal_types": f"""WITH {_NOTICES} SELECT doc_id, CASE WHEN contains(lower(text), 'bond') THEN 'bond_schedule' WHEN contains(lower(text), 'financial statement') OR contains(lower(text), 'assets') THEN 'financial_statement' ELSE 'resolution' END AS kind,
+        {_ABOUT(T.LOST)} AS lost, {_ABOUT(T.SHOWS)} AS shows, {_ABOUT(T.KIDS)} AS kids, {_ABOUT(T.CIVIC)} AS civic, {_ABOUT(T.PROPERTY)} AS property FROM notices""",
+    "classified_payload": rf"""WITH t AS (SELECT doc_id, string_split(replace(replace(replace(replace(replace(coalesce(text, ''), ', a', ';; a'), ', ', ';'), '.' || chr(10) || 'A', '.' || chr(10) || ' ' || chr(9) || chr(10) || 'A'),
+          '.' || chr(10) || 'E', '.' || chr(10) || chr(10) || chr(10) || 'E'), '.' || chr(10) || 'T', '.' || chr(10) || chr(10) || 'T'), chr(10)) AS ln FROM documents),
+        b AS (SELECT doc_id, ln, list_filter(range(3, len(ln)), lambda j: regexp_matches(ln[j], '^\s*$'))[1] AS blank FROM t),
+        c AS (SELECT doc_id, ln, CASE WHEN blank IS NULL THEN [] ELSE list_filter(list_transform(string_split(array_to_string(ln[2:blank - 1], chr(10)), ';'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') END AS cats FROM b)
+      SELECT doc_id, regexp_replace(ln[1], '^\s+|\s+$', '', 'g') AS banner, array_to_string(cats, '|') AS categories, CAST(len(cats) AS INTEGER) AS n FROM c""",
     "tier_router": f"""WITH {_O}, b AS (SELECT DISTINCT event_id // {EVENTS_OF_ONE} AS id FROM events WHERE event_type = 'purchase')
       SELECT id, object_class, CASE WHEN object_class = 'article' THEN 'heavy' WHEN object_class = 'advertisement' AND id IN (SELECT id FROM b) THEN 'heavy'
         WHEN object_class IN ('advertisement', 'coupon') THEN 'light' WHEN object_class IN ('classified_section', 'legal_notice') THEN 'structured' ELSE 'capture_only' END AS tier FROM o""",
@@ -414,10 +438,15 @@ ORACLE_SQL = {
         d AS (SELECT *, CASE WHEN s > 0 AND instr(b0, ' ') > 0 THEN substring(b0, instr(b0, ' ') + 1) ELSE b0 END AS b1,
           CASE WHEN e < n AND instr(reverse(a0), ' ') > 0 AND length(a0) - instr(reverse(a0), ' ') > 0 THEN left(a0, length(a0) - instr(reverse(a0), ' ')) ELSE a0 END AS a1 FROM c)
       SELECT id, CASE WHEN s > 0 THEN '… ' ELSE '' END || regexp_replace(b1, '\s+', ' ', 'g') || '[' || substring(text, i + 1, 3) || ']' || regexp_replace(a1, '\s+', ' ', 'g') || CASE WHEN e < n THEN ' …' ELSE '' END AS excerpt FROM d""",
-    "citations": """WITH r AS (SELECT item_id, unnest([item_id + 1, item_id, item_id, item_id + 3, item_id * 50, item_id % 7]) AS id, unnest([0, 1, 2, 3, 4, 5]) AS pos FROM benchmark),
-        f AS (SELECT item_id, id, min(pos) AS pos FROM r WHERE id IN (SELECT doc_id FROM documents) GROUP BY 1, 2),
-        g AS (SELECT item_id, string_agg('co-' || id, ',' ORDER BY pos) AS refs FROM f GROUP BY 1)
-      SELECT b.item_id, 'Head' AS headline, 'See and or, now.' AS body, coalesce(g.refs, '') AS refs FROM benchmark b LEFT JOIN g USING (item_id)""",
+    "citations": rf"""WITH a AS (SELECT conv_id, turn, string_split(coalesce(text, ''), chr(10))[1] AS head, replace(replace(replace(replace(coalesce(text, ''), ' la ', ' [[co-' || conv_id || ']] '),
+          ' the ', ' (co-' || (conv_id * 3 + turn) || ', co-' || turn || ') '), ' of ', ' co-' || (conv_id * 50) || ' .'), ' le ', ' xco-5 [[co-6 co-7a ') AS body FROM conversations),
+        n AS (SELECT conv_id, turn, [CAST(conv_id + 1 AS VARCHAR), CAST(conv_id AS VARCHAR)] || regexp_extract_all(body, '\bco-(\d+)\b', 1) AS refs FROM a),
+        r AS (SELECT conv_id, turn, CAST(unnest(refs) AS BIGINT) AS id, generate_subscripts(refs, 1) AS pos FROM n),
+        f AS (SELECT conv_id, turn, id, min(pos) AS pos FROM r WHERE id IN (SELECT doc_id FROM documents) GROUP BY ALL),
+        g AS (SELECT conv_id, turn, string_agg('co-' || id, ',' ORDER BY pos) AS refs FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) <= 8) GROUP BY ALL)
+      SELECT a.conv_id, a.turn, '"' || head || '" ' || chr(92) AS headline, coalesce(g.refs, '') AS refs,
+        {_squash(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(body, '\s*\[\[co-\d+\]\]', '', 'g'), '\s*\((?:\s*co-\d+\s*[,;]?)+\)', '', 'g'), '\s*\bco-\d+\b', '', 'g'), '\s+([.,;:!?])', '\1', 'g')")} AS body
+      FROM a LEFT JOIN g USING (conv_id, turn)""",
     "script_shape": rf"""WITH c AS (SELECT conv_id, CASE WHEN turn = 0 THEN 'intro' WHEN turn < 4 THEN 'section' ELSE 'outro' END AS part,
           {_squash(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\[[^\]]*\]', '', 'g'), '<[^>]*>', '', 'g'), '\([^)]*\)', '', 'g'), '\*', '', 'g'), '\bco-\d+\b', '', 'g')")} AS line FROM conversations),
         g AS (SELECT conv_id, count(*) FILTER (WHERE part = 'intro') AS intro, count(*) FILTER (WHERE part = 'section') AS sections, count(*) FILTER (WHERE part = 'outro') AS outro, CAST(sum(length(line)) AS BIGINT) AS characters
