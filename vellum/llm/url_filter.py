@@ -4,7 +4,11 @@ Everything on the main path is DataFrame expressions: feature extraction, the
 histograms that training aggregates, and the trees, which become one nested CASE
 expression. The driver sees only histogram rows: nodes x features x bins.
 
-Labelled URLs are those that a rule decides. The trees judge the others.
+Labelled URLs are those that a rule decides. The trees judge the others. Suffix statistics are the suffix's
+share and mean depth, and the smoothed rates at which labelled URLs of the same suffix, of the same last two
+host labels and of the same first path label are blocked. Labelled URLs fall into five folds by a hash; a
+labelled URL's rates come from the other folds, so that the trees never see its own label in a feature.
+
 A group of equal URLs is counted once with its weight before anything is
 shuffled, so a URL or host that holds a third of all rows costs one row a task.
 
@@ -50,8 +54,14 @@ CUTS = {
     "https": (0,),
     "suffix_share": (0.001, 0.01, 0.05, 0.1, 0.2, 0.3, 0.4, 0.6, 0.8),
     "suffix_depth": (0.5, 1.0, 1.5, 2.0, 2.5, 3.0),
+    "suffix_rate": (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8),
+    "domain_rate": (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8),
+    "section_rate": (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8),
 }
 
+#: Folds of labelled URLs, and the weight of the rate over all of them in a rate.
+FOLDS, SMOOTH = 5, 10.0
+
 
 def with_parts(pages: DataFrame, url: str = "url") -> DataFrame:
     """Add host (A-Z lower-cased) and path, both empty where there is no `://`."""
@@ -83,8 +93,7 @@ def with_lexical(urls: DataFrame) -> DataFrame:
     n = F.length(u).cast("double")
     query = F.regexp_extract(u, r"\?([^#]*)", 1)
     chars = F.filter(F.split(u, ""), lambda c: c != "")
-    # Entropy over sorted characters: a change of character closes a run.
-    runs = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / n)
+    shares = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / n)
     return urls.select(
         "*",
         n.alias("length"),
@@ -95,21 +104,46 @@ def with_lexical(urls: DataFrame) -> DataFrame:
         F.when(n > 0, _count(u, "[0-9]") / n).otherwise(0.0).alias("digit_ratio"),
         _count(F.col("path"), "[0-9]").alias("path_digits"),
         _count(F.col("host"), "-").alias("hyphens"),
-        F.coalesce(-F.aggregate(runs, F.lit(0.0), lambda a, p: a + p * F.log2(p)), F.lit(0.0)).alias("entropy"),
+        F.coalesce(-F.aggregate(shares, F.lit(0.0), lambda a, p: a + p * F.log2(p)), F.lit(0.0)).alias("entropy"),
         F.when(query == "", 0.0).otherwise(_count(query, "&") + 1).alias("params"),
         F.contains(u, F.lit("#")).cast("double").alias("fragment"),
         F.startswith(u, F.lit("https:")).cast("double").alias("https"),
         F.substring_index("host", ".", -1).alias("suffix"),
+        F.substring_index("host", ".", -2).alias("domain"),
+        F.regexp_extract("path", r"^/([^/]*)", 1).alias("section"),
     )
 
 
+def _fold_sums() -> list[Column]:
+    """Weights and blocked weights of labelled rows by fold, as two arrays."""
+    labelled = lambda f: F.col("ruled").isNotNull() & (F.col("fold") == f)
+    add = lambda of, c: F.coalesce(F.sum(F.when(of, c)), F.lit(0)).cast("double")
+    return [
+        F.array(*[add(labelled(f), F.col("n")) for f in range(FOLDS)]).alias("_all"),
+        F.array(*[add(labelled(f) & (F.col("ruled") == "block"), F.col("n")) for f in range(FOLDS)]).alias("_blocked"),
+    ]
+
+
+def _outside(folds: Column) -> Column:
+    """The sum over the folds but a labelled row's own."""
+    own = F.when(F.col("ruled").isNotNull(), F.get(folds, F.col("fold"))).otherwise(0.0)
+    return F.aggregate(folds, F.lit(0.0), lambda a, x: a + x) - own
+
+
 def with_features(urls: DataFrame) -> DataFrame:
-    """Lexical features plus statistics of the host's suffix over all rows (weight n)."""
-    base = with_lexical(urls)
-    per = base.groupBy("suffix").agg(F.sum("n").alias("_rows"), (F.sum(F.col("n") * F.col("depth")) / F.sum("n")).alias("suffix_depth"))
-    total = urls.agg(F.sum("n")).first()[0] or 1
-    stats = per.select("suffix", "suffix_depth", (F.col("_rows") / F.lit(total)).alias("suffix_share"))
-    return base.join(stats, "suffix").drop("suffix")
+    """Lexical features plus statistics of the host's suffix over all rows (weight n) and of what `ruled` says (null: not labelled)."""
+    urls = urls if "ruled" in urls.columns else urls.withColumn("ruled", F.lit(None).cast("string"))
+    base = staged(with_lexical(urls).withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")), "url_lexical")
+    total = base.agg(F.sum("n").alias("n"), *_fold_sums()).first()
+    everywhere = [F.array(*[F.lit(x) for x in total[c]]) for c in ("_all", "_blocked")]
+    prior = (_outside(everywhere[1]) + 0.5) / (_outside(everywhere[0]) + 1.0)
+    out = base
+    for key in ("suffix", "domain", "section"):
+        whole = [(F.sum("n") / F.lit(total["n"] or 1)).alias("suffix_share"), (F.sum(F.col("n") * F.col("depth")) / F.sum("n")).alias("suffix_depth")] if key == "suffix" else []
+        stats = base.groupBy(key).agg(*whole, *_fold_sums())
+        rate = (_outside(F.col("_blocked")) + SMOOTH * prior) / (_outside(F.col("_all")) + SMOOTH)
+        out = out.join(stats, key).withColumn(f"{key}_rate", rate).drop(key, "_all", "_blocked")
+    return out.drop("fold")
 
 
 def _bin(feature: str) -> Column:
