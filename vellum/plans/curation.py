@@ -70,9 +70,9 @@ def review_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Objects per page after new runs have replaced whole pages."""
-    li = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 500).alias("page_record"), F.col("l_suppkey").alias("maker"))
-    new = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select((F.col("o_orderkey") % 500).alias("page_record"), F.lit(-1).cast("long").alias("maker"))
+    """Objects per page after new runs have replaced whole pages, one of ten; a page has eight orders' lines."""
+    li = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 8).alias("page_record"), F.col("l_suppkey").alias("maker"))
+    new = table(spark, sf_dir, "orders").where("o_orderkey % 80 < 3").select(F.floor(F.col("o_orderkey") / 8).alias("page_record"), F.lit(-1).cast("long").alias("maker"))
     return X.replace_pages(li, new).groupBy("page_record").agg(F.count(F.lit(1)).alias("objects"), F.min("maker").alias("first_maker"))
 
 
@@ -141,8 +141,8 @@ ORACLE_SQL = {
     "review_patch": f"""WITH {_O}, b AS (SELECT doc_id AS id FROM labels)
       SELECT o.id, CASE WHEN b.id IS NOT NULL AND o.id % 2 = 0 THEN CASE WHEN o.id % 4 = 0 THEN 'approved' END ELSE curation_status END AS curation_status,
         CASE WHEN b.id IS NOT NULL AND o.id % 3 = 0 THEN 'T' || o.id ELSE display_title END AS display_title FROM o LEFT JOIN b ON b.id = o.id""",
-    "page_replace": """WITH n AS (SELECT o_orderkey % 500 AS page_record, -1 AS maker FROM orders WHERE o_orderkey % 10 = 0),
-        a AS (SELECT l_orderkey % 500 AS page_record, l_suppkey AS maker FROM lineitem WHERE l_orderkey % 500 NOT IN (SELECT page_record FROM n) UNION ALL SELECT * FROM n)
+    "page_replace": """WITH n AS (SELECT o_orderkey // 8 AS page_record, -1 AS maker FROM orders WHERE o_orderkey % 80 < 3),
+        a AS (SELECT l_orderkey // 8 AS page_record, l_suppkey AS maker FROM lineitem WHERE l_orderkey // 8 NOT IN (SELECT page_record FROM n) UNION ALL SELECT * FROM n)
       SELECT page_record, count(*) AS objects, min(maker)::BIGINT AS first_maker FROM a GROUP BY 1""",
     "propose_reset": f"""WITH {_P} SELECT page_record, CASE WHEN page_record % 3 = 0 THEN 'used' ELSE 'superseded' END AS draft, CASE WHEN status = 'done' THEN 'done' ELSE 'review' END AS status,
       CAST((page_record % 4 + 2) // 2 AS INTEGER) AS kept_discards, CAST(page_record % 4 + 2 AS INTEGER) AS boxes FROM p WHERE status <> 'running'""",

@@ -79,9 +79,9 @@ def footnotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The line that plays at a listener's time: an equi join on the segment, then a range."""
+    """The line that plays at a listener's time, a hundred times a segment: an equi join on the segment, then a range."""
     t = line_times(spark, sf_dir)
-    asks = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 100).alias("conv_id"), F.round(F.lit(10.0) + F.col("event_id") % 30 + 0.5, 3).alias("t"))
+    asks = table(spark, sf_dir, "events").select("event_id", F.floor(F.col("event_id") / 100).alias("conv_id"), F.round(F.lit(10.0) + F.col("event_id") % 30 + 0.5, 3).alias("t"))
     return asks.join(t, (asks["conv_id"] == t["conv_id"]) & (F.col("t") >= F.col("t0")) & (F.col("t") < F.col("t1"))).select("event_id", asks["conv_id"], "turn")
 
 
@@ -270,8 +270,8 @@ def nms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ocr_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of confidence 40 and more, and mean confidences, per page; 0 where there are none."""
-    e = table(spark, sf_dir, "events").select((F.col("user_id") % 30).alias("page"), (F.col("user_id") % 7).alias("block"), (F.col("event_id") * 13 % 100).alias("conf"))
+    """Words of confidence 40 and more, and mean confidences, per page of 300 words; 0 where there are none."""
+    e = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 300).alias("page"), (F.col("user_id") % 7).alias("block"), (F.col("event_id") * 13 % 100).alias("conf"))
     per = e.groupBy("page", "block").agg(F.count(F.lit(1)).alias("all_words"), F.count_if(F.col("conf") >= 40).alias("words"), F.round(F.avg("conf"), 6).alias("block_conf"))
     return per.groupBy("page").agg(F.sum("words").alias("words"), F.round(F.sum(F.col("block_conf") * F.col("all_words")) / F.sum("all_words"), 3).alias("conf"), F.round(F.max("block_conf"), 4).alias("best_block"))
 
@@ -338,7 +338,7 @@ ORACLE_SQL = {
       SELECT track, conv_id, off AS "offset", off + samples AS until FROM b""",
     "footnotes": f"""WITH ot AS ({OBJECT_TOPICS_SQL}), r AS (SELECT object_id // 200 AS edition, object_id, count(*) AS refs FROM ot GROUP BY object_id)
       SELECT edition, object_id, refs, CAST(coalesce(sum(refs) OVER (PARTITION BY edition ORDER BY object_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) + 1 AS first_note FROM r""",
-    "line_at": f"""WITH {_TIMES}, q AS (SELECT event_id, user_id % 100 AS conv_id, round(10.0::DOUBLE + event_id % 30 + 0.5, 3) AS t FROM events)
+    "line_at": f"""WITH {_TIMES}, q AS (SELECT event_id, event_id // 100 AS conv_id, round(10.0::DOUBLE + event_id % 30 + 0.5, 3) AS t FROM events)
       SELECT q.event_id, q.conv_id, tm.turn FROM q JOIN tm ON tm.conv_id = q.conv_id AND q.t >= tm.t0 AND q.t < tm.t1""",
     "corpus_pack": """WITH g AS (SELECT source || '-' || doc_id // 500 AS issue_id, list({'id': doc_id, 'n': length(text) + 1} ORDER BY doc_id) AS bs FROM documents GROUP BY 1),
         p AS (SELECT issue_id, list_reduce(list_prepend({'used': 0::BIGINT, 'ids': []::BIGINT[], 'skipped': 0, 'id': 0::BIGINT, 'n': 0::BIGINT},
@@ -386,7 +386,7 @@ ORACLE_SQL = {
       SELECT event_id, coalesce(c, t, g) AS object_class, CASE WHEN c IS NOT NULL THEN 'curator' WHEN t IS NOT NULL THEN 'transcriber' ELSE 'grouper' END AS decided_by, t IS NOT DISTINCT FROM g AS agreed FROM e""",
     "edit_delta": """WITH e AS (SELECT event_id, event_id % 4 AS edits, user_id % 6 + 1 AS n FROM events)
       SELECT event_id, greatest(0, edits + n - 2 * len(list_filter(range(1, n + 1), lambda i: (i + event_id) % 3 = 0))) AS edits, CAST(n AS INTEGER) AS log_size FROM e""",
-    "ocr_pages": """WITH e AS (SELECT user_id % 30 AS page, user_id % 7 AS block, event_id * 13 % 100 AS conf FROM events),
+    "ocr_pages": """WITH e AS (SELECT event_id // 300 AS page, user_id % 7 AS block, event_id * 13 % 100 AS conf FROM events),
         b AS (SELECT page, block, count(*) AS n, count(*) FILTER (WHERE conf >= 40) AS words, round(avg(conf), 6) AS c FROM e GROUP BY 1, 2)
       SELECT page, CAST(sum(words) AS BIGINT) AS words, round(sum(c * n) / sum(n), 3) AS conf, round(max(c), 4) AS best_block FROM b GROUP BY 1""",
     "line_boxes": f"""WITH {_BOXES} SELECT page, label AS line, round(min(x), 6) AS x0, round(min(y), 6) AS y0, round(max(x + w), 6) AS x1, round(max(y + h), 6) AS y1, count(*) AS words, string_agg(vec_id, ' ' ORDER BY vec_id) AS tokens FROM bx GROUP BY 1, 2""",
