@@ -328,15 +328,27 @@ def script_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("valid", (F.col("intro") > 0) & (F.col("sections") > 0) & (F.col("outro") > 0))
 
 
+#: Blanks at a line's ends, bullets, and inline marks or what lies between two of them. Fixed values but for the last.
+BLANK = r"[ \t\r\f\x0B]"
+BULLET = rf"^{BLANK}*[-*•]{BLANK}+"
+CITE, BOLD = r"\[\[co-[0-9]+\]\]", r"\*\*[^*]+\*\*"
+BETWEEN = r"(?:[^\[*]++|\[(?!\[co-[0-9]+\]\])|\*(?!\*[^*]+\*\*))++"
+
+
 def markup_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inline markup as rows: bold, citation or plain, in order."""
-    k = F.col("item_id")
-    line = F.concat(F.lit("- see **item "), k, F.lit("** and [[co-"), k, F.lit("]] there"))
-    b = table(spark, sf_dir, "benchmark").select("item_id", line.alias("line"))
-    parts = F.regexp_extract_all(F.regexp_replace("line", r"^- ", ""), F.lit(r"\*\*[^*]+\*\*|\[\[co-\d+\]\]|[^*\[]+"), 0)
-    seg = b.select("item_id", F.startswith("line", F.lit("- ")).alias("bullet"), F.posexplode(parts).alias("pos", "part"))
-    kind = F.when(F.startswith("part", F.lit("**")), "bold").when(F.startswith("part", F.lit("[[")), "citation").otherwise("plain")
-    return seg.select("item_id", "bullet", "pos", kind.alias("kind"), F.regexp_replace("part", r"\*\*|\[\[|\]\]", "").alias("text"))
+    """Inline markup of whole turns as rows: bold, cite or text, in order, line by line.
+
+    Common words give way to marks, some of them not closed; lines of blanks count but have no segments, nor has a null text.
+    """
+    text = F.col("text")
+    for old, new in ((" la ", F.lit(" **la** ")), (" the ", F.concat(F.lit(" [[co-"), F.col("conv_id"), F.lit("]]"))), ("\nE", F.lit("\n * E")), ("\nT", F.lit("\n \t\n•\tT")), (" de ", F.lit(" ***de** ")), (" of ", F.lit(" [[co-x]] [**"))):
+        text = F.replace(text, F.lit(old), new)
+    lines = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split(text, "\n")).alias("line", "raw"))
+    lines = lines.withColumn("raw", F.regexp_replace("raw", rf"{BLANK}+$", "")).where("raw <> ''")
+    parts = F.regexp_extract_all(F.regexp_replace("raw", BULLET, ""), F.lit(f"{CITE}|{BOLD}|{BETWEEN}"), 0)
+    seg = lines.select("conv_id", "turn", "line", F.col("raw").rlike(BULLET).alias("bullet"), F.posexplode(parts).alias("pos", "part"))
+    kind = F.when(F.col("part").rlike(f"^(?:{CITE})$"), "cite").when(F.col("part").rlike(f"^(?:{BOLD})$"), "bold").otherwise("text")
+    return seg.withColumn("kind", kind).select("conv_id", "turn", "line", "pos", "bullet", "kind", F.when(F.col("kind") == "text", F.col("part")).otherwise(F.expr("substring(part, 3, length(part) - 4)")).alias("text"))
 
 
 def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -452,8 +464,16 @@ ORACLE_SQL = {
         g AS (SELECT conv_id, count(*) FILTER (WHERE part = 'intro') AS intro, count(*) FILTER (WHERE part = 'section') AS sections, count(*) FILTER (WHERE part = 'outro') AS outro, CAST(sum(length(line)) AS BIGINT) AS characters
               FROM c WHERE line <> '' GROUP BY 1)
       SELECT *, intro > 0 AND sections > 0 AND outro > 0 AS valid FROM g""",
-    "markup_segments": """SELECT item_id, true AS bullet, unnest([0, 1, 2, 3, 4]) AS pos, unnest(['plain', 'bold', 'plain', 'citation', 'plain']) AS kind,
-      unnest(['see ', 'item ' || item_id, ' and ', 'co-' || item_id, ' there']) AS text FROM benchmark""",
+    "markup_segments": r"""WITH a AS (SELECT conv_id, turn, string_split(replace(replace(replace(replace(replace(replace(text, ' la ', ' **la** '), ' the ', ' [[co-' || conv_id || ']]'), chr(10) || 'E', chr(10) || ' * E'),
+          chr(10) || 'T', chr(10) || ' ' || chr(9) || chr(10) || '•' || chr(9) || 'T'), ' de ', ' ***de** '), ' of ', ' [[co-x]] [**'), chr(10)) AS ls FROM conversations WHERE text IS NOT NULL),
+        l AS (SELECT conv_id, turn, unnest(ls) AS t, generate_subscripts(ls, 1) - 1 AS line FROM a), s AS (SELECT * REPLACE (regexp_replace(t, '[ \t\r\f\x0B]+$', '') AS t) FROM l),
+        b AS (SELECT conv_id, turn, line, ltrim(t, ' ' || chr(9) || chr(13) || chr(12) || chr(11)) AS u, t FROM s WHERE t <> ''),
+        c AS (SELECT *, left(u, 1) IN ('-', '*', '•') AND regexp_matches(u[2:], '^[ \t\r\f\x0B]') AS bullet FROM b),
+        d AS (SELECT conv_id, turn, line, bullet, CASE WHEN bullet THEN ltrim(u[2:], ' ' || chr(9) || chr(13) || chr(12) || chr(11)) ELSE t END AS body FROM c),
+        p AS (SELECT conv_id, turn, line, bullet, list_filter(string_split(regexp_replace(body, '(\[\[co-[0-9]+\]\]|\*\*[^*]+\*\*)', chr(1) || '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS ps FROM d),
+        r AS (SELECT conv_id, turn, line, bullet, unnest(ps) AS x, generate_subscripts(ps, 1) - 1 AS pos FROM p)
+      SELECT conv_id, turn, CAST(line AS INTEGER) AS line, CAST(pos AS INTEGER) AS pos, bullet, CASE WHEN regexp_full_match(x, '\[\[co-[0-9]+\]\]') THEN 'cite' WHEN regexp_full_match(x, '\*\*[^*]+\*\*') THEN 'bold' ELSE 'text' END AS kind,
+        CASE WHEN regexp_full_match(x, '\[\[co-[0-9]+\]\]|\*\*[^*]+\*\*') THEN x[3:-3] ELSE x END AS text FROM r""",
     "json_roundtrip": """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END AS ops, 'undo' AS last_op, CASE WHEN event_id % 3 = 0 THEN 'move' ELSE 'undo' END AS first_op,
       CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""",
     "stamps": f"""WITH {_O} SELECT id, upper(issue_id) || ' · UNDATED · P.' || (id % 8 + 1) AS stamp, 'SOURCE: ' || upper(issue_id) || ' · SEQ ' || seq AS credit,
