@@ -48,6 +48,16 @@ def test_frames_over_restarts_disorder_and_replays(spark):
     assert seen[3] == sorted([*done, (1, 5, "unfinished", None)], key=lambda r: r[:2])
 
 
+def test_a_long_conversation_leaves_the_others_their_chunks(spark, tmp_path):
+    # 20 characters a chunk: the long one has over a thousand; the short ones' later chunks come after most of its own.
+    rows = [(13, t, "user", f"{t} " + "long words " * 400) for t in range(6)]
+    rows += [(c, t, "user", f"short turn {t} of {c}") for c in (7, 10, 15, 21, 40) for t in range(3)]
+    spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(tuple(r) for r in frames.stream_frames(spark, str(tmp_path)).collect())
+    broken = {(c, max(t for d, t, *_ in rows if d == c)) for c in (10, 40)}
+    assert got == sorted((c, t, "unfinished", None) if (c, t) in broken else (c, t, "text", text) for c, t, _, text in rows)
+
+
 def test_a_replayed_batch_changes_nothing(spark):
     folder, rows = new_folder(spark, "sink"), spark.range(5).withColumn("x", F.col("id") * 2)
     write = sinks.batch_sink(folder)

@@ -101,15 +101,20 @@ def frames_of(chunks: DataFrame, patience: str = "10 minutes", patience_ms: int
     return keyed.transformWithState(Frames(patience_ms), FRAME, "Append", "EventTime")
 
 
+#: Seconds over which an answer is sent: less than the patience, so that no long answer's clock runs past another's chunks.
+SENT_IN = 300
+
+
 def as_chunks(turns: DataFrame, size: Column, lose: Column) -> DataFrame:
     """turns (conv_id, turn, text) as the chunks in which a service might send them, `size` characters each; the last
-    `lose` characters never come."""
+    `lose` characters never come. All answers are sent at one time, each over SENT_IN seconds, however many its chunks."""
     event = F.struct(F.lit("content_block_delta").alias("type"), F.struct(F.lit("text_delta").alias("type"), F.col("text")).alias("delta"))
     line = F.concat(F.when(F.col("turn") % 3 == 1, ": still here\n").otherwise("event: delta\n"), F.lit("data: "), F.to_json(event), F.lit("\n\n"))
     whole = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda t: t["line"]), "").alias("all"))
     sent = whole.withColumn("sent", F.substring("all", F.lit(1), F.length("all") - lose)).withColumn("size", size)
-    at = sent.select("conv_id", "sent", "size", F.posexplode(F.sequence(F.lit(1), F.length("sent"), F.col("size"))).alias("n", "first"))
-    return at.select("conv_id", F.col("n").cast("long").alias("n"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("n")).alias("at"), F.substring("sent", F.col("first"), F.col("size")).alias("chunk"))
+    chunks = F.ceil(F.length("sent") / F.col("size"))
+    at = sent.select("conv_id", "sent", "size", chunks.alias("chunks"), F.posexplode(F.sequence(F.lit(1), F.length("sent"), F.col("size"))).alias("n", "first"))
+    return at.select("conv_id", F.col("n").cast("long").alias("n"), F.timestamp_seconds(1_700_000_000 + SENT_IN * F.col("n") / F.col("chunks")).alias("at"), F.substring("sent", F.col("first"), F.col("size")).alias("chunk"))
 
 
 #: Waves in which the chunks arrive, the last of which only says that time has passed.
