@@ -177,8 +177,11 @@ def set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def distinct_cardinalities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = published(spark, sf_dir)
-    return o.agg(F.countDistinct("page_record").alias("pages"), F.countDistinct("issue_id").alias("issues"))
+    """Distinct pages and issues of published objects, and the issues' list: distinct first, so that only their names meet in its row."""
+    o = published(spark, sf_dir).select("page_record", "issue_id")
+    listed = F.when(F.count(F.lit(1)) > 0, F.array_join(F.array_sort(F.collect_list("issue_id")), ","))
+    issues = o.select("issue_id").distinct().agg(F.count("issue_id").alias("issues"), listed.alias("issue_list"))
+    return o.agg(F.countDistinct("page_record").alias("pages")).crossJoin(issues)
 
 
 def issue_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -401,7 +404,7 @@ ORACLE_SQL = {
     "set_ops": f"""WITH {_O}, g AS (SELECT issue_id, list(DISTINCT id % 8) AS rd, coalesce(list(DISTINCT id % 8) FILTER (WHERE is_published), []) AS sh FROM o GROUP BY 1)
       SELECT issue_id, array_to_string(list_sort(list_filter(rd, lambda x: NOT list_contains(sh, x))), ',') AS withheld,
         array_to_string(list_sort(list_intersect(sh, [0, 1, 2, 99])), ',') AS low_shown, array_to_string(list_sort(list_distinct(list_concat(sh, [0, 1, 2, 99]))), ',') AS with_low FROM g""",
-    "distinct_cardinalities": f"WITH {_O} SELECT count(DISTINCT page_record) AS pages, count(DISTINCT issue_id) AS issues FROM o WHERE is_published",
+    "distinct_cardinalities": f"WITH {_O} SELECT count(DISTINCT page_record) AS pages, count(DISTINCT issue_id) AS issues, array_to_string(list_sort(list(DISTINCT issue_id)), ',') AS issue_list FROM o WHERE is_published",
     "issue_list": f"WITH {_O} SELECT DISTINCT issue_id FROM o WHERE is_published",
     "done_pages": f"WITH {_P} SELECT issue_pointer, count(*) FILTER (WHERE status = 'done') AS done FROM p WHERE issue_pointer IS NOT NULL GROUP BY 1",
     "class_distribution": f"WITH {_O} SELECT issue_id, object_class, count(*) AS n, CAST(sum(seq) AS BIGINT) AS occurrences FROM o GROUP BY 1, 2",
