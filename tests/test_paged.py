@@ -6,6 +6,7 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 
+from vellum.plans import harvests
 from vellum.sources import paged
 
 SIZE = 4
@@ -75,6 +76,26 @@ def test_a_resumed_run_asks_for_missing_pages_only(spark, site, tmp_path):
     assert set(site["asked"]) == {1} and spark.read.parquet(folder).count() == 39
 
 
+def test_a_task_takes_its_pages_over_holes(spark, site):
+    site["total"] = 400
+    holes = [[s, s] for s in range(1, 401, 8)]  # every other page
+    rows = paged.listing(spark, site["url"], SIZE, 10, holes)
+    assert rows.rdd.getNumPartitions() == 5
+    assert sorted(r.page_start for r in rows.collect()) == sorted(s for s, _ in holes for _ in range(SIZE))
+    rows = paged.listing(spark, site["url"], SIZE, 10, [[1, 45], [53, 201]])
+    assert rows.rdd.getNumPartitions() == 5 and sorted(r.pointer for r in rows.collect()) == [*range(1, 49), *range(53, 205)]
+
+
+def test_the_harvest_runs_fewer_tasks_than_pages(spark, tmp_path, monkeypatch):
+    rows = spark.range(1, 20_001).selectExpr("id AS c_custkey", "concat('c', id) AS c_name", "'m' AS c_mktsegment")
+    rows.write.parquet(f"{tmp_path}/customer.parquet")
+    monkeypatch.setattr(harvests, "new_folder", lambda spark, name: f"{tmp_path}/{name}")
+    got = harvests.catalog_harvest(spark, str(tmp_path))
+    assert sorted(r.pointer for r in got.collect()) == list(range(1, 20_001))
+    # 200 and 201 pages; a task stores one file.
+    assert [len(list(tmp_path.glob(f"listing/stored/run={n}/*.parquet"))) for n in (1, 2)] == [2, 3]
+
+
 def test_an_empty_listing_and_a_broken_answer(spark, site):
     assert paged.listing(spark, site["url"], SIZE).collect() == []
     site["total"], site["broken"] = 18, {9}

@@ -11,6 +11,8 @@ from vellum.sources.tables import table
 
 #: Records of an answer here; the small tables then have several pages.
 SIZE = 50
+#: Pages of a task: tasks and stored files are that many times fewer than pages.
+PER_TASK = 100
 
 
 def catalog_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,9 +28,9 @@ def catalog_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "listing")
     url = paged.write_listing(records, f"{folder}/answers", SIZE, total)
     half, runs = total // 2, [f"{folder}/stored/run={n}" for n in (1, 2)]
-    paged.harvest(spark, url, runs[0], None, SIZE, half)
+    paged.harvest(spark, url, runs[0], None, SIZE, half, PER_TASK)
     read = lambda path: spark.read.schema(paged.LISTING).parquet(path)
-    paged.harvest(spark, url, runs[1], read(runs[0]), SIZE)
+    paged.harvest(spark, url, runs[1], read(runs[0]), SIZE, pages_per_task=PER_TASK)
     both = [read(path).withColumn("run", F.lit(n)) for n, path in enumerate(runs, 1)]
     return both[0].unionByName(both[1]).select("pointer", "title", "filetype", "page_start", "run")
 

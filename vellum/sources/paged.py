@@ -1,9 +1,10 @@
-"""A catalog listing read page by page: a Python data source with a task per run of pages, and a resumed harvest.
+"""A catalog listing read page by page: a Python data source with some pages a task, and a resumed harvest.
 
 A listing answers `{"pager": {"total": n}, "records": [...]}` for a start of 1, 1 + size, 1 + 2 size and so on; the
 first answer tells how many there are. `url` holds `{start}` and may name http(s), a local path or a
 file system of pyarrow. Filters on page_start and the option `ranges` (inclusive pairs of starts, as
-JSON) leave pages out before any task is made: such pages are not asked for.
+JSON) leave pages out before any task is made: such pages are not asked for. A task takes `pages_per_task` of
+those left, over holes, too: a task's start and a stored file cost more than many answers.
 
 Edge cases: a total of 0 gives no rows; an answer that isn't whole JSON or can't be had fails its task, which
 Spark tries again; records may lack any field (null); fields not in the schema are passed over.
@@ -37,11 +38,11 @@ def _answer(url: str, start: int) -> dict:
 
 
 class _Pages(InputPartition):
-    """Pages from `first` to `last`, by one task."""
+    """Pages of one task: runs of starts, first and last."""
 
-    def __init__(self, first: int, last: int) -> None:
-        super().__init__((first, last))
-        self.first, self.last = first, last
+    def __init__(self, runs: list[tuple[int, int]]) -> None:
+        super().__init__(runs)
+        self.runs = runs
 
 
 class _Reader(DataSourceReader):
@@ -84,11 +85,21 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[_Pages]:
         total = int((_answer(self.url, 1).get("pager") or {}).get("total") or 0)
-        step = self.size * self.per_task
-        return [_Pages(at, min(at + step - self.size, hi)) for lo, hi in self._spans(total) for at in range(lo, hi + 1, step)] or [_Pages(1, 0)]
+        tasks: list[list[tuple[int, int]]] = [[]]
+        room = self.per_task
+        for lo, hi in self._spans(total):
+            while lo <= hi:
+                if not room:
+                    tasks.append([])
+                    room = self.per_task
+                last = min(hi, lo + (room - 1) * self.size)
+                tasks[-1].append((lo, last))
+                room -= (last - lo) // self.size + 1
+                lo = last + self.size
+        return [_Pages(runs) for runs in tasks]
 
     def read(self, partition: _Pages) -> Iterator[pa.RecordBatch]:
-        for start in range(partition.first, partition.last + 1, self.size):
+        for start in (s for first, last in partition.runs for s in range(first, last + 1, self.size)):
             text = lambda v: None if v is None else str(v)
             rows = [
                 {"page_start": start, "pos": pos, "pointer": None if r.get("pointer") is None else int(r["pointer"])} | {c: text(r.get(c)) for c in _TYPES.names[3:]}
