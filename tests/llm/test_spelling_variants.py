@@ -115,3 +115,17 @@ def test_roots_follow_chains_of_any_length(spark):
 def test_empty_tables_and_no_words(spark):
     assert rows_of(S.spelling_variants(documents(spark, []))) == {}
     assert rows_of(S.spelling_variants(documents(spark, [(1, "a b c"), (2, None), (3, "singleton")]))) == {}
+
+
+def test_a_scan_compares_few_of_many_owners_and_finds_all(monkeypatch):
+    rng, compared, near = random.Random(7), [], S.near
+    words = sorted({"prefix" + "".join(rng.choice("abcdef") for _ in range(rng.choice((6, 6, 7, 5)))) for _ in range(4000)})
+    shard = S.Shard()
+    for w in words:
+        shard.add(w, len(w), 6, 0, 0)
+    monkeypatch.setattr(S, "near", lambda a, b: compared.append(a) or near(a, b))
+    asked = words[::40]
+    for w in asked:
+        own = [x for x in words if near(w, x)]
+        assert shard.scan(w)[:2] == (len(own), max(map(len, own), default=0))
+    assert len(compared) < len(asked) * len(words) / 20

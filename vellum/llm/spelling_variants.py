@@ -81,72 +81,120 @@ def word_counts(docs: DataFrame, least_length: int = 7, least_count: int = 2, no
     return rows.mapInArrow(_counted(least_length, noise), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count)
 
 
-def first_difference(a: str, b: str) -> int:
-    """The number of code points that both begin with."""
-    lo, hi = 0, min(len(a), len(b))
+def near(a: str, b: str) -> bool:
+    """One code point inserted, deleted or replaced. lo and hi close in on it: what lies outside is the same in both."""
+    if len(a) < len(b):
+        a, b = b, a
+    lo, hi = 0, len(b)
+    if len(a) == hi:
+        while hi - lo > 1:
+            mid = (lo + hi) >> 1
+            if a[lo:mid] == b[lo:mid]:
+                lo = mid
+            elif a[mid:hi] == b[mid:hi]:
+                hi = mid
+            else:
+                return False
+        return a[lo:hi] != b[lo:hi]
+    if len(a) != hi + 1:
+        return False
     while lo < hi:
-        mid = (lo + hi + 1) >> 1
-        if a[lo:mid] == b[lo:mid]:
-            lo = mid
+        mid = (lo + hi) >> 1
+        if a[lo : mid + 1] == b[lo : mid + 1]:
+            lo = mid + 1
+        elif a[mid + 1 : hi + 1] == b[mid:hi]:
+            hi = mid
         else:
-            hi = mid - 1
-    return lo
+            return False
+    return True
 
 
-def near(a: str, b: str) -> bool:
-    """One code point inserted, deleted or replaced."""
-    if len(a) < len(b):
-        a, b = b, a
-    i = first_difference(a, b)
-    if len(a) == len(b):
-        return i < len(a) and a[i + 1 :] == b[i + 1 :]
-    return len(a) == len(b) + 1 and a[i + 1 :] == b[i:]
+class Owners:
+    """Words of one length behind a pattern, whose matched ends have `start` and `end` code points; many are known by the halves
+    of what lies between, one of which an edit leaves whole."""
+
+    __slots__ = ("end", "firsts", "half", "lasts", "rows", "start")
+
+    def __init__(self, start: int, end: int) -> None:
+        self.start, self.end, self.rows, self.firsts = start, end, [], None
+
+    def like(self, word: str) -> list[tuple[str, int, int, str, str]]:
+        """Rows that may be near a word with these ends."""
+        if len(self.rows) <= 4:
+            return self.rows
+        size = len(self.rows[0][0])
+        if size - self.start - self.end < 2:
+            return self.rows
+        if self.firsts is None:
+            self.half, self.firsts, self.lasts = (self.start + size - self.end) >> 1, {}, {}
+            for row in self.rows:
+                self.firsts.setdefault(row[0][self.start : self.half], []).append(row)
+                self.lasts.setdefault(row[0][self.half : size - self.end], []).append(row)
+        first = word[self.start : self.half]
+        out = self.firsts.get(first, [])
+        more = self.lasts.get(word[self.half + len(word) - size : len(word) - self.end])
+        return out + [row for row in more if row[0][self.start : self.half] != first] if more else out
 
 
 class Shard:
-    """Owners by (length, opening segment, closing segment), and an automaton of the segments."""
+    """Owners by what they open and close with, and an automaton of these segments.
+
+    Words are scanned as `^word$`, and segments held as `^segment` and `segment$`: only those at a word's ends are hit. One that
+    opens keeps its owners by length and closing segment; one that closes, those that only close with it, by length."""
 
     def __init__(self) -> None:
-        self.numbers: dict[str, int] = {}
-        self.owners: dict[tuple[int, int, int], list[tuple[str, int, int, str, str]]] = {}
+        self.opens: dict[str, dict[int, dict[str, Owners]]] = {}
+        self.closes: dict[str, dict[int, Owners]] = {}
+        self.bare: dict[int, Owners] = {}
         self.automaton = None
 
-    def _number(self, segment: str) -> int:
-        return self.numbers.setdefault(segment, len(self.numbers)) if segment else -1
-
     def add(self, word: str, n: int, opens: int, closes: int, unless: int) -> None:
         """unless: the pattern doesn't count for words that share so long a beginning (0: always counts)."""
-        end = len(word)
-        key = (end, self._number(word[: min(opens, HELD)]), self._number(word[end - min(closes, HELD) :] if closes else ""))
+        size = len(word)
+        start, end = word[: min(opens, HELD)], word[size - min(closes, HELD) :] if closes else ""
+        only_closes = self.closes.setdefault(end, {}) if end else self.bare
+        by_key, key = (self.opens.setdefault(start, {}).setdefault(size, {}), end) if start else (only_closes, size)
+        held = by_key.get(key)
+        if held is None:
+            held = by_key[key] = Owners(len(start), len(end))
         # Ends that an automaton doesn't hold whole are compared.
-        starts, ends = word[:opens] if opens > HELD else "", word[end - closes :] if closes > HELD else ""
-        self.owners.setdefault(key, []).append((word, n, unless, starts, ends))
+        held.rows.append((word, n, unless, word[:opens] if opens > HELD else "", word[size - closes :] if closes > HELD else ""))
 
-    def scan(self, word: str) -> tuple[int, int, str]:
-        """Near words of this one in the shard: their number, the largest count and its word."""
+    def _ready(self) -> None:
         import ahocorasick
 
-        if self.automaton is None:
-            self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-            for segment, number in self.numbers.items():
-                self.automaton.add_word(segment, number)
+        self.automaton = ahocorasick.Automaton()
+        for text, by_size in self.opens.items():
+            self.automaton.add_word(f"^{text}", (None, by_size))
+        for text, by_size in self.closes.items():
+            self.automaton.add_word(f"{text}$", (text, by_size))
+        if len(self.automaton):
             self.automaton.make_automaton()
-            self.length = [len(s) for s in self.numbers]
-        last, opening, closing = len(word) - 1, [-1], [-1]
-        for end, number in self.automaton.iter(word):
-            if end + 1 == self.length[number]:
-                opening.append(number)
-            if end == last:
-                closing.append(number)
+
+    def scan(self, word: str) -> tuple[int, int, str]:
+        """Near words of this one in the shard: their number, the largest count and its word."""
+        if self.automaton is None:
+            self._ready()
+        last = len(word) - 1
+        longest = last + 2
+        found = [owners for size, owners in self.bare.items() if last <= size <= longest]
+        opened, closing = [], [""]
+        for _, (text, by_size) in self.automaton.iter(f"^{word}$") if len(self.automaton) else ():
+            into = opened if text is None else found
+            if text is not None:
+                closing.append(text)
+            for size, held in by_size.items():
+                if last <= size <= longest:
+                    into.append(held)
+        for by_end in opened:
+            found.extend(by_end[end] for end in closing if end in by_end)
         count, top, form = 0, 0, ""
-        for size in (last, last + 1, last + 2):
-            for a in opening:
-                for b in closing:
-                    for other, n, unless, starts, ends in self.owners.get((size, a, b), ()):
-                        if near(other, word) and word.startswith(starts) and word.endswith(ends) and not (unless and word.startswith(other[:unless])):
-                            count += 1
-                            if n > top or (n == top and other < form):
-                                top, form = n, other
+        for owners in found:
+            for other, n, unless, starts, ends in owners.like(word):
+                if near(other, word) and word.startswith(starts) and word.endswith(ends) and not (unless and word.startswith(other[:unless])):
+                    count += 1
+                    if n > top or (n == top and other < form):
+                        top, form = n, other
         return count, top, form
 
 
@@ -160,7 +208,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 number, shard, before = at, Shard(), None
             if not scans:
                 shard.add(word, n, opens, closes, unless)
-            elif word != before and shard.numbers:
+            elif word != before and (shard.opens or shard.closes or shard.bare):
                 before = word
                 count, top, form = shard.scan(word)
                 if count:
