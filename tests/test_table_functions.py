@@ -1,10 +1,12 @@
 """Table functions in SQL: markup, OCR pages cut into batches, slices, and their awkward values."""
 
+import collections
 import random
 
 import pytest
 
 from vellum.functions import table_functions as tf
+from vellum.plans import functions_sql
 
 
 @pytest.fixture(scope="module")
@@ -57,6 +59,18 @@ def test_ocr_pages(sql, spark, batch):
     assert got == want
 
 
+def test_ocr_pages_go_on_without_a_call_or_a_shuffled_row_for_each(spark, tmp_path):
+    texts = {i: " ".join(f"w{k}" for k in range(i % 7 * 300)) for i in range(40)} | {90: None}
+    docs = [*texts.items(), (3, "of another row"), (None, "no id")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = functions_sql.ocr_sql(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate posexplode") < plan.index("Exchange")  # pages are dealt out before they are words
+    found = {(r.doc_id, r.block): r.words for r in got.collect()}
+    want = collections.Counter((i, k // 40) for i, t in docs for k in range(len((t or "").split(" "))))
+    assert found == want and len(got.collect()) == len(want)
+
+
 def test_slices(sql, spark):
     d = spark.createDataFrame([(0, None), (1, 0), (2, 900), (3, 901), (4, 100_000)], "id int, h bigint")
     got = sql("SELECT id, s.* FROM {d}, LATERAL box_slices(h, 900, 90) s", d=d).collect()

@@ -4,7 +4,8 @@
 
 * `markup_parts(TABLE(SELECT id, text ...))`: a row a segment. Arrow batches in and out, any partitioning.
 * `ocr_page(TABLE(...) PARTITION BY page ORDER BY (level, word_num))`: a row a block of each page. Level 1 gives the
-  page's size and comes first; sums go on from batch to batch, so a page is never held.
+  page's size and comes first; sums go on from batch to batch, so a page is never held. A call a page costs more
+  than a short page's words: rows that already lie by page in each task, level 1 first, need no PARTITION BY.
 * `box_slices(height, slice, overlap)`: for LATERAL, which takes no Arrow function in this Spark; eight rows at most.
 
 Edge cases: a null text has no segments, a null height no slices; a page without a level 1 row has null places; null or
@@ -74,38 +75,49 @@ class MarkupParts:
 
 @arrow_udtf(returnType="page bigint, block int, words bigint, kept bigint, conf double, right double, characters bigint")
 class OcrPage:
+    _types = {"page": pa.int64(), "block": pa.int32(), "words": pa.int64(), "kept": pa.int64(), "conf": pa.float64(), "right": pa.float64(), "characters": pa.int64()}
+
     def __init__(self) -> None:
-        self.page, self.width, self.blocks = None, None, {}
+        self.widths: dict[int | None, int | None] = {}
+        self.blocks: dict[tuple[int | None, int | None], list] = {}
 
     def eval(self, rows: pa.RecordBatch) -> Iterator[pa.Table]:
-        if rows.num_rows:
-            self.page = rows.column("page")[0].as_py()
-            head = rows.filter(pc.fill_null(pc.equal(rows.column("level"), 1), False))
-            if head.num_rows:
-                self.width = head.column("width")[0].as_py()
-            words = rows.filter(pc.fill_null(pc.equal(rows.column("level"), 5), False))
-            token = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(words.column("text"), "")), "[^a-z0-9]", "")
-            conf = words.column("conf")
-            keep = pc.and_(pc.not_equal(token, ""), pc.fill_null(pc.greater_equal(conf, LEAST), False))
-            right = pc.if_else(keep, pc.cast(pc.add(words.column("left"), words.column("width")), pa.float64()), None)
-            t = pa.table({"block": words.column("block"), "conf": conf, "keep": pc.cast(keep, pa.int64()), "right": right, "n": pc.if_else(keep, pc.cast(pc.utf8_length(token), pa.int64()), 0)})
-            got = t.group_by("block").aggregate([("conf", "sum"), ("conf", "count"), ("keep", "sum"), ("right", "max"), ("n", "sum")])
-            for r in got.to_pylist():
-                s = self.blocks.setdefault(r["block"], [0.0, 0, 0, None, 0])
-                s[0] += r["conf_sum"] or 0.0
-                s[1] += r["conf_count"]
-                s[2] += r["keep_sum"] or 0
-                s[3] = max((x for x in (s[3], r["right_max"]) if x is not None), default=None)
-                s[4] += r["n_sum"] or 0
-        return iter(())
+        if not rows.num_rows:
+            return
+        head = rows.filter(pc.fill_null(pc.equal(rows.column("level"), 1), False))
+        self.widths.update(zip(head.column("page").to_pylist(), head.column("width").to_pylist(), strict=True))
+        words = rows.filter(pc.fill_null(pc.equal(rows.column("level"), 5), False))
+        token = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(words.column("text"), "")), "[^a-z0-9]", "")
+        conf = words.column("conf")
+        keep = pc.and_(pc.not_equal(token, ""), pc.fill_null(pc.greater_equal(conf, LEAST), False))
+        right = pc.if_else(keep, pc.cast(pc.add(words.column("left"), words.column("width")), pa.float64()), None)
+        t = pa.table({"page": words.column("page"), "block": words.column("block"), "conf": conf, "keep": pc.cast(keep, pa.int64()), "right": right, "n": pc.if_else(keep, pc.cast(pc.utf8_length(token), pa.int64()), 0)})
+        got = t.group_by(["page", "block"], use_threads=False).aggregate([("conf", "sum"), ("conf", "count"), ("keep", "sum"), ("right", "max"), ("n", "sum")])
+        for r in got.to_pylist():
+            s = self.blocks.setdefault((r["page"], r["block"]), [0.0, 0, 0, None, 0])
+            s[0] += r["conf_sum"] or 0.0
+            s[1] += r["conf_count"]
+            s[2] += r["keep_sum"] or 0
+            s[3] = max((x for x in (s[3], r["right_max"]) if x is not None), default=None)
+            s[4] += r["n_sum"] or 0
+        # Pages before the batch's last are whole.
+        last = rows.column("page")[-1].as_py()
+        whole = {k: v for k, v in self.blocks.items() if k[0] != last}
+        if whole:
+            yield self._pack(whole)
+        self.blocks = {k: v for k, v in self.blocks.items() if k[0] == last}
+        self.widths = {p: w for p, w in self.widths.items() if p == last}
 
     def terminate(self) -> Iterator[pa.Table]:
+        yield self._pack(self.blocks)
+
+    def _pack(self, blocks: dict[tuple[int | None, int | None], list]) -> pa.Table:
         rows = [
-            {"page": self.page, "block": b, "words": n, "kept": kept, "conf": total / n if n else None, "right": right / self.width if right is not None and self.width else None, "characters": size}
-            for b, (total, n, kept, right, size) in self.blocks.items()
+            (page, block, n, kept, total / n if n else None, right / width if right is not None and (width := self.widths.get(page)) else None, size)
+            for (page, block), (total, n, kept, right, size) in blocks.items()
         ]
-        types = {"page": pa.int64(), "block": pa.int32(), "words": pa.int64(), "kept": pa.int64(), "conf": pa.float64(), "right": pa.float64(), "characters": pa.int64()}
-        yield pa.table({c: pa.array([r[c] for r in rows], t) for c, t in types.items()})
+        columns = list(zip(*rows, strict=True)) or [()] * len(self._types)
+        return pa.table({c: pa.array(x, t) for (c, t), x in zip(self._types.items(), columns, strict=True)})
 
 
 @udtf(returnType="slice int, top bigint, bottom bigint", useArrow=False)

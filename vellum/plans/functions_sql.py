@@ -22,12 +22,18 @@ def markup_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ocr_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of OCR pages: every document is a page, its words are placed eight to a line."""
+    """Blocks of OCR pages: every document is a page, its words are placed eight to a line.
+
+    Pages are dealt out and sorted while they are a row each, and become rows of words after: a page's rows stay together,
+    its level 1 row first, and no word is shuffled. Documents that share an id are one page.
+    """
     table_functions.register(spark)
-    rows = f"""SELECT doc_id AS page, 1 AS level, CAST(NULL AS INT) AS block, -1 AS word_num, 0 AS left, 1000 AS width, CAST(NULL AS DOUBLE) AS conf, CAST(NULL AS STRING) AS text FROM {{docs}}
-      UNION ALL SELECT doc_id, 5, CAST(pos DIV {_BLOCK} AS INT), pos, CAST(pos % {_LINE} * 100 AS INT), least(length(word), 9) * 10, CAST(pos * 37 % 101 AS DOUBLE), word
-        FROM (SELECT doc_id, posexplode(split(coalesce(text, ''), ' ')) AS (pos, word) FROM {{docs}})"""
-    sql = f"SELECT page AS doc_id, block, words, kept, round(conf, 6) AS conf, right, characters FROM ocr_page(TABLE({rows}) PARTITION BY page ORDER BY (level, word_num))"
+    dealt = "SELECT doc_id AS page, text FROM {docs} DISTRIBUTE BY doc_id SORT BY doc_id"
+    words = f"SELECT page, posexplode(concat(array(CAST(NULL AS STRING)), split(coalesce(text, ''), ' '))) AS (pos, word) FROM ({dealt})"
+    head = "SELECT page, IF(pos = 0, 1, 5) AS level, pos - 1 AS at, word FROM"
+    rows = f"""SELECT page, level, IF(level = 5, CAST(at DIV {_BLOCK} AS INT), NULL) AS block, at AS word_num, IF(level = 5, CAST(at % {_LINE} * 100 AS INT), 0) AS left,
+        IF(level = 5, least(length(word), 9) * 10, 1000) AS width, IF(level = 5, CAST(at * 37 % 101 AS DOUBLE), NULL) AS conf, word AS text FROM ({head} ({words}))"""
+    sql = f"SELECT page AS doc_id, block, words, kept, round(conf, 6) AS conf, right, characters FROM ocr_page(TABLE({rows}))"
     return spark.sql(sql, docs=table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
