@@ -6,7 +6,7 @@ import random
 from oracle import connect, rows_of_duckdb, rows_of_spark
 from pyspark.sql import functions as F
 
-from vellum.llm import line_dedup
+from vellum.llm import line_dedup, queries
 
 
 def filled(text):
@@ -291,3 +291,126 @@ def test_one_line_in_every_document_gives_one_match_each(spark):
     rows = [(i, f"own line of document {i}\nthis line stands in all documents\nmore of {i}") for i in range(3000)]
     got = removed(spark, rows)
     assert [got[i].n_removed for i in range(3000)] == [0, *[1] * 2999]
+
+
+def seed_places(own, least_words):
+    """Places of every run of lines of least_words words that can't be shortened from the end or from the start."""
+    words, out = [len(x.split()) for x in own], set()
+    for i in range(len(own)):
+        out |= set([(i, e) for e in range(i + 1, len(own) + 1) if sum(words[i:e]) >= least_words][:1])
+        out |= set([(b, i + 1) for b in range(i, -1, -1) if sum(words[b : i + 1]) >= least_words][:1])
+    found = collections.defaultdict(list)
+    for a, b in sorted(out):
+        found[tuple(own[a:b])].append(a)
+    return found
+
+
+def first_longest(pairs):
+    """A longest run of pairs that rises in both: by comparing every two, with the smallest partners from the end on."""
+    pairs, size = sorted(pairs), {}
+    for a, b in pairs:
+        size[a, b] = 1 + max((size[m] for m in size if m[0] < a and m[1] < b), default=0)
+    out, n, ends = [], max(size.values(), default=0), pairs
+    while n:
+        out.append(min((m for m in ends if size[m] == n), key=lambda m: (m[1], m[0])))
+        n, ends = n - 1, [m for m in pairs if m[0] < out[-1][0]]
+    return out[::-1]
+
+
+def brute_every_pair(rows, least_words):
+    """Places of the lines that patience diff aligns with any earlier document that shares a seed, and of the other lines in
+    seeds that earlier documents have: every pair, all places, no class and no round."""
+    docs = [(i, seed_places(filled(t), least_words)) for i, t in sorted(rows)]
+    gone, moved = {}, {}
+    for k, (i, mine) in enumerate(docs):
+        cut, held = set(), set()
+        for _, theirs in docs[:k]:
+            once, others = {}, collections.defaultdict(int)
+            for run in mine.keys() & theirs.keys():
+                held |= {p for a in mine[run] for p in range(a, a + len(run))}
+                for a in mine[run]:
+                    for b in theirs[run]:
+                        at = once if len(mine[run]) == len(theirs[run]) == 1 else others
+                        at[a, b] = max(at.get((a, b), 0), len(run))
+            sure = sorted(once, key=lambda m: (m[0], -m[1]))
+            anchors = [sure[x] for x in latest_longest([b for _, b in sure])]
+            kept = {m: once[m] for m in anchors}
+            for lo, hi in zip([(-1, -1), *anchors], [*anchors, (10**9, 10**9)], strict=True):
+                kept |= {m: others[m] for m in first_longest([m for m in others if lo[0] < m[0] < hi[0] and lo[1] < m[1] < hi[1]])}
+            cut |= {p for (a, _), n in kept.items() for p in range(a, a + n)}
+        gone[i], moved[i] = cut, held - cut
+    return gone, moved
+
+
+def test_every_earlier_document_equal_to_brute_force(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    whole = [(r.doc_id, (r.text or "").encode()) for r in d.collect()]
+    rng = random.Random(32)
+    lines = ["a b", "c", "d e f", "one two three four five", "g h i j", "six words are in this line", "k", ""]
+    small = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(12))).encode()) for i in range(60)]
+    small += [(i, "\n".join(f"{rng.choice('pqrst')} {rng.randrange(4)}" for _ in range(rng.randrange(9))).encode()) for i in range(60, 160)]
+    small += [(i, "\n".join(f"line {c} has words enough" for c in rng.sample("uvwxyz", rng.randrange(1, 7))).encode()) for i in range(160, 300)]
+    for rows, differ in ((whole, 10), (small, 50)):
+        gone, moved = brute_every_pair(rows, 5)
+        got = removed(spark, [(i, t.decode()) for i, t in rows], every=True)
+        assert {i: (r.n_removed, r.n_moved) for i, r in got.items()} == {i: (len(gone[i]), len(moved[i])) for i in gone}
+        assert all(filled(got[i].kept.encode()) == [x for p, x in enumerate(filled(t)) if p not in gone[i]] for i, t in rows)
+        earliest, _ = brute_aligned(rows, 5)
+        assert sum(gone[i] != earliest[i] for i in gone) > differ
+
+
+def test_a_later_holder_counts_where_the_earliest_has_another_order(spark):
+    a, b, c = ([f"{name} block line {k} of three" for k in range(3)] for name in ("first", "second", "third"))
+    rows = [(0, [*a, *b]), (1, [*b, *a]), (2, [*b, *a]), (3, c), (4, ["own", *b, *a, *c]), (5, [*c, *a, *b, "x"])]
+    rows = [(i, "\n".join(x)) for i, x in rows]
+    got = removed(spark, rows, every=True)
+    assert [got[i].n_removed for i in range(6)] == [0, 3, 6, 0, 9, 9]
+    assert [got[i].n_moved for i in range(6)] == [0, 3, 0, 0, 0, 0]
+    assert removed(spark, rows, every=True, moved=True)[1].n_removed == 6
+
+
+def test_a_later_place_in_a_holder_counts(spark):
+    block, mark = [f"repeated line number {k} of five" for k in range(5)], "a line that marks the middle"
+    rows = [(1, "\n".join([*block, mark, *block])), (2, "\n".join(["two", mark, *block]))]
+    assert (removed(spark, rows, every=True)[2].n_removed, removed(spark, rows, every=True)[2].kept) == (6, "two")
+
+
+def test_many_holders_in_another_order_come_before_the_one_that_fits(spark):
+    a, b = "the first of two common lines", "the second of two common lines"
+    rows = [(0, f"{a}\nzero\n{b}")] + [(i, f"{b}\nlinks number {i // 2} with a neighbour\n{a}") for i in range(1, 200)] + [(200, f"{a}\nlast\n{b}")]
+    got = removed(spark, rows, every=True)
+    gone, moved = brute_every_pair([(i, t.encode()) for i, t in rows], 5)
+    assert got[200].kept == "last" and {i: (r.n_removed, r.n_moved) for i, r in got.items()} == {i: (len(gone[i]), len(moved[i])) for i in gone}
+
+
+def test_without_an_alignment_no_copy_goes_either(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "pair_blocks", lambda shared: [])
+    block = "\n".join(f"line number {k} of a shared block" for k in range(4))
+    got = removed(spark, [(1, block), (2, block), (3, "three\n" + block)], every=True)
+    assert [(got[i].n_removed, got[i].n_moved) for i in (2, 3)] == [(0, 0), (0, 0)]
+
+
+def test_every_earlier_document_on_long_texts_nulls_and_equal_ids(spark):
+    text = "one line of five words\nanother line of five words\n\n"
+    rows = [(None, text), (2, None), (3, ""), (4, text), (5, text), (5, text), (5, "z " + text)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(line_dedup.line_dedup(d, every=True).select("doc_id", "n_lines", "n_removed").collect(), key=lambda r: (r[0] or 0, r[2]))
+    assert [r[1:] for r in got] == [(2, 0), (0, 0), (0, 0), (2, 2), (2, 1), (2, 2), (2, 2)]
+    assert line_dedup.line_dedup(d.limit(0), every=True).count() == 0
+    lines = [f"line {k} of a text with very many lines" for k in range(60_000)]
+    got = removed(spark, [(1, "\n".join(lines)), (2, "\n".join(["first", *lines[30_000:], *lines[:25_000]])), (3, "\n".join(["again and again and again"] * 3000)), (4, "\n".join(["again and again and again"] * 2000 + ["end"]))], every=True)
+    assert [(got[i].n_removed, got[i].n_moved) for i in (2, 3, 4)] == [(30_000, 25_000), (0, 0), (2000, 0)]
+
+
+def test_the_query_aligns_with_every_earlier_document(spark, tmp_path):
+    path = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, (r.text or "").encode()) for r in spark.read.parquet(f"{path}/documents.parquet").collect()]
+    block = [f"{k} is a line of a block" for k in "pqrstu"]
+    straight, turned = "\n".join(block).encode(), "\n".join([*block[3:], *block[:3]]).encode()
+    rows += [(10**6 + k, t) for k, t in enumerate([straight, turned, turned])]
+    gone, _ = brute_every_pair(rows, 5)
+    assert len(gone[10**6 + 2]) == 6 and len(brute_aligned(rows, 5)[0][10**6 + 2]) == 3
+    sf = str(tmp_path)
+    spark.createDataFrame([(i, t.decode()) for i, t in rows], "doc_id bigint, text string").write.parquet(f"{sf}/documents.parquet")
+    got = {r.doc_id: r.n_removed for r in queries.op10_line_dedup(spark, sf).collect()}
+    assert got == {i: len(x) for i, x in gone.items()}

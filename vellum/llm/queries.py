@@ -62,7 +62,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(_read(spark, sf_dir, "documents")).drop("n_moved", "kept")
+    return line_dedup(_read(spark, sf_dir, "documents"), every=True).drop("n_moved", "kept")
 
 
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
