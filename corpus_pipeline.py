@@ -4,7 +4,7 @@ Every stage works on all rows that the one before kept, and all but the last ret
 columns of documents:
 
 * toxicity drops documents that the nearest labelled examples call toxic;
-* line_dedup deletes aligned blocks of lines from the later of two documents (n_chars, where
+* line_dedup deletes blocks of lines that align with any earlier document (n_chars, where
   there is such a column, follows the text);
 * simhash keeps one document, that with the smallest doc_id, of each group of near duplicates, and
   one row of a document that is given several times;
@@ -40,7 +40,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     carry = [c for c in docs.columns if c != "text"]
-    out = line_dedup(docs, carry=carry)
+    out = line_dedup(docs, carry=carry, every=True)
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
     return out.select(*[new[c].alias(c) if c in new else F.col(f"carried.`{c}`").alias(c) for c in docs.columns])
 

@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 import pytest
 from test_decontamination import every_pair
-from test_line_dedup import brute_aligned, filled
+from test_line_dedup import brute_every_pair, filled
 from test_operators import near_groups
 
 from vellum.llm import queries
@@ -81,7 +81,7 @@ def test_the_chain_of_stages_equals_brute_force_on_a_whole_table(spark, tmp_path
     assert all(r == before[i] for i, r in got["toxicity"].items())
 
     rows = [(i, (r.text or "").encode()) for i, r in got["toxicity"].items()]
-    cut, _ = brute_aligned(rows, 5)
+    cut, _ = brute_every_pair(rows, 5)
     for i, t in rows:
         r = got["line_dedup"][i]
         assert filled((r.text or "").encode()) == [x for p, x in enumerate(filled(t)) if p not in cut[i]]
