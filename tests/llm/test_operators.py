@@ -485,6 +485,47 @@ def test_near_duplicates_of_repeated_ids_and_clashing_columns(spark):
     assert near_duplicates.one_of_each_group(d.limit(0)).count() == 0
 
 
+def shuffled_bytes(spark):
+    """Bytes that all stages so far have written to shuffles, by stage."""
+    sc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(k) for k in range(stages.size()))}
+
+
+def test_near_duplicates_shuffle_only_texts_that_they_need(spark, tmp_path):
+    rng = random.Random(24)
+    texts = [[f"{rng.getrandbits(240):060x}" for _ in range(300)] for _ in range(400)]
+    rows = [" ".join(w) for w in texts] + [" ".join([*w[:-1], "edit"]) for w in texts[:20]]
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    path = str(tmp_path)
+    d.write.parquet(f"{path}/docs")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where all sides are large
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        seen = shuffled_bytes(spark)
+        near_duplicates.one_of_each_group(spark.read.parquet(f"{path}/docs")).write.parquet(f"{path}/out")
+        moved = sum(n for stage, n in shuffled_bytes(spark).items() if stage not in seen)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert sorted(r.doc_id for r in spark.read.parquet(f"{path}/out").collect()) == list(range(400))
+    assert moved < 0.8 * sum(map(len, rows)), (moved, sum(map(len, rows)))
+
+
+def test_filter_of_ids_loses_none(spark):
+    rows = spark.range(0, 40_000).select((F.col("id") * 7 - 1000).alias("doc"))
+    ids = rows.where("doc % 50 = 0").unionAll(spark.createDataFrame([(-(2**63),)], "doc bigint"))
+    rows = rows.unionAll(spark.createDataFrame([(-(2**63),)], "doc bigint"))
+    got = {how: [r.doc for r in near_duplicates.passing(rows, ids, F.col("doc"), how).collect()] for how in ("left_semi", "left_anti")}
+    want = {r.doc for r in ids.collect()}
+    assert want <= set(got["left_semi"]) and not want & set(got["left_anti"])
+    assert sorted(got["left_semi"] + got["left_anti"]) == sorted(r.doc for r in rows.collect())
+    assert len(got["left_semi"]) < len(want) + 50
+    assert near_duplicates.passing(rows, ids.limit(0), F.col("doc")).count() == 0
+
+
 def test_near_duplicates_loses_no_pair_of_short_texts(spark):
     rng = random.Random(22)
     rows = []

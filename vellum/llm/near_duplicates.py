@@ -30,6 +30,10 @@ first thinned out by leaders: rows within a quarter of the radius of a leader ar
 and only the leader goes on. A task thins a very large group as its rows come in, so it never
 holds one whole.
 
+Whole texts go through a shuffle only where a step needs them: rows are first held against a
+filter of the ids (`passing`), which is broadcast and of a bounded size at any number of ids; only
+what passes is joined, and the rest, where it is wanted too, stays where it was read.
+
 Edge cases: null texts count as empty, and texts without words are equal; a null doc_id comes
 before all others; equal rows of an id are one document, of which one row is kept; rows that
 repeat an id with other texts count as documents in the order of a hash of their texts; an
@@ -44,7 +48,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import id_values, staged, texts
@@ -58,14 +62,30 @@ TABLES = 16
 GROUP = 1024
 #: Rows of a shingle that wait for its count; one in more texts comes last in the order.
 COMMON = 1 << 16
+#: Rows of a filter of ids, of 64 bits each: 2^26 bits, however many ids.
+FILTER_ROWS = 1 << 20
 _BITS = 128
 
 
-def set_fingerprint(shingles: list[int]) -> tuple[int, int]:
+def _bit(h: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def passing(rows: DataFrame, ids: DataFrame, key: Column, how: str = "left_semi") -> DataFrame:
+    """The rows whose key passes a filter of the ids (doc), one bit of which each id sets: all that are
+    among them, and of the others a few. how = left_anti: all other rows."""
+    bit = F.xxhash64(F.col("doc"))
+    words = ids.select(F.shiftright(bit, 6).bitwiseAND(F.lit(FILTER_ROWS - 1)).alias("word"), _bit(bit).alias("bits"))
+    known = F.broadcast(words.groupBy("word").agg(F.bit_or("bits").alias("bits")))
+    own = F.xxhash64(key)
+    return rows.join(known, (F.shiftright(own, 6).bitwiseAND(F.lit(FILTER_ROWS - 1)) == known["word"]) & (_bit(own).bitwiseAND(known["bits"]) != 0), how)
+
+
+def set_fingerprint(shingles: list[int] | np.ndarray) -> tuple[int, int]:
     """128 SimHash bits of a set of 64-bit hashes, as two signed longs."""
-    if not shingles:
+    if not len(shingles):
         return 0, 0
-    h = np.array(shingles, np.uint64)
+    h = np.asarray(shingles, np.uint64)
     again = h * np.uint64(0x9E3779B97F4A7C15)
     again = (again ^ (again >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
     again ^= again >> np.uint64(33)
@@ -141,14 +161,15 @@ def spanning_links(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
 def _prints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c, f, n = [], [], []
+            c, f, n, sliced = [], [], [], []
             for text in texts(batch, lower=True):
                 c.append(np.frombuffer(xxhash.xxh3_128_digest(b" ".join(text.split())), np.int64))
-                shingles = list(set(shingle_hashes(text, words)))
+                shingles = np.array(list(set(shingle_hashes(text, words))), np.uint64)
                 f.append(set_fingerprint(shingles))
                 n.append(len(shingles))
+                sliced.append(int(_in_slice(shingles).sum()))
             c, f = np.array(c).reshape(-1, 2), np.array(f, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), *(pa.array(x[:, w].copy()) for x in (c, f) for w in (0, 1)), pa.array(n, pa.int64())], names=["doc", "c1", "c2", "f1", "f2", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), *(pa.array(x[:, w].copy()) for x in (c, f) for w in (0, 1)), *(pa.array(x, pa.int64()) for x in (n, sliced))], names=["doc", "c1", "c2", "f1", "f2", "n", "sliced"])
 
     return run
 
@@ -231,13 +252,17 @@ def _verify(words: int, similarity: float):
     return run
 
 
+def _in_slice(shingles: np.ndarray) -> np.ndarray:
+    return (shingles & np.uint64(15)) < 5
+
+
 def _slice(words: int):
     """Each text's distinct shingles with one of 5 of 16 hash ends, and its group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = (np.unique(np.array(shingle_hashes(t, words), np.uint64)) for t in texts(batch, lower=True))
-            yield from _exploded(((*ids, x[(x & np.uint64(15)) < 5]) for *ids, x in zip(id_values(batch, "doc").tolist(), id_values(batch, "root").tolist(), found, strict=True)), 2)
+            yield from _exploded(((*ids, x[_in_slice(x)]) for *ids, x in zip(id_values(batch, "doc").tolist(), id_values(batch, "root").tolist(), found, strict=True)), 2)
 
     return run
 
@@ -306,13 +331,12 @@ def _runs(batches: Iterator[pa.RecordBatch], names: list[str], most: int = 0) ->
         yield [np.concatenate(c) for c in zip(*rest, strict=True)], False
 
 
-def _alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, root, doc) sorted by token and root -> the docs of every token that just one root has."""
+def _not_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, root, doc) sorted by token and root -> the docs of every token that several roots have."""
     for (token, root, doc), part in _runs(batches, ["token", "root", "doc"], COMMON):
         edges = np.flatnonzero(np.r_[True, token[1:] != token[:-1], True])
-        single = root[edges[:-1]] == root[edges[1:] - 1]
-        alone = np.repeat(single, np.diff(edges)) & (not part)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[alone])], names=["doc"])
+        several = root[edges[:-1]] != root[edges[1:] - 1]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[np.repeat(several, np.diff(edges)) | part])], names=["doc"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,19 +397,22 @@ def _meetings(similarity: float, block: int = 2048):
 def remaining_pairs(rows: DataFrame, sizes: DataFrame, roots: DataFrame, moved: DataFrame, words: int, similarity: float) -> DataFrame:
     """Pairs (u, v) of different roots that may reach the similarity: all that do are among them.
 
-    rows: doc, text; sizes: doc, n (distinct shingles); roots: node, root, a row a class; moved: doc, root of
-    every doc that isn't its group's root. Shingles that just one group has can't be shared with another: a
-    text with more than 1 - similarity of them is left out before its other shingles are looked at.
+    rows: doc, text; sizes: doc, n (distinct shingles), sliced (those of the slice); roots: node, root, a row a class;
+    moved: doc, root of every doc that isn't its group's root. Shingles that just one group has can't be shared
+    with another: a text with more than 1 - similarity of them is left out before its other shingles are looked at.
+    Those that several groups have are far fewer, so these are counted.
     """
     # Most roots equal their doc. Side by side, equal numbers keep a row from being compressed against the row before it,
     # so roots travel as their complement, and as the difference from doc where rows are in no order of docs.
-    grouped = rows.join(moved, "doc", "left").withColumn("root", F.bitwise_not(F.coalesce("root", "doc")))
+    others = passing(rows, moved, F.col("doc"), "left_anti").withColumn("root", F.col("doc"))
+    grouped = passing(rows, moved, F.col("doc")).join(moved, "doc", "left").select("doc", "text", F.coalesce("root", "doc").alias("root")).unionByName(others).withColumn("root", F.bitwise_not("root"))
     sliced = grouped.select("doc", "root", "text").mapInArrow(_slice(words), "token bigint, doc bigint, root bigint")
-    alone = sliced.repartition("token").sortWithinPartitions("token", "root").mapInArrow(_alone, "doc bigint")
-    alone = alone.groupBy("doc").agg(F.count(F.lit(1)).alias("alone"))
-    left = roots.select(F.col("node").alias("doc"), "root").join(sizes, "doc").join(alone, "doc", "left").where(F.coalesce("alone", F.lit(0)) <= (1 - similarity) * F.col("n") + 1e-6).select("doc", "root")
+    shared = sliced.repartition("token").sortWithinPartitions("token", "root").mapInArrow(_not_alone, "doc bigint")
+    shared = shared.groupBy("doc").agg(F.count(F.lit(1)).alias("shared"))
+    alone = F.col("sliced") - F.coalesce("shared", F.lit(0))
+    left = roots.select(F.col("node").alias("doc"), "root").join(sizes, "doc").join(shared, "doc", "left").where(alone <= (1 - similarity) * F.col("n") + 1e-6).select("doc", "root")
     left = staged(left.distinct(), "texts_left")
-    whole = rows.join(left, "doc").withColumn("root", F.bitwise_not("root"))
+    whole = passing(rows, left, F.col("doc")).join(left, "doc").withColumn("root", F.bitwise_not("root"))
     tokens = whole.mapInArrow(_all_shingles(words), "token bigint, doc bigint, root bigint, n bigint")
     shared = tokens.repartition("token").sortWithinPartitions("token", "root").mapInArrow(_shared, "doc bigint, roots bigint, token bigint, apart bigint, n bigint")
     prefixes = shared.repartition("doc").sortWithinPartitions("doc", "roots", "token").mapInArrow(_prefixes(similarity), "token bigint, n bigint, doc bigint, root bigint, place bigint")
@@ -395,14 +422,14 @@ def remaining_pairs(rows: DataFrame, sizes: DataFrame, roots: DataFrame, moved:
 def verified_links(rows: DataFrame, links: DataFrame, words: int, similarity: float) -> DataFrame:
     """The links (u, v) whose texts have the similarity. Only the texts that links need are fetched."""
     ends = links.select(F.col("u").alias("doc")).unionAll(links.select(F.col("v").alias("doc"))).distinct()
-    needed = staged(rows.join(ends, "doc", "left_semi"), "linked_texts")
+    needed = staged(passing(rows, ends, F.col("doc")).join(ends, "doc", "left_semi"), "linked_texts")
     pairs = links.join(needed.select(F.col("doc").alias("u"), F.col("text").alias("a")), "u").join(needed.select(F.col("doc").alias("v"), F.col("text").alias("b")), "v")
     return staged(pairs.select("u", "v", "a", "b").mapInArrow(_verify(words, similarity), "u bigint, v bigint"), "verified_links")
 
 
 def _roots(rows: DataFrame, words: int, similarity: float) -> DataFrame:
     """rows (doc, text), each doc once -> (doc, root): the smallest doc of its group."""
-    prints = staged(rows.mapInArrow(_prints(words), "doc bigint, c1 bigint, c2 bigint, f1 bigint, f2 bigint, n bigint"), "set_fingerprints")
+    prints = staged(rows.mapInArrow(_prints(words), "doc bigint, c1 bigint, c2 bigint, f1 bigint, f2 bigint, n bigint, sliced bigint"), "set_fingerprints")
     classes = staged(prints.groupBy("c1", "c2").agg(F.min("doc").alias("doc"), F.first("f1").alias("f1"), F.first("f2").alias("f2")), "text_classes")
     cosine = 2 * similarity / (1 + similarity)
     apart = math.acos(cosine) / math.pi
@@ -412,7 +439,7 @@ def _roots(rows: DataFrame, words: int, similarity: float) -> DataFrame:
     verified = verified_links(rows, links, words, similarity)
     first = staged(with_components(classes.select(F.col("doc").alias("node"), "c1", "c2"), verified), "first_groups")
     moved = staged(prints.select("doc", "c1", "c2").join(first.select("c1", "c2", "root"), ["c1", "c2"]).where("doc <> root").select("doc", "root"), "moved")
-    more = staged(remaining_pairs(rows, prints.select("doc", "n"), first.select("node", "root"), moved, words, similarity), "candidate_links")
+    more = staged(remaining_pairs(rows, prints.select("doc", "n", "sliced"), first.select("node", "root"), moved, words, similarity), "candidate_links")
     verified = first.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(verified_links(rows, more, words, similarity))
     roots = with_components(classes.select(F.col("doc").alias("node"), "c1", "c2"), verified)
     return prints.select("doc", "c1", "c2").join(roots, ["c1", "c2"]).select("doc", "root")
@@ -438,7 +465,8 @@ def one_of_each_group(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     each, roots, repeated = _grouped(docs, docs.columns, words, similarity)
     if not repeated:
         gone = roots.where("doc <> root").select("doc")
-        return docs.join(gone, F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))) == gone["doc"], "left_anti")
+        doc = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63)))
+        return passing(docs, gone, doc, "left_anti").unionAll(passing(docs, gone, doc).join(gone, doc == gone["doc"], "left_anti"))
     rows = each.where("leads").select("root", "row", "carried")
     first = rows.groupBy("root").agg(F.min("row").alias("first"))
     return rows.join(first, "root").where("row = first").select("carried.*")
